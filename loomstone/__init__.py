@@ -1,3 +1,10 @@
 """loomstone: profiling, reversible transforms, codecs and archives over Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package travel to the executors by value, so that no executor needs it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
