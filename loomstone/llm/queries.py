@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstone.llm.common import documents
 from loomstone.llm.line_dedup import dedup_lines
+from loomstone.llm.simhash import near_groups
 from loomstone.plans.catalogue import Catalogue
 
 CATALOGUE = Catalogue()
@@ -30,3 +31,8 @@ GROUP BY doc_id
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return dedup_lines(docs, min_docs=10).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@CATALOGUE.add("op2_simhash_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir).select("doc_id", "text"), words_each=3, max_bits=3)
