@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import documents
+from loomstone.llm.common import crc_mod, documents
 from loomstone.llm.line_dedup import dedup_lines
+from loomstone.llm.quality import classify
 from loomstone.llm.simhash import near_groups
 from loomstone.plans.catalogue import Catalogue
 
@@ -36,3 +37,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOGUE.add("op2_simhash_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir).select("doc_id", "text"), words_each=3, max_bits=3)
+
+
+@CATALOGUE.add("op3_quality_classifier")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    out = classify(documents(spark, sf_dir).select("doc_id", "text"), labels, train_on=lambda c: crc_mod(c, 4) != 2, threshold=0.7)
+    return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
