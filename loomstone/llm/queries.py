@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstone.llm.common import crc_mod, documents
 from loomstone.llm.line_dedup import dedup_lines
+from loomstone.llm.lz_fingerprint import edits_and_neighbours
 from loomstone.llm.quality import classify
 from loomstone.llm.simhash import near_groups
 from loomstone.plans.catalogue import Catalogue
@@ -44,3 +45,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     out = classify(documents(spark, sf_dir).select("doc_id", "text"), labels, train_on=lambda c: crc_mod(c, 4) != 2, threshold=0.7)
     return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+@CATALOGUE.add("op4_lz_fingerprint")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits_and_neighbours(documents(spark, sf_dir).select("doc_id", "text"))
