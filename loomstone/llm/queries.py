@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone.llm import byte_bpe
 from loomstone.llm.common import crc_mod, documents
 from loomstone.llm.line_dedup import dedup_lines
 from loomstone.llm.lz_fingerprint import edits_and_neighbours
@@ -50,3 +51,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOGUE.add("op4_lz_fingerprint")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits_and_neighbours(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@CATALOGUE.add("op5_byte_bpe")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = byte_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path, pattern).select("doc_id", "ids")
+    decoded = byte_bpe.decode(ids, path, pattern).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    return byte_bpe.ids_digest(decoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
