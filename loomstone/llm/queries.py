@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstone.llm import byte_bpe
 from loomstone.llm.common import crc_mod, documents
+from loomstone.llm.ego_join import near_vectors
 from loomstone.llm.line_dedup import dedup_lines
 from loomstone.llm.lz_fingerprint import edits_and_neighbours
 from loomstone.llm.quality import classify
@@ -61,3 +62,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = byte_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path, pattern).select("doc_id", "ids")
     decoded = byte_bpe.decode(ids, path, pattern).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
     return byte_bpe.ids_digest(decoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@CATALOGUE.add("op6_ego_embedding_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), threshold=0.95)
