@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstone.llm import byte_bpe
 from loomstone.llm.common import crc_mod, documents
+from loomstone.llm.ctw import score_texts
 from loomstone.llm.ego_join import near_vectors
 from loomstone.llm.line_dedup import dedup_lines
 from loomstone.llm.lz_fingerprint import edits_and_neighbours
@@ -67,3 +68,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOGUE.add("op6_ego_embedding_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), threshold=0.95)
+
+
+@CATALOGUE.add("op7_ctw_scoring")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod("doc_id", 10) == 0
+    out = score_texts(documents(spark, sf_dir).select("doc_id", "text"), ~held_out)
+    return out.withColumn("held_out", held_out)
