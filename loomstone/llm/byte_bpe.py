@@ -10,18 +10,20 @@ vocabulary's pattern, each is encoded on its own, and decoding maps ids back to
 from __future__ import annotations
 
 import base64
-import hashlib
 import struct
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomstone.llm.common import arrow_map
 
-#: Pre-tokens whose ids a task remembers; when full, it starts anew.
-REMEMBERED = 400_000
+#: Pre-tokens whose ids a task remembers (when full, it starts anew), and texts encoded in one call.
+REMEMBERED, TOGETHER = 400_000, 64
 #: Wire format of sentencepiece's ModelProto: field numbers and enum values.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 PIECE, SCORE, TYPE, UNKNOWN_TYPE = 1, 2, 3, 2
@@ -71,14 +73,13 @@ def model_bytes(ranks: dict[bytes, int]) -> bytes:
 
 
 class Codec:
-    """Encodes whole texts and decodes ids, as the vocabulary's own library would."""
+    """Encodes whole texts as the vocabulary's own library would."""
 
     def __init__(self, rank_file: bytes, pattern: str) -> None:
         import regex
         import sentencepiece
 
         self.ranks = read_ranks(rank_file)
-        self.tokens = [t for t, _ in sorted(self.ranks.items(), key=lambda x: x[1])]
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.ranks))
         self.split = regex.compile(pattern).findall
         self.known: dict[str, list[int]] = {}
@@ -93,21 +94,25 @@ class Codec:
             self.known[p] = [w] if w is not None else [i - 1 for i in next(ids)]
 
     def encode(self, text: str) -> list[int]:
-        pieces = self.split(text)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """One call of the model for all pre-tokens that are new."""
+        pieces = list(map(self.split, texts))
         known = self.known
-        if new := [p for p in dict.fromkeys(pieces) if p not in known]:
+        if new := [p for p in dict.fromkeys(chain.from_iterable(pieces)) if p not in known]:
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
-                new = list(dict.fromkeys(pieces))
+                new = list(dict.fromkeys(chain.from_iterable(pieces)))
             self._encode_new(new)
-        out: list[int] = []
-        for p in pieces:
-            out += known[p]
+        out = []
+        for part in pieces:
+            ids: list[int] = []
+            for p in part:
+                ids += known[p]
+            out.append(ids)
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
-
 
 #: latin-1 character b -> U+0100 + b
 _SHIFT = {b: 0x100 + b for b in range(256)}
@@ -118,6 +123,12 @@ def codec(rank_file: bytes, pattern: str) -> Codec:
     return Codec(rank_file, pattern)
 
 
+@lru_cache(1)
+def tokens(rank_file: bytes) -> list[bytes]:
+    """The bytes of each id."""
+    return [t for t, _ in sorted(read_ranks(rank_file).items(), key=lambda x: x[1])]
+
+
 def _sent(df: DataFrame, path: str, pattern: str):
     """The vocabulary's bytes (about a megabyte), read on the driver; executors need no copy of the file."""
     with open(path, "rb") as f:
@@ -136,8 +147,11 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text",
 
     def each(b: pa.RecordBatch) -> dict:
         c = codec(*sent.value)
-        rows = {n: b.column(i) for i, n in enumerate(passed)}
-        return rows | {ids_col: [c.encode(t or "") for t in rows[text_col].to_pylist()]}
+        cols = {n: b.column(i) for i, n in enumerate(passed)}
+        texts = [t or "" for t in cols[text_col].to_pylist()]
+        ids = [np.array(x, np.int32) for i in range(0, len(texts), TOGETHER) for x in c.encode_all(texts[i : i + TOGETHER])]
+        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        return cols | {ids_col: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))}
 
     return arrow_map(base, each, kind)
 
@@ -151,23 +165,15 @@ def decode(rows: DataFrame, path: str, pattern: str, *, ids_col: str = "ids", ou
     passed = base.columns
 
     def each(b: pa.RecordBatch) -> dict:
-        c = codec(*sent.value)
+        table = tokens(sent.value[0])
         cols = {n: b.column(i) for i, n in enumerate(passed)}
-        return cols | {out_col: [c.decode(x or []) for x in cols[ids_col].to_pylist()]}
+        # one row's ids as Python numbers at a time
+        return cols | {out_col: [b"".join(map(table.__getitem__, x.values.to_numpy().tolist() if x.is_valid else ())) for x in cols[ids_col]]}
 
     return arrow_map(base, each, kind)
 
 
-def ids_digest(rows: DataFrame, *, ids_col: str = "ids") -> DataFrame:
-    """rows with n_tokens and ids_sha256 (of the decimal ids, joined by commas), without the ids."""
-    base = rows.drop("n_tokens", "ids_sha256")
-    kind = T.StructType([f for f in base.schema.fields if f.name != ids_col] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType())])
-    passed = base.columns
-
-    def each(b: pa.RecordBatch) -> dict:
-        cols = {n: b.column(i) for i, n in enumerate(passed)}
-        ids = [x or [] for x in cols.pop(ids_col).to_pylist()]
-        digest = lambda x: hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()
-        return cols | {"n_tokens": list(map(len, ids)), "ids_sha256": list(map(digest, ids))}
-
-    return arrow_map(base, each, kind)
+def with_digest(rows: DataFrame, *, ids_col: str = "ids") -> DataFrame:
+    """rows with n_tokens and ids_sha256 (of the decimal ids, joined by commas) instead of the ids."""
+    text = F.coalesce(F.array_join(F.col(ids_col).cast("array<string>"), ","), F.lit(""))
+    return rows.withColumns({"n_tokens": F.coalesce(F.size(ids_col), F.lit(0)).cast("long"), "ids_sha256": F.sha2(text, 256)}).drop(ids_col)

@@ -9,10 +9,13 @@ from loomstone.llm import byte_bpe
 from loomstone.llm.common import crc_mod, documents
 from loomstone.llm.ctw import score_texts
 from loomstone.llm.ego_join import near_vectors
+from loomstone.llm.licenses import scan_licenses
 from loomstone.llm.line_dedup import dedup_lines
 from loomstone.llm.lz_fingerprint import edits_and_neighbours
+from loomstone.llm.packing import pack
 from loomstone.llm.quality import classify
 from loomstone.llm.simhash import near_groups
+from loomstone.llm.warc import resolve_revisits, two_crawls
 from loomstone.plans.catalogue import Catalogue
 
 CATALOGUE = Catalogue()
@@ -62,7 +65,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     ids = byte_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path, pattern).select("doc_id", "ids")
     decoded = byte_bpe.decode(ids, path, pattern).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
-    return byte_bpe.ids_digest(decoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return byte_bpe.with_digest(decoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 @CATALOGUE.add("op6_ego_embedding_dedup")
@@ -75,3 +78,49 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod("doc_id", 10) == 0
     out = score_texts(documents(spark, sf_dir).select("doc_id", "text"), ~held_out)
     return out.withColumn("held_out", held_out)
+
+
+@CATALOGUE.add("op8_best_fit_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir).select("doc_id", "text", "source"), capacity=2048)
+
+
+@CATALOGUE.add("op9_license_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files source/lang/doc_id."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return scan_licenses(documents(spark, sf_dir).select("doc_id", path.alias("path"), "text"))
+
+
+OP10_SQL = """
+WITH base AS (
+  SELECT page_id, sha256(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, ''))) AS n,
+         regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare
+  FROM pages),
+parts AS (
+  SELECT page_id, digest, n, regexp_extract(bare, '^[^?]*', 0) AS path, regexp_extract(bare, '[?](.*)$', 1) AS query FROM base),
+urls AS (
+  SELECT page_id, digest, n,
+         regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(path, '^[^/]*', 0)), '^.*@', ''), ':(80|443)$', ''), '^www[.]', '')
+         || regexp_replace(regexp_extract(path, '^[^/]*(.*)$', 1), '/+$', '') AS address,
+         array_to_string(list_sort(list_filter(string_split(query, '&'), lambda x: x <> ''
+           AND NOT regexp_matches(lower(x), '^(utm_[a-z]+|ref|fbclid|gclid|sessionid|sid)(=|$)'))), '&') AS args
+  FROM parts),
+pages2 AS (SELECT page_id, digest, n, address || CASE WHEN args = '' THEN '' ELSE '?' || args END AS canonical_url FROM urls),
+latest AS (SELECT canonical_url, max(page_id) AS refers_to FROM pages2 GROUP BY canonical_url),
+joined AS (
+  SELECT p.page_id, p.canonical_url, l.refers_to, p.digest, s.n, substr(p.digest, 1, 16) = substr(s.digest, 1, 16) AS same
+  FROM pages2 p LEFT JOIN latest l ON p.canonical_url = l.canonical_url LEFT JOIN pages2 s ON s.page_id = l.refers_to)
+SELECT page_id, canonical_url, refers_to,
+       CASE WHEN refers_to IS NULL THEN 'missing' WHEN same THEN 'resolved' ELSE 'mismatch' END AS status,
+       CASE WHEN same THEN 'cache-control: max-age=600' || chr(10) || 'content-length: ' || n || chr(10) || 'content-type: text/html'
+         || chr(10) || 'date: ' || page_id || chr(10) || 'etag: W/"' || substr(digest, 1, 16) || '"' || chr(10) || 'x-crawl: 1' END AS headers
+FROM joined
+"""
+
+
+@CATALOGUE.add("op10_warc_revisits", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(two_crawls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.select(F.col("record_id").alias("page_id"), "canonical_url", "refers_to", "status", F.array_join(lines, "\n").alias("headers"))
