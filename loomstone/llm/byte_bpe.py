@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from loomstone.llm.common import arrow_map
 
 #: Pre-tokens whose ids a task remembers (when full, it starts anew), and texts encoded in one call.
-REMEMBERED, TOGETHER = 400_000, 64
+REMEMBERED, TOGETHER = 200_000, 64
 #: Wire format of sentencepiece's ModelProto: field numbers and enum values.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 PIECE, SCORE, TYPE, UNKNOWN_TYPE = 1, 2, 3, 2

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: [\x20\x09-\x0D], which is also what bytes.split() without arguments splits at.
 WHITE = b" \t\n\x0b\x0c\r"
+#: Rows that arrow_map works on together.
+ROWS_AT_ONCE = 512
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,13 +67,15 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 def arrow_map(
     df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], schema: str | T.StructType
 ) -> DataFrame:
-    """mapInArrow with a function from a batch to a dict of columns, None for no rows."""
+    """mapInArrow with a function from a batch to a dict of columns, None for no rows.
+
+    Batches are cut, so that a task holds the Python objects of some hundred rows at a time."""
     kind = df.sparkSession.createDataFrame([], schema).schema if isinstance(schema, str) else schema
     target = arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows and (out := f(b)) is not None:
+        for b in (x.slice(i, ROWS_AT_ONCE) for x in batches for i in range(0, x.num_rows, ROWS_AT_ONCE)):
+            if (out := f(b)) is not None:
                 yield pa.RecordBatch.from_arrays(
                     [x if isinstance(x, pa.Array) else pa.array(x, t.type) for x, t in ((out[t.name], t) for t in target)],
                     schema=target,
