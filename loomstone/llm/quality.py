@@ -13,6 +13,7 @@ alone.
 from __future__ import annotations
 
 import operator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -154,6 +155,28 @@ def scored(stats: DataFrame, model: Model) -> DataFrame:
     return arrow_map(stats, each, T.StructType([stats.schema["_id"], T.StructField("score", T.DoubleType())]))
 
 
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_on=None) -> tuple[Model, DataFrame]:
+    """The model of all labelled rows that meet train_on, and the statistics of all rows of docs."""
+    stats = written(measured(docs, id_col, text_col))
+    known = labels.select(F.col(id_col).alias("_of"), F.col(label_col).alias("_y")).filter("_y IN (0, 1)")
+    if train_on is not None:
+        known = known.filter(train_on("_of"))
+    return train(stats.join(known, stats["_id"] == known["_of"]).select("_x", "_y")), stats
+
+
+def keep_good(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, all columns unchanged, whose text scores at least the threshold. Texts are
+    scored where they are read, so nothing is shuffled. Null texts are scored as empty ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                good = model.score(np.array([statistics(t) for t in texts(b, text_col)])) >= threshold
+                yield b.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(
     docs: DataFrame,
     labels: DataFrame,
@@ -174,10 +197,6 @@ def classify(
     an id that is repeated in labels or docs teaches once for each pair. Without training rows every
     score is one half. An empty table gives an empty table.
     """
-    stats = written(measured(docs, id_col, text_col))
-    known = labels.select(F.col(id_col).alias("_of"), F.col(label_col).alias("_y")).filter("_y IN (0, 1)")
-    if train_on is not None:
-        known = known.filter(train_on("_of"))
-    model = train(stats.join(known, stats["_id"] == known["_of"]).select("_x", "_y"))
+    model, stats = learn(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, train_on=train_on)
     out = scored(stats, model)
     return out.select(F.col("_id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

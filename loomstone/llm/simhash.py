@@ -32,6 +32,8 @@ from loomstone.llm.common import LOWER, arrow_map, opaque, texts, written
 from loomstone.llm.components import components
 
 PIVOTS, BLOCKS, HEAVY, SLAB_PIVOTS = 16, 6, 4096, 2
+#: Nodes whose links a task holds before it sends them on.
+MOST_NODES = 1_000_000
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -39,22 +41,48 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(str(i)) for i in range(n)], np.uint64)
 
 
-def fingerprint(text: bytes, words_each: int = 3) -> int:
+def shingles(text: bytes, words_each: int) -> list[bytes]:
+    """All shingles of a text, repeated as they occur."""
     words = text.translate(LOWER).split()
-    if not words:
-        return 0
-    joined, h = b" ".join(words), xxhash.xxh64_intdigest
+    joined = b" ".join(words)
     if len(words) <= words_each:
-        return h(joined, 42)
+        return [joined] if words else []
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
-    starts = ends - sizes
-    hashes = [h(joined[a:b], 42) for a, b in zip(starts[: 1 - words_each].tolist() if words_each > 1 else starts.tolist(), ends[words_each - 1 :].tolist(), strict=True)]
-    n, counts = len(hashes), np.zeros(64, np.int64)
-    for at in range(0, n, 4096):
-        part = np.array(hashes[at : at + 4096], "<u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+    starts = (ends - sizes)[: len(words) - words_each + 1].tolist()
+    return [joined[a:b] for a, b in zip(starts, ends[words_each - 1 :].tolist(), strict=True)]
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """hashes: rows of bytes. The bits, little-endian, that are set in over half of the rows, as bytes."""
+    n, width = hashes.shape
+    counts = np.zeros(width * 8, np.int64)
+    for at in range(0, n, 255 * 64):
+        bits = np.unpackbits(hashes[at : at + 255 * 64], axis=1, bitorder="little")
+        for i in range(0, len(bits), 255):  # sums of 255 rows fit into a byte
+            counts += bits[i : i + 255].sum(0, dtype=np.uint8)
+    return np.packbits(counts * 2 > n, bitorder="little")
+
+
+def fingerprint(text: bytes, words_each: int = 3) -> int:
+    """64 bits by XXH64 with seed 42."""
+    parts = shingles(text, words_each)
+    if not parts:
+        return 0
+    h = xxhash.xxh64_intdigest
+    hashes = np.array([h(x, 42) for x in parts], "<u8")
+    return int(majority(hashes.view(np.uint8).reshape(-1, 8)).view("<u8")[0])
+
+
+def wide_fingerprint(text: bytes, words_each: int) -> tuple[int, int]:
+    """128 bits by XXH3, as two unsigned numbers."""
+    parts = shingles(text, words_each)
+    if not parts:
+        return 0, 0
+    h = xxhash.xxh3_128_digest
+    hashes = np.frombuffer(b"".join([h(x) for x in parts]), np.uint8).reshape(-1, 16)
+    low, high = majority(hashes).view("<u8").tolist()
+    return low, high
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words_each: int = 3) -> DataFrame:
@@ -93,6 +121,49 @@ def _slab_keys(max_bits: int) -> Column:
     return out
 
 
+class Forest:
+    """Union-find over the links of a task; what goes out is one edge for each node at most."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def add(self, a: list[int], b: list[int]) -> None:
+        for x, y in zip(a, b, strict=True):
+            x, y = self.root(x), self.root(y)
+            if x != y:
+                self.parent[max(x, y)] = min(x, y)
+
+    def out(self, schema: pa.Schema) -> pa.RecordBatch:
+        pairs = [(x, self.root(x)) for x in list(self.parent)]
+        pairs = [p for p in pairs if p[0] != p[1]]
+        self.parent.clear()
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], schema=schema)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted rows, cut so that rows with equal values of the first ``keys`` columns come together."""
+    held: list[list[np.ndarray]] = []  # rows of the run that is not known to be over
+    for batch in batches:
+        new = [c.to_numpy() for c in batch.columns]
+        if not len(new[0]):
+            continue
+        other = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in new[:keys]]))
+        last = int(other[-1]) + 1 if len(other) else 0  # where the last run of this batch begins
+        if last or held and any(h[-1] != c[0] for h, c in zip(held[-1][:keys], new[:keys], strict=True)):
+            held.append([x[:last] for x in new])
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = []
+        held.append([x[last:] for x in new])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def _forest(max_bits: int):
     """Rows (_key, _slab, _fp) in that order: links of each bucket, as edges of a forest."""
     target = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -135,46 +206,15 @@ def _forest(max_bits: int):
                 yield i[hit], i[hit] + off
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        def out() -> pa.RecordBatch:
-            pairs = [(x, root(x)) for x in parent]
-            pairs = [p for p in pairs if p[0] != p[1]]
-            parent.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], schema=target)
-
-        def use(k: np.ndarray, s: np.ndarray, f: np.ndarray) -> None:
-            if len(f):
-                number = np.cumsum(np.r_[0, (k[1:] != k[:-1]) | (s[1:] != s[:-1])])
-                for i, j in links(number, f.view(np.uint64)):
-                    for a, b in zip(f[i].tolist(), f[j].tolist(), strict=True):
-                        a, b = root(a), root(b)
-                        if a != b:
-                            parent[max(a, b)] = min(a, b)
-
-        held: list[list[np.ndarray]] = []  # rows of the bucket that is not known to be over
-        for batch in batches:
-            new = [c.to_numpy() for c in batch.columns]
-            if not len(new[0]):
-                continue
-            other = np.flatnonzero((new[0] != new[0][-1]) | (new[1] != new[1][-1]))
-            last = int(other[-1]) + 1 if len(other) else 0  # where the last bucket of this batch begins
-            if last or held and (held[-1][0][-1], held[-1][1][-1]) != (new[0][0], new[1][0]):
-                held.append([x[:last] for x in new])
-                use(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                held = []
-            held.append([x[last:] for x in new])
-            if len(parent) > 1_000_000:
-                yield out()
-        if held:
-            use(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        if parent:
-            yield out()
+        forest = Forest()
+        for k, slab, f in whole_runs(batches, 2):
+            number = np.cumsum(np.r_[0, (k[1:] != k[:-1]) | (slab[1:] != slab[:-1])])
+            for i, j in links(number, f.view(np.uint64)):
+                forest.add(f[i].tolist(), f[j].tolist())
+            if len(forest.parent) > MOST_NODES:
+                yield forest.out(target)
+        if forest.parent:
+            yield forest.out(target)
 
     return run
 
@@ -191,6 +231,100 @@ def links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
     return dealt.repartition(n, "_key", "_slab").sortWithinPartitions("_key", "_slab", "_fp").mapInArrow(_forest(max_bits), "a long, b long")
 
 
+def _hidden(pairs: DataFrame, max_bits: int, n: int, similarity: float) -> DataFrame:
+    """pairs: _node, _low, _high. Edges between nodes that differ in up to max_bits of 128 bits.
+
+    Keys are random choices of bits: about as many bits as n rows need for buckets of a few rows,
+    and as many choices as find 98 in 100 pairs of just that similarity; closer pairs are found more surely."""
+    agree = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    width = max(8, int(np.ceil(np.log2(max(n, 2)))) - 2)
+    bands = int(np.ceil(np.log(0.02) / np.log(1 - agree**width)))
+    rng = np.random.default_rng(2)
+    chosen = [np.sort(rng.choice(128, width, replace=False)) for _ in range(bands)]
+    target = pa.schema([("_key", pa.int64()), ("_node", pa.int64()), ("_low", pa.int64()), ("_high", pa.int64())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = (1 << np.arange(width)).astype(np.int64)
+        for b in batches:
+            cols = [c.to_numpy() for c in b.columns]
+            if not len(cols[0]):
+                continue
+            bits = np.unpackbits(np.stack(cols[1:], axis=1).view(np.uint8).reshape(-1, 16), axis=1, bitorder="little")
+            for i, c in enumerate(chosen):
+                key = bits[:, c] @ powers + (i << 40)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(x) for x in cols)], schema=target)
+
+    links = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def near(low: np.ndarray, high: np.ndarray, i, j) -> np.ndarray:
+        return np.bitwise_count(low[i] ^ low[j]).astype(np.int16) + np.bitwise_count(high[i] ^ high[j]) <= max_bits
+
+    def join(key: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[start, len(key)])
+        for s, count in zip(start[size > 64].tolist(), size[size > 64].tolist(), strict=True):
+            left = np.arange(s, s + count)
+            while len(left) > 1:  # breadth first: each row meets only those that no one has reached yet
+                queue, left = [left[0]], left[1:]
+                while queue and len(left):
+                    x = queue.pop()
+                    hit = near(low, high, x, left)
+                    if hit.any():
+                        yield np.full(int(hit.sum()), node[x]), node[left[hit]]
+                        queue.extend(left[hit].tolist())
+                        left = left[~hit]
+        small = np.repeat((size > 1) & (size <= 64), size)
+        for off in range(1, int(size[(size > 1) & (size <= 64)].max(initial=1))):
+            i = np.flatnonzero(small[:-off] & (key[:-off] == key[off:]))
+            if len(i):
+                i = i[near(low, high, i, i + off)]
+                yield node[i], node[i + off]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for rows in whole_runs(batches, 1):
+            for a, b in join(*rows[:2], rows[2].view(np.uint64), rows[3].view(np.uint64)):
+                forest.add(a.tolist(), b.tolist())
+            if len(forest.parent) > MOST_NODES:
+                yield forest.out(links)
+        if forest.parent:
+            yield forest.out(links)
+
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pairs.mapInArrow(deal, "_key long, _node long, _low long, _high long")
+    return rows.repartition(parts, "_key").sortWithinPartitions("_key", "_node").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Groups of documents whose shingles are about ``similarity`` alike, over any number of steps.
+
+    A Jaccard similarity s of the shingles is a cosine of 2s / (1 + s), and so an expected share of
+    differing bits; pairs link at up to that share of 128 bits and 1.5 standard deviations more. So a pair of
+    just that similarity links with some 93 in 100, a closer pair almost surely, and a pair a tenth
+    less similar sometimes. Returns the id and component_id, as near_groups does, which defines nulls, ties,
+    repeated rows and empty tables; texts with equal fingerprints are one group.
+    """
+    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
+
+    def each(b: pa.RecordBatch) -> dict:
+        pairs = np.array([wide_fingerprint(t, words_each) for t in texts(b, "_t")], np.uint64).reshape(-1, 2).view(np.int64)
+        return {"_id": b.column(0), "_low": pa.array(pairs[:, 0].copy()), "_high": pa.array(pairs[:, 1].copy())}
+
+    kind = T.StructType([src.schema["_id"], T.StructField("_low", T.LongType()), T.StructField("_high", T.LongType())])
+    fps = written(arrow_map(src, each, kind))
+    distinct = fps.groupBy("_low", "_high").agg(F.min("_id").alias("_least"))
+    distinct = written(distinct.select(F.monotonically_increasing_id().alias("_node"), "*"))
+    n = distinct.count()
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    max_bits = round(128 * share + 1.5 * (128 * share * (1 - share)) ** 0.5)
+    label = components(_hidden(distinct.select("_node", "_low", "_high"), max_bits, n, similarity))
+    grouped = written(distinct.join(label, distinct["_node"] == label["node"], "left").select("_low", "_high", "_least", F.coalesce("component", "_node").alias("_group")))
+    least = grouped.groupBy("_group").agg(F.min("_least").alias("component_id")).select(opaque("_group").alias("_g"), "component_id")
+    member = written(grouped.join(least, F.col("_group") == F.col("_g")).select(F.col("_low").alias("_l"), F.col("_high").alias("_h"), "component_id"))
+    out = fps.join(member, (F.col("_low") == F.col("_l")) & (F.col("_high") == F.col("_h")))
+    return out.select(F.col("_id").alias(id_col), "component_id")
+
+
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, max_bits: int = 3) -> DataFrame:
     """SimHash fingerprints and groups of documents linked by them, over any number of steps.
 
@@ -212,10 +346,9 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without those near-duplicates that are not the smallest id of their group.
+def keep_one(docs: DataFrame, groups: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """docs without those that are not the smallest id of their group (groups: id, component_id).
 
     Rows with a null id stay. Of rows that repeat an id, all stay or none."""
-    groups = near_groups(docs, id_col=id_col, **options)
     gone = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
