@@ -1 +1 @@
-
+"""Column functions and numpy kernels. Kernels take and give bytes, and have exact inverses."""
