@@ -1 +1 @@
-
+"""Sources and sinks: directory trees, tables and archives."""
