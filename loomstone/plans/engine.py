@@ -1,5 +1,679 @@
-"""All queries of the engine itself."""
+"""All queries of the engine itself, each over its whole table, with the SQL that states the same."""
 
-from loomstone.plans.catalogue import Catalogue
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomstone.functions import columns as C
+from loomstone.functions import transforms as X
+from loomstone.operators import codec, contexts, crypto, grouping, integrity, profile, sequence
+from loomstone.plans.catalogue import Catalogue, table
+from loomstone.sources import archive, tree
+from loomstone.sources.store import shared_dir, written
+from loomstone.streaming import strides as streaming
 
 CATALOGUE = Catalogue()
+add = CATALOGUE.add
+
+#: Bytes of documents as rows (doc_id, b); hex of a byte to its number.
+_BYTE = "(strpos('0123456789ABCDEF', h[1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2]) - 1"
+_BYTES = f"""
+doc_bytes AS (
+  SELECT doc_id, i - 1 AS pos, {_BYTE} AS b
+  FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS h, unnest(range(1, octet_length(encode(text)) + 1)) AS i FROM documents))
+"""
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+# Profiles
+
+
+@add("byte_histogram", f"WITH {_BYTES} SELECT b::INT AS byte, count(*) AS n FROM doc_bytes GROUP BY b")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return profile.byte_histogram(_docs(spark, d), "text")
+
+
+@add(
+    "merged_histogram",
+    f"""WITH {_BYTES}, page_bytes AS (SELECT {_BYTE} AS b FROM (SELECT unnest(regexp_extract_all(hex(encode(html)), '..')) AS h FROM pages))
+SELECT b::INT AS byte, count(*) AS n FROM (SELECT b FROM doc_bytes UNION ALL SELECT b FROM page_bytes) GROUP BY b""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return profile.merge_histograms(profile.byte_histogram(_docs(spark, d), "text"), profile.byte_histogram(table(spark, d, "pages").select("html"), "html"))
+
+
+_ENTROPY = """
+counts AS (SELECT doc_id, b, count(*) AS c FROM doc_bytes GROUP BY doc_id, b),
+h AS (SELECT doc_id, sum(c) AS n, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e FROM counts GROUP BY doc_id),
+all_docs AS (SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_bytes, coalesce(e, 0) AS entropy FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id)
+"""
+
+
+@add("doc_entropy", f"WITH {_BYTES}, {_ENTROPY} SELECT doc_id, n_bytes, round(entropy, 6) AS entropy FROM all_docs")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return profile.entropies(_docs(spark, d), "text").select("doc_id", "n_bytes", F.round("entropy", 6).alias("entropy"))
+
+
+@add(
+    "order1_entropy",
+    f"""WITH {_BYTES},
+pairs AS (SELECT doc_id, lag(b) OVER (PARTITION BY doc_id ORDER BY pos) AS a, b FROM doc_bytes),
+c2 AS (SELECT doc_id, a, b, count(*) AS c FROM pairs WHERE a IS NOT NULL GROUP BY ALL),
+c1 AS (SELECT doc_id, a, sum(c) AS c FROM c2 GROUP BY ALL),
+h2 AS (SELECT doc_id, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e FROM c2 GROUP BY doc_id),
+h1 AS (SELECT doc_id, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e FROM c1 GROUP BY doc_id)
+SELECT d.doc_id, round(greatest(coalesce(h2.e - h1.e, 0), 0), 6) AS order1_entropy
+FROM documents d LEFT JOIN h2 ON d.doc_id = h2.doc_id LEFT JOIN h1 ON d.doc_id = h1.doc_id""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return profile.entropies(_docs(spark, d), "text").select("doc_id", F.round("order1_entropy", 6).alias("order1_entropy"))
+
+
+@add(
+    "compression_estimate",
+    f"""WITH {_BYTES}, {_ENTROPY}
+SELECT doc_id, round(least(greatest(entropy / 8, 0), 1), 6) AS estimate, entropy > 7.95 AS incompressible FROM all_docs""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return profile.entropies(_docs(spark, d), "text").select("doc_id", F.round("estimate", 6).alias("estimate"), "incompressible")
+
+
+@add(
+    "dominant_byte",
+    f"""WITH {_BYTES}, counts AS (SELECT doc_id, b, count(*) AS c FROM doc_bytes GROUP BY doc_id, b),
+tops AS (SELECT doc_id, arg_max(b, c * 1000 - b) AS b, max(c) AS c, sum(c) AS n FROM counts GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN c > floor(0.40 * n) THEN b END::INT AS dominant_byte FROM documents d LEFT JOIN tops t ON d.doc_id = t.doc_id""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return profile.entropies(_docs(spark, d), "text").select("doc_id", "dominant_byte")
+
+
+@add("integer_entropy")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return profile.entropies(_docs(spark, d), "text").select("doc_id", "integer_entropy")
+
+
+_SIGNATURE = f"""CASE WHEN head IS NULL THEN NULL
+  {' '.join("WHEN " + " AND ".join(f"substr(head, {2 * at - 1}, {len(code)}) = '{code}'" for at, code in parts) + f" THEN '{name}'" for name, parts in C.SIGNATURES)}
+  WHEN regexp_matches(head, '{C.ASCII_HEX}') THEN 'ascii'
+  WHEN NOT regexp_matches(head, '{C.NUL_HEX}') AND regexp_matches(head, '{C.UTF8_HEX}') THEN 'utf8' ELSE 'unknown' END"""
+
+
+@add("page_signature", f"SELECT page_id, {_SIGNATURE} AS signature FROM (SELECT page_id, substr(hex(encode(html)), 1, 512) AS head FROM pages)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", C.signature(F.col("html").cast("binary")).alias("signature"))
+
+
+@add("text_ascii_flag", f"SELECT doc_id, regexp_matches(substr(hex(encode(text)), 1, 512), '{C.ASCII_HEX}') AS is_ascii FROM documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", C.is_ascii(F.col("text").cast("binary")).alias("is_ascii"))
+
+
+@add("x86_programs", "SELECT page_id, FALSE AS program FROM pages")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", C.is_x86_program(F.col("html").cast("binary")).alias("program"))
+
+
+# Texts of any length that begin with a signature are all "ascii" or "utf8" here, so the text rule decides unless entropy is extreme
+_CLASSES = f"""
+sig AS (SELECT doc_id, {_SIGNATURE} AS signature FROM (SELECT doc_id, substr(hex(encode(text)), 1, 512) AS head FROM documents)),
+classes AS (
+  SELECT a.doc_id, n_bytes, entropy, signature,
+    CASE WHEN signature IN ('zip', 'gz', 'bz2', 'xz', 'zstd', 'rar') OR entropy > 7.95 THEN 'incompressible'
+         WHEN signature IN ('wav', 'flac') THEN 'multimedia'
+         WHEN signature IN ('ascii', 'utf8') OR entropy < 4.5 AND signature <> 'unknown' THEN 'text' ELSE 'binary' END AS content_type,
+    CASE WHEN signature IN ('zip', 'gz', 'bz2', 'xz', 'zstd', 'rar') OR entropy > 7.95 THEN 'store_raw'
+         WHEN signature IN ('wav', 'flac') THEN 'multimedia'
+         WHEN signature IN ('ascii', 'utf8') OR entropy < 4.5 AND signature <> 'unknown' THEN 'text' ELSE 'binary' END AS pipeline
+  FROM all_docs a JOIN sig s ON a.doc_id = s.doc_id)
+"""
+
+
+def _classified(spark: SparkSession, d: str) -> DataFrame:
+    return profile.classify(_docs(spark, d), "text")
+
+
+@add("classify_docs", f"WITH {_BYTES}, {_ENTROPY}, {_CLASSES} SELECT doc_id, signature, content_type, pipeline FROM classes")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _classified(spark, d).select("doc_id", "signature", "content_type", "pipeline")
+
+
+@add(
+    "routing_summary",
+    f"""WITH {_BYTES}, {_ENTROPY}, {_CLASSES}
+SELECT content_type, pipeline, count(*) AS n_values, sum(n_bytes)::BIGINT AS n_bytes, round(avg(entropy), 6) AS mean_entropy FROM classes GROUP BY ALL""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return profile.routing_summary(_classified(spark, d))
+
+
+@add(
+    "classification_join",
+    f"""WITH {_BYTES}, {_ENTROPY}, {_CLASSES}
+SELECT d.source || '/' || d.doc_id AS path, coalesce(content_type, 'binary') AS content_type, coalesce(pipeline, 'binary') AS pipeline
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN classes c ON c.doc_id = l.doc_id""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Files with the classification of those that are labelled; the others count as binary."""
+    docs = table(spark, d, "documents")
+    path = F.concat_ws("/", "source", "doc_id").alias("path")
+    labelled = docs.join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select(path, "text")
+    return grouping.with_classification(docs.select(path), profile.classify(labelled, "text")).select("path", "content_type", "pipeline")
+
+
+@add(
+    "best_stride",
+    """WITH bytes AS (
+  SELECT doc_id, i AS pos, (strpos('0123456789ABCDEF', h[1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2]) - 1 AS b
+  FROM (SELECT doc_id, unnest(regexp_extract_all(substr(hex(encode(text)), 1, 512), '..')) AS h,
+               unnest(range(1, least(octet_length(encode(text)), 256) + 1)) AS i FROM documents)),
+pairs AS (SELECT x.doc_id, s AS stride, count(*) AS n, corr(x.b, y.b) AS r
+          FROM range(2, 17) t(s) JOIN bytes x ON TRUE JOIN bytes y ON y.doc_id = x.doc_id AND y.pos = x.pos + s GROUP BY ALL)
+SELECT doc_id, arg_max(stride, round(greatest(r, 0), 5) * 1000000 - stride)::INT AS stride, round(max(r), 5) AS r
+FROM pairs WHERE n > stride AND r IS NOT NULL AND NOT isnan(r) GROUP BY doc_id HAVING max(r) >= 0.2""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Strides 2 to 16 of the first 256 bytes, r from 0.2 on, to five places."""
+    every = profile.strides(_docs(spark, d), "text", prefix=256).withColumn("r", F.round("r", 5))
+    return profile.best_stride(every, ["doc_id"], 0.2)
+
+
+@add(
+    "event_autocorrelation",
+    """SELECT event_type, lag, round(corr(value, CASE lag WHEN 1 THEN l1 WHEN 2 THEN l2 ELSE l7 END), 9) AS r
+FROM (SELECT event_type, value, lag(value, 1) OVER w AS l1, lag(value, 2) OVER w AS l2, lag(value, 7) OVER w AS l7
+      FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)), (VALUES (1), (2), (7)) t(lag) GROUP BY ALL""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = profile.lagged_correlation(table(spark, d, "events"), "value", "event_id", [1, 2, 7], ["event_type"])
+    return rows.withColumn("r", F.round("r", 9))
+
+
+@add(
+    "contextual_cost",
+    f"""WITH {_BYTES}, pairs AS (SELECT lag(b) OVER (PARTITION BY doc_id ORDER BY pos) AS a, b FROM doc_bytes),
+c AS (SELECT (a // 4)::INT AS context, b, count(*) AS c FROM pairs WHERE a IS NOT NULL GROUP BY ALL)
+SELECT context, sum(c)::BIGINT AS n, round(sum(c) * log2(sum(c)) - sum(c * log2(c)), 3) AS cost_bits FROM c GROUP BY context""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    cost = profile.weighted_cost(profile.context_histogram(_docs(spark, d), "text", "msb6"), ["context"])
+    return cost.withColumn("cost_bits", F.round("cost_bits", 3))
+
+
+@add(
+    "password_strength",
+    r"""SELECT c_custkey, CASE WHEN length(p) < 8 THEN 'weak' WHEN length(p) >= 20 THEN 'very_strong'
+  WHEN length(p) >= 12 THEN CASE WHEN v >= 3 THEN 'strong' ELSE 'moderate' END WHEN v >= 3 THEN 'moderate' ELSE 'weak' END AS strength
+FROM (SELECT c_custkey, p, regexp_matches(p, '[A-Z]')::INT + regexp_matches(p, '[a-z]')::INT + regexp_matches(p, '[0-9]')::INT + regexp_matches(p, '[^A-Za-z0-9]')::INT AS v
+      FROM (SELECT c_custkey, substr(c_name || c_mktsegment, 1 + (c_custkey % 12)::INT, 4 + (c_custkey % 20)::INT) AS p FROM customer))""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    p = F.concat("c_name", "c_mktsegment").substr((1 + F.col("c_custkey") % 12).cast("int"), (4 + F.col("c_custkey") % 20).cast("int"))
+    return profile.password_report(c.select("c_custkey", p.alias("p")), F.col("p")).select("c_custkey", "strength")
+
+
+# Sequences
+
+_ORDERED = "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, event_id, (event_id * 31 + user_id * 7) % 256 AS b FROM events"
+
+
+def _event_bytes(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    return table(spark, d, "events").select("user_id", (F.row_number().over(w) - 1).alias("pos"), "event_id", ((F.col("event_id") * 31 + F.col("user_id") * 7) % 256).alias("b"))
+
+
+for _stride in (1, 4):
+
+    @add(f"delta_s{_stride}", f"SELECT event_id, ((b - coalesce(lag(b, {_stride}) OVER (PARTITION BY user_id ORDER BY pos), 0)) % 256 + 256) % 256 AS d FROM ({_ORDERED})")
+    def _(spark: SparkSession, d: str, s: int = _stride) -> DataFrame:
+        return sequence.delta(_event_bytes(spark, d), "user_id", "pos", "b", s).select("event_id", "d")
+
+
+@add("undelta", f"SELECT event_id, b AS v FROM ({_ORDERED})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Deltas of stride 4 and back; the bytes themselves are dropped in between."""
+    coded = sequence.delta(_event_bytes(spark, d), "user_id", "pos", "b", 4).select("user_id", "pos", "event_id", "d")
+    return sequence.undelta(coded, "user_id", "pos", "d", 4).select("event_id", "v")
+
+
+@add(
+    "transpose_s4",
+    f"SELECT event_id, CASE WHEN n <= 4 THEN pos ELSE row_number() OVER (PARTITION BY user_id ORDER BY pos % 4, pos) - 1 END::INT AS out_pos FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM ({_ORDERED}))",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return sequence.transpose(_event_bytes(spark, d), "user_id", "pos", 4).select("event_id", "out_pos")
+
+
+@add("plane_delta", f"SELECT event_id, CASE WHEN p IS NULL THEN b ELSE ((b - p) % 256 + 256) % 256 END AS d FROM (SELECT event_id, b, lag(b) OVER (PARTITION BY user_id, pos % 4 ORDER BY pos) AS p FROM ({_ORDERED}))")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return sequence.plane_delta(_event_bytes(spark, d), "user_id", "pos", "b", 4).select("event_id", "d")
+
+
+@add("transitions", "SELECT before, after, count(*) AS n FROM (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before, event_type AS after FROM events) WHERE before IS NOT NULL GROUP BY ALL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return sequence.transitions(table(spark, d, "events"), "user_id", "event_id", "event_type")
+
+
+@add(
+    "stride_runs",
+    """WITH c AS (SELECT user_id, event_id, event_type, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+g AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM c)
+SELECT user_id, run::BIGINT AS run, event_type AS value, min(event_id) AS start, max(event_id) AS stop, count(*) AS n FROM g GROUP BY ALL""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return sequence.runs(table(spark, d, "events"), "user_id", "event_id", "event_type")
+
+
+_ITEM_RUNS = """WITH s AS (SELECT user_id AS stream, event_id AS pos, CASE event_type WHEN 'click' THEN 4 WHEN 'view' THEN 2 ELSE 0 END AS stride FROM events),
+c AS (SELECT *, CASE WHEN stride IS DISTINCT FROM lag(stride) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS c, lag(stride) OVER w AS b FROM s WINDOW w AS (PARTITION BY stream ORDER BY pos))"""
+
+
+def _item_strides(spark: SparkSession, d: str) -> DataFrame:
+    stride = F.when(F.col("event_type") == "click", 4).when(F.col("event_type") == "view", 2).otherwise(0)
+    return table(spark, d, "events").select(F.col("user_id").alias("stream"), F.col("event_id").alias("pos"), stride.alias("stride"))
+
+
+@add(
+    "boundary_hints",
+    f"""{_ITEM_RUNS}
+SELECT stream, pos AS byte_offset, CASE WHEN b > 0 THEN 'multimedia' ELSE 'binary' END AS content_before, CASE WHEN stride > 0 THEN 'multimedia' ELSE 'binary' END AS content_after,
+       nullif(b, 0) AS stride_before, nullif(stride, 0) AS stride_after FROM c WHERE c = 1 AND b IS NOT NULL""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return sequence.boundary_hints(sequence.runs(_item_strides(spark, d), "stream", "pos", "stride"), "stream")
+
+
+@add("end_report", f"{_ITEM_RUNS} SELECT stream, CASE WHEN sum(c) = 1 THEN 'uniform' ELSE 'varied' END AS verdict, sum(c)::BIGINT AS n_ranges FROM c GROUP BY stream")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return sequence.end_report(_item_strides(spark, d), "stream", "pos", "stride")
+
+
+@add(
+    "distance_slots",
+    """SELECT l_orderkey, l_linenumber, slot::INT AS slot, (l_partkey - base)::BIGINT AS extra_value, CASE WHEN slot < 4 THEN 0 ELSE (slot - 2) // 2 END::INT AS extra_bits FROM (
+  SELECT *, CASE WHEN slot < 4 THEN slot + 1 ELSE (1::BIGINT << (slot // 2)::INT) + CASE WHEN slot % 2 = 1 THEN 1::BIGINT << (slot // 2 - 1)::INT ELSE 0 END + 1 END AS base FROM (
+    SELECT *, CASE WHEN l_partkey <= 4 THEN l_partkey - 1 ELSE 2 * t + ((l_partkey - 1) >> (t - 1)::INT) % 2 END AS slot
+    FROM (SELECT l_orderkey, l_linenumber, l_partkey, floor(log2(greatest(l_partkey - 1, 1)) + 1e-12)::BIGINT AS t FROM lineitem)))""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", C.distance_slot(F.col("l_partkey")).alias("s")).select("l_orderkey", "l_linenumber", "s.*")
+
+
+# Files, blocks, chunks, volumes
+
+_FILES = "SELECT source || '/' || doc_id AS path, octet_length(encode(text)) AS size, text FROM documents"
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return tree.table_as_files(docs, F.concat_ws("/", "source", "doc_id"), F.col("text"))
+
+
+@add("table_source", f"SELECT path, size, sha256(text) AS sha256 FROM ({_FILES})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return integrity.checksums(_files(spark, d), "content").select("path", "size", "sha256")
+
+
+@add("buffer_source", "SELECT 'buffer' AS path, octet_length(encode(t)) AS size, sha256(t) AS sha256 FROM (SELECT r_name AS t FROM region WHERE r_regionkey = 0)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    name = table(spark, d, "region").filter("r_regionkey = 0").first().r_name
+    return integrity.checksums(tree.buffer_as_file(spark, name.encode()), "content").select("path", "size", "sha256")
+
+
+@add("single_file_scan")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return tree.read_files(spark, f"{d}/region.parquet").select("path", "entry_type", "size", F.sha2("content", 256).alias("sha256"))
+
+
+@add("tree_scan")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return tree.scan_tree(spark, d).select("path", "entry_type", "size", "target", "permissions")
+
+
+@add(
+    "similarity_sort",
+    f"""SELECT path, row_number() OVER (PARTITION BY block_type ORDER BY ext NULLS FIRST, path)::INT AS similarity FROM (
+  SELECT lang || '/' || source || '.' || doc_id AS path, CASE WHEN doc_id % 3 = 0 THEN 'text' ELSE 'binary' END AS block_type, doc_id::VARCHAR AS ext FROM documents)""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    kind = F.when(F.col("doc_id") % 3 == 0, "text").otherwise("binary")
+    return grouping.similarity_rank(docs.select(F.concat(F.concat_ws("/", "lang", "source"), F.lit("."), F.col("doc_id")).alias("path"), kind.alias("block_type"))).select("path", "similarity")
+
+
+@add(
+    "pack_offsets",
+    f"""SELECT path, size, (sum(size) OVER (PARTITION BY block_id ORDER BY size, path ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS block_offset
+FROM (SELECT source || '/' || doc_id AS path, octet_length(encode(text)) AS size, doc_id % 7 AS block_id FROM documents)""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    files = _files(spark, d).select("path", "size", (F.element_at(F.split("path", "/"), -1).cast("long") % 7).alias("block_id"))
+    return grouping.block_offsets(files).select("path", "size", "block_offset")
+
+
+def _packed(spark: SparkSession, d: str, capacity: int) -> DataFrame:
+    c = profile.classify(_files(spark, d).select("path", "size", "content"), "content").select("path", "size", "block_type")
+    return grouping.block_ids(grouping.pack_blocks(c, capacity))
+
+
+@add("first_fit_blocks")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d, 64 << 10).select("path", "size", "block_type", "block_id")
+
+
+@add("packed_totals", f"SELECT count(*) AS n_files, sum(size)::BIGINT AS n_bytes, 0::BIGINT AS n_over FROM ({_FILES})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """All rows in are rows out; a block over its capacity holds one file only."""
+    totals = grouping.block_totals(_packed(spark, d, 64 << 10), 64 << 10)
+    return totals.agg(F.sum("n_files").alias("n_files"), F.sum("n_bytes").alias("n_bytes"), F.count_if((F.col("n_bytes") > 64 << 10) & (F.col("n_files") > 1)).alias("n_over"))
+
+
+@add("group_union", "SELECT block_type, rank::INT AS rank FROM (VALUES ('text', 1), ('multimedia', 2), ('binary', 3), ('raw', 4), ('mixed', 5)) t(block_type, rank)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    kinds = spark.createDataFrame([(k,) for k in C.BLOCK_ORDER], "block_type string")
+    return kinds.select("block_type", C.block_rank(F.col("block_type")).cast("int").alias("rank"))
+
+
+@add("context_allowed", "SELECT b AS block_type, f AS media_filter, b IN ('text', 'binary', 'mixed') AND f IN ('none', 'bcj_x86') AS allowed FROM (VALUES ('text'), ('multimedia'), ('binary'), ('raw'), ('mixed')) x(b), (VALUES ('none'), ('audio_delta'), ('float_split'), ('float_channel_split'), ('rgb_split'), ('rgba_delta'), ('bcj_x86')) y(f)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    pairs = spark.createDataFrame([(k, f) for k in C.BLOCK_ORDER for f in sorted(X.FILTERS)], "block_type string, media_filter string")
+    return pairs.withColumn("allowed", C.context_allowed(F.col("block_type"), F.col("media_filter")))
+
+
+@add(
+    "chunk_docs",
+    """SELECT doc_id, k::INT AS chunk_no, sha256(substr(text, 1 + k * 1000, 1000)) AS sha256 FROM (
+  SELECT doc_id, text, unnest(range(0, greatest((length(text) + 999) // 1000, 1))) AS k FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '?', 'g') AS text FROM documents))""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of 1,000 bytes of the texts with all but printable ASCII replaced, so that bytes are characters."""
+    docs = _docs(spark, d).withColumn("text", F.regexp_replace("text", "[^ -~]", "?"))
+    return grouping.chunks_of(docs, "text", 1000).select("doc_id", "chunk_no", F.sha2("chunk", 256).alias("sha256"))
+
+
+@add(
+    "range_join_chunk_file",
+    f"""WITH f AS (SELECT path, size, doc_id % 7 AS block_id, sum(size) OVER (PARTITION BY doc_id % 7 ORDER BY size, path ROWS UNBOUNDED PRECEDING) - size AS o
+  FROM (SELECT source || '/' || doc_id AS path, octet_length(encode(text)) AS size, doc_id FROM documents)),
+b AS (SELECT block_id, sum(size) AS n FROM f GROUP BY block_id),
+c AS (SELECT block_id, unnest(range(0, greatest((n + 4095) // 4096, 1)::BIGINT)) AS k FROM b)
+SELECT c.block_id, c.k::INT AS chunk_no, f.path FROM c LEFT JOIN f ON f.block_id = c.block_id AND f.o <= c.k * 4096 AND c.k * 4096 < f.o + f.size""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    files = _files(spark, d).select("path", "size", (F.element_at(F.split("path", "/"), -1).cast("long") % 7).alias("block_id"))
+    placed = grouping.block_offsets(files)
+    sizes = placed.groupBy("block_id").agg(F.sum("size").alias("n"))
+    return grouping.chunk_files(grouping.chunk_ranges(sizes, "n", 4096), placed).select("block_id", "chunk_no", "path")
+
+
+@add("volume_packing")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    sizes = _packed(spark, d, 64 << 10).groupBy("block_id").agg(F.sum("size").alias("size"))
+    return grouping.volumes(sizes, 256 << 10).select("block_id", "size", "volume_id", "volume_offset", "oversize")
+
+
+_ORDER_VOLUMES = "SELECT o_orderkey AS block_id, (o_custkey % 9 + 1)::INT AS volume_id FROM orders"
+
+
+@add("missing_volume_anti", f"SELECT block_id, volume_id FROM ({_ORDER_VOLUMES}) WHERE volume_id IN (2, 5)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    index = table(spark, d, "orders").select(F.col("o_orderkey").alias("block_id"), (F.col("o_custkey") % 9 + 1).cast("int").alias("volume_id"))
+    present = spark.createDataFrame([(v,) for v in range(1, 10) if v not in (2, 5)], "volume_id int")
+    return grouping.missing_volumes(index, present).select("block_id", "volume_id")
+
+
+@add("block_volume_join", f"SELECT v.volume_id, count(*) AS n_blocks FROM ({_ORDER_VOLUMES}) v JOIN orders o ON o.o_orderkey = v.block_id GROUP BY v.volume_id")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    index = table(spark, d, "orders").select(F.col("o_orderkey").alias("block_id"), (F.col("o_custkey") % 9 + 1).cast("int").alias("volume_id"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("block_id")).join(index, "block_id").groupBy("volume_id").agg(F.count(F.lit(1)).alias("n_blocks"))
+
+
+@add("metadata_volume", "SELECT s_nationkey::VARCHAR AS archive_id, CASE WHEN bool_or(v = 1) THEN 1 ELSE max(v) END::INT AS volume_id FROM (SELECT s_nationkey, (s_suppkey % 4 + 1)::INT AS v FROM supplier) GROUP BY s_nationkey")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("archive_id"), (F.col("s_suppkey") % 4 + 1).cast("int").alias("volume_id"))
+    return grouping.metadata_volume(s)
+
+
+# Integrity
+
+
+@add("sha256_docs", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return integrity.checksums(_docs(spark, d), "text").select("doc_id", "sha256")
+
+
+@add("crc32_docs")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return integrity.checksums(_docs(spark, d), "text").select("doc_id", "crc32")
+
+
+@add("hex_docs", "SELECT doc_id, lower(hex(encode(lang))) AS code FROM documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.lower(F.hex(F.col("lang").cast("binary"))).alias("code"))
+
+
+@add("verify_status", "SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'crc_mismatch' WHEN doc_id % 10 = 4 THEN 'not_found' ELSE 'ok' END AS status FROM documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Stored checksums of which one in ten is of a changed text and one in ten is lost."""
+    docs = _docs(spark, d)
+    changed = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    stored = integrity.checksums(changed, "text").filter("doc_id % 10 <> 4").select("doc_id", "crc32", "sha256")
+    return integrity.verify(docs, "doc_id", "text", stored)
+
+
+# Round trips: the decoder sees the encoded columns only
+
+
+def _digest(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    return df.select(key, F.sha2("value", 256).alias("sha256"))
+
+
+def _round_trip(name: str, stack: X.Stack, source: str = "documents", key: str = "doc_id", value: str = "text") -> None:
+    @add(name, f"SELECT {key}, sha256({value}) AS sha256 FROM {source}")
+    def _(spark: SparkSession, d: str) -> DataFrame:
+        coded = codec.apply_transform(table(spark, d, source).select(key, value), value, stack)
+        return _digest(codec.undo_transform(coded.select(key, "coded", "transform")), key)
+
+
+_round_trip("rt_transpose", X.Stack(stride=4))
+_round_trip("rt_bwt", X.Stack(bwt=True))
+_round_trip("rt_float_split", X.Stack(filter="float_split"))
+_round_trip("rt_float_channels", X.Stack(filter="float_channel_split", channels=3))
+_round_trip("rt_audio", X.Stack(filter="audio_delta", channels=2, bit_depth=16))
+_round_trip("rt_rgb", X.Stack(filter="rgb_split"))
+_round_trip("rt_rgba", X.Stack(filter="rgba_delta"))
+_round_trip("rt_bcj", X.Stack(filter="bcj_x86"), "pages", "page_id", "html")
+_round_trip("rt_stack", X.Stack(stride=3, bwt=True, filter="bcj_x86"), "pages", "page_id", "html")
+
+for _level in ("fast", "balanced"):
+
+    @add(f"rt_lz77_{_level}", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
+    def _(spark: SparkSession, d: str, level: str = _level) -> DataFrame:
+        return _digest(codec.decode(codec.encode(_docs(spark, d), "text", level)))
+
+
+@add("rt_lz77_optimal", "SELECT item_id, sha256(text) AS sha256 FROM benchmark")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The optimal parse and the choice of BWT."""
+    rows = table(spark, d, "benchmark").select("item_id", "text", F.lit("text").alias("kind"))
+    return _digest(codec.decode(codec.encode(rows, "text", "maximum", "kind")), "item_id")
+
+
+@add("rt_rans", "SELECT conv_id, turn, sha256(text) AS sha256 FROM conversations")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    from loomstone.plans.kernels import rans_decode, rans_encode
+
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return rans_decode(rans_encode(rows, "text")).select("conv_id", "turn", F.sha2("value", 256).alias("sha256"))
+
+
+@add("rt_ppm", "SELECT item_id, sha256(text) AS sha256 FROM benchmark")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _digest(contexts.ppm_decode(contexts.ppm_encode(table(spark, d, "benchmark").select("item_id", "text"), "text")), "item_id")
+
+
+@add("rt_context_literals", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _digest(contexts.decode(contexts.encode(_docs(spark, d), "text")))
+
+
+@add("rt_aes", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    kdf = crypto.Kdf("000102030405060708090a0b0c0d0e0f", n=1 << 12)
+    key = kdf.key("a password for the test")
+    plain = _docs(spark, d).select("doc_id", F.col("text").cast("binary").alias("value"))
+    sealed = written(crypto.encrypt(plain, "value", key, kdf.salt, ["doc_id"]))
+    return _digest(crypto.decrypt(sealed, "value", key, ["doc_id"]))
+
+
+@add("rt_numeric_planes", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Doubles as bytes, delta and planes of stride 8, and back."""
+    from loomstone.plans.kernels import doubles_round_trip
+
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return doubles_round_trip(rows, "l_quantity", ["l_orderkey", "l_linenumber"])
+
+
+# Codec reports
+
+
+@add("freq_norm")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    from loomstone.plans.kernels import frequency_report
+
+    return frequency_report(_docs(spark, d), "text")
+
+
+@add("freq_norm_sums", "SELECT doc_id, 4096 AS total FROM documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    from loomstone.plans.kernels import frequency_report
+
+    return frequency_report(_docs(spark, d), "text").select("doc_id", "total")
+
+
+@add("price_model")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return codec.token_summary(_docs(spark, d), "text", "fast")
+
+
+@add("token_coverage", "SELECT doc_id, octet_length(encode(text)) AS covered FROM documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Literals and bytes in matches make up the text."""
+    t = codec.token_summary(_docs(spark, d), "text", "fast")
+    return t.select("doc_id", (F.col("covered") + F.col("n_literals")).alias("covered"))
+
+
+@add("stream_diagnostics")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return codec.stream_diagnostics(table(spark, d, "pages").select("html"), "html", "fast")
+
+
+@add("codec_choice")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    coded = codec.encode(_classified_values(spark, d), "text", "fast", "block_type")
+    return coded.groupBy("codec", F.col("transform.filter").alias("filter")).agg(F.count(F.lit(1)).alias("n"), F.sum("raw_size").alias("raw_size"), F.sum(F.length("payload")).alias("coded_size"))
+
+
+def _classified_values(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    kinds = profile.classify(docs, "text").select(F.col("doc_id").alias("_k"), "block_type")
+    return docs.join(kinds, F.col("doc_id") == F.col("_k")).drop("_k")
+
+
+@add("raw_bypass", "SELECT count(*) AS n, 0::BIGINT AS differing FROM documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Values of raw blocks are stored as they are."""
+    docs = _docs(spark, d).withColumn("kind", F.lit("raw"))
+    coded = codec.encode(docs, "text", "fast", "kind")
+    both = coded.select("doc_id", "codec", F.sha2("payload", 256).alias("a")).join(_docs(spark, d).select("doc_id", F.sha2("text", 256).alias("b")), "doc_id")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("codec") != "raw") | (F.col("a") != F.col("b"))).alias("differing"))
+
+
+@add("bcj_guard")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    from loomstone.plans.kernels import bcj_report
+
+    return bcj_report(table(spark, d, "pages").select("page_id", "html"), "html")
+
+
+@add("context_decision")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return contexts.decide(table(spark, d, "benchmark").select("item_id", "text"), "text").select("item_id", "mode", "tables", F.round("single_bits", 3).alias("single_bits"))
+
+
+@add("mixing_report")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return contexts.mixing_report(table(spark, d, "benchmark").select("item_id", "text"), "text").select("item_id", *(F.round(c, 3).alias(c) for c in ("mixed_bits", "ppm_bits", "ppm_weight", "secondary_weight")))
+
+
+# Archives
+
+
+def _archive(spark: SparkSession, d: str, **options) -> archive.Reader:
+    import uuid
+
+    path = f"{shared_dir(spark).rstrip('/')}/loomstone/{uuid.uuid4().hex}"
+    archive.write_archive(_files(spark, d), path, archive.Options(level="fast", **options))
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return archive.Reader(spark, path, options.get("password"))
+
+
+@add("rt_container", f"SELECT path, sha256(text) AS sha256, 'ok' AS status FROM ({_FILES})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _archive(spark, d, chunk_size=64 << 10).read().select("path", F.sha2("content", 256).alias("sha256"), "status")
+
+
+@add("rt_container_encrypted", f"SELECT path, sha256(text) AS sha256, 'ok' AS status FROM ({_FILES})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    got = _archive(spark, d, chunk_size=64 << 10, block_size=1 << 20, volume_size=256 << 10, password="a password for the test").read()
+    return got.select("path", F.sha2("content", 256).alias("sha256"), "status")
+
+
+@add("index_totals", f"SELECT count(*) AS n_files, sum(size)::BIGINT AS original_size FROM ({_FILES})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _archive(spark, d).info().select("n_files", "original_size")
+
+
+@add("list_paths", f"SELECT path FROM ({_FILES})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _archive(spark, d).list_files()
+
+
+@add("path_lookup", f"SELECT path, size FROM ({_FILES}) WHERE path = (SELECT source || '/' || doc_id FROM documents WHERE doc_id = 0)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    source = table(spark, d, "documents").filter("doc_id = 0").first().source
+    return _archive(spark, d).find(f"{source}/0").select("path", "size")
+
+
+@add("archive_verify", "SELECT 'ok' AS status, count(*) AS n FROM documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _archive(spark, d, chunk_size=64 << 10).verify()
+
+
+# Streams
+
+_DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@add("stream_stride_history")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = streaming.fragments_of(spark, d, "documents", "source", "text", _DOCS, stream=False)
+    return streaming.stride_history_batch(rows)
+
+
+@add("rt_stream_delta", "SELECT doc_id::VARCHAR AS stream_id, sha256(text) AS sha256 FROM documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Deltas of a stream, stored, and a second stream that undoes them."""
+    first = streaming.run_to_table(streaming.stream_delta(streaming.fragments_of(spark, d, "documents", "doc_id", "text", _DOCS, stream=True), 4), spark)
+    again = spark.readStream.schema(first.schema).parquet(first.inputFiles()[0].rsplit("/", 1)[0])
+    back = streaming.run_to_table(streaming.stream_delta(again, 4, back=True), spark)
+    return back.select("stream_id", F.sha2("data", 256).alias("sha256"))
