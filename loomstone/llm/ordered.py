@@ -29,7 +29,7 @@ def run_starts(ids: DataFrame, rows_each: int) -> list[int]:
         lo, hi = todo.pop()
         width = (hi - lo) // CELLS + 1
         within = ids.filter(F.col(col).between(lo, hi))
-        found = within.groupBy(F.expr(f"div({col} - {lo}L, {width}L)").alias("c")).agg(F.min(col).alias("a"), F.max(col).alias("b"), F.count(F.lit(1)).alias("n"))
+        found = within.groupBy(F.expr(f"div(cast({col} AS decimal(20,0)) - cast('{lo}' AS decimal(20,0)), cast('{width}' AS decimal(20,0)))").alias("c")).agg(F.min(col).alias("a"), F.max(col).alias("b"), F.count(F.lit(1)).alias("n"))
         for r in found.collect():  # CELLS rows at most
             if r.n > 4 * rows_each and r.a < r.b:
                 todo.append((r.a, r.b))
