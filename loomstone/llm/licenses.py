@@ -134,8 +134,8 @@ def document_frequencies(docs: DataFrame, text_col: str, templates) -> tuple[dic
 
 
 def directory(path: Column) -> Column:
-    """The directory of a path; the root is the empty string."""
-    return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
+    """The directory of a path; the root is the empty string. Null for null."""
+    return F.when(path.isNull(), F.lit(None).cast("string")).when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
 
 
 def scan_licenses(
@@ -150,8 +150,8 @@ def scan_licenses(
 ) -> DataFrame:
     """The license of every file.
 
-    Returns the id, path, license (null: none known), score (largest cosine to a template in the text
-    itself), origin ("file", "header", "inherited" or "none") and license_path (the licence file that a
+    Returns the id, path, license (null: none known), score (the largest cosine to a template: of the whole
+    text for a licence file, else of the text or one of its parts), origin ("file", "header", "inherited" or "none") and license_path (the licence file that a
     license is inherited from), one row for each row of files. Of several licence files in a directory the
     closest to a template counts, of these the first by path. A null text counts as empty, a null path
     neither inherits nor passes on; repeated rows are scanned like others. Other columns are
