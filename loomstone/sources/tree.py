@@ -89,7 +89,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file://{root}")
     inside = F.regexp_replace("path", "^file:/+", "/")
     found = found.select(F.substring(inside, len(root) + 2, 1 << 20).alias("_p"), "content")
-    return tree.join(found, F.col("path") == F.col("_p"), "left").drop("_p")
+    out = tree.join(found, F.col("path") == F.col("_p"), "left").drop("_p")
+    return out.withColumn("content", F.when(F.col("entry_type") == "file", F.col("content")))
 
 
 def table_as_files(df: DataFrame, path: Column, value: Column) -> DataFrame:
