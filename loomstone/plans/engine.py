@@ -360,7 +360,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 def _packed(spark: SparkSession, d: str, capacity: int) -> DataFrame:
     c = profile.classify(_files(spark, d).select("path", "size", "content"), "content").select("path", "size", "block_type")
-    return grouping.block_ids(grouping.pack_blocks(c, capacity))
+    return grouping.block_ids(grouping.pack_blocks(written(c), capacity))
 
 
 @add("first_fit_blocks")

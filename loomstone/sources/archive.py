@@ -104,6 +104,7 @@ def write_archive(files: DataFrame, path: str, options: Options | None = None) -
     summed = integrity.checksums(plain, "content")
     kinds = profile.classify(plain.select("path", "content"), "content").select("path", "content_type", "pipeline", "block_type")
     placed = summed.drop("content").join(kinds.withColumnRenamed("path", "_k"), F.col("path") == F.col("_k")).drop("_k")
+    placed = written(placed)  # metadata only: texts are read and profiled once
     placed = grouping.block_offsets(grouping.block_ids(grouping.pack_blocks(placed, options.block_size)))
     rest = entries.filter("entry_type <> 'file'").drop("content")
     index = written(placed.unionByName(rest, allowMissingColumns=True))
