@@ -20,7 +20,10 @@ def as_binary(df: DataFrame, value_col: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, where it comes in fewer partitions: for kernels that cost far more than a shuffle."""
+    """df over all cores, where it is a plain scan of fewer partitions: for kernels that cost far more than
+    a shuffle. Behind an exchange the partitions are left as they are (counting them would run it)."""
+    if "Exchange" in df._jdf.queryExecution().sparkPlan().toString() or df._jdf.queryExecution().executedPlan().toString().startswith("AdaptiveSparkPlan"):
+        return df
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 

@@ -70,27 +70,39 @@ def integer_entropy(data: bytes) -> int:
     return max(0, log2_fixed8(len(data)) - sum(c * log2_fixed8(c) for c in counts) // len(data))
 
 
-def autocorrelation(data: bytes, stride: int) -> float:
-    """Pearson's r of x[i] and x[i + stride] as float32; 0 for up to 2 strides of data.
+def autocorrelations(data: bytes, strides: range | list[int]) -> list[float]:
+    """Pearson's r of x[i] and x[i + stride] as float32 for each stride; 0 for up to 2 strides of data.
 
-    Without variance: 1 if all values are equal, else 0. Negative values count as 0."""
-    n = len(data)
-    if stride <= 0 or n <= 2 * stride:
-        return 0.0
+    Without variance: 1 if all values are equal, else 0. Negative values count as 0. Sums are exact integers."""
     x = np.frombuffer(data, np.uint8).astype(np.float64)
-    a, b = x[:-stride], x[stride:]
-    a, b = a - a.mean(), b - b.mean()
-    va, vb = float((a * a).sum()), float((b * b).sum())
-    if va == 0 or vb == 0:
-        return 1.0 if (x == x[0]).all() else 0.0
-    return float(np.float32(max(0.0, float((a * b).sum()) / math.sqrt(va * vb))))
+    size, out = len(x), []
+    total = np.concatenate([[0.0], np.cumsum(x)])
+    squares = np.concatenate([[0.0], np.cumsum(x * x)])
+    for s in strides:
+        if s <= 0 or size <= 2 * s:
+            out.append(0.0)
+            continue
+        n = size - s
+        sa, sb = int(total[n]), int(total[size] - total[s])
+        va = n * int(squares[n]) - sa * sa
+        vb = n * int(squares[size] - squares[s]) - sb * sb
+        if va == 0 or vb == 0:
+            out.append(1.0 if size * int(squares[size]) == int(total[size]) ** 2 else 0.0)
+            continue
+        r = (n * int(x[:n] @ x[s:]) - sa * sb) / math.sqrt(va) / math.sqrt(vb)
+        out.append(float(np.float32(max(0.0, r))))
+    return out
+
+
+def autocorrelation(data: bytes, stride: int) -> float:
+    return autocorrelations(data, [stride])[0]
 
 
 def best_stride(data: bytes, least: float, at_least: int) -> tuple[int | None, float]:
     """(stride, r): the stride of 2 to 16 with the largest r, of equal ones the smallest, if r >= least."""
     if len(data) < at_least:
         return None, 0.0
-    r, negative = max((autocorrelation(data, s), -s) for s in STRIDES)
+    r, negative = max(zip(autocorrelations(data, STRIDES), (-s for s in STRIDES), strict=True))
     return (-negative, r) if r >= least else (None, r)
 
 

@@ -164,7 +164,7 @@ def apply_transform(df: DataFrame, value_col: str, stack: X.Stack, out: str = "c
         pairs = [(None, None) if v is None else X.apply_stack(v, stack) for v in cols[value_col]]
         return {out: [p[0] for p in pairs], "transform": [p[1] and p[1].as_row() for p in pairs]}
 
-    return add_columns(as_binary(df, value_col), f"{out} binary, {FIELDS.split(', ', 2)[2].rsplit(', ', 1)[0]}", f, [value_col], drop=(value_col,))
+    return add_columns(as_binary(spread(df), value_col), f"{out} binary, {FIELDS.split(', ', 2)[2].rsplit(', ', 1)[0]}", f, [value_col], drop=(value_col,))
 
 
 def undo_transform(df: DataFrame, coded: str = "coded", out: str = "value") -> DataFrame:

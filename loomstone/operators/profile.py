@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import columns as C
 from loomstone.functions import numeric as N
-from loomstone.functions.arrow import add_columns, as_binary
+from loomstone.functions.arrow import add_columns, as_binary, spread
 
 
 def byte_histogram(df: DataFrame, value_col: str) -> DataFrame:
@@ -26,7 +26,7 @@ def byte_histogram(df: DataFrame, value_col: str) -> DataFrame:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"byte": pa.array(seen, pa.int32()), "n": pa.array(total[seen], pa.int64())})
 
-    return as_binary(df.select(value_col), value_col).mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n"))
+    return as_binary(spread(df.select(value_col)), value_col).mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n"))
 
 
 def merge_histograms(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def context_histogram(df: DataFrame, value_col: str, mode: str = "full") -> Data
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"context": pa.array(seen >> 8, pa.int32()), "byte": pa.array(seen & 255, pa.int32()), "n": pa.array(total[seen], pa.int64())})
 
-    rows = as_binary(df.select(value_col), value_col).mapInArrow(run, "context int, byte int, n long")
+    rows = as_binary(spread(df.select(value_col)), value_col).mapInArrow(run, "context int, byte int, n long")
     return rows.groupBy("context", "byte").agg(F.sum("n").alias("n"))
 
 
@@ -69,7 +69,7 @@ def entropies(df: DataFrame, value_col: str) -> DataFrame:
         return {"n_bytes": each(len), "entropy": each(N.entropy), "order1_entropy": each(N.order1_entropy), "integer_entropy": each(N.integer_entropy), "dominant_byte": each(N.dominant_byte)}
 
     fields = "n_bytes long, entropy double, order1_entropy double, integer_entropy long, dominant_byte int"
-    out = add_columns(as_binary(df, value_col), fields, f, [value_col], drop=(value_col,))
+    out = add_columns(as_binary(spread(df), value_col), fields, f, [value_col], drop=(value_col,))
     return out.withColumns({"incompressible": C.incompressible(F.col("entropy")), "estimate": C.compression_estimate(F.col("entropy"))})
 
 
@@ -77,7 +77,7 @@ def profile(df: DataFrame, value_col: str, sample: int = 4096) -> DataFrame:
     """df with n_bytes, signature, program, entropy and stride instead of the value.
 
     Values of 64,536 bytes and more are judged by their first ``sample`` bytes, which are cut off before they go to Python."""
-    df = as_binary(df, value_col)
+    df = as_binary(spread(df), value_col)
     value = F.col(value_col)
     seen = F.when(F.length(value) < 64_536, value).otherwise(F.substring(value, 1, sample))
     flat = df.withColumns({"n_bytes": F.length(value).cast("long"), "signature": C.signature(seen), "program": C.is_x86_program(value), value_col: seen})
@@ -107,8 +107,8 @@ def routing_summary(classified: DataFrame) -> DataFrame:
 
 def strides(df: DataFrame, value_col: str, prefix: int = 4096, most: int = 16) -> DataFrame:
     """One row for each row of df and stride from 1: its columns without the value, stride, r."""
-    cut = as_binary(df, value_col).withColumn(value_col, F.substring(F.col(value_col).cast("binary"), 1, prefix))
-    rs = add_columns(cut, "_r array<double>", lambda c: {"_r": [None if v is None else [N.autocorrelation(v, s) for s in range(1, most + 1)] for v in c[value_col]]}, [value_col], drop=(value_col,))
+    cut = as_binary(spread(df), value_col).withColumn(value_col, F.substring(F.col(value_col).cast("binary"), 1, prefix))
+    rs = add_columns(cut, "_r array<double>", lambda c: {"_r": [None if v is None else N.autocorrelations(v, range(1, most + 1)) for v in c[value_col]]}, [value_col], drop=(value_col,))
     rest = [c for c in rs.columns if c != "_r"]
     return rs.select(*rest, F.posexplode("_r").alias("_p", "r")).select(*rest, (F.col("_p") + 1).alias("stride"), "r")
 

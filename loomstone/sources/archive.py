@@ -81,7 +81,9 @@ def _chunks(files: DataFrame, chunk: int) -> DataFrame:
         data = b"".join(x.as_py() for x in table.column("_part"))
         return pa.table({n: row.column(n) for n in ("block_id", "block_type", "chunk_no")} | {"chunk": pa.array([data], pa.binary())})
 
-    return pieces.groupBy("block_id", "chunk_no").applyInArrow(join, "block_id long, block_type string, chunk_no long, chunk binary")
+    conf = files.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    n = max(int(conf), files.sparkSession.sparkContext.defaultParallelism)  # coding costs far more than small partitions
+    return pieces.repartition(n, "block_id", "chunk_no").groupBy("block_id", "chunk_no").applyInArrow(join, "block_id long, block_type string, chunk_no long, chunk binary")
 
 
 def write_archive(files: DataFrame, path: str, options: Options | None = None) -> DataFrame:

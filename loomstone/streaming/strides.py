@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.functions.numeric import STREAM_THRESHOLD, autocorrelation
+from loomstone.functions.numeric import STREAM_THRESHOLD, autocorrelation, autocorrelations
 from loomstone.functions.transforms import delta, undelta
 from loomstone.sources.store import shared_dir
 
@@ -43,8 +43,7 @@ class Detector:
 
     def _test(self, sample: bytes) -> None:
         best = (0.0, 0)
-        for i in range(16):
-            r = autocorrelation(sample, i + 1)
+        for i, r in enumerate(autocorrelations(sample, range(1, 17))):
             self.streaks[i] = self.streaks[i] + 1 if r >= STREAM_THRESHOLD else 0
             if self.streaks[i] >= CONFIRMATIONS and r > best[0]:
                 best = (r, i + 1)
