@@ -19,8 +19,16 @@ WHITE = b" \t\n\x0b\x0c\r"
 ROWS_AT_ONCE = 512
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def spread(df: DataFrame) -> DataFrame:
+    """A plain scan over all cores, where it has fewer partitions; for a large table it is left as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """The columns (all without any) of documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(docs.select(*cols) if cols else docs)
 
 
 def shared_dir(spark: SparkSession) -> str:

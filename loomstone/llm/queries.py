@@ -37,25 +37,25 @@ GROUP BY doc_id
 
 @CATALOGUE.add("op1_line_dedup", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     return dedup_lines(docs, min_docs=10).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 @CATALOGUE.add("op2_simhash_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(documents(spark, sf_dir).select("doc_id", "text"), words_each=3, max_bits=3)
+    return near_groups(documents(spark, sf_dir, "doc_id", "text"), words_each=3, max_bits=3)
 
 
 @CATALOGUE.add("op3_quality_classifier")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    out = classify(documents(spark, sf_dir).select("doc_id", "text"), labels, train_on=lambda c: crc_mod(c, 4) != 2, threshold=0.7)
+    out = classify(documents(spark, sf_dir, "doc_id", "text"), labels, train_on=lambda c: crc_mod(c, 4) != 2, threshold=0.7)
     return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
 @CATALOGUE.add("op4_lz_fingerprint")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edits_and_neighbours(documents(spark, sf_dir).select("doc_id", "text"))
+    return edits_and_neighbours(documents(spark, sf_dir, "doc_id", "text"))
 
 
 @CATALOGUE.add("op5_byte_bpe")
@@ -63,7 +63,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = byte_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path, pattern).select("doc_id", "ids")
+    ids = byte_bpe.encode(documents(spark, sf_dir, "doc_id", "text"), path, pattern).select("doc_id", "ids")
     decoded = byte_bpe.decode(ids, path, pattern).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
     return byte_bpe.with_digest(decoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
@@ -76,13 +76,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOGUE.add("op7_ctw_scoring")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod("doc_id", 10) == 0
-    out = score_texts(documents(spark, sf_dir).select("doc_id", "text"), ~held_out)
+    out = score_texts(documents(spark, sf_dir, "doc_id", "text"), ~held_out)
     return out.withColumn("held_out", held_out)
 
 
 @CATALOGUE.add("op8_best_fit_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir).select("doc_id", "text", "source"), capacity=2048)
+    return pack(documents(spark, sf_dir, "doc_id", "text", "source"), capacity=2048)
 
 
 @CATALOGUE.add("op9_license_scan")
