@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from loomstone.llm.common import LOWER, arrow_map, texts, written
 
-DEPTH, CONTEXTS, HEAD_WORDS = 4, 1 << 15, 1 << 17
+DEPTH, CONTEXTS, HEAD_WORDS = 5, (1 << 16) - 2, 1 << 17
 #: Bytes that are counted or scored at once, and rows a task holds before it sends them on.
 PIECE, HELD = 1 << 22, 1 << 22
 END = b"\n"
@@ -143,14 +143,12 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return series - np.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
 
 
-def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of byte values (rows of 256) to counts of zeros and ones at the 255 decisions."""
-    zeros, ones, level = [], [], counts.astype(np.float64)
-    while level.shape[1] > 1:
-        zeros.append(level[:, 0::2])
-        ones.append(level[:, 1::2])
-        level = level[:, 0::2] + level[:, 1::2]
-    return np.concatenate(zeros[::-1], axis=1), np.concatenate(ones[::-1], axis=1)
+def decisions(counts: np.ndarray, bit: int, part: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of byte values (rows of 256) to counts of zeros and ones at the decisions about one bit
+    (0: the most significant), one column for each value of the bits before it."""
+    n, before = len(counts), 1 << bit
+    both = counts.reshape(n, before, 2, 128 >> bit)[:, part].sum(axis=3, dtype=np.float64)
+    return both[:, :, 0], both[:, :, 1]
 
 
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -169,64 +167,66 @@ class Trees:
         dead = len(self.logs) // 256
         for data, sizes, _ in _pieces(seqs, self.depth):
             at = _positions(sizes, self.depth)
-            state = best = np.zeros(len(at), np.int32)
+            state = best = np.zeros(len(at), np.uint16)
             for d in range(1, self.depth + 1):
-                state = self.child[(state << 8) + data[at - d]]
+                state = self.child[(state.astype(np.int32) << 8) + data[at - d]]
                 best = np.where(state != dead, state, best)
-            logs = self.logs[(best << 8) + data[at]]
+            logs = self.logs[(best.astype(np.int32) << 8) + data[at]]
             ends = np.cumsum(sizes)
             out.append(np.add.reduceat(logs.astype(np.float64), np.r_[0, ends[:-1]]))
         return np.concatenate(out) if out else np.empty(0)
 
 
-def build(depth: int, rows: list[tuple[int, int, np.ndarray]]) -> Trees:
-    """rows: (depth, context, counts of the 256 byte values), closed under substrings.
-
-    A context is its bytes, nearest to the coded byte lowest."""
-    rows = sorted(rows, key=lambda r: (r[0], r[1])) or [(0, 0, np.zeros(256))]
-    n = len(rows)
-    ids = {(d, c): i for i, (d, c, _) in enumerate(rows)}
-    counts = np.array([r[2] for r in rows], np.float32 if n > 4096 else np.float64).astype(np.float64)
-    child = np.full((n + 1, 256), n, np.int32)
+def build(depth: int, levels: np.ndarray, contexts: list[int], counts: np.ndarray) -> Trees:
+    """One row for each context: its length, its bytes (nearest to the coded byte lowest) and counts of the
+    256 byte values; closed under substrings. Works on one bit and some of its decisions at a time."""
+    order = sorted(range(len(levels)), key=lambda i: (levels[i], contexts[i]))
+    if not order:
+        order, levels, contexts, counts = [0], np.zeros(1, np.int64), [0], np.zeros((1, 256), np.float32)
+    levels, contexts, counts = levels[order], [contexts[i] for i in order], counts[order]
+    n = len(levels)
+    if n >= 1 << 16:
+        raise ValueError("at most 65,535 contexts")
+    ids = {(int(d), c): i for i, (d, c) in enumerate(zip(levels, contexts, strict=True))}
+    child = np.full((n + 1, 256), n, np.uint16)
     parent = np.zeros(n, np.int64)
-    for i, (d, c, _) in enumerate(rows[1:], 1):
-        parent[i] = ids[d - 1, c & ((1 << 8 * (d - 1)) - 1)]
-        child[parent[i], c >> 8 * (d - 1)] = i
+    for (d, c), i in ids.items():
+        if d:
+            parent[i] = ids[d - 1, c & ((1 << 8 * (d - 1)) - 1)]
+            child[parent[i], c >> 8 * (d - 1)] = i
     rest = counts.copy()
     np.subtract.at(rest, parent[1:], counts[1:])
     np.maximum(rest, 0, out=rest)
-    level = np.array([r[0] for r in rows])
-    below = np.zeros((n, 255))  # sum of the kept children's log Pw
-    stop = np.ones((n, 255), np.float32)  # weight of a node's own estimate against what is below it
-    step = 2048
-    parts = lambda which: (which[i : i + step] for i in range(0, len(which), step))
-    for d in range(depth, -1, -1):
-        for k in parts(np.flatnonzero(level == d)):
-            own = log_kt(*decisions(counts[k]))
-            if d < depth:
-                lower = below[k] + log_kt(*decisions(rest[k]))
-                weighted = np.logaddexp(own, lower) - np.log(2)
-                stop[k] = np.exp(own - np.log(2) - weighted)
-            else:
-                weighted = own
-            if d:
-                np.add.at(below, parent[k], weighted)
-    del below
-    mixed, mass = np.zeros((n, 255), np.float32), np.ones((n, 255), np.float32)
-    logs = np.empty((n, 256), np.float32)
-    for d in range(depth + 1):
-        for k in parts(np.flatnonzero(level == d)):
-            a, b = decisions(counts[k])
-            before = mass[parent[k]] if d else 1.0
-            mixed[k] = (mixed[parent[k]] if d else 0.0) + before * stop[k] * ((b + 0.5) / (a + b + 1))
-            mass[k] = before * (1 - stop[k])
-            a, b = decisions(rest[k])
-            one = np.clip(mixed[k] + mass[k] * ((b + 0.5) / (a + b + 1)), 1e-12, 1 - 1e-9)
-            out = np.zeros((len(k), 1))
-            for bit in range(8):
-                p = one[:, (1 << bit) - 1 : (2 << bit) - 1]
-                out = np.stack([out + np.log10(1 - p), out + np.log10(p)], axis=2).reshape(len(k), -1)
-            logs[k] = out
+    logs = np.zeros((n, 256), np.float32)
+    step, wide = 4096, 32
+    rows = [np.flatnonzero(levels == d) for d in range(depth + 1)]
+    parts = [[k[i : i + step] for i in range(0, len(k), step)] for k in rows]
+    for bit in range(8):
+        for first in range(0, 1 << bit, wide):
+            cols = slice(first, min(first + wide, 1 << bit))
+            width = cols.stop - cols.start
+            below = np.zeros((n, width))  # sum of the kept children's log Pw
+            stop = np.ones((n, width), np.float32)  # weight of a node's own estimate against what is below it
+            for d in range(depth, -1, -1):
+                for k in parts[d]:
+                    weighted = own = log_kt(*decisions(counts[k], bit, cols))
+                    if d < depth:
+                        lower = below[k] + log_kt(*decisions(rest[k], bit, cols))
+                        weighted = np.logaddexp(own, lower) - np.log(2)
+                        stop[k] = np.exp(own - np.log(2) - weighted)
+                    if d:
+                        np.add.at(below, parent[k], weighted)
+            del below
+            mixed, mass = np.zeros((n, width), np.float32), np.ones((n, width), np.float32)
+            for d in range(depth + 1):
+                for k in parts[d]:
+                    a, b = decisions(counts[k], bit, cols)
+                    before = mass[parent[k]] if d else 1.0
+                    mixed[k] = (mixed[parent[k]] if d else 0.0) + before * stop[k] * ((b + 0.5) / (a + b + 1))
+                    mass[k] = before * (1 - stop[k])
+                    a, b = decisions(rest[k], bit, cols)
+                    one = np.clip(mixed[k] + mass[k] * ((b + 0.5) / (a + b + 1)), 1e-12, 1 - 1e-9)
+                    logs.reshape(n, 1 << bit, 2, 128 >> bit)[k, cols] += np.stack([np.log10(1 - one), np.log10(one)], axis=2)[..., None]
     return Trees(depth, child.ravel(), logs.ravel())
 
 
@@ -240,13 +240,14 @@ def train_trees(docs: DataFrame, text_col: str, *, depth: int = DEPTH, contexts:
     least = least_count(totals.filter("d > 0"), contexts - 1)
     kept = totals.filter((F.col("d") == 0) | (F.col("n") >= least)).select(F.col("d").alias("_d"), F.col("c").alias("_c"))
     rows = every.join(kept, (F.col("d") == F.col("_d")) & (F.col("c") == F.col("_c"))).groupBy("d", "c").agg(F.collect_list(F.struct("byte", "n")).alias("counts"))
-    held = []
-    for r in rows.toLocalIterator():  # contexts rows at most
-        counts = np.zeros(256)
+    rows = written(rows)
+    size = rows.count()
+    found, names, counts = np.zeros(size, np.int64), [0] * size, np.zeros((size, 256), np.float32)
+    for i, r in enumerate(rows.toLocalIterator()):  # contexts rows at most
+        found[i], names[i] = r.d, r.c
         for x in r.counts:
-            counts[x.byte] = x.n
-        held.append((r.d, r.c, counts))
-    return build(depth, held)
+            counts[i, x.byte] = x.n
+    return build(depth, found, names, counts)
 
 
 def score_texts(
@@ -277,14 +278,15 @@ def score_texts(
     head = {bytes(r.w): r.n for r in words.filter(F.col("n") >= least).toLocalIterator()}  # head_words rows at most
     trees = train_trees(chosen, "text", depth=depth, contexts=contexts)
     packed = (list(head), np.log10(np.array(list(head.values()), float) + 0.1))
-    sent = spark.sparkContext.broadcast((packed, trees.child.astype(np.uint16 if len(trees.logs) // 256 < 1 << 16 else np.int32), trees.logs))
+    sent = spark.sparkContext.broadcast((packed, trees.child, trees.logs))
+    del trees, head
     state: dict = {}
 
     def each(b: pa.RecordBatch) -> dict:
         if "head" not in state:
             (names, logs), child, table = sent.value
             state["head"] = dict(zip(names, logs.tolist(), strict=True))
-            state["trees"] = Trees(depth, child.astype(np.int32), table)
+            state["trees"] = Trees(depth, child, table)
         get = state["head"].get
         toks = [tokens(t) for t in texts(b)]
         seqs = [sequence(t) for t in toks]

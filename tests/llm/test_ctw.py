@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstone.llm.common import crc_mod
-from loomstone.llm.ctw import build, decisions, least_count, log_gamma, log_kt, score_texts, sequence, tokens
+from loomstone.llm import ctw
+from loomstone.llm.ctw import decisions, least_count, log_gamma, log_kt, score_texts, sequence, tokens
 from tests.llm.helpers import EDGE, clashing, docs
 
 
@@ -27,6 +28,10 @@ def kept_rows(seqs, depth, least):
     return [(d, c, n) for (d, c), n in counts.items() if d == 0 or n.sum() >= least]
 
 
+def build(depth, rows):
+    return ctw.build(depth, np.array([r[0] for r in rows]), [r[1] for r in rows], np.array([r[2] for r in rows], np.float32))
+
+
 def slow_probability(rows, depth, history, byte):
     """The mixture along a context, decision by decision, by recursion from the root."""
     kept = {(d, c): n for d, c, n in rows}
@@ -100,8 +105,10 @@ def test_gamma_and_kt():
     assert np.allclose(log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-8, atol=1e-8)
     assert math.exp(log_kt(np.array([0.0]), np.array([0.0]))[0]) == pytest.approx(1)
     assert math.exp(log_kt(np.array([1.0]), np.array([1.0]))[0]) == pytest.approx(1 / 8)
-    a, b = decisions(np.arange(256.0)[None])
-    assert a.shape == (1, 255) and a[0, 0] + b[0, 0] == np.arange(256).sum()
+    x = np.arange(256.0)[None]
+    assert [v.tolist() for v in decisions(x, 0)] == [[[x[0, :128].sum()]], [[x[0, 128:].sum()]]]
+    assert decisions(x, 7)[1].tolist() == [list(range(1, 256, 2))]
+    assert decisions(x, 3, slice(2, 4))[0].tolist() == [[x[0, 64:80].sum(), x[0, 96:112].sum()]]
 
 
 def base(rows, chosen):
