@@ -38,6 +38,13 @@ def undelta(data: bytes, stride: int, state: bytes = b"") -> tuple[bytes, bytes]
     return out[s:].tobytes(), out[-s:].tobytes()
 
 
+def delta_if_lower(data: bytes, stride: int) -> tuple[bytes, bool]:
+    """The deltas and True if their entropy is lower, else the data and False."""
+    changed = delta(data, stride)[0]
+    lower = entropy_of_counts(np.bincount(_u8(changed), minlength=256)) < entropy_of_counts(np.bincount(_u8(data), minlength=256))
+    return (changed, True) if lower else (data, False)
+
+
 def transpose(data: bytes, stride: int) -> bytes:
     """Byte i goes to plane i mod stride; planes follow each other."""
     if stride <= 1 or len(data) <= stride:

@@ -130,3 +130,8 @@ def lagged_correlation(df: DataFrame, value: str, order: str, lags: list[int], k
 
 def password_report(df: DataFrame, password: Column) -> DataFrame:
     return df.withColumn("strength", C.password_strength(password))
+
+
+def table_histogram(histogram: DataFrame, table_of: DataFrame) -> DataFrame:
+    """table_no, byte, n: a context histogram (context, byte, n) summed by the table of each context (context, table_no)."""
+    return histogram.join(table_of, "context").groupBy("table_no", "byte").agg(F.sum("n").alias("n"))

@@ -204,6 +204,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return cost.withColumn("cost_bits", F.round("cost_bits", 3))
 
 
+@add(
+    "context_tables",
+    f"""WITH {_BYTES}, pairs AS (SELECT lag(b) OVER (PARTITION BY doc_id ORDER BY pos) AS a, b FROM doc_bytes)
+SELECT ((a // 4) % 5)::INT AS table_no, b::INT AS byte, count(*) AS n FROM pairs WHERE a IS NOT NULL GROUP BY ALL""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Contexts of six bits, dealt to five tables."""
+    tables = spark.range(64).select(F.col("id").cast("int").alias("context"), (F.col("id") % 5).cast("int").alias("table_no"))
+    return profile.table_histogram(profile.context_histogram(_docs(spark, d), "text", "msb6"), tables)
+
+
 @add(
     "password_strength",
     r"""SELECT c_custkey, CASE WHEN length(p) < 8 THEN 'weak' WHEN length(p) >= 20 THEN 'very_strong'
@@ -419,6 +430,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return grouping.volumes(sizes, 256 << 10).select("block_id", "size", "volume_id", "volume_offset", "oversize")
 
 
+@add(
+    "volume_fold",
+    """WITH RECURSIVE b AS (SELECT row_number() OVER (ORDER BY p_partkey) AS k, p_partkey AS block_id, (p_size * 1000)::BIGINT AS size FROM part),
+f AS (
+  SELECT k, block_id, size, 1 AS volume_id, 50::BIGINT AS volume_offset FROM b WHERE k = 1
+  UNION ALL
+  SELECT b.k, b.block_id, b.size, CASE WHEN f.volume_offset + f.size + b.size > 200000 THEN f.volume_id + 1 ELSE f.volume_id END,
+         CASE WHEN f.volume_offset + f.size + b.size > 200000 THEN 50 ELSE f.volume_offset + f.size END FROM f JOIN b ON b.k = f.k + 1)
+SELECT block_id, volume_id::INT AS volume_id, volume_offset FROM f""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    blocks = table(spark, d, "part").select(F.col("p_partkey").alias("block_id"), (F.col("p_size") * 1000).cast("long").alias("size"))
+    return grouping.volumes(blocks, 200_000).select("block_id", "volume_id", "volume_offset")
+
+
 _ORDER_VOLUMES = "SELECT o_orderkey AS block_id, (o_custkey % 9 + 1)::INT AS volume_id FROM orders"
 
 
@@ -618,10 +644,19 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _archive(spark: SparkSession, d: str, **options) -> archive.Reader:
+    return _written_archive(spark, _files(spark, d), **options)
+
+
+def _page_archive(spark: SparkSession, d: str, **options) -> archive.Reader:
+    pages = table(spark, d, "pages")
+    return _written_archive(spark, tree.table_as_files(pages, F.concat(F.lit("pages/"), F.col("page_id"), F.lit(".html")), F.col("html")), **options)
+
+
+def _written_archive(spark: SparkSession, files: DataFrame, **options) -> archive.Reader:
     import uuid
 
     path = f"{shared_dir(spark).rstrip('/')}/loomstone/{uuid.uuid4().hex}"
-    archive.write_archive(_files(spark, d), path, archive.Options(level="fast", **options))
+    archive.write_archive(files, path, archive.Options(level="fast", **options))
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return archive.Reader(spark, path, options.get("password"))
@@ -643,6 +678,25 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _archive(spark, d).info().select("n_files", "original_size")
 
 
+@add("decompressed_size", "SELECT sum(octet_length(encode(html)))::BIGINT AS original_size FROM pages")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _page_archive(spark, d).decompressed_size()
+
+
+@add("archive_stats")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _page_archive(spark, d).info().drop("archive_id")
+
+
+@add("healthy_volumes", "SELECT TRUE AS healthy, count(*) AS n_files FROM pages")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """All volumes of a set are healthy; the blocks in them hold all files."""
+    a = _page_archive(spark, d, chunk_size=16 << 10, block_size=64 << 10, volume_size=48 << 10)
+    files = a.index().groupBy("block_id").agg(F.count(F.lit(1)).alias("n"))
+    placed = a.table("volume_index").select("block_id", "volume_id").join(files, "block_id")
+    return placed.join(a.volumes(), "volume_id").groupBy("healthy").agg(F.sum("n").alias("n_files"))
+
+
 @add("list_paths", f"SELECT path FROM ({_FILES})")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return _archive(spark, d).list_files()

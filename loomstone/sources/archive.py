@@ -205,6 +205,18 @@ class Reader:
         here = self.table("chunks").select("volume_id").distinct()
         return grouping.missing_volumes(self.table("volume_index").select("volume_id", "block_id"), here)
 
+    def volumes(self) -> DataFrame:
+        """volume_id, archive_id, n_blocks, n_chunks, healthy: the volumes of the index, and whether all their chunks are
+        there with the right checksums. An archive without volumes has none."""
+        if not self.manifest.volume_size:
+            return self.spark.createDataFrame([], "volume_id int, archive_id string, n_blocks long, n_chunks long, healthy boolean")
+        good = F.col("payload_sha256").eqNullSafe(F.sha2("payload", 256)) & F.col("payload_crc32").eqNullSafe(F.crc32("payload"))
+        here = self.table("chunks").groupBy("block_id").agg(F.count(F.lit(1)).alias("_n"), F.min(good.cast("int")).alias("_ok"))
+        want = self.table("blocks").select("block_id", "n_chunks")
+        both = self.table("volume_index").select("archive_id", "volume_id", "block_id").join(want, "block_id").join(here, "block_id", "left")
+        fine = F.coalesce((F.col("_n") == F.col("n_chunks")) & (F.col("_ok") == 1) & (F.col("archive_id") == self.manifest.archive_id), F.lit(False))
+        return both.groupBy("volume_id", "archive_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("n_chunks").alias("n_chunks"), F.min(fine).alias("healthy"))
+
     def _decoded(self, index: DataFrame) -> DataFrame:
         """block_id, chunk_no, value of the chunks that the index rows need."""
         if self.manifest.encrypted and self.key is None:

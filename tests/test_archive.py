@@ -125,7 +125,9 @@ def test_lost_manifest_and_volume(spark, tmp_path):
     assert {x.status for x in r.read().collect()} == {"ok"}
     volumes = [d for d in os.listdir(f"{out}/chunks") if d.startswith("volume_id=")]
     assert len(volumes) > 2
+    assert {x.healthy for x in r.volumes().collect()} == {True}
     shutil.rmtree(f"{out}/chunks/volume_id=2")
+    assert {x.volume_id for x in r.volumes().filter("not healthy").collect()} == {2}
     lost = {x.block_id for x in r.missing().collect()}
     got = r.read().filter("entry_type = 'file'").collect()
     assert lost and {x.status for x in got} == {"ok", "missing_volume"}

@@ -55,6 +55,12 @@ def test_carried_delta_is_that_of_the_whole():
     assert b"".join(parts) == transforms.delta(data, 4)[0]
 
 
+def test_delta_only_where_it_helps():
+    ramp = bytes(i % 256 for i in range(5000))
+    assert transforms.delta_if_lower(ramp, 1) == (transforms.delta(ramp, 1)[0], True)
+    assert transforms.delta_if_lower(SAMPLES[6], 1)[1] is False
+
+
 def test_bwt_over_chunks(monkeypatch):
     monkeypatch.setattr(transforms, "BWT_CHUNK", 100)
     coded, rows = transforms.bwt(SAMPLES[7])
