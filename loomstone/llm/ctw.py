@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -278,7 +279,8 @@ def score_texts(
     head = {bytes(r.w): r.n for r in words.filter(F.col("n") >= least).toLocalIterator()}  # head_words rows at most
     trees = train_trees(chosen, "text", depth=depth, contexts=contexts)
     packed = (list(head), np.log10(np.array(list(head.values()), float) + 0.1))
-    sent = spark.sparkContext.broadcast((packed, trees.child, trees.logs))
+    pack = zstandard.ZstdCompressor(1).compress  # a copy for each executor lies on its disk
+    sent = spark.sparkContext.broadcast((packed, pack(trees.child.tobytes()), pack(trees.logs.tobytes())))
     del trees, head
     state: dict = {}
 
@@ -286,7 +288,8 @@ def score_texts(
         if "head" not in state:
             (names, logs), child, table = sent.value
             state["head"] = dict(zip(names, logs.tolist(), strict=True))
-            state["trees"] = Trees(depth, child, table)
+            unpack = zstandard.ZstdDecompressor().decompress
+            state["trees"] = Trees(depth, np.frombuffer(unpack(child), np.uint16), np.frombuffer(unpack(table), np.float32))
         get = state["head"].get
         toks = [tokens(t) for t in texts(b)]
         seqs = [sequence(t) for t in toks]
