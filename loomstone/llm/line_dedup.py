@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstone.llm.common import LOWER, WHITE, arrow_map, arrow_schema, texts
+from loomstone.llm.common import LOWER, WHITE, arrow_map, arrow_schema, texts, written
 
 #: Bits of one filter (8 MB), hash functions, and shards in which filters travel.
 BITS, HASHES, SHARDS = 1 << 26, 4, 64
@@ -142,7 +142,7 @@ def dedup_lines(
     """
     if keep not in ("none", "first"):
         raise ValueError(f"keep: {keep}")
-    found = suspects(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), bits)
+    found = written(suspects(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), bits))
     counts = found.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first")).filter(F.col("_n") >= min_docs)
     # concat hides how the counts are dealt: a very common line may be split over tasks
     counts = counts.select(F.concat(F.col("_digest"), F.lit(b"")).alias("_key"), "_first")
