@@ -285,7 +285,7 @@ class Stack:
     def of_row(row: dict) -> Stack:
         return Stack(**{k: tuple(v or ()) if k in ("rows", "masks") else v for k, v in row.items()})
 
-    STRUCT = "stride int, bwt boolean, filter string, channels int, bit_depth int, rows array<int>, masks array<int>"
+    STRUCT = "struct<stride:int,bwt:boolean,filter:string,channels:int,bit_depth:int,rows:array<int>,masks:array<int>>"
 
 
 #: Media filters by name: (encode, decode); they take the bytes and the stack.

@@ -8,7 +8,6 @@ coded in lockstep.
 from __future__ import annotations
 
 import struct
-from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,7 +19,7 @@ from loomstone.functions import tokens as K
 from loomstone.functions import transforms as X
 from loomstone.functions.arrow import add_columns, as_binary, spread
 
-FIELDS = f"codec string, raw_size long, transform struct<{', '.join(f'{p.split()[0]}:{p.split()[1]}' for p in X.Stack.STRUCT.split(', '))}>, payload binary"
+FIELDS = f"codec string, raw_size long, transform {X.Stack.STRUCT}, payload binary"
 
 
 def _table_bytes(freq: np.ndarray) -> bytes:
@@ -164,7 +163,7 @@ def apply_transform(df: DataFrame, value_col: str, stack: X.Stack, out: str = "c
         pairs = [(None, None) if v is None else X.apply_stack(v, stack) for v in cols[value_col]]
         return {out: [p[0] for p in pairs], "transform": [p[1] and p[1].as_row() for p in pairs]}
 
-    return add_columns(as_binary(spread(df), value_col), f"{out} binary, {FIELDS.split(', ', 2)[2].rsplit(', ', 1)[0]}", f, [value_col], drop=(value_col,))
+    return add_columns(as_binary(spread(df), value_col), f"{out} binary, transform {X.Stack.STRUCT}", f, [value_col], drop=(value_col,))
 
 
 def undo_transform(df: DataFrame, coded: str = "coded", out: str = "value") -> DataFrame:

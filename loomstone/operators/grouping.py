@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import columns as C
+from loomstone.sources.store import written
 
 BLOCK_BYTES, CHUNK_BYTES, RANGE_ROWS = 256 << 20, 1 << 20, 1_000_000
 
@@ -22,23 +23,63 @@ def similarity_order(path: Column) -> list[Column]:
     return [C.extension(path).asc_nulls_first(), path.asc()]
 
 
+def ranked(df: DataFrame, group: str, order: list[Column], out: str) -> DataFrame:
+    """df with the place of each row in its group, from 1, by a sort over ranges of (group, order): a group may hold
+    all rows. Rows that are equal in the order take places in any order."""
+    placed = written(df.repartitionByRange(F.col(group).asc_nulls_first(), *order).sortWithinPartitions(F.col(group).asc_nulls_first(), *order).withColumn("_m", F.monotonically_increasing_id()))
+    parts = placed.groupBy(F.col(group).alias("_g"), F.shiftright("_m", 33).alias("_p")).agg(F.min("_m").alias("_lo"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    both = placed.join(parts, F.col(group).eqNullSafe(F.col("_g")) & (F.shiftright("_m", 33) == F.col("_p")))
+    return both.withColumn(out, F.col("_m") - F.col("_lo") + F.col("_before") + 1).drop("_m", "_g", "_p", "_lo", "_n", "_before")
+
+
 def similarity_rank(files: DataFrame, group: str = "block_type", path: str = "path") -> DataFrame:
     """files with ``similarity``: the place of a file in its group, from 1."""
-    return files.withColumn("similarity", F.row_number().over(Window.partitionBy(group).orderBy(*similarity_order(F.col(path)))))
+    return ranked(files, group, similarity_order(F.col(path)), "similarity")
+
+
+class FirstFit:
+    """Bins of one capacity; each size goes to the first bin with room, found in a tree of the largest rooms.
+
+    What is larger than a bin gets one of its own."""
+
+    def __init__(self, capacity: int) -> None:
+        self.capacity, self.used, self.leaves = capacity, 0, 1
+        self.tree = [-1, -1]
+
+    def _set(self, at: int, room: int) -> None:
+        tree, i = self.tree, at + self.leaves
+        tree[i] = room
+        while i > 1:
+            i //= 2
+            tree[i] = max(tree[2 * i], tree[2 * i + 1])
+
+    def put(self, size: int) -> int:
+        tree = self.tree
+        if tree[1] >= size:
+            i = 1
+            while i < self.leaves:
+                i = 2 * i if tree[2 * i] >= size else 2 * i + 1
+            at = i - self.leaves
+            self._set(at, tree[i] - size)
+            return at
+        at = self.used
+        self.used += 1
+        if at == self.leaves:
+            rooms = tree[self.leaves :]
+            self.leaves *= 2
+            self.tree = [-1] * (2 * self.leaves)
+            for k, room in enumerate(rooms):
+                self._set(k, room)
+        self._set(at, max(-1, self.capacity - size))
+        return at
 
 
 def first_fit(sizes: list[int], capacity: int) -> list[int]:
-    """Bin of each size: the first with room. What is larger than a bin gets one of its own."""
-    room: list[int] = []
-    out = []
-    for size in sizes:
-        at = next((i for i, r in enumerate(room) if size <= r), None)
-        if at is None:
-            at = len(room)
-            room.append(capacity)
-        room[at] -= size
-        out.append(at)
-    return out
+    """Bin of each size."""
+    bins = FirstFit(capacity)
+    return [bins.put(s) for s in sizes]
 
 
 def pack_blocks(files: DataFrame, capacity: int = BLOCK_BYTES, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -69,21 +110,12 @@ def pack_blocks(files: DataFrame, capacity: int = BLOCK_BYTES, range_rows: int =
         def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            shard, held = TaskContext.get().partitionId(), {}
+            shard, bins = TaskContext.get().partitionId(), {}
             for b in batches:
-                out = []
-                for r in b.to_pylist():
-                    room = held.setdefault(r["block_type"], [])
-                    size = r["size"] or 0
-                    at = next((i for i, x in enumerate(room) if size <= x), None)
-                    if at is None:
-                        at = len(room)
-                        room.append(capacity)
-                    room[at] -= size
-                    out.append((r["block_type"], r["path"], shard, at))
-                if out:
-                    types, paths, shards, numbers = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_pydict({"block_type": types, "path": paths, "shard": pa.array(shards, pa.int32()), "block_no": pa.array(numbers, pa.int32())})
+                types, paths, sizes, _ = (c.to_pylist() for c in b.columns)
+                if types:
+                    at = [bins.setdefault(t, FirstFit(capacity)).put(s or 0) for t, s in zip(types, sizes, strict=True)]
+                    yield pa.RecordBatch.from_pydict({"block_type": types, "path": paths, "shard": pa.array([shard] * len(at), pa.int32()), "block_no": pa.array(at, pa.int32())})
 
         packed = slim.repartitionByRange(ranges, "block_type", *order).sortWithinPartitions("block_type", *order).mapInArrow(stretch, fields)
     packed = packed.withColumnsRenamed({"block_type": "_t", "path": "_p"})

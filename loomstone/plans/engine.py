@@ -350,7 +350,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @add(
     "similarity_sort",
-    f"""SELECT path, row_number() OVER (PARTITION BY block_type ORDER BY ext NULLS FIRST, path)::INT AS similarity FROM (
+    f"""SELECT path, row_number() OVER (PARTITION BY block_type ORDER BY ext NULLS FIRST, path) AS similarity FROM (
   SELECT lang || '/' || source || '.' || doc_id AS path, CASE WHEN doc_id % 3 = 0 THEN 'text' ELSE 'binary' END AS block_type, doc_id::VARCHAR AS ext FROM documents)""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:

@@ -52,6 +52,15 @@ def test_runs_with_nulls(spark):
 
 def test_first_fit_keeps_everything(spark):
     assert grouping.first_fit([5, 9, 4, 100, 1, 0], 10) == [0, 1, 0, 2, 0, 0]
+    sizes = RNG.integers(0, 130, 3000).tolist()
+    room, want = [], []
+    for size in sizes:
+        at = next((i for i, r in enumerate(room) if size <= r), len(room))
+        if at == len(room):
+            room.append(100)
+        room[at] -= size
+        want.append(at)
+    assert grouping.first_fit(sizes, 100) == want
     files = [(f"d/f{i:03d}.{'ab'[i % 2]}", int(RNG.integers(0, 90)), "text" if i % 3 else "binary") for i in range(300)] + [("big", 1000, "text"), ("none", 0, "raw")]
     df = spark.createDataFrame(files, "path string, size long, block_type string")
     for rows in (1_000_000, 40):
@@ -69,6 +78,13 @@ def test_first_fit_keeps_everything(spark):
         assert r.lo == 0 and r.hi == r.s
 
 
+def test_ranks_over_ranges(spark):
+    rows = [(k, int(v)) for k, n in (("a", 700), (None, 30), ("b", 1)) for v in RNG.permutation(n)]
+    df = spark.createDataFrame(rows, "g string, v int").repartition(5)
+    got = grouping.ranked(df, "g", [F.col("v").asc()], "place").collect()
+    assert len(got) == len(rows) and all(r.place == r.v + 1 for r in got)
+
+
 def test_volumes(spark):
     blocks = spark.createDataFrame([(0, 40), (1, 40), (2, 500), (3, 10)], "block_id long, size long")
     got = [tuple(r) for r in grouping.volumes(blocks, 140).orderBy("block_id").select("volume_id", "volume_offset", "oversize").collect()]
