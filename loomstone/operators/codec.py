@@ -76,14 +76,13 @@ def _candidates(data: bytes, kind: str, level: str) -> list[X.Stack]:
     plain = X.Stack()
     if K.LEVELS[level].optimal and kind == "text":
         return [plain, X.Stack(bwt=True)]
-    if kind == "multimedia":
-        stride = N.chunk_stride(data)
-        if stride:
-            generic = X.Stack(stride=stride)
-            return [generic, X.Stack(filter="float_channel_split", channels=stride // 4)] if stride % 4 == 0 else [generic]
-        return [plain]
+    records = lambda k: [X.Stack(stride=k), *([X.Stack(filter="float_channel_split", channels=k // 4)] if k % 4 == 0 else [])]
+    if kind == "multimedia" and (stride := N.chunk_stride(data)):
+        return records(stride)
     if kind in ("executable", "binary") and N.bcj_helps(data) and (kind == "executable" or data[:2] == b"MZ" or data[:4] == b"\x7fELF"):
         return [X.Stack(filter="bcj_x86")]
+    if kind in ("multimedia", "binary") and (stride := N.cheapest_stride(data)):
+        return [plain, *records(stride)]
     return [plain]
 
 

@@ -124,15 +124,26 @@ def test_float_data_gets_a_transform(spark):
     wave = (1000 + 10 * np.sin(np.arange(20_000) / 100)).astype("<f4").tobytes()
     df = spark.createDataFrame([(0, bytearray(wave), "multimedia")], "n int, v binary, kind string")
     r = codec.encode(df, "v", "fast", "kind").first()
-    plain = codec.encode(df.drop("kind"), "v", "fast").first()
+    plain = codec.encode(df.withColumn("kind", F.lit("text")), "v", "fast", "kind").first()
     assert (r.transform.stride or r.transform.filter == "float_channel_split") and len(r.payload) < len(plain.payload)
     assert bytes(codec.decode(codec.encode(df, "v", "fast", "kind")).first().value) == wave
 
 
+def test_records_are_found_by_entropy():
+    a = np.arange(20_000) / 1000
+    xyz = np.stack([a * np.cos(a), a * np.sin(a), 0.1 * a], 1).astype("<f4").tobytes()
+    assert numeric.chunk_stride(xyz) is None and numeric.cheapest_stride(xyz) in (4, 12)
+    ((kind, _, stack, payload),) = codec.encode_batch([xyz], ["binary"], "fast")
+    assert kind == "lz77" and stack != codec.X.Stack() and len(payload) < len(xyz) / 3
+    assert codec.decode_batch([kind], [len(xyz)], [stack], [payload]) == [xyz]
+    for text in (b"plain words and more of them " * 50, RNG.integers(0, 256, 70_000, dtype=np.uint8).tobytes(), b"", b"ab"):
+        assert numeric.cheapest_stride(text) in (None, *([] if b"plain" not in text else range(2, 17)))
+
+
 def test_bwt_is_kept_only_if_smaller():
     text = "".join(f"a{i:03d}" for i in range(1000)).encode() * 2
     (chosen,) = codec.encode_batch([text], ["text"], "maximum")
-    sizes = [len(codec.encode_batch([t], ["binary"], "maximum")[0][3]) for t in (text, codec.X.bwt(text)[0])]
+    sizes = [len(codec.code_tokens([codec.K.parse_optimal(t, codec.K.LEVELS["maximum"])], [None])[0]) for t in (text, codec.X.bwt(text)[0])]
     assert chosen[2].bwt == (sizes[1] < sizes[0]) and len(chosen[3]) == min(sizes)
 
 
