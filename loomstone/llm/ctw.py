@@ -184,7 +184,8 @@ def build(depth: int, levels: np.ndarray, contexts: list[int], counts: np.ndarra
     order = sorted(range(len(levels)), key=lambda i: (levels[i], contexts[i]))
     if not order:
         order, levels, contexts, counts = [0], np.zeros(1, np.int64), [0], np.zeros((1, 256), np.float32)
-    levels, contexts, counts = levels[order], [contexts[i] for i in order], counts[order]
+    if order != list(range(len(order))):
+        levels, contexts, counts = levels[order], [contexts[i] for i in order], counts[order]
     n = len(levels)
     if n >= 1 << 16:
         raise ValueError("at most 65,535 contexts")
@@ -243,6 +244,7 @@ def train_trees(docs: DataFrame, text_col: str, *, depth: int = DEPTH, contexts:
     rows = every.join(kept, (F.col("d") == F.col("_d")) & (F.col("c") == F.col("_c"))).groupBy("d", "c").agg(F.collect_list(F.struct("byte", "n")).alias("counts"))
     rows = written(rows)
     size = rows.count()
+    rows = rows.orderBy("d", "c")
     found, names, counts = np.zeros(size, np.int64), [0] * size, np.zeros((size, 256), np.float32)
     for i, r in enumerate(rows.toLocalIterator()):  # contexts rows at most
         found[i], names[i] = r.d, r.c
@@ -280,7 +282,7 @@ def score_texts(
     trees = train_trees(chosen, "text", depth=depth, contexts=contexts)
     packed = (list(head), np.log10(np.array(list(head.values()), float) + 0.1))
     pack = zstandard.ZstdCompressor(1).compress  # a copy for each executor lies on its disk
-    sent = spark.sparkContext.broadcast((packed, pack(trees.child.tobytes()), pack(trees.logs.tobytes())))
+    sent = spark.sparkContext.broadcast((packed, pack(trees.child.data.cast("B")), pack(trees.logs.data.cast("B"))))
     del trees, head
     state: dict = {}
 
