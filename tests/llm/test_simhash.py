@@ -114,3 +114,45 @@ def test_components(spark):
 def test_one_fingerprint():
     for t in ("a b c d", "A B", "", "x", "one two three one two three"):
         assert fingerprint(t.encode()) == plain_fingerprint(t)
+
+
+def exact_groups(rows, least=0.8):
+    """component_id by the Jaccard similarity of all pairs, and the similarities."""
+    from loomstone.llm.simhash import shingles
+
+    sets = [set(shingles(t.encode(), 5)) for _, t, *_ in rows]
+    alike = {(i, j): len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) for i in range(len(sets)) for j in range(i)}
+    return dict(zip([r[0] for r in rows], grouped([r[0] for r in rows], [p for p, s in alike.items() if s >= least]), strict=True)), alike
+
+
+def test_a_repeated_line_does_not_link(spark):
+    rng = random.Random(3)
+    line = " ".join(f"same{i}" for i in range(10))
+    rows = [(i, "\n".join([" ".join(f"w{rng.randrange(10**6)}" for _ in range(100)), *[line] * 8]), "en", "s", 1) for i in range(40)]
+    assert {r.doc_id: r.component_id for r in similar_groups(docs(spark, rows)).collect()} == {i: i for i in range(40)}
+
+
+def edited_copies(seed, families=120, words=100):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(families):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        rows.append((2 * i, " ".join(text), "en", "s", 1))
+        at = rng.randrange(words - 14)
+        rows.append((2 * i + 1, " ".join(text[:at] + [f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(3, 9))] + text[at + rng.randrange(3, 9) :]), "en", "s", 1))
+    return rows
+
+
+def test_pairs_just_over_and_under_the_rule(spark, monkeypatch):
+    from loomstone.llm import simhash
+
+    rows = edited_copies(1)
+    want, alike = exact_groups(rows)
+    assert sum(0.8 <= s <= 0.85 for s in alike.values()) >= 20 and sum(0.7 <= s < 0.8 for s in alike.values()) >= 5
+    run = lambda: {r.doc_id: r.component_id for r in similar_groups(docs(spark, rows)).collect()}
+    assert run() == want
+    rows = [(i, t + " this passage is in all of them", *x) for i, t, *x in rows]
+    want, _ = exact_groups(rows)
+    assert run() == want
+    monkeypatch.setattr(simhash, "CROWDED", 1)  # all shared keys come last
+    assert run() == want
