@@ -284,10 +284,20 @@ def _verified(pairs: DataFrame, live: DataFrame, similarity: float) -> DataFrame
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], schema=target)
 
-    of = lambda n: live.select(opaque("_node").alias(f"_{n}"), F.col("_size").alias(f"_n{n}"), F.col("_set").alias(f"_s{n}"))
-    wide = pairs.join(of("a"), F.col("a") == F.col("_a")).join(of("b"), F.col("b") == F.col("_b"))
-    wide = wide.filter((F.col("_na") >= F.col("_nb") * similarity - 1e-9) & (F.col("_nb") >= F.col("_na") * similarity - 1e-9))
-    return wide.select("a", "b", "_sa", "_sb").mapInArrow(run, "a long, b long")
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = b.column(2).to_numpy() + b.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(-1, PARITY // 64) for i in (4, 5))
+            keep = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= size * (1 - similarity) / (1 + similarity) + 1e-6
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in b.columns[:2]], schema=target)
+
+    def joined(pairs: DataFrame, *cols: str) -> DataFrame:
+        of = lambda n: live.select(opaque("_node").alias(f"_{n}"), *(F.col(c).alias(f"{c}_{n}") for c in cols))
+        return pairs.join(of("a"), F.col("a") == F.col("_a")).join(of("b"), F.col("b") == F.col("_b"))
+
+    sized = joined(pairs, "_size", "_bits").filter((F.col("_size_a") >= F.col("_size_b") * similarity - 1e-9) & (F.col("_size_b") >= F.col("_size_a") * similarity - 1e-9))
+    left = written(sized.select("a", "b", "_size_a", "_size_b", "_bits_a", "_bits_b").mapInArrow(possible, "a long, b long"))
+    return joined(left, "_set").select("a", "b", "_set_a", "_set_b").mapInArrow(run, "a long, b long")
 
 
 def _open_pairs(similarity: float):
@@ -319,8 +329,8 @@ def _open_pairs(similarity: float):
     return run
 
 
-def jaccard_links(sets: DataFrame, similarity: float) -> DataFrame:
-    """sets: _node, _prefix, _set, of different sets. Edges a, b of that Jaccard similarity at least; their components
+def jaccard_links(prefixes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """prefixes: _node, _prefix, of different sets; sets: _node, _set of these nodes and maybe others. Edges a, b of that Jaccard similarity at least; their components
     are those of all such pairs.
 
     Candidates share a shingle of their prefixes, which loses no pair. Keys of over ``CROWDED`` nodes, the most frequent
@@ -328,7 +338,7 @@ def jaccard_links(sets: DataFrame, similarity: float) -> DataFrame:
     key's nodes are first compared with two of them; what is not in one component then is compared
     pair by pair, where sizes and bits allow it."""
     spark = sets.sparkSession
-    keys = written(_keys(sets.select("_node", "_prefix"), similarity))
+    keys = written(_keys(prefixes, similarity))
     counts, rows = _shared(keys)
     late = [r._k for r in counts.filter(F.col("_times") > CROWDED).orderBy(F.desc("_times"), "_k").limit(MOST_LATE).collect()]
     if late:
@@ -389,8 +399,8 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     fps = written(arrow_map(src, each, kind).withColumn("_row", F.monotonically_increasing_id()))
     distinct = written(fps.groupBy("_low", "_high").agg(F.min("_id").alias("_least"), F.min("_row").alias("_node")))
     chosen = distinct.select(opaque("_node").alias("_c"))
-    sets = fps.select(F.col("_row").alias("_node"), "_prefix", "_set").join(chosen, F.col("_node") == F.col("_c"), "left_semi")
-    label = components(jaccard_links(sets, similarity))
+    prefixes = fps.select(F.col("_row").alias("_node"), "_prefix").join(chosen, F.col("_node") == F.col("_c"), "left_semi")
+    label = components(jaccard_links(prefixes, fps.select(F.col("_row").alias("_node"), "_set"), similarity))
     grouped = written(distinct.join(label, distinct["_node"] == label["node"], "left").select("_low", "_high", "_least", F.coalesce("component", "_node").alias("_group")))
     least = grouped.groupBy("_group").agg(F.min("_least").alias("component_id")).select(opaque("_group").alias("_g"), "component_id")
     member = written(grouped.join(least, F.col("_group") == F.col("_g")).select(F.col("_low").alias("_l"), F.col("_high").alias("_h"), "component_id"))
