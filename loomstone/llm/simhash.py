@@ -271,7 +271,7 @@ def _shared(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return counts, keys.join(counts, F.col("_key") == F.col("_k")).select("_key", "_node")
 
 
-def _verified(pairs: DataFrame, live: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """pairs a, b whose sets have at least that Jaccard similarity."""
     target = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -291,13 +291,15 @@ def _verified(pairs: DataFrame, live: DataFrame, similarity: float) -> DataFrame
             keep = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= size * (1 - similarity) / (1 + similarity) + 1e-6
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in b.columns[:2]], schema=target)
 
-    def joined(pairs: DataFrame, *cols: str) -> DataFrame:
-        of = lambda n: live.select(opaque("_node").alias(f"_{n}"), *(F.col(c).alias(f"{c}_{n}") for c in cols))
+    def joined(pairs: DataFrame, sets: DataFrame, *cols: str) -> DataFrame:
+        of = lambda n: sets.select(opaque("_node").alias(f"_{n}"), *(F.col(c).alias(f"{c}_{n}") for c in cols))
         return pairs.join(of("a"), F.col("a") == F.col("_a")).join(of("b"), F.col("b") == F.col("_b"))
 
-    sized = joined(pairs, "_size", "_bits").filter((F.col("_size_a") >= F.col("_size_b") * similarity - 1e-9) & (F.col("_size_b") >= F.col("_size_a") * similarity - 1e-9))
+    sized = joined(pairs, sets, "_size", "_bits").filter((F.col("_size_a") >= F.col("_size_b") * similarity - 1e-9) & (F.col("_size_b") >= F.col("_size_a") * similarity - 1e-9))
     left = written(sized.select("a", "b", "_size_a", "_size_b", "_bits_a", "_bits_b").mapInArrow(possible, "a long, b long"))
-    return joined(left, "_set").select("a", "b", "_set_a", "_set_b").mapInArrow(run, "a long, b long")
+    nodes = written(left.select(F.explode(F.array("a", "b")).alias("_of")).distinct())
+    needed = sets.select("_node", "_set").join(nodes, F.col("_node") == F.col("_of"), "left_semi")
+    return joined(left, needed, "_set").select("a", "b", "_set_a", "_set_b").mapInArrow(run, "a long, b long")
 
 
 def _open_pairs(similarity: float):
@@ -330,7 +332,7 @@ def _open_pairs(similarity: float):
 
 
 def jaccard_links(prefixes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """prefixes: _node, _prefix, of different sets; sets: _node, _set of these nodes and maybe others. Edges a, b of that Jaccard similarity at least; their components
+    """prefixes: _node, _prefix, of different sets; sets: _node, _set, _size, _bits of these nodes and maybe others. Edges a, b of that Jaccard similarity at least; their components
     are those of all such pairs.
 
     Candidates share a shingle of their prefixes, which loses no pair. Keys of over ``CROWDED`` nodes, the most frequent
@@ -348,30 +350,22 @@ def jaccard_links(prefixes: DataFrame, sets: DataFrame, similarity: float) -> Da
         keys = written(keys.join(again, F.col("_node") == F.col("_again"), "left_anti").unionByName(new))
         counts, rows = _shared(keys)
     rows = written(rows)
-    nodes = rows.select(opaque("_node").alias("_of")).distinct()
-
-    def each(b: pa.RecordBatch) -> dict:
-        found = [np.frombuffer(s, np.uint64) for s in b.column(1).to_pylist()]
-        return {"_node": b.column(0), "_set": b.column(1), "_size": [len(s) for s in found], "_bits": [parity_bits(s) for s in found]}
-
-    live = sets.select("_node", "_set").join(nodes, F.col("_node") == F.col("_of"), "left_semi")
-    live = written(arrow_map(live, each, "_node long, _set binary, _size long, _bits binary"))
 
     edges, grouped = None, rows.withColumn("_group", F.col("_node"))
     for end in (F.min, F.max):
         hubs = grouped.groupBy("_key").agg(end(F.struct("_node", "_group")).alias("_hub"), F.min("_group").alias("_g0"), F.max("_group").alias("_g1"))
         hubs = hubs.filter("_g0 < _g1").select(opaque("_key").alias("_k"), "_hub")
         pairs = grouped.join(hubs, F.col("_key") == F.col("_k")).filter(F.col("_group") != F.col("_hub._group"))
-        new = _verified(written(pairs.select(F.least("_node", "_hub._node").alias("a"), F.greatest("_node", "_hub._node").alias("b")).distinct()), live, similarity)
+        new = _verified(written(pairs.select(F.least("_node", "_hub._node").alias("a"), F.greatest("_node", "_hub._node").alias("b")).distinct()), sets, similarity)
         edges = written(new if edges is None else edges.union(new))
         label = components(edges).select(opaque("node").alias("_n"), "component")
         grouped = written(rows.join(label, F.col("_node") == F.col("_n"), "left").select("_key", "_node", F.coalesce("component", "_node").alias("_group")))
     several = grouped.groupBy("_key").agg(F.min("_group").alias("_g0"), F.max("_group").alias("_g1")).filter("_g0 < _g1").select(opaque("_key").alias("_k"))
     left = grouped.join(several, F.col("_key") == F.col("_k"), "left_semi")
-    left = left.join(live.select(opaque("_node").alias("_n"), "_size", "_bits"), F.col("_node") == F.col("_n")).select("_key", "_node", "_group", "_size", "_bits")
+    left = left.join(sets.select(opaque("_node").alias("_n"), "_size", "_bits"), F.col("_node") == F.col("_n")).select("_key", "_node", "_group", "_size", "_bits")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = left.repartition(parts, "_key").sortWithinPartitions("_key", "_node").mapInArrow(_open_pairs(similarity), "a long, b long")
-    return edges.union(_verified(written(pairs.distinct()), live, similarity))
+    return edges.union(_verified(written(pairs.distinct()), sets, similarity))
 
 
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -391,16 +385,18 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             "_low": pa.array(pairs[:, 0].copy()),
             "_high": pa.array(pairs[:, 1].copy()),
             "_prefix": [prefix(s, similarity).tobytes() for s in found],
+            "_size": [len(s) for s in found],
+            "_bits": [parity_bits(s) for s in found],
             "_set": [s.tobytes() for s in found],
         }
 
     longs = [T.StructField(n, T.LongType()) for n in ("_low", "_high")]
-    kind = T.StructType([src.schema["_id"], *longs, T.StructField("_prefix", T.BinaryType()), T.StructField("_set", T.BinaryType())])
+    kind = T.StructType([src.schema["_id"], *longs, T.StructField("_prefix", T.BinaryType()), T.StructField("_size", T.LongType()), T.StructField("_bits", T.BinaryType()), T.StructField("_set", T.BinaryType())])
     fps = written(arrow_map(src, each, kind).withColumn("_row", F.monotonically_increasing_id()))
     distinct = written(fps.groupBy("_low", "_high").agg(F.min("_id").alias("_least"), F.min("_row").alias("_node")))
     chosen = distinct.select(opaque("_node").alias("_c"))
     prefixes = fps.select(F.col("_row").alias("_node"), "_prefix").join(chosen, F.col("_node") == F.col("_c"), "left_semi")
-    label = components(jaccard_links(prefixes, fps.select(F.col("_row").alias("_node"), "_set"), similarity))
+    label = components(jaccard_links(prefixes, fps.select(F.col("_row").alias("_node"), "_set", "_size", "_bits"), similarity))
     grouped = written(distinct.join(label, distinct["_node"] == label["node"], "left").select("_low", "_high", "_least", F.coalesce("component", "_node").alias("_group")))
     least = grouped.groupBy("_group").agg(F.min("_least").alias("component_id")).select(opaque("_group").alias("_g"), "component_id")
     member = written(grouped.join(least, F.col("_group") == F.col("_g")).select(F.col("_low").alias("_l"), F.col("_high").alias("_h"), "component_id"))
