@@ -7,97 +7,142 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstone.llm.common import crc_mod
-from loomstone.llm import ctw
-from loomstone.llm.ctw import decisions, least_count, log_gamma, log_kt, score_texts, sequence, tokens
+from loomstone.llm.ctw import SPLIT, Subtrees, Table, Upper, gram_logs, least_count, log_gamma, log_kt, score_texts, sequence, tokens
 from tests.llm.helpers import EDGE, clashing, docs
 
 
 def tree_counts(seqs, depth):
+    """Counts of the byte values after each context, a byte string that ends just before them."""
     out = {}
     for s in seqs:
         padded = b"\n" * depth + s
         for i in range(depth, len(padded)):
             for d in range(depth + 1):
-                c = sum(padded[i - 1 - k] << 8 * k for k in range(d))
-                out.setdefault((d, c), np.zeros(256))[padded[i]] += 1
+                out.setdefault(padded[i - d : i], Counter())[padded[i]] += 1
     return out
 
 
-def kept_rows(seqs, depth, least):
-    counts = tree_counts(seqs, depth)
-    return [(d, c, n) for (d, c), n in counts.items() if d == 0 or n.sum() >= least]
+def kt(a, b):
+    return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
 
 
-def build(depth, rows):
-    return ctw.build(depth, np.array([r[0] for r in rows]), [r[1] for r in rows], np.array([r[2] for r in rows], np.float32))
+class Slow:
+    """Context-tree weighting by recursion over Python dicts."""
 
+    def __init__(self, seqs, depth):
+        self.depth, self.counts = depth, tree_counts(seqs, depth)
+        self.children = {}
+        for c in self.counts:
+            if c:
+                self.children.setdefault(c[1:], []).append(c)
+        self.known = {}
 
-def slow_probability(rows, depth, history, byte):
-    """The mixture along a context, decision by decision, by recursion from the root."""
-    kept = {(d, c): n for d, c, n in rows}
-    context = lambda d: sum(history[-1 - k] << 8 * k for k in range(d))
-    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
-
-    def node_counts(n, bits):
+    def decision(self, context, bits):
         lo, width = 0, 256
         for x in bits:
             width //= 2
             lo += x * width
-        return n[lo : lo + width // 2].sum(), n[lo + width // 2 : lo + width].sum()
-
-    def rest(d, c):
-        n = kept[d, c].copy()
-        for (e, k), m in kept.items():
-            if e == d + 1 and k & ((1 << 8 * d) - 1) == c:
-                n = n - m
-        return n
-
-    def log_pw(d, c, bits):
-        own = kt(*node_counts(kept[d, c], bits))
-        if d == depth:
-            return own
-        below = kt(*node_counts(rest(d, c), bits))
-        below += sum(log_pw(e, k, bits) for (e, k) in kept if e == d + 1 and k & ((1 << 8 * d) - 1) == c)
-        return np.logaddexp(own, below) - math.log(2)
-
-    def predict(d, bits):
-        c = context(d)
-        a, b = node_counts(kept[d, c], bits)
+        n = self.counts.get(context, {})
+        ones = sum(v for k, v in n.items() if lo + width // 2 <= k < lo + width)
+        return sum(v for k, v in n.items() if lo <= k < lo + width) - ones, ones
+
+    def log_pw(self, context, bits):
+        if (context, bits) not in self.known:
+            own = kt(*self.decision(context, bits))
+            if len(context) < self.depth:
+                below = sum(self.log_pw(c, bits) for c in self.children.get(context, []))
+                own = np.logaddexp(own, below) - math.log(2)
+            self.known[context, bits] = own
+        return self.known[context, bits]
+
+    def one(self, history, d, bits):
+        context = history[len(history) - d :]
+        a, b = self.decision(context, bits)
         own = (b + 0.5) / (a + b + 1)
-        if d == depth:
+        if d == self.depth or not sum(self.decision(history[len(history) - d - 1 :], bits)):
             return own
-        beta = math.exp(kt(a, b) - math.log(2) - log_pw(d, c, bits))
-        if (d + 1, context(d + 1)) in kept:
-            deeper = predict(d + 1, bits)
-        else:
-            a, b = node_counts(rest(d, c), bits)
-            deeper = (b + 0.5) / (a + b + 1)
-        return beta * own + (1 - beta) * deeper
-
-    total, bits = 0.0, []
-    for i in range(7, -1, -1):
-        x = byte >> i & 1
-        one = predict(0, bits)
-        total += math.log10(one if x else 1 - one)
-        bits.append(x)
-    return total
-
-
-def test_scores_are_the_recursive_mixture():
-    depth = 2
-    seqs = [sequence(tokens(t)) for t in (b"the cat sat on the mat", b"a cat and a hat", b"the hat")]
-    rows = kept_rows(seqs, depth, 3)
-    trees = build(depth, rows)
-    for text in (b"the rat", b"zzz", b"", "çà".encode()):
-        s = sequence(tokens(text))
-        padded = b"\n" * depth + s
-        want = sum(slow_probability(rows, depth, padded[:i], padded[i]) for i in range(depth, len(padded)))
-        assert trees.score([s])[0] == pytest.approx(want, rel=1e-4)
-
-
-def test_probabilities_sum_to_one():
-    trees = build(2, kept_rows([sequence(tokens(b"abracadabra " * 20))], 2, 5))
-    assert np.allclose((10.0 ** trees.logs.reshape(-1, 256).astype(float)).sum(axis=1), 1, atol=1e-4)
+        stop = math.exp(kt(a, b) - math.log(2) - self.log_pw(context, bits))
+        return stop * own + (1 - stop) * self.one(history, d + 1, bits)
+
+    def score(self, s):
+        padded, total = b"\n" * self.depth + s, 0.0
+        for i in range(self.depth, len(padded)):
+            bits = ()
+            for k in range(7, -1, -1):
+                x = padded[i] >> k & 1
+                one = self.one(padded[:i], 0, bits)
+                total += math.log10(one if x else 1 - one)
+                bits += (x,)
+        return total
+
+
+TEXTS = [b"the cat sat on the mat", b"a cat and a hat", b"the hat", "çà et là, ça".encode(), b"zzz zzz zzz the", b"", b"the rat sat on a bat", "naïve çà".encode(), b"qqqq"]
+
+
+@pytest.mark.parametrize("depth, head", [(1, 1 << 20), (2, 3), (3, 1 << 20), (5, 1 << 20), (5, 20), (6, 0)])
+def test_scores_are_the_recursive_mixture(spark, depth, head):
+    """End to end: grams counted, trees trained and texts scored in Spark, against the recursion."""
+    rows = [(i, t.decode(), "en", "s", 1) for i, t in enumerate(TEXTS * 2)]
+    out = score_texts(docs(spark, rows), F.col("doc_id") < 6, depth=depth, head_grams=head).collect()
+    slow = Slow([sequence(tokens(t)) for t in TEXTS[:6]], depth)
+    for r in out:
+        assert r.score == pytest.approx(slow.score(sequence(tokens(TEXTS[r.doc_id % len(TEXTS)]))), rel=1e-6)
+
+
+def test_all_contexts_count(spark):
+    """Contexts that occur once, tens of thousands of them, are all in the model, over several chunks and partitions."""
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 123, 600, np.uint8)) for _ in range(40)]
+    rows = [(i, t.decode(), "en", "s", 1) for i, t in enumerate(texts)]
+    slow = Slow([sequence(tokens(t)) for t in texts], 4)
+    assert len(slow.counts) > 20_000
+    out = score_texts(docs(spark, rows), F.lit(True), depth=4, head_grams=1000).filter("doc_id < 3").collect()
+    for r in out:
+        assert r.score == pytest.approx(slow.score(sequence(tokens(texts[r.doc_id]))), rel=1e-6)
+
+
+def test_probabilities_sum_to_one(spark):
+    text = b"abracadabra " * 20 + b"alakazam"
+    counts = tree_counts([text], 3)
+    number = lambda c, b: sum(x << 8 * (1 + k) for k, x in enumerate(c)) | b
+    for context in (b"bra", b"xyz", b"zra", b"abr"):
+        grams = {number(c, b): n for c, v in counts.items() if len(c) == 3 for b, n in v.items()}
+        grams |= {k: grams.get(k, 0) for k in (number(context, b) for b in range(256))}
+        found = gram_logs(spark.createDataFrame([(k, 1, n) for k, n in grams.items()], "g long, n long, t long"), 3).collect()
+        assert len(found) == len(grams)
+        p = {r.g: 10**r.l for r in found}
+        assert sum(p[number(context, b)] for b in range(256)) == pytest.approx(1, abs=1e-6)
+
+
+def test_depth(spark):
+    for depth in (0, 7):
+        with pytest.raises(ValueError):
+            gram_logs(spark.createDataFrame([], "g long, n long, t long"), depth)
+
+
+def test_table():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 48, 5000))
+    table = Table(keys, np.arange(len(keys)) + 1.0)
+    got, lost = table.find(np.r_[keys, keys + 1])
+    assert (got[: len(keys)] == np.arange(len(keys)) + 1).all() and not lost[: len(keys)].any()
+    other = ~np.isin(keys + 1, keys)
+    assert (lost[len(keys) :] == other).all() and (got[len(keys) :][other] == 0).all()
+    empty = Table(np.empty(0, np.int64), np.empty(0))
+    assert empty.find(keys)[1].all()
+
+
+def test_one_subtree_or_several_are_alike():
+    g = np.unique(np.random.default_rng(2).integers(0, 1 << 10, 400)) * 0x0101010101 & (1 << 48) - 1
+    g = np.unique(g)
+    t = np.arange(len(g)) % 4
+    whole = Subtrees(g, t, 5, SPLIT)
+    upper = Upper(*whole.tops(), SPLIT)
+    logs = whole.logs(upper)
+    top = g >> 24
+    for k in np.unique(top)[:20]:
+        part = Subtrees(g[top == k], t[top == k], 5, SPLIT)
+        assert np.allclose(part.logs(upper), logs[top == k])
 
 
 def test_gamma_and_kt():
@@ -105,10 +150,6 @@ def test_gamma_and_kt():
     assert np.allclose(log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-8, atol=1e-8)
     assert math.exp(log_kt(np.array([0.0]), np.array([0.0]))[0]) == pytest.approx(1)
     assert math.exp(log_kt(np.array([1.0]), np.array([1.0]))[0]) == pytest.approx(1 / 8)
-    x = np.arange(256.0)[None]
-    assert [v.tolist() for v in decisions(x, 0)] == [[[x[0, :128].sum()]], [[x[0, 128:].sum()]]]
-    assert decisions(x, 7)[1].tolist() == [list(range(1, 256, 2))]
-    assert decisions(x, 3, slice(2, 4))[0].tolist() == [[x[0, 64:80].sum(), x[0, 96:112].sum()]]
 
 
 def base(rows, chosen):
