@@ -1,14 +1,18 @@
 """Line dedup with two Bloom filters.
 
 A line's key is the line with [\\x20\\x09-\\x0D] stripped at both ends and A-Z lower-cased. One
-pass over the texts fills two Bloom filters of fixed size: keys seen in one document, and keys
+pass over the texts fills two Bloom filters: keys seen in one document, and keys
 seen in two. Filters of tasks merge shard by shard: what is in the once-filters of two tasks is
-seen twice. A second pass sends on only the keys that the twice-filter suspects, as SHA-256
+seen twice. A second pass sends on only the keys that the twice-filter suspects, as 128-bit
 digests, and a plain aggregation over these gives the exact number of documents and the first
-of them. So a false alarm of the filters costs a row, never a wrong result: when the corpus
-outgrows the filters, more rows go to the exact count, and nothing else changes.
+of them. So a false alarm of the filters costs a row, never a wrong result.
 
-Only the twice-filter is broadcast: ``bits`` / 8 bytes, whatever the input.
+Filters have 16 bits and more for each line (0.2 % false alarms), as lines are counted first, up to ``MOST_BITS``
+(256 MB; 128 million lines at that rate). In a larger corpus more and more lines are suspects, in the end all, and the
+confirming shuffle is that of an exact count, 16 bytes and an id for each line.
+
+The keys to drop travel to the tasks if there are ``MOST_KEYS`` at most, and then no text is shuffled; if there are
+more, documents are joined with their keys.
 """
 
 from __future__ import annotations
@@ -24,23 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstone.llm.common import LOWER, WHITE, arrow_map, arrow_schema, texts, written
+from loomstone.llm import bloom
+from loomstone.llm.common import LOWER, ROWS_AT_ONCE, WHITE, arrow_map, arrow_schema, texts, written
 
-#: Bits of one filter (8 MB), hash functions, and shards in which filters travel.
-BITS, HASHES, SHARDS = 1 << 26, 4, 64
+#: Bits of a filter at most (256 MB), and keys that travel to all tasks at most.
+MOST_BITS, MOST_KEYS = 1 << 31, 1 << 19
 
 
 def line_keys(text: bytes) -> list[bytes]:
     return [x.strip(WHITE) for x in text.translate(LOWER).split(b"\n")]
 
 
-def _positions(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """Double hashing: the bit positions of each hash, one array for each hash function."""
-    step = (hashes >> np.uint64(31)) | np.uint64(1)
-    for i in range(HASHES):
-        yield ((hashes + np.uint64(i) * step) & np.uint64(bits - 1)).astype(np.int64)
-
-
 def _hashes(batch: pa.RecordBatch) -> tuple[list[list[bytes]], np.ndarray]:
     """Distinct keys of each document, and the hashes of all of them in a row."""
     keys = [[k for k in dict.fromkeys(line_keys(t)) if k] for t in texts(batch, "_t")]
@@ -49,77 +47,83 @@ def _hashes(batch: pa.RecordBatch) -> tuple[list[list[bytes]], np.ndarray]:
 
 
 def _filters(docs: DataFrame, bits: int) -> DataFrame:
-    """shard, once, twice: the merged filters, zipped."""
+    """shard, once, twice: the merged filters, zipped. docs: _t."""
     kind = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("once", T.BinaryType()), T.StructField("twice", T.BinaryType())])
     target = arrow_schema(kind)
 
-    def rows(parts: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        zipped = lambda x: zlib.compress(x.tobytes(), 1)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(parts), pa.int32()), *(pa.array([zipped(v[i]) for v in parts.values()], pa.binary()) for i in (0, 1))],
-            schema=target,
-        )
+    def row(shard: int, parts: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x], pa.binary()) for x in parts)], schema=target)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice, any_rows = np.zeros(bits, bool), np.zeros(bits, bool), False
-        for b in batches:
-            _, h = _hashes(b)
-            if not len(h):
-                continue
-            any_rows = True
-            h, n = np.unique(h, return_counts=True)
-            seen = n > 1
-            seen |= np.logical_and.reduce([once[p] for p in _positions(h, bits)])
-            for p in _positions(h[seen], bits):
-                twice[p] = True
-            for p in _positions(h, bits):
-                once[p] = True
-        if any_rows:
-            a, b = (np.packbits(x).reshape(SHARDS, -1) for x in (once, twice))
-            yield rows({i: (a[i], b[i]) for i in range(SHARDS)})
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+        for b in (x.slice(i, ROWS_AT_ONCE) for x in batches for i in range(0, x.num_rows, ROWS_AT_ONCE)):
+            h, n = np.unique(_hashes(b)[1], return_counts=True)
+            bloom.put(twice, h[(n > 1) | bloom.has(once, h)])
+            bloom.put(once, h)
+        for shard, parts in bloom.shards(once, twice):
+            yield row(shard, parts)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             for shard, *zipped in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                once, twice = (np.frombuffer(zlib.decompress(x), np.uint8).copy() for x in zipped)
-                if shard in parts:
-                    o, t = parts[shard]
-                    t |= twice | (o & once)
-                    o |= once
-                else:
-                    parts[shard] = (once, twice)
-        if parts:
-            yield rows(parts)
+                once, twice = map(bloom.unzipped, zipped)
+                o, t = held.get(shard, (np.zeros_like(once), np.zeros_like(twice)))
+                held[shard] = (o | once, t | twice | (o & once))
+        for shard, parts in held.items():
+            yield row(shard, [zlib.compress(x.tobytes(), 1) for x in parts])
+
+    return docs.mapInArrow(fill, kind).repartition(bloom.n_tasks(bits), "shard").mapInArrow(merge, kind)
 
-    return docs.mapInArrow(fill, kind).repartition(SHARDS, "shard").mapInArrow(merge, kind)
 
+def digest(key: bytes) -> bytes:
+    """128 bits that stand for a key."""
+    return hashlib.sha256(key).digest()[:16]
 
-def suspects(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """_id, _digest: the distinct keys of each document that the twice-filter holds."""
+
+def suspects(docs: DataFrame, bits: int | None = None) -> DataFrame:
+    """docs: _id, _t. _id, _digest: the distinct keys of each document that the twice-filter holds."""
     docs = docs.select("_id", "_t")
-    twice = bytearray(bits // 8)
-    size = bits // 8 // SHARDS
-    for r in _filters(docs.select("_t"), bits).select("shard", "twice").collect():  # SHARDS rows, bits / 8 bytes
-        twice[r.shard * size : (r.shard + 1) * size] = zlib.decompress(r.twice)
-    sent = docs.sparkSession.sparkContext.broadcast(bytes(twice))
+    if bits is None:
+        breaks = F.length("_t") - F.length(F.replace("_t", F.lit("\n")))
+        bits = bloom.size_for(docs.agg(F.coalesce(F.sum(breaks + 1), F.lit(0))).first()[0], MOST_BITS)
+    twice = np.zeros(bits // 8, np.uint8)
+    for r in _filters(docs.select("_t"), bits).select("shard", "twice").toLocalIterator():  # bits / 8 bytes
+        twice[r.shard * bloom.SHARD_BYTES : (r.shard + 1) * bloom.SHARD_BYTES] = bloom.unzipped(r.twice)
+    sent = docs.sparkSession.sparkContext.broadcast(zlib.compress(twice, 1))
+    del twice
+    state: dict = {}
 
     def find(b: pa.RecordBatch) -> dict:
-        held = np.frombuffer(sent.value, np.uint8)
+        if "held" not in state:
+            state["held"] = bloom.unzipped(sent.value)
         keys, h = _hashes(b)
-        hit = np.logical_and.reduce([(held[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 for p in _positions(h, bits)]).tolist()
-        rows, digests, at, sha = [], [], 0, hashlib.sha256
+        hit = bloom.has(state["held"], h).tolist()
+        rows, digests, at = [], [], 0
         for i, ks in enumerate(keys):
             for k in ks:
                 if hit[at]:
                     rows.append(i)
-                    digests.append(sha(k).digest())
+                    digests.append(digest(k))
                 at += 1
         return {"_id": b.column(0).take(pa.array(rows, pa.int64())), "_digest": digests}
 
     return arrow_map(docs, find, T.StructType([docs.schema["_id"], T.StructField("_digest", T.BinaryType())]))
 
 
+def without(text: bytes, every: set[bytes] | dict, first: set[bytes]) -> tuple[list[bytes], int]:
+    """The lines that stay, and how many there were. Keys, by digest, in ``first`` stay once, others in ``every`` go."""
+    lines, kept, gone = text.split(b"\n"), [], set()
+    for line, key in zip(lines, line_keys(text), strict=True):
+        d = digest(key) if key else b""
+        if d in first and d not in gone:
+            gone.add(d)
+        elif d in every or d in first:
+            continue
+        kept.append(line)
+    return kept, len(lines)
+
+
 def dedup_lines(
     docs: DataFrame,
     *,
@@ -127,7 +131,8 @@ def dedup_lines(
     text_col: str = "text",
     min_docs: int = 10,
     keep: str = "none",
-    bits: int = BITS,
+    bits: int | None = None,
+    most_keys: int = MOST_KEYS,
 ) -> DataFrame:
     """Drop lines whose key is found in at least ``min_docs`` documents.
 
@@ -144,40 +149,42 @@ def dedup_lines(
         raise ValueError(f"keep: {keep}")
     found = written(suspects(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), bits))
     counts = found.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first")).filter(F.col("_n") >= min_docs)
-    # concat hides how the counts are dealt: a very common line may be split over tasks
-    counts = counts.select(F.concat(F.col("_digest"), F.lit(b"")).alias("_key"), "_first")
-    drops = (
-        found.join(counts, found["_digest"] == counts["_key"])
-        .withColumn("_keeps", F.coalesce(F.col("_id") == F.col("_first"), F.lit(False)) & F.lit(keep == "first"))
-        .groupBy(F.col("_id").alias("_of"))
-        .agg(F.collect_set(F.when(~F.col("_keeps"), F.col("_digest"))).alias("_drop"), F.collect_set(F.when(F.col("_keeps"), F.col("_digest"))).alias("_once"))
-    )
+    counts = written(counts.select("_digest", "_first"))
     base = docs.drop("n_lines", "n_dropped")
-    joined = base.join(drops, base[id_col].eqNullSafe(drops["_of"]), "left").drop("_of")
     kind = T.StructType([*base.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-
     passed = base.columns
+    col = lambda b, c: b.column(b.schema.get_field_index(c))
+
+    def changed(b: pa.RecordBatch, got: list[tuple[list[bytes], int]]) -> dict:
+        out = pa.array([b"\n".join(kept) for kept, _ in got], pa.binary()).cast(pa.string())
+        more = {text_col: out, "n_lines": [n for _, n in got], "n_dropped": [n - len(kept) for kept, n in got]}
+        return {c: col(b, c) for c in passed} | more
+
+    if counts.count() <= most_keys:
+        drops = {bytes(r._digest): r._first for r in counts.toLocalIterator()}  # most_keys rows at most
+        sent = docs.sparkSession.sparkContext.broadcast(drops)
+
+        def look_up(b: pa.RecordBatch) -> dict:
+            drops, got = sent.value, []
+            for text, i in zip(texts(b, text_col), col(b, id_col).to_pylist(), strict=True):
+                first = set()
+                if keep == "first" and i is not None:
+                    first = {d for d in map(digest, set(line_keys(text))) if drops.get(d) == i}
+                got.append(without(text, drops, first))
+            return changed(b, got)
+
+        return arrow_map(base, look_up, kind)
+
+    # concat hides how the counts are dealt: a very common line may be split over tasks
+    counts = counts.select(F.concat(F.col("_digest"), F.lit(b"")).alias("_key"), "_first")
+    stays = F.coalesce(F.col("_id") == F.col("_first"), F.lit(False)) & F.lit(keep == "first")
+    drops = found.join(counts, found["_digest"] == counts["_key"]).withColumn("_keeps", stays).groupBy(F.col("_id").alias("_of"))
+    of = lambda which: F.collect_set(F.when(which, F.col("_digest")))
+    drops = drops.agg(of(~F.col("_keeps")).alias("_drop"), of(F.col("_keeps")).alias("_once"))
+    joined = base.join(drops, base[id_col].eqNullSafe(drops["_of"]), "left").drop("_of")
 
     def apply(b: pa.RecordBatch) -> dict:
-        col = lambda c: b.column(b.schema.get_field_index(c))
-        sha, out, n_lines, n_dropped = hashlib.sha256, [], [], []
-        for text, drop, once in zip(texts(b, text_col), col("_drop").to_pylist(), col("_once").to_pylist(), strict=True):
-            lines = text.split(b"\n")
-            n_lines.append(len(lines))
-            if drop or once:
-                every, first, kept = set(drop), set(once), []
-                for line, key in zip(lines, line_keys(text), strict=True):
-                    d = sha(key).digest() if key else b""
-                    if d in every:
-                        continue
-                    if d in first:  # this one stays, later ones go
-                        every.add(d)
-                    kept.append(line)
-            else:
-                kept = lines
-            n_dropped.append(len(lines) - len(kept))
-            out.append(b"\n".join(kept))
-        rows = {c: col(c) for c in passed}
-        return rows | {text_col: pa.array(out, pa.binary()).cast(pa.string()), "n_lines": n_lines, "n_dropped": n_dropped}
+        each = zip(texts(b, text_col), col(b, "_drop").to_pylist(), col(b, "_once").to_pylist(), strict=True)
+        return changed(b, [without(text, set(drop or ()), set(once or ())) for text, drop, once in each])
 
     return arrow_map(joined, apply, kind)

@@ -1,8 +1,10 @@
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from loomstone.llm.line_dedup import dedup_lines, line_keys
+from loomstone.llm import bloom
+from loomstone.llm.line_dedup import MOST_BITS, dedup_lines, line_keys
 from tests.llm.helpers import EDGE, clashing, docs
 
 
@@ -56,6 +58,38 @@ def test_clashing_columns_and_empty_table(spark):
     assert dedup_lines(docs(spark, []), bits=1 << 16).count() == 0
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_many_keys_are_joined(spark, keep):
+    """The same result where the keys to drop are too many to travel."""
+    rows = [*EDGE, *((100 + i, f"Shared {i % 3}\nshared {i % 4}\n\nown {i}\nSHARED {i % 3} ", "en", "s", 1) for i in range(50))]
+    want = brute(rows, 3, keep == "first")
+    assert run(docs(spark, rows), min_docs=3, keep=keep, most_keys=0) == want
+    assert run(docs(spark, rows), min_docs=3, keep=keep) == want
+
+
+def test_few_false_alarms():
+    """At the size that is chosen for a million keys, twice as many keys as are repeated are never suspects; at most a few in a thousand are."""
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 1 << 64, 1_000_000, np.uint64)
+    bits = bloom.size_for(len(keys) + 50_000, MOST_BITS)
+    once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+    repeats = 0
+    for part in np.array_split(np.r_[keys, keys[:50_000]], 64):
+        seen = bloom.has(once, part)
+        repeats += int(seen.sum())
+        bloom.put(twice, part[seen])
+        bloom.put(once, part)
+    assert bloom.has(twice, keys[:50_000]).all()
+    assert bloom.has(twice, keys).sum() < 1.1 * 50_000
+    assert bloom.size_for(10**8, MOST_BITS) >= 16 * 10**8
+
+
+def test_size_follows_the_lines(spark):
+    rows = [(i, "\n".join(f"line {i} {j}" for j in range(200)) + "\nshared", "en", "s", 1) for i in range(30)]
+    got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in dedup_lines(docs(spark, rows), min_docs=9).collect()), key=str)
+    assert got == brute(rows, 9)
+
+
 def test_other_keep(spark):
     with pytest.raises(ValueError):
         dedup_lines(docs(spark), keep="some")
