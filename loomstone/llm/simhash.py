@@ -34,8 +34,6 @@ from loomstone.llm.components import components
 PIVOTS, BLOCKS, HEAVY, SLAB_PIVOTS = 16, 6, 4096, 2
 #: Nodes whose links a task holds before it sends them on.
 MOST_NODES = 1_000_000
-#: Bits of a set's parity bitmap; keys of more nodes than CROWDED come last among shingles, of these the MOST_LATE most frequent.
-PARITY, CROWDED, MOST_LATE = 1024, 64, 1 << 16
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -141,7 +139,7 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np
     """Columns of sorted rows, cut so that rows with equal values of the first ``keys`` columns come together."""
     held: list[list[np.ndarray]] = []  # rows of the run that is not known to be over
     for batch in batches:
-        new = [c.to_numpy() for c in batch.columns]
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if not len(new[0]):
             continue
         other = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in new[:keys]]))
@@ -222,188 +220,6 @@ def links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
     return dealt.repartition(n, "_key", "_slab").sortWithinPartitions("_key", "_slab", "_fp").mapInArrow(_forest(max_bits), "a long, b long")
 
 
-def shingle_set(text: bytes, words_each: int) -> np.ndarray:
-    """XXH3 (64 bits) of the distinct shingles, ascending. Sets are compared by these hashes."""
-    h = xxhash.xxh3_64_intdigest
-    return np.unique(np.array([h(x) for x in set(shingles(text, words_each))], np.uint64))
-
-
-def _least_common(n, similarity: float):
-    """How many of n shingles a set at least that similar has in common with this one."""
-    return np.ceil(n * similarity - 1e-9).astype(np.int64)
-
-
-def prefix(hashes: np.ndarray, similarity: float, late: np.ndarray | None = None) -> np.ndarray:
-    """The first shingles in an order that is the same for all sets (by hash, those in ``late`` after all others):
-    two sets at least that similar have one of them in common."""
-    n = len(hashes) - int(_least_common(np.int64(len(hashes)), similarity)) + 1 if len(hashes) else 0
-    if late is not None:
-        last = np.isin(hashes, late)
-        hashes = np.concatenate([hashes[~last], hashes[last]])
-    return hashes[:n]
-
-
-def parity_bits(hashes: np.ndarray) -> bytes:
-    """A bit is the parity of the shingles that fall on it, so two sets differ in at least as many shingles as
-    their bits differ."""
-    return np.packbits(np.bincount((hashes >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1).tobytes()
-
-
-def _keys(sets: DataFrame, similarity: float, late: np.ndarray | None = None) -> DataFrame:
-    """sets: _node, _set (or the prefix of it). _key, _node for each shingle of the prefix."""
-    target = pa.schema([("_key", pa.int64()), ("_node", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x.slice(i, 4096) for x in batches for i in range(0, x.num_rows, 4096)):
-            found = [np.frombuffer(s, np.uint64) for s in b.column(1).to_pylist()]
-            if late is not None:
-                found = [prefix(s, similarity, late) for s in found]
-            if found:
-                node = np.repeat(b.column(0).to_numpy(), [len(s) for s in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(node)], schema=target)
-
-    return sets.mapInArrow(run, "_key long, _node long")
-
-
-def _shared(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Keys of several nodes (_k, _times), and the rows of these keys."""
-    counts = written(keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1").select(opaque("_key").alias("_k"), "_times"))
-    return counts, keys.join(counts, F.col("_key") == F.col("_k")).select("_key", "_node")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """pairs a, b whose sets have at least that Jaccard similarity."""
-    target = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], schema=target)
-
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            size = b.column(2).to_numpy() + b.column(3).to_numpy()
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(-1, PARITY // 64) for i in (4, 5))
-            keep = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= size * (1 - similarity) / (1 + similarity) + 1e-6
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in b.columns[:2]], schema=target)
-
-    def joined(pairs: DataFrame, sets: DataFrame, *cols: str) -> DataFrame:
-        of = lambda n: sets.select(opaque("_node").alias(f"_{n}"), *(F.col(c).alias(f"{c}_{n}") for c in cols))
-        return pairs.join(of("a"), F.col("a") == F.col("_a")).join(of("b"), F.col("b") == F.col("_b"))
-
-    sized = joined(pairs, sets, "_size", "_bits").filter((F.col("_size_a") >= F.col("_size_b") * similarity - 1e-9) & (F.col("_size_b") >= F.col("_size_a") * similarity - 1e-9))
-    left = written(sized.select("a", "b", "_size_a", "_size_b", "_bits_a", "_bits_b").mapInArrow(possible, "a long, b long"))
-    nodes = written(left.select(F.explode(F.array("a", "b")).alias("_of")).distinct())
-    needed = sets.select("_node", "_set").join(nodes, F.col("_node") == F.col("_of"), "left_semi")
-    return joined(left, needed, "_set").select("a", "b", "_set_a", "_set_b").mapInArrow(run, "a long, b long")
-
-
-def _open_pairs(similarity: float):
-    """Rows (_key, _node, _group, _size, _bits) by key: pairs of different groups that may be that similar."""
-    target = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    refs = np.random.default_rng(2).integers(0, 256, (PIVOTS, PARITY // 8), np.uint8).view(np.uint64)
-    differ = lambda x, y: np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int32)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain = (pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.array(x) for x in np.frombuffer(b"".join(b.column(4).to_pylist()), np.int64).reshape(b.num_rows, -1).T.copy())], names=[str(i) for i in range(4 + PARITY // 64)]) for b in batches)
-        for key, node, group, size, *bits in whole_runs(plain, 1):
-            bits = np.stack(bits, axis=1).view(np.uint64)
-            table = np.stack([differ(bits, r) for r in refs], axis=1)
-            end = np.searchsorted(key, key, side="right")
-            found = []
-            for i in range(len(key) - 1):
-                j = np.arange(i + 1, end[i])
-                j = j[(group[j] != group[i]) & (np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]) - 1e-9)]
-                most = (size[j] + size[i]) * (1 - similarity) / (1 + similarity) + 1e-6  # shingles that only one of the two has
-                left = np.abs(table[j] - table[i]).max(axis=1, initial=0) <= most
-                j, most = j[left], most[left]
-                j = j[differ(bits[j], bits[i]) <= most]
-                if len(j):
-                    found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]))
-            if found:
-                a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=target)
-
-    return run
-
-
-def jaccard_links(prefixes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """prefixes: _node, _prefix, of different sets; sets: _node, _set, _size, _bits of these nodes and maybe others. Edges a, b of that Jaccard similarity at least; their components
-    are those of all such pairs.
-
-    Candidates share a shingle of their prefixes, which loses no pair. Keys of over ``CROWDED`` nodes, the most frequent
-    ones, are put last in the order of shingles, and the prefixes with one of them are taken again. A
-    key's nodes are first compared with two of them; what is not in one component then is compared
-    pair by pair, where sizes and bits allow it."""
-    spark = sets.sparkSession
-    keys = written(_keys(prefixes, similarity))
-    counts, rows = _shared(keys)
-    late = [r._k for r in counts.filter(F.col("_times") > CROWDED).orderBy(F.desc("_times"), "_k").limit(MOST_LATE).collect()]
-    if late:
-        crowded = spark.createDataFrame([(k,) for k in late], "_l long")
-        again = written(keys.join(F.broadcast(crowded), F.col("_key") == F.col("_l"), "left_semi").select(opaque("_node").alias("_again")).distinct())
-        new = _keys(sets.join(again, F.col("_node") == F.col("_again"), "left_semi").select("_node", "_set"), similarity, np.array(late, np.int64).view(np.uint64))
-        keys = written(keys.join(again, F.col("_node") == F.col("_again"), "left_anti").unionByName(new))
-        counts, rows = _shared(keys)
-    rows = written(rows)
-
-    edges, grouped = None, rows.withColumn("_group", F.col("_node"))
-    for end in (F.min, F.max):
-        hubs = grouped.groupBy("_key").agg(end(F.struct("_node", "_group")).alias("_hub"), F.min("_group").alias("_g0"), F.max("_group").alias("_g1"))
-        hubs = hubs.filter("_g0 < _g1").select(opaque("_key").alias("_k"), "_hub")
-        pairs = grouped.join(hubs, F.col("_key") == F.col("_k")).filter(F.col("_group") != F.col("_hub._group"))
-        new = _verified(written(pairs.select(F.least("_node", "_hub._node").alias("a"), F.greatest("_node", "_hub._node").alias("b")).distinct()), sets, similarity)
-        edges = written(new if edges is None else edges.union(new))
-        label = components(edges).select(opaque("node").alias("_n"), "component")
-        grouped = written(rows.join(label, F.col("_node") == F.col("_n"), "left").select("_key", "_node", F.coalesce("component", "_node").alias("_group")))
-    several = grouped.groupBy("_key").agg(F.min("_group").alias("_g0"), F.max("_group").alias("_g1")).filter("_g0 < _g1").select(opaque("_key").alias("_k"))
-    left = grouped.join(several, F.col("_key") == F.col("_k"), "left_semi")
-    left = left.join(sets.select(opaque("_node").alias("_n"), "_size", "_bits"), F.col("_node") == F.col("_n")).select("_key", "_node", "_group", "_size", "_bits")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = left.repartition(parts, "_key").sortWithinPartitions("_key", "_node").mapInArrow(_open_pairs(similarity), "a long, b long")
-    return edges.union(_verified(written(pairs.distinct()), sets, similarity))
-
-
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Groups of documents linked by a Jaccard similarity of their distinct shingles of ``similarity`` at least, over any
-    number of steps; no such pair is missed, and every link is verified on the whole sets (as 64-bit hashes).
-
-    Returns the id and component_id, as near_groups does, which defines nulls, ties,
-    repeated rows and empty tables; texts with equal sets, so also those without words, are one group.
-    """
-    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-
-    def each(b: pa.RecordBatch) -> dict:
-        found = [shingle_set(t, words_each) for t in texts(b, "_t")]
-        pairs = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in found), np.int64).reshape(-1, 2)
-        return {
-            "_id": b.column(0),
-            "_low": pa.array(pairs[:, 0].copy()),
-            "_high": pa.array(pairs[:, 1].copy()),
-            "_prefix": [prefix(s, similarity).tobytes() for s in found],
-            "_size": [len(s) for s in found],
-            "_bits": [parity_bits(s) for s in found],
-            "_set": [s.tobytes() for s in found],
-        }
-
-    longs = [T.StructField(n, T.LongType()) for n in ("_low", "_high")]
-    kind = T.StructType([src.schema["_id"], *longs, T.StructField("_prefix", T.BinaryType()), T.StructField("_size", T.LongType()), T.StructField("_bits", T.BinaryType()), T.StructField("_set", T.BinaryType())])
-    fps = written(arrow_map(src, each, kind).withColumn("_row", F.monotonically_increasing_id()))
-    distinct = written(fps.groupBy("_low", "_high").agg(F.min("_id").alias("_least"), F.min("_row").alias("_node")))
-    chosen = distinct.select(opaque("_node").alias("_c"))
-    prefixes = fps.select(F.col("_row").alias("_node"), "_prefix").join(chosen, F.col("_node") == F.col("_c"), "left_semi")
-    label = components(jaccard_links(prefixes, fps.select(F.col("_row").alias("_node"), "_set", "_size", "_bits"), similarity))
-    grouped = written(distinct.join(label, distinct["_node"] == label["node"], "left").select("_low", "_high", "_least", F.coalesce("component", "_node").alias("_group")))
-    least = grouped.groupBy("_group").agg(F.min("_least").alias("component_id")).select(opaque("_group").alias("_g"), "component_id")
-    member = written(grouped.join(least, F.col("_group") == F.col("_g")).select(F.col("_low").alias("_l"), F.col("_high").alias("_h"), "component_id"))
-    out = fps.join(member, (F.col("_low") == F.col("_l")) & (F.col("_high") == F.col("_h")))
-    return out.select(F.col("_id").alias(id_col), "component_id")
-
-
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, max_bits: int = 3) -> DataFrame:
     """SimHash fingerprints and groups of documents linked by them, over any number of steps.
 

@@ -4,7 +4,8 @@ import numpy as np
 import xxhash
 
 from loomstone.llm.components import components
-from loomstone.llm.simhash import fingerprint, keep_one, near_groups, similar_groups
+from loomstone.llm.similar import similar_groups
+from loomstone.llm.simhash import fingerprint, keep_one, near_groups
 from tests.llm.helpers import EDGE, clashing, docs
 
 
@@ -144,7 +145,7 @@ def edited_copies(seed, families=120, words=100):
 
 
 def test_pairs_just_over_and_under_the_rule(spark, monkeypatch):
-    from loomstone.llm import simhash
+    from loomstone.llm import similar
 
     rows = edited_copies(1)
     want, alike = exact_groups(rows)
@@ -154,5 +155,59 @@ def test_pairs_just_over_and_under_the_rule(spark, monkeypatch):
     rows = [(i, t + " this passage is in all of them", *x) for i, t, *x in rows]
     want, _ = exact_groups(rows)
     assert run() == want
-    monkeypatch.setattr(simhash, "CROWDED", 1)  # all shared keys come last
+    monkeypatch.setattr(similar, "CROWDED", 1)  # all shared keys come last
+    assert run() == want
+    monkeypatch.setattr(similar, "TILE", 7)
     assert run() == want
+
+
+def test_a_large_group_in_tiles(spark, monkeypatch):
+    """A chain of near copies of one text: few of its pairs are links, and a shingle that all have is dealt into tiles."""
+    from loomstone.llm import similar
+
+    monkeypatch.setattr(similar, "TILE", 16)
+    rng = random.Random(11)
+    rows, text = [], [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    for i in range(150):
+        rows.append((i, " ".join(text), "en", "s", 1))
+        text[(i * 7) % 140] = f"v{rng.randrange(10**6)}"
+    rng.shuffle(rows)
+    want, alike = exact_groups(rows)
+    assert {r.doc_id: r.component_id for r in similar_groups(docs(spark, rows)).collect()} == want
+    assert sum(s < 0.8 for s in alike.values()) > len(alike) / 2
+
+
+def test_similar_edge_rows(spark):
+    from loomstone.llm.simhash import shingles
+
+    sets = [frozenset(shingles((t or "").encode(), 5)) for _, t, *_ in EDGE]
+    ids = [r[0] for r in EDGE]
+    want = grouped(ids, [(i, j) for i in range(len(ids)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in similar_groups(clashing(docs(spark)).drop("component_id")).collect())
+    assert got == sorted(zip(map(str, ids), map(str, want), strict=True))
+
+
+def test_pivot_tables_discard_pairs():
+    from loomstone.llm.similar import PARITY, Run, parity_bits
+
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, 30, np.uint64)) for _ in range(200)]
+    bits = np.stack([np.frombuffer(parity_bits(s), np.uint64) for s in sets])
+    assert bits.shape == (200, PARITY // 64)
+    run = Run(0.8, np.full(200, 30), bits, np.array([s.tobytes() for s in sets], object))
+    far = np.abs(run.table[:, None] - run.table[None]).max(axis=2) > 60 * 0.2 / 1.8
+    assert far[np.triu_indices(200, 1)].mean() > 0.9
+    i, j = np.triu_indices(200, 1)
+    assert len(run.alike(i, j)) == 0
+
+
+def test_bloom_filters(spark):
+    from loomstone.llm import bloom
+
+    rng = np.random.default_rng(8)
+    keys = rng.integers(-(2**63), 2**63, 20_000)
+    sent = bloom.filter_of(spark.createDataFrame([(int(k),) for k in keys], "k long"), len(keys))
+    held = np.frombuffer(sent.value, np.uint8)
+    assert bloom.has(held, keys.view(np.uint64)).all()
+    assert bloom.has(held, rng.integers(-(2**63), 2**63, 20_000).view(np.uint64)).mean() < 0.01
+    assert bloom.size_for(0) == bloom.LEAST_BITS and bloom.size_for(1 << 40) == bloom.MOST_BITS
