@@ -1,15 +1,21 @@
 """Embedding near-dedup by an epsilon grid order join.
 
-Unit vectors with cosine c lie sqrt(2 - 2c) apart, so a cosine threshold is a distance epsilon.
-Vectors are projected on their leading principal dimensions (distances never grow), sorted by the
-grid cells of that projection (epsilon grid order), and cut into blocks of consecutive vectors. Two
-blocks whose bounding boxes are more than epsilon apart are never brought together; of two blocks that
-are, only the vectors within epsilon of the other's box travel. Within a pair of blocks the two
-sequences are joined recursively: intervals are halved, and pairs of intervals that are provably
-distant are skipped. What is left is compared by cosine in double precision over all dimensions.
-
-Equal vectors are one row with a weight until the end, so a very common vector costs nothing.
-The driver holds the limits of at most ``MOST_BLOCKS`` blocks, whatever the input.
+Unit vectors with cosine c lie sqrt(2 - 2c) apart, so a cosine threshold is a distance epsilon. A vector's
+coordinates are its leading principal dimensions and the length of what they leave out: as the lengths of
+two residuals differ by no more than the residuals do, coordinates are never farther apart than the vectors.
+Coordinates are sorted by the grid cells of the first of them (epsilon grid order) and cut into blocks
+of consecutive vectors. Two blocks whose bounding boxes are more than epsilon apart are never brought together; of
+two that are not, only the vectors within epsilon of the other's box travel, as coordinates of 16 bits. Within a
+pair of blocks the two sequences are joined recursively: intervals are halved, and pairs of intervals that
+are provably distant are skipped. What is left, with the rounding allowed for, names the vectors that may
+have a link there. These alone travel as they are, and are joined in the same way by cosine in double precision.
+
+Where vectors have clusters, most pairs of blocks are skipped. Where all directions are alike, no box is far from another:
+then each block's coordinates, 2 bytes for each of ``LEADING`` dimensions, meet those of all others, a cost that grows with
+the square of the number of blocks, but no whole vector travels without a near coordinate.
+
+Equal vectors are one row with a weight until the end, so a very common vector costs nothing. A block has ``BLOCK``
+vectors at most. The driver holds the boxes of the blocks, some 0.03 bytes for each vector.
 """
 
 from __future__ import annotations
@@ -18,8 +24,8 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +33,10 @@ from pyspark.sql import types as T
 from loomstone.llm.common import arrow_map, opaque, written
 from loomstone.llm.components import components
 
-LEADING, BLOCK, MOST_BLOCKS, LEAF = 8, 2048, 16_384, 256
+#: Principal dimensions that are compared first, and how many of them make the grid; rows of a block and of a leaf.
+LEADING, GRID, BLOCK, LEAF = 32, 8, 16_384, 128
+#: What rounding to 16 bits may change of a vector's coordinates, and so of a product of two.
+ROUNDING = 2.0**-11
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -41,10 +50,18 @@ def _matrix(col: pa.Array, d: int) -> np.ndarray:
     return np.asarray(col.flatten().to_numpy(zero_copy_only=False)).reshape(-1, d)
 
 
+def coordinates(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Projections of unit vectors, and the lengths of what is left: unit vectors again."""
+    c = x @ axes
+    return np.c_[c, np.sqrt(np.maximum(0.0, 1 - (c * c).sum(axis=1)))]
+
+
 def _axes(rows: DataFrame, d: int) -> np.ndarray:
-    """The leading principal dimensions of the unit vectors in _v, as columns."""
+    """The leading principal dimensions of the unit vectors in _v, as columns, most variance first."""
     kind = T.StructType([T.StructField("p", T.IntegerType()), T.StructField("m", T.BinaryType())])
-    pack = lambda m: pa.RecordBatch.from_pydict({"p": pa.array([int(np.abs(m).sum() * 1e6) % 16], pa.int32()), "m": pa.array([m.tobytes()], pa.binary())})
+
+    def pack(m: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"p": pa.array([int(np.abs(m).sum() * 1e6) % 16], pa.int32()), "m": pa.array([m.tobytes()], pa.binary())})
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((d + 1, d + 1))
@@ -91,7 +108,8 @@ def join_intervals(
 ) -> Iterator[tuple[int, int, np.ndarray]]:
     """(offset in a, offset in b, matrix of links) of all leaves that have links.
 
-    u: unit vectors, c: their projections, both in epsilon grid order. same: a and b are one
+    u: vectors whose products are compared with the threshold, c: coordinates that are never farther apart than the
+    vectors, both in epsilon grid order. same: a and b are one
     sequence; then each pair comes once, and a vector is never linked with itself."""
 
     def boxes(c: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
@@ -126,68 +144,156 @@ def join_intervals(
             todo += [(x, y) for x in halves(*a) for y in halves(*b)]
 
 
-def _pair_schema() -> T.StructType:
-    longs = T.ArrayType(T.LongType())
-    return T.StructType([T.StructField(n, longs) for n in ("nodes", "links", "a", "b")])
+def near_blocks(lo: np.ndarray, hi: np.ndarray, own: int, eps: float) -> list[int]:
+    """The blocks whose boxes are not provably farther than eps from that of a block."""
+    return np.flatnonzero(_gap(lo[own], hi[own], lo, hi) <= eps).tolist()
+
+
+def _longs(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.LongType()) for n in names])
 
 
-def _joined(blocks: DataFrame, axes: np.ndarray, d: int, threshold: float, eps: float) -> DataFrame:
-    """For each pair of blocks: nodes and how many vectors they link to, and edges of a forest."""
-    limits = sorted(((r._block, r.lo, r.hi) for r in blocks.select("_block", "lo", "hi").collect()), key=lambda x: x[0])
-    number = [x[0] for x in limits]
+def _blocks(rows: DataFrame, axes: np.ndarray, d: int, n: int, eps: float) -> DataFrame:
+    """rows: _node, _v. number, node, c, lo, hi: blocks in epsilon grid order, nodes and 16-bit coordinates as bytes."""
+
+    def place(b: pa.RecordBatch) -> dict:
+        c = coordinates(unit(_matrix(b.column(1), d)), axes)
+        return {"_node": b.column(0), "_pos": _position(c[:, :GRID], eps), "_c": [r.tobytes() for r in c.astype(np.float16)]}
+
+    kind = T.StructType([T.StructField("_node", T.LongType()), T.StructField("_pos", T.DoubleType()), T.StructField("_c", T.BinaryType())])
+    placed = arrow_map(rows.select("_node", "_v"), place, kind)
+    ordered = placed.repartitionByRange(-(-n // BLOCK), "_pos", "_node").sortWithinPartitions("_pos", "_node")
+    width = axes.shape[1] + 1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        nodes, held, size = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            nonlocal number, size
+            node, c = np.concatenate(nodes), np.concatenate(held)
+            number += 1
+            row = [[number], [node.tobytes()], [c.tobytes()], [c.min(axis=0).astype(float).tolist()], [c.max(axis=0).astype(float).tolist()]]
+            nodes.clear()
+            held.clear()
+            size = 0
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in row], names=["number", "node", "c", "lo", "hi"])
+
+        for b in (x.slice(i, 1024) for x in batches for i in range(0, x.num_rows, 1024)):
+            if size + b.num_rows > BLOCK:
+                yield out()
+            nodes.append(b.column(0).to_numpy())
+            held.append(np.frombuffer(b"".join(b.column(2).to_pylist()), np.float16).reshape(-1, width))
+            size += b.num_rows
+        if size:
+            yield out()
+
+    return written(ordered.mapInArrow(cut, "number long, node binary, c binary, lo array<double>, hi array<double>"))
+
+
+def _candidates(blocks: DataFrame, width: int, eps: float) -> DataFrame:
+    """i, j, side, node: the vectors that may have a link between two blocks, or within one."""
+    limits = sorted(((r.number, r.lo, r.hi) for r in blocks.select("number", "lo", "hi").collect()), key=lambda x: x[0])
+    number = np.array([x[0] for x in limits], np.int64)
     lo, hi = (np.array([x[i] for x in limits]).reshape(len(limits), -1) for i in (1, 2))
-    sent = blocks.sparkSession.sparkContext.broadcast((number, lo, hi, axes))
-    kind = T.StructType([T.StructField(n, T.LongType()) for n in ("i", "j", "side")] + [T.StructField(n, T.BinaryType()) for n in ("node", "w", "v")])
+    sent = blocks.sparkSession.sparkContext.broadcast((number, lo, hi))
+    far = eps + 2 * ROUNDING + 1e-6
+    least = 1 - 2 * ROUNDING - far * far / 2 - 1e-6
+    kind = T.StructType([*_longs("i", "j", "side").fields, T.StructField("node", T.BinaryType()), T.StructField("c", T.BinaryType())])
 
     def deal(b: pa.RecordBatch) -> dict:
-        number, lo, hi, axes = sent.value
+        number, lo, hi = sent.value
         out: dict[str, list] = {n: [] for n in kind.names}
-        for block, node, w, v in zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in ("_block", "node", "w", "v")), strict=True):
-            node, w, x = np.frombuffer(node, np.int64), np.frombuffer(w, np.int64), np.frombuffer(v, np.float64).reshape(-1, d)
-            c = x @ axes
-            own = number.index(block)
-            for k in np.flatnonzero(_gap(lo[own], hi[own], lo, hi) <= eps + 1e-9).tolist():
-                near = slice(None) if k == own else np.flatnonzero(_gap(c, c, lo[k], hi[k]) <= eps + 1e-9)
-                if k == own or len(near):
-                    row = (min(block, number[k]), max(block, number[k]), int(block > number[k]), node[near].tobytes(), w[near].tobytes(), x[near].tobytes())
+        for block, node, c in zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in ("number", "node", "c")), strict=True):
+            node, c = np.frombuffer(node, np.int64), np.frombuffer(c, np.float16).reshape(-1, width)
+            wide, own = c.astype(np.float64), int(np.searchsorted(number, block))
+            for k in near_blocks(lo, hi, own, far):
+                near = np.arange(len(c)) if k == own else np.flatnonzero(_gap(wide, wide, lo[k], hi[k]) <= far)
+                if len(near):
+                    row = (min(own, k), max(own, k), int(own > k), node[near].tobytes(), c[near].tobytes())
                     for n, value in zip(kind.names, row, strict=True):
                         out[n].append(value)
         return out
 
-    def join(table: pa.Table) -> pa.Table:
+    def meet(table: pa.Table) -> pa.Table:
         rows = {r["side"]: r for r in table.to_pylist()}
-        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        found: list[tuple[int, np.ndarray]] = []
+        if i == j or len(rows) == 2:
+            read = lambda r: (np.frombuffer(r["node"], np.int64), np.frombuffer(r["c"], np.float16).reshape(-1, width).astype(np.float32))
+            na, ca = read(rows[0])
+            nb, cb = (na, ca) if i == j else read(rows[1])
+            hits = [np.zeros(len(na), bool), np.zeros(len(nb), bool)]
+            for s, t, hit in join_intervals(ca, ca, cb, cb, i == j, least, far):
+                hits[0][s : s + hit.shape[0]] |= hit.any(axis=1)
+                hits[1][t : t + hit.shape[1]] |= hit.any(axis=0)
+            found = [(0, na[hits[0] | hits[1]])] if i == j else [(0, na[hits[0]]), (1, nb[hits[1]])]
+        nodes = np.concatenate([x for _, x in found]) if found else np.empty(0, np.int64)
+        side = np.concatenate([np.full(len(x), k, np.int64) for k, x in found]) if found else nodes
+        return pa.table({"i": np.full(len(nodes), i), "j": np.full(len(nodes), j), "side": side, "node": nodes})
+
+    dealt = arrow_map(blocks.select("number", "node", "c"), deal, kind)
+    return dealt.groupBy("i", "j").applyInArrow(meet, _longs("i", "j", "side", "node"))
+
+
+def _pair_schema() -> T.StructType:
+    longs = T.ArrayType(T.LongType())
+    return T.StructType([T.StructField(n, longs) for n in ("nodes", "links", "a", "b")])
+
+
+class Leaves:
+    """Links of leaves: how much each node links to, and a forest of the links."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def add(self, a: np.ndarray, b: np.ndarray, hit: np.ndarray) -> None:
+        """Nodes a and b, and which of them link: labels run along the links until each has the least of its component."""
+        la, lb, top = a.copy(), b.copy(), np.iinfo(np.int64).max
+        while True:
+            new_b = np.minimum(lb, np.where(hit, la[:, None], top).min(axis=0))
+            new_a = np.minimum(la, np.where(hit, new_b[None, :], top).min(axis=1))
+            if (new_a == la).all() and (new_b == lb).all():
+                break
+            la, lb = new_a, new_b
+        for x, y in (*zip(a.tolist(), la.tolist(), strict=True), *zip(b.tolist(), lb.tolist(), strict=True)):
+            if x != y and (p := self.root(x)) != (q := self.root(y)):
+                self.parent[max(p, q)] = min(p, q)
+
+
+def _exact(candidates: DataFrame, rows: DataFrame, axes: np.ndarray, d: int, threshold: float, eps: float) -> DataFrame:
+    """candidates: i, j, side, node; rows: _node, _v, _n. For each pair of blocks, nodes and how many vectors
+    they link to, and edges of a forest."""
+    whole = rows.select(opaque("_node").alias("_of"), "_v", F.col("_n").cast("long").alias("_w"))
+    placed = candidates.join(whole, F.col("node") == F.col("_of")).select("i", "j", "side", "node", "_w", "_v")
+
+    def join(table: pa.Table) -> pa.Table:
         empty = {n: pa.array([], pa.list_(pa.int64())) for n in ("nodes", "links", "a", "b")}
-        if not same and len(rows) < 2:
-            return pa.table(empty)
-        axes = sent.value[3]
-        read = lambda r: (np.frombuffer(r["node"], np.int64), np.frombuffer(r["w"], np.int64).astype(np.float64), np.frombuffer(r["v"], np.float64).reshape(-1, d))
-        na, wa, ua = read(rows[0])
-        nb, wb, ub = (na, wa, ua) if same else read(rows[1])
-        links_a, links_b = np.zeros(len(na)), np.zeros(len(nb))
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        for s, t, hit in join_intervals(ua, ua @ axes, ub, ub @ axes, same, threshold, eps + 1e-9):
+        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        sides = []
+        for k in (0,) if same else (0, 1):
+            t = table.filter(pa.compute.equal(table.column("side"), k))
+            x = unit(_matrix(t.column("_v").combine_chunks(), d)) if t.num_rows else np.empty((0, d))
+            c = coordinates(x, axes) if t.num_rows else np.empty((0, axes.shape[1] + 1))
+            node = t.column("node").to_numpy()
+            order = np.lexsort((node, _position(c[:, :GRID], eps)))
+            sides.append((node[order], t.column("_w").to_numpy()[order].astype(float), x[order], c[order]))
+        (na, wa, ua, ca), (nb, wb, ub, cb) = sides[0], sides[-1]
+        links_a, links_b, leaves = np.zeros(len(na)), np.zeros(len(nb)), Leaves()
+        for s, t, hit in join_intervals(ua, ca, ub, cb, same, threshold, eps + 1e-9):
             n, m = hit.shape
             links_a[s : s + n] += hit @ wb[t : t + m]
             links_b[t : t + m] += wa[s : s + n] @ hit
-            la, lb = na[s : s + n].copy(), nb[t : t + m].copy()
-            top = np.iinfo(np.int64).max
-            while True:  # the least node of each component of this leaf
-                new_b = np.minimum(lb, np.where(hit, la[:, None], top).min(axis=0))
-                new_a = np.minimum(la, np.where(hit, new_b[None, :], top).min(axis=1))
-                if (new_a == la).all() and (new_b == lb).all():
-                    break
-                la, lb = new_a, new_b
-            for x, y in [*zip(na[s : s + n].tolist(), la.tolist(), strict=True), *zip(nb[t : t + m].tolist(), lb.tolist(), strict=True)]:
-                if x != y and (p := root(x)) != (q := root(y)):
-                    parent[max(p, q)] = min(p, q)
-        edges = [(x, root(x)) for x in list(parent) if root(x) != x]
+            leaves.add(na[s : s + n], nb[t : t + m], hit)
+        edges = [(x, leaves.root(x)) for x in list(leaves.parent) if leaves.root(x) != x]
         nodes, links = (na, links_a + links_b) if same else (np.r_[na, nb], np.r_[links_a, links_b])
         some = links > 0
         if not some.any():
@@ -195,49 +301,15 @@ def _joined(blocks: DataFrame, axes: np.ndarray, d: int, threshold: float, eps:
         cols = (nodes[some].tolist(), links[some].astype(np.int64).tolist(), [e[0] for e in edges], [e[1] for e in edges])
         return pa.table({n: pa.array([c], pa.list_(pa.int64())) for n, c in zip(empty, cols, strict=True)})
 
-    return arrow_map(blocks, deal, kind).groupBy("i", "j").applyInArrow(join, _pair_schema())
+    return placed.groupBy("i", "j").applyInArrow(join, _pair_schema())
 
 
 def _of_one_dimension(rows: DataFrame, d: int, n: int, threshold: float) -> DataFrame:
-    """rows: _node, _v, _n, all of d components. Returns what _joined does."""
+    """rows: _node, _v, _n, all of d components. Returns what _exact does."""
     eps = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     axes = _axes(rows, d)
-
-    def place(b: pa.RecordBatch) -> dict:
-        x = unit(_matrix(b.column(1), d))
-        return {"_node": b.column(0), "_w": b.column(2), "_pos": _position(x @ axes, eps), "_u": [r.tobytes() for r in x]}
-
-    kind = T.StructType([T.StructField("_node", T.LongType()), T.StructField("_w", T.LongType()), T.StructField("_pos", T.DoubleType()), T.StructField("_u", T.BinaryType())])
-    placed = arrow_map(rows.select("_node", "_v", "_n"), place, kind)
-    count = min(MOST_BLOCKS, -(-n // BLOCK))
-    cuts = np.array([])
-    if count > 1:
-        shares = ",".join(repr(i / count) for i in range(1, count))
-        cuts = np.unique(placed.agg(F.expr(f"percentile_approx(_pos, array({shares}), {max(10_000, 20 * count)})")).first()[0])
-
-    @F.pandas_udf("long")
-    def block(pos: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, pos.to_numpy(), side="left"))
-
-    def build(table: pa.Table) -> pa.Table:
-        pos = table.column("_pos").to_numpy()
-        order = np.lexsort((table.column("_node").to_numpy(), pos))
-        x = np.frombuffer(b"".join(table.column("_u").to_pylist()), np.float64).reshape(-1, d)[order]
-        c = x @ axes
-        return pa.table(
-            {
-                "_block": table.column("_block").slice(0, 1),
-                "node": pa.array([table.column("_node").to_numpy()[order].tobytes()], pa.binary()),
-                "w": pa.array([table.column("_w").to_numpy()[order].tobytes()], pa.binary()),
-                "v": pa.array([x.tobytes()], pa.binary()),
-                "lo": pa.array([c.min(axis=0).tolist()]),
-                "hi": pa.array([c.max(axis=0).tolist()]),
-            }
-        )
-
-    kind = "_block long, node binary, w binary, v binary, lo array<double>, hi array<double>"
-    blocks = written(placed.withColumn("_block", block("_pos")).groupBy("_block").applyInArrow(build, kind))
-    return _joined(blocks, axes, d, threshold, eps)
+    blocks = _blocks(rows, axes, d, n, eps)
+    return _exact(_candidates(blocks, axes.shape[1] + 1, eps), rows, axes, d, threshold, eps)
 
 
 def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
@@ -253,22 +325,26 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is over 0 and at most 1")
     src = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_v"))
-    fine = F.col("_id").isNotNull() & (F.size("_v") > 0) & F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("_v", lambda x: x != 0)
+    finite = F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    fine = F.col("_id").isNotNull() & (F.size("_v") > 0) & finite & F.exists("_v", lambda x: x != 0)
     fine = F.coalesce(fine, F.lit(False))
-    distinct = src.filter(fine).groupBy("_v").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_least"))
+    # rows of equal vectors meet by 128 bits of hashes, so that vectors travel once
+    keys = [F.xxhash64("_v").alias("_h1"), F.xxhash64(F.lit("second"), "_v").alias("_h2")]
+    good = src.filter(fine).select("_id", *keys, "_v")
+    distinct = good.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_least"), F.first("_v").alias("_v"))
     distinct = written(distinct.select(F.monotonically_increasing_id().alias("_node"), "*"))
-    sizes = distinct.groupBy(F.size("_v").alias("d")).count().collect()
+    sizes = distinct.groupBy(F.size("_v").alias("d")).count().collect()  # a row for each number of components
     parts = [_of_one_dimension(distinct.filter(F.size("_v") == r.d), r.d, r["count"], threshold) for r in sizes]
     spark = vectors.sparkSession
     found = written(reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], _pair_schema()))
     links = found.select(F.inline(F.arrays_zip("nodes", "links"))).groupBy(F.col("nodes").alias("_l")).agg(F.sum("links").alias("_links"))
     label = components(found.select(F.inline(F.arrays_zip("a", "b"))))
-    node = distinct.join(links, F.col("_node") == F.col("_l"), "left").join(label, F.col("_node") == F.col("node"), "left")
-    node = written(
-        node.select("_v", "_least", (F.coalesce("_links", F.lit(0)) + F.col("_n") - 1).alias("_links"), F.coalesce("component", "_node").alias("_group"))
-    )
+    node = distinct.drop("_v").join(links, F.col("_node") == F.col("_l"), "left").join(label, F.col("_node") == F.col("node"), "left")
+    linked = (F.coalesce("_links", F.lit(0)) + F.col("_n") - 1).alias("_links")
+    node = written(node.select("_h1", "_h2", "_least", linked, F.coalesce("component", "_node").alias("_group")))
     least = node.groupBy("_group").agg(F.min("_least").alias("_component")).select(opaque("_group").alias("_g"), "_component")
-    node = written(node.join(least, F.col("_group") == F.col("_g")).select(F.col("_v").alias("_of"), "_links", "_component"))
-    out = src.filter(fine).join(node, F.col("_v") == F.col("_of")).select("_id", F.col("_links").alias("n_links"), F.col("_component").alias("component_id"))
+    node = node.join(least, F.col("_group") == F.col("_g")).select(opaque("_h1").alias("_k1"), opaque("_h2").alias("_k2"), "_links", "_component")
+    out = good.drop("_v").join(node, (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")))
+    out = out.select("_id", F.col("_links").alias("n_links"), F.col("_component").alias("component_id"))
     rest = src.filter(~fine).select("_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"))
     return out.union(rest).select(F.col("_id").alias(id_col), "n_links", "component_id", (F.col("_id") == F.col("component_id")).alias("kept"))

@@ -81,3 +81,50 @@ def test_empty_and_bad(spark):
     assert run(spark, [(1, None)]) == brute([(1, None)])
     with pytest.raises(ValueError):
         near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"), threshold=0.0)
+
+
+def test_most_blocks_are_skipped_where_there_are_clusters():
+    """Vectors around 300 centres, sorted and cut into blocks as the join does."""
+    from loomstone.llm.ego_join import GRID, LEADING, _gap, _position, coordinates, near_blocks
+
+    x = unit(np.array([v for _, v in clustered(12_000, d=64, seed=2, spread=0.05)], float))
+    eps = math.sqrt(2 - 2 * 0.95)
+    _, axes = np.linalg.eigh(np.cov(x.T))
+    c = coordinates(x, axes[:, ::-1][:, :LEADING])
+    c = c[np.argsort(_position(c[:, :GRID], eps))]
+    for rows, least in ((512, 0.5), (64, 0.9)):
+        boxes = [c[i : i + rows] for i in range(0, len(c), rows)]
+        lo, hi = np.array([b.min(axis=0) for b in boxes]), np.array([b.max(axis=0) for b in boxes])
+        met = sum(len(near_blocks(lo, hi, k, eps)) for k in range(len(boxes)))
+        assert met < (1 - least) * len(boxes) ** 2, (rows, met / len(boxes) ** 2)
+    some = c[np.random.default_rng(0).integers(0, len(c), 500)]
+    assert (_gap(some[:-1], some[:-1], some[1:], some[1:]) <= np.sqrt(2) + 1e-9).all()
+
+
+def test_coordinates_are_never_farther_apart():
+    from loomstone.llm.ego_join import coordinates
+
+    rng = np.random.default_rng(9)
+    x = unit(rng.normal(size=(300, 12)))
+    axes = np.linalg.qr(rng.normal(size=(12, 12)))[0][:, :4]
+    c = coordinates(x, axes)
+    far = lambda v: np.linalg.norm(v[:, None] - v[None], axis=2)
+    assert (far(c) <= far(x) + 1e-9).all()
+    assert np.allclose(np.linalg.norm(c, axis=1), 1)
+
+
+def test_spread_vectors_and_rounding(spark, monkeypatch):
+    """Vectors without clusters, some pairs right at the threshold."""
+    from loomstone.llm import ego_join
+
+    monkeypatch.setattr(ego_join, "BLOCK", 100)
+    rng = np.random.default_rng(12)
+    x = unit(rng.normal(size=(300, 64)))
+    side = rng.normal(size=(300, 64))
+    side = unit(side - (side * x).sum(axis=1, keepdims=True) * x)
+    angle = np.arccos(0.95) + rng.normal(size=(300, 1)) * 1e-5
+    y = np.cos(angle) * x + np.sin(angle) * side
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(np.r_[x, y])]
+    got = run(spark, rows)
+    assert got == brute(rows)
+    assert 100 < sum(r[1] for r in got) < 500
