@@ -1,13 +1,18 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance from ancestor directories.
 
-A text's lines, its paragraphs and the whole of it are compared with license templates as TF-IDF
-vectors. The document frequencies of the templates' terms are counted over all texts; a term that is
-in no template has the frequency 0, and so weighs most in a text's norm. A whole text that is close to
-a template is a licence file, a line or paragraph that is close to one is a header.
-
-A text is looked at closely only if it has one of the anchor terms: terms are anchors unless all the
-terms more frequent than it together could not lift any template over the threshold, so
-the shortcut loses nothing (a cosine is at most the share of the template's norm that the text's terms
+Two kinds of templates: whole license texts (``license_texts``) and notices, the sentences by which
+a file says what license it is under. Vectors have a weight (1 + log count) * idf for each term. Document
+frequencies are counted over all texts for all terms, those outside the templates too; a term that is in less than one
+of ``RARE`` texts weighs like one that is in just so many, so only the frequent terms need to be known
+in a task: ``RARE`` times the mean number of distinct terms of a text at most, whatever the corpus.
+
+A file is a licence file if its whole text is close to a whole license text, or if it is called
+LICENSE, COPYING and the like and a part of it is close to any template. A line or paragraph of another file that is close to
+a notice is a header, and is passed on to no other file.
+
+A text is compared only if it has one of the anchor terms of a template: those that are left when the most
+frequent terms that together could not lift any template over the threshold are taken away, so
+the shortcut loses nothing (a cosine is at most the root of the share of the template's norm that the text's terms
 cover).
 
 A file without a license of its own takes that of the nearest ancestor directory with a licence file:
@@ -17,8 +22,10 @@ distinct directories are joined with those that have one, by each of their ances
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,8 +34,13 @@ from pyspark.sql import types as T
 
 from loomstone.llm.common import arrow_map, arrow_schema, texts, written
 
+#: A term in less than one of so many texts weighs like one in just so many; terms a task counts before it sends them on.
+RARE, HELD = 100, 1 << 18
+#: What licence files are called.
+LICENCE_FILE = re.compile(r"(?:.*/)?(?:(?:un)?licen[cs]es?|copying|copyright|(?:mit|bsd|apache|l?gpl)[-_]?licen[cs]e)(?:[._-][^/]*)?", re.I)
+
 # Usual notices of public licenses, (license, text).
-TEMPLATES = (
+NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
@@ -57,80 +69,107 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_TERMS).split()
 
 
+def whole_texts() -> tuple[tuple[str, str], ...]:
+    """(license, whole text) of each file of ``license_texts``."""
+    folder = Path(__file__).with_name("license_texts")
+    return tuple((p.stem, p.read_text()) for p in sorted(folder.glob("*.txt")))
+
+
+class Weights:
+    """The idf of terms under document frequencies."""
+
+    def __init__(self, frequency: dict[bytes, int], n_docs: int) -> None:
+        """frequency: of all terms that are in one of ``RARE`` texts or more; of others it may be missing."""
+        of = lambda f: math.log((1 + n_docs) / (1 + max(f, n_docs / RARE))) + 1
+        self.rare = of(0)
+        self.idf = {t: of(f) for t, f in frequency.items() if f * RARE > n_docs}
+
+    def vector(self, words: list[bytes]) -> dict[bytes, float]:
+        get, rare, log = self.idf.get, self.rare, math.log
+        return {t: (1 + log(n)) * get(t, rare) for t, n in Counter(words).items()}
+
+
 class Index:
-    """Template vectors under the document frequencies of a corpus."""
+    """Template vectors, and the terms without which no text comes near them."""
 
-    def __init__(self, templates, frequency: dict[bytes, int], n_docs: int, threshold: float) -> None:
-        idf = lambda f: math.log((1 + n_docs) / (1 + f)) + 1
-        bags = [Counter(terms(text.encode())) for _, text in templates]
+    def __init__(self, templates, weights: Weights, threshold: float) -> None:
+        self.weights, self.threshold = weights, threshold
         self.names = [name for name, _ in templates]
-        self.unknown = idf(0)
-        self.idf = {t: idf(frequency.get(t, 0)) for bag in bags for t in bag}
-        self.posting: dict[bytes, list[tuple[int, float]]] = {t: [] for t in self.idf}
-        shares = []
-        for i, bag in enumerate(bags):
-            weights = {t: n * self.idf[t] for t, n in bag.items()}
-            norm = math.sqrt(sum(w * w for w in weights.values()))
-            for t, w in weights.items():
-                self.posting[t].append((i, w / norm))
-            shares.append({t: (w / norm) ** 2 for t, w in weights.items()})
-        covered, self.anchors = [0.0] * len(bags), set(self.idf)
-        for t in sorted(self.idf, key=lambda t: (self.idf[t], t)):
-            covered = [c + s.get(t, 0.0) for c, s in zip(covered, shares, strict=True)]
-            if max(covered) >= threshold**2 * (1 - 1e-9):
-                break
-            self.anchors.discard(t)
+        self.posting: dict[bytes, list[tuple[int, float]]] = {}
+        self.anchors: set[bytes] = set()
+        for i, (_, text) in enumerate(templates):
+            vector = weights.vector(terms(text.encode()))
+            norm = math.sqrt(sum(w * w for w in vector.values()))
+            for t, w in vector.items():
+                self.posting.setdefault(t, []).append((i, w / norm))
+            covered = 0.0
+            for t in sorted(vector, key=lambda t: (weights.idf.get(t, weights.rare), t)):
+                covered += (vector[t] / norm) ** 2
+                if covered >= threshold**2 * (1 - 1e-9):
+                    self.anchors.add(t)
 
     def best(self, words: list[bytes]) -> tuple[float, str | None]:
-        """The largest cosine and its license; of equal ones the first template's."""
-        bag = Counter(words)
-        norm = 0.0
-        score: dict[int, float] = {}
-        for t, n in bag.items():
-            w = n * self.idf.get(t, self.unknown)
-            norm += w * w
-            for i, v in self.posting.get(t, ()):
-                score[i] = score.get(i, 0.0) + w * v
-        if not score:
+        """The largest cosine and its license, of equal ones the first template's; 0 and None below the threshold."""
+        if self.anchors.isdisjoint(words):
             return 0.0, None
-        i = min(score, key=lambda i: (-round(score[i], 12), i))
-        return min(1.0, score[i] / math.sqrt(norm)), self.names[i]
-
-    def scan(self, text: bytes, threshold: float, file_threshold: float) -> tuple[str | None, float, str]:
+        vector = self.weights.vector(words)
+        score: dict[int, float] = {}
+        for t in vector.keys() & self.posting.keys():
+            for i, v in self.posting[t]:
+                score[i] = score.get(i, 0.0) + vector[t] * v
+        norm = math.sqrt(sum(w * w for w in vector.values()))
+        i = min(score, key=lambda i: (-round(score[i] / norm, 12), i))
+        found = min(1.0, score[i] / norm)
+        return (found, self.names[i]) if found >= self.threshold else (0.0, None)
+
+
+class Scanner:
+    def __init__(self, notices, wholes, frequency: dict[bytes, int], n_docs: int, threshold: float, file_threshold: float) -> None:
+        weights = Weights(frequency, n_docs)
+        self.wholes = Index(wholes, weights, file_threshold)
+        self.notices = Index(notices, weights, threshold)
+        self.parts = Index((*notices, *wholes), weights, threshold)
+
+    def scan(self, text: bytes, path: str | None) -> tuple[str | None, float, str]:
         """(license, cosine, "file", "header" or "none")."""
         data = text.translate(_TERMS)
         words = data.split()
-        if self.anchors.isdisjoint(words):
-            return None, 0.0, "none"
-        found, name = self.best(words)
-        if found >= file_threshold:
+        found, name = self.wholes.best(words)
+        if name is not None:
             return name, found, "file"
-        top = (found, name)
-        for part in [*data.split(b"\n"), *(p for p in data.split(b"\n\n") if b"\n" in p)]:
-            words = part.split()
-            if not self.anchors.isdisjoint(words):
-                top = max(top, self.best(words), key=lambda x: x[0])
-        return (top[1], top[0], "header") if top[0] >= threshold else (None, top[0], "none")
+        called = path is not None and LICENCE_FILE.fullmatch(path) is not None
+        index = self.parts if called else self.notices
+        if index.anchors.isdisjoint(words):
+            return None, 0.0, "none"
+        parts = [*data.split(b"\n"), *(p for p in re.split(rb"\n[ \n]*\n", data) if b"\n" in p)]
+        if called:
+            parts.append(data)
+        found, name = max((index.best(p.split()) for p in parts), key=lambda x: x[0])
+        return (name, found, "file" if called else "header") if name is not None else (None, 0.0, "none")
 
 
-def document_frequencies(docs: DataFrame, text_col: str, templates) -> tuple[dict[bytes, int], int]:
-    """In how many texts each term of the templates is; how many texts there are."""
-    vocabulary = frozenset(t for _, text in templates for t in terms(text.encode()))
+def document_frequencies(docs: DataFrame, text_col: str) -> tuple[dict[bytes, int], int]:
+    """In how many texts each term is, for terms in one of ``RARE`` texts or more; how many texts there are."""
     kind = T.StructType([T.StructField("t", T.BinaryType()), T.StructField("n", T.LongType())])
     target = arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[bytes] = Counter()
-        for b in batches:
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], schema=target)
+        for b in (x.slice(i, 512) for x in batches for i in range(0, x.num_rows, 512)):
             for t in texts(b):
-                found.update(vocabulary.intersection(terms(t)))
+                found.update(set(terms(t)))
             found[b""] += b.num_rows
+            if len(found) > HELD:
+                yield out()
+                found.clear()
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], schema=target)
+            yield out()
 
     summed = docs.select(F.col(text_col).alias("text")).mapInArrow(run, kind).groupBy("t").agg(F.sum("n").alias("n"))
-    counts = {bytes(r.t): r.n for r in summed.collect()}  # a row for each term of the templates
-    return counts, counts.pop(b"", 0)
+    total = docs.count()
+    often = summed.filter((F.col("n") * RARE > total) & (F.length("t") > 0))
+    return {bytes(r.t): r.n for r in often.toLocalIterator()}, total  # RARE times the mean distinct terms of a text at most
 
 
 def directory(path: Column) -> Column:
@@ -144,32 +183,33 @@ def scan_licenses(
     id_col: str = "doc_id",
     path_col: str = "path",
     text_col: str = "text",
-    templates=TEMPLATES,
+    notices=NOTICES,
+    wholes=None,
     threshold: float = 0.7,
     file_threshold: float = 0.8,
 ) -> DataFrame:
-    """The license of every file.
+    """The license of every file. wholes: (license, whole text), those of ``license_texts`` if not given.
 
-    Returns the id, path, license (null: none known), score (the largest cosine to a template: of the whole
-    text for a licence file, else of the text or one of its parts), origin ("file", "header", "inherited" or "none") and license_path (the licence file that a
-    license is inherited from), one row for each row of files. Of several licence files in a directory the
-    closest to a template counts, of these the first by path. A null text counts as empty, a null path
+    Returns the id, path, license (null: none known), score (the cosine by which the file has a license of its own;
+    0 if it has none: lower cosines are not told), origin ("file", "header", "inherited" or "none") and license_path (the licence
+    file that a license is inherited from), one row for each row of files. Of several licence files in a directory the
+    closest to a template (to nine digits) counts, of these the first by path. A null text counts as empty, a null path
     neither inherits nor passes on; repeated rows are scanned like others. Other columns are
     ignored. An empty table gives an empty table.
     """
     src = files.select(F.col(id_col).alias("_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    frequency, n_docs = document_frequencies(src, "text", templates)
-    index = Index(templates, frequency, n_docs, threshold)
+    frequency, n_docs = document_frequencies(src, "text")
+    scanner = Scanner(notices, whole_texts() if wholes is None else wholes, frequency, n_docs, threshold, file_threshold)
 
     def each(b: pa.RecordBatch) -> dict:
-        got = [index.scan(t, threshold, file_threshold) for t in texts(b)]
+        got = [scanner.scan(t, p) for t, p in zip(texts(b), b.column(1).to_pylist(), strict=True)]
         return {"_id": b.column(0), "path": b.column(1)} | {n: [g[i] for g in got] for i, n in enumerate(("license", "score", "origin"))}
 
     kind = T.StructType(
         [src.schema["_id"], src.schema["path"], T.StructField("license", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("origin", T.StringType())]
     )
     own = written(arrow_map(src, each, kind)).withColumn("_dir", directory(F.col("path")))
-    best = F.min_by(F.struct("license", F.col("path").alias("license_path")), F.struct(-F.col("score"), F.col("path")))
+    best = F.min_by(F.struct("license", F.col("path").alias("license_path")), F.struct(-F.round("score", 9), F.col("path")))
     with_file = own.filter("origin = 'file' AND path IS NOT NULL").groupBy(F.col("_dir").alias("_holder")).agg(best.alias("_given"))
     dirs = own.filter("path IS NOT NULL").select("_dir").distinct()
     parts = F.split("_dir", "/")
