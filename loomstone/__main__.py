@@ -24,12 +24,16 @@ def main(args: list[str]) -> int:
         sub.add_parser(name).add_argument("archive")
     for s in sub.choices.values():
         s.add_argument("--password", action="store_true", help="ask for a password")
+        s.add_argument("--shared", help="folder that driver and executors share, if spark.checkpoint.dir is not set")
     a = p.parse_args(args)
     from pyspark.sql import SparkSession
 
     from loomstone.api import Archive
 
-    spark = SparkSession.builder.appName("loomstone").getOrCreate()
+    builder = SparkSession.builder.appName("loomstone")
+    if a.shared:
+        builder = builder.config("spark.checkpoint.dir", a.shared)
+    spark = builder.getOrCreate()
     password = getpass.getpass() if a.password else None
     if a.command == "compress":
         out = Archive.write(spark, a.source).output(a.archive).level(a.level).volume_size(a.volume_size).password(password).overwrite(a.force).verify(a.verify).run()

@@ -1,9 +1,7 @@
-"""Order-4 prediction by partial matching, a secondary estimator, and a mixer of the two."""
+"""Order-4 prediction by partial matching, a guess from neighbouring bytes, and a mixer of the two."""
 
 from __future__ import annotations
 
-from collections import Counter, deque
-
 import numpy as np
 
 from loomstone.functions import rans
@@ -128,67 +126,45 @@ def decode(coded: bytes, n: int, nodes: int = 1 << 16) -> bytes:
     return bytes(out)
 
 
-class Secondary:
-    """How likely a plane repeats the value before, or that of the plane beside it."""
+class Neighbours:
+    """A guess at a byte from two earlier ones: the byte one record before, and the byte beside it.
 
-    WARM = 1024
+    For each plane it learns how often a byte equals the one, the other or neither; old observations fade."""
 
-    def __init__(self) -> None:
-        self.value: Counter = Counter()
-        self.plane: Counter = Counter()
-        self.cross: Counter = Counter()
-        self.beside: Counter = Counter()
-        self.seen = 0
+    FADE = 0.995
 
-    def observe(self, plane: int, value: int, beside: int) -> None:
-        self.value[plane, value] += 1
-        self.plane[plane] += 1
-        self.cross[plane, beside, value] += 1
-        self.beside[plane, beside] += 1
-        self.seen += 1
+    def __init__(self, planes: int) -> None:
+        self.shares = np.tile(np.array([1.0, 1.0, 2.0]), (planes, 1))
 
-    def predict(self, plane: int, previous: int, beside: int) -> float:
-        """0.5 until more than 1,024 values were seen."""
-        if self.seen <= self.WARM:
-            return 0.5
-        own = self.value[plane, previous] / self.plane[plane] if self.plane[plane] else 0.5
-        other = self.cross[plane, beside, beside] / self.beside[plane, beside] if self.beside[plane, beside] else 0.5
-        return max(own, other)
+    def predict(self, plane: int, before: int, beside: int) -> np.ndarray:
+        """Probabilities of the 256 bytes."""
+        share = self.shares[plane] / self.shares[plane].sum()
+        p = np.full(256, share[2] / 256)
+        p[before] += share[0]
+        p[beside] += share[1]
+        return p
 
+    def observe(self, plane: int, value: int, before: int, beside: int) -> None:
+        hits = np.array([value == before, value == beside, value not in (before, beside)], float)
+        self.shares[plane] = np.maximum(self.shares[plane] * self.FADE, 0.01) + hits / max(hits.sum(), 1)
 
-class Weight:
-    """A weight of 0.05 to 0.95 that follows how well a model predicts."""
 
-    def __init__(self, value: float = 0.5, rate: float = 0.05) -> None:
-        self.value, self.rate, self.error = min(max(value, 0.05), 0.95), rate, 0.5
+class LogMixer:
+    """Distributions mixed in the logarithmic domain: p is proportional to the product of p_i ** w_i.
 
-    def update(self, p: float, right: bool) -> None:
-        self.error += self.rate * ((1 - p if right else 1.0) - self.error)
-        self.value += self.rate * ((1 - self.value) * p if right else -self.value * (1 - p))
-        self.value = min(max(self.value, 0.05), 0.95)
+    Weights follow the gradient of the log probability of what came, so a model that is right gains."""
 
+    def __init__(self, weights: tuple[float, ...] = (0.8, 0.2), rate: float = 0.02) -> None:
+        self.weights, self.rate = np.array(weights), rate
 
-class Mixer:
-    def __init__(self) -> None:
-        self.reset()
+    def mix(self, *models: np.ndarray) -> np.ndarray:
+        self.logs = np.log(np.maximum(np.stack(models), 1e-9))
+        z = self.weights @ self.logs
+        p = np.exp(z - z.max())
+        self.mixed = p / p.sum()
+        return self.mixed
 
-    def reset(self) -> None:
-        self.ppm, self.secondary = Weight(), Weight()
-        self.history: deque[tuple[float, float]] = deque(maxlen=100)
-        self.mixed = 0
-
-    def blend(self, ppm: np.ndarray, secondary: float, symbol: int) -> np.ndarray:
-        """Both distributions by their weights, normalised; then the weights learn the symbol."""
-        other = np.full(256, (1 - secondary) / 255)
-        other[symbol] = secondary
-        out = self.ppm.value * ppm + self.secondary.value * other
-        out = out / out.sum() if out.sum() > 0 else out
-        last_top = 255 - int(ppm[::-1].argmax())
-        self.ppm.update(float(ppm[symbol]), last_top == symbol)
-        self.secondary.update(secondary, secondary > (1 - secondary) / 255)
-        self.history.append((float(ppm[symbol]), secondary))
-        self.mixed += 1
-        return out
-
-    def table(self, ppm: np.ndarray, secondary: float, symbol: int) -> np.ndarray:
-        return rans.normalise(np.round(self.blend(ppm, secondary, symbol) * 1e6).astype(np.int64))
+    def learn(self, symbol: int) -> None:
+        """After mix()."""
+        gain = self.logs[:, symbol] - self.logs @ self.mixed
+        self.weights = np.clip(self.weights + self.rate * np.clip(gain, -4, 4), 0.0, 4.0)

@@ -67,25 +67,25 @@ def ppm_decode(df: DataFrame, out: str = "value", nodes: int = 1 << 16) -> DataF
 
 
 def mixing_report(df: DataFrame, value_col: str, stride: int = 1) -> DataFrame:
-    """df with mixed_bits, ppm_bits and the final weights instead of the value: what mixing PPM with the
-    secondary estimator does for each value."""
+    """df with mixed_bits, ppm_bits and the final weights instead of the value: what mixing PPM with a guess
+    from neighbouring bytes does for each value. Null counts as empty."""
 
     def one(v: bytes) -> tuple[float, float, float, float]:
-        model, second, mixer = P.Model(), P.Secondary(), P.Mixer()
+        model, near, mixer = P.Model(), P.Neighbours(stride), P.LogMixer()
         mixed = alone = 0.0
         for i, byte in enumerate(v):
+            before, beside = v[i - stride] if i >= stride else 0, v[i - 1] if i else 0
             p = model.predict()
-            before = v[i - stride] if i >= stride else 0
-            beside = v[i - 1] if i else 0
-            guess = second.predict(i % stride, before, beside)
             alone -= np.log2(p[byte])
-            mixed -= np.log2(max(mixer.blend(p, guess, byte)[byte], 1e-12))
-            second.observe(i % stride, byte, beside)
+            mixed -= np.log2(mixer.mix(p, near.predict(i % stride, before, beside))[byte])
+            mixer.learn(byte)
+            near.observe(i % stride, byte, before, beside)
             model.update(byte)
-        return mixed, alone, mixer.ppm.value, mixer.secondary.value
+        return mixed, alone, *mixer.weights
 
     def f(cols: dict[str, list]) -> dict[str, list]:
         rows = [one(v or b"") for v in cols[value_col]]
-        return {n: [r[i] for r in rows] for i, n in enumerate(("mixed_bits", "ppm_bits", "ppm_weight", "secondary_weight"))}
+        return {n: [r[i] for r in rows] for i, n in enumerate(("mixed_bits", "ppm_bits", "ppm_weight", "neighbour_weight"))}
 
-    return add_columns(as_binary(spread(df), value_col), "mixed_bits double, ppm_bits double, ppm_weight double, secondary_weight double", f, [value_col], drop=(value_col,))
+    kind = "mixed_bits double, ppm_bits double, ppm_weight double, neighbour_weight double"
+    return add_columns(as_binary(spread(df), value_col), kind, f, [value_col], drop=(value_col,))

@@ -637,7 +637,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @add("mixing_report")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return contexts.mixing_report(table(spark, d, "benchmark").select("item_id", "text"), "text").select("item_id", *(F.round(c, 3).alias(c) for c in ("mixed_bits", "ppm_bits", "ppm_weight", "secondary_weight")))
+    return contexts.mixing_report(table(spark, d, "benchmark").select("item_id", "text"), "text").select("item_id", *(F.round(c, 3).alias(c) for c in ("mixed_bits", "ppm_bits", "ppm_weight", "neighbour_weight")))
 
 
 # Archives

@@ -2,23 +2,45 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one only where none is set."""
+    """The folder that ``spark.checkpoint.dir`` names. Only where all runs on one machine (master local or local[n]) a
+    folder of its own will do; elsewhere a session without the setting is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return where or f"file://{tempfile.gettempdir()}/checkpoints"
+    if where:
+        return where
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{tempfile.gettempdir()}/checkpoints"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table that outlives executors; deleted when the session's JVM ends."""
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def written(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
+    """df as a Parquet table that outlives executors; cuts the lineage. Deleted by erase(), or when the session's JVM ends."""
     spark = df.sparkSession
+    df = df.select(*cols) if cols else df
     path = f"{shared_dir(spark).rstrip('/')}/loomstone/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    folder, system = _folder(spark, path)
+    system.deleteOnExit(folder)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def erase(df: DataFrame) -> None:
+    """Delete the table of a DataFrame that written() gave, when nothing is to read it any more."""
+    if path := getattr(df, "_written_at", None):
+        folder, system = _folder(df.sparkSession, path)
+        system.delete(folder, True)

@@ -164,3 +164,21 @@ def test_empty(spark, tmp_path):
     out = str(tmp_path / "x")
     Archive.write(spark, none).output(out).verify().run()
     assert Archive.read(spark, out).run().count() == 0
+
+
+def test_shared_folder():
+    """Without a shared folder only a session on one machine goes on."""
+    from types import SimpleNamespace
+
+    from loomstone.sources.store import shared_dir
+
+    def session(master, folder=None, checkpoint=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: checkpoint)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *a: folder), sparkContext=context)
+
+    assert shared_dir(session("yarn", "hdfs:///x")) == "hdfs:///x"
+    assert shared_dir(session("spark://host:7077", None, "s3a://y")) == "s3a://y"
+    assert shared_dir(session("local[4]")).startswith("file:///")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master))

@@ -236,18 +236,29 @@ def test_ppm_predicts_and_mixes():
     for b in b"abcabcabcabcabc":
         m.update(b)
     assert m.predict().argmax() == ord("a") and m.predict().sum() == pytest.approx(1)
-    s = ppm.Secondary()
-    assert s.predict(0, 1, 1) == 0.5
-    for _ in range(1025):
-        s.observe(0, 7, 3)
-    assert s.predict(0, 7, 3) == 1.0
-    x = ppm.Mixer()
-    p = np.full(256, 1 / 256)
-    out = x.blend(p, 0.9, 5)
-    assert out.sum() == pytest.approx(1) and out.argmax() == 5
-    assert x.table(p, 0.9, 5).sum() == 4096
-    for _ in range(500):
-        x.blend(p, 0.9, 5)
-    assert x.secondary.value == 0.95 and len(x.history) == 100 and x.ppm.value >= 0.05
-    x.reset()
-    assert x.mixed == 0
+
+
+def test_neighbours_learn_for_each_plane():
+    near = ppm.Neighbours(2)
+    assert near.predict(0, 7, 3).sum() == pytest.approx(1)
+    for i in range(400):
+        near.observe(0, 7, 7, i % 5)
+        near.observe(1, 9, i % 5, 9)
+    assert near.predict(0, 7, 3)[7] > 0.9 and near.predict(1, 7, 3)[3] > 0.9
+    assert near.predict(0, 4, 4).sum() == pytest.approx(1)
+
+
+def test_a_mix_follows_the_better_model():
+    rng = np.random.default_rng(1)
+    mixer = ppm.LogMixer((0.5, 0.5))
+    good, flat = np.full(256, 0.1 / 255), np.full(256, 1 / 256)
+    good[65] = 0.9
+    bits = 0.0
+    for _ in range(400):
+        symbol = 65 if rng.random() < 0.9 else int(rng.integers(256))
+        p = mixer.mix(good, flat)
+        assert p.sum() == pytest.approx(1)
+        bits -= np.log2(p[symbol])
+        mixer.learn(symbol)
+    assert mixer.weights[0] > 0.7 and bits < 400 * 1.8
+    assert mixer.mix(flat, flat).argmax() in range(256) and (mixer.weights >= 0).all()
