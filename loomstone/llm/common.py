@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomstone.sources.store import erase, shared_dir, written
+
+__all__ = ["LOWER", "ROWS_AT_ONCE", "WHITE", "arrow_map", "arrow_schema", "crc_mod", "documents", "erase", "opaque", "shared_dir", "spread", "texts", "written"]
+
 #: Lower-cases A-Z in UTF-8 bytes; no other byte changes.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: [\x20\x09-\x0D], which is also what bytes.split() without arguments splits at.
@@ -31,29 +33,6 @@ def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return spread(docs.select(*cols) if cols else docs)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    return where or spark.sparkContext.getCheckpointDir() or _own_dir()
-
-
-def _own_dir() -> str:
-    return f"file://{tempfile.gettempdir()}/checkpoints"
-
-
-def written(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and outlives executors.
-
-    The table is deleted when the session's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/loomstone/{uuid.uuid4().hex}"
-    (df.select(*cols) if cols else df).write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.select(*cols).schema if cols else df.schema).parquet(path)
-
-
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the id as text, mod n. A null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n

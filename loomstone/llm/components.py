@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import opaque, written
+from loomstone.llm.common import erase, opaque, written
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges: two long columns without nulls, in any direction, repeated or not.
 
     Returns node, component (the least node that it reaches) for every node but those that are
-    the least of theirs. No edges: no rows.
+    the least of theirs. No edges: no rows. Rounds grow with the logarithm of the longest shortest path, so 60 are far
+    more than any graph needs that fits on disks; the table of a round is deleted when the next one is written.
     """
     a, b = edges.columns
     now = written(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
@@ -41,8 +42,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     if not was[0]:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(most_rounds):
-        now = written(_round(now))
+        before, now = now, written(_round(now))
         new = digest(now)
+        erase(before)
         if new == was:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         was = new

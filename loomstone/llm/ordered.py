@@ -11,37 +11,28 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CELLS, MOST_RUNS = 1 << 15, 20_000
+MOST_RUNS = 20_000
 
 
 def run_starts(ids: DataFrame, rows_each: int) -> list[int]:
-    """Ascending first ids of runs of about ``rows_each`` rows; ids: one long column without nulls.
-
-    Counts ids in cells of equal width, and again inside cells that hold too many."""
+    """Ascending first ids of runs of about ``rows_each`` rows, or more where that would be over MOST_RUNS runs; ids: one
+    long column without nulls. Cuts are approximate percentiles, and a run starts at its least id."""
     col = ids.columns[0]
-    lo, hi, n = ids.agg(F.min(col), F.max(col), F.count(col)).first()
+    n = ids.count()
     if not n:
         return []
-    rows_each = max(rows_each, -(-n // MOST_RUNS))
-    cells: list[tuple[int, int]] = []  # least id, rows
-    todo = [(lo, hi)]
-    while todo:
-        lo, hi = todo.pop()
-        width = (hi - lo) // CELLS + 1
-        within = ids.filter(F.col(col).between(lo, hi))
-        found = within.groupBy(F.expr(f"div(cast({col} AS decimal(20,0)) - cast('{lo}' AS decimal(20,0)), cast('{width}' AS decimal(20,0)))").alias("c")).agg(F.min(col).alias("a"), F.max(col).alias("b"), F.count(F.lit(1)).alias("n"))
-        for r in found.collect():  # CELLS rows at most
-            if r.n > 4 * rows_each and r.a < r.b:
-                todo.append((r.a, r.b))
-            else:
-                cells.append((r.a, r.n))
-    starts, held = [], rows_each
-    for a, n in sorted(cells):
-        if held >= rows_each:
-            starts.append(a)
-            held = 0
-        held += n
-    return starts
+    runs = min(MOST_RUNS, -(-n // rows_each))
+    if runs == 1:
+        return [ids.agg(F.min(col)).first()[0]]
+    shares = ",".join(repr(i / runs) for i in range(1, runs))
+    cuts = ids.agg(F.expr(f"percentile_approx({col}, array({shares}), {max(10_000, 10 * runs)})")).first()[0]
+    cuts = np.unique(np.array(cuts, np.int64))
+
+    @F.pandas_udf("long")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, x.to_numpy(), side="left"))
+
+    return sorted(r.a for r in ids.groupBy(run(F.col(col)).alias("r")).agg(F.min(col).alias("a")).collect())  # MOST_RUNS rows
 
 
 def with_next(rows: DataFrame, id_col: str, rows_each: int = 128) -> DataFrame:
@@ -59,7 +50,7 @@ def with_next(rows: DataFrame, id_col: str, rows_each: int = 128) -> DataFrame:
         """The run's number, doubled, plus one if the row may be its first."""
         if not len(firsts):
             return pd.Series(np.zeros(len(ids), np.int64))
-        v = np.array([-(2**63) if x is None or x != x else int(x) for x in ids.astype(object)], np.int64)
+        v = ids.to_numpy()
         at = np.maximum(np.searchsorted(firsts, v, side="right") - 1, 0)
         return pd.Series(at * 2 + (firsts[at] == v))
 
@@ -67,7 +58,7 @@ def with_next(rows: DataFrame, id_col: str, rows_each: int = 128) -> DataFrame:
     run = F.shiftright("_place", 1)
     own = F.struct(run.alias("_run"), F.lit(0).alias("_after"))
     before = F.struct(F.when(run == 0, F.lit(last).cast("long")).otherwise(run - 1).alias("_run"), F.lit(1).alias("_after"))
-    dealt = rows.withColumn("_place", place(F.col(id_col).cast("long"))).select(
+    dealt = rows.withColumn("_place", place(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")))).select(
         *rows.columns, F.inline(F.when(F.col("_place").bitwiseAND(F.lit(1).cast("long")) == 1, F.array(own, before)).otherwise(F.array(own)))
     )
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -1,7 +1,7 @@
 """Conflict-constrained best-fit packing of documents into bins of fixed capacity.
 
-Rows are dealt into shards of a bounded number of rows by a hash, so no task grows with the input and
-a source or a group of copies with a third of all rows is spread evenly. Within a shard, pieces go
+Rows are numbered in a written table and dealt into shards of a bounded number of rows by a hash of the number, so
+no task grows with the input and a source, a group of copies or of repeated rows with a third of all rows is spread evenly. Within a shard, pieces go
 largest first. Open bins are kept in order of residual capacity; each carries a bitmap of the sources
 and one of the duplicate clusters in it. The search starts at the least residual that has
 room and goes on to the next larger one until a bin without conflict is found, which is then the
@@ -65,9 +65,14 @@ def best_fit(rows: list[tuple], capacity: int) -> list[tuple[int, int, int, int,
     return out
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """_id, _source, _size (words and one end), _cluster (128-bit hash of the lower-cased words)."""
-    src = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_t"))
+def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, cluster_col: str | None = None) -> DataFrame:
+    """_id, _source, _size (words and one end), _cluster (128-bit hash of the lower-cased words, or the bytes of
+    cluster_col as text) and _row, a number of the row."""
+    given = F.lit(None) if cluster_col is None else F.col(cluster_col)
+    src = docs.select(
+        F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_t"),
+        given.cast("string").cast("binary").alias("_given"), F.monotonically_increasing_id().alias("_row"),
+    )
 
     def each(b: pa.RecordBatch) -> dict:
         words = [t.translate(LOWER).split() for t in texts(b, "_t")]
@@ -75,11 +80,12 @@ def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Da
             "_id": b.column(0),
             "_source": b.column(1),
             "_size": [len(w) + 1 for w in words],
-            "_cluster": [xxhash.xxh3_128_digest(b" ".join(w)) for w in words],
+            "_cluster": b.column(3) if cluster_col else [xxhash.xxh3_128_digest(b" ".join(w)) for w in words],
+            "_row": b.column(4),
         }
 
-    kind = T.StructType([src.schema["_id"], src.schema["_source"], T.StructField("_size", T.LongType()), T.StructField("_cluster", T.BinaryType())])
-    return arrow_map(src, each, kind)
+    kind = T.StructType([src.schema["_id"], src.schema["_source"], T.StructField("_size", T.LongType())])
+    return arrow_map(src, each, kind.add("_cluster", T.BinaryType()).add("_row", T.LongType()))
 
 
 def pack(
@@ -88,13 +94,15 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    cluster_col: str | None = None,
     capacity: int = CAPACITY,
     shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
     """Pack all rows of docs into bins of ``capacity`` tokens (words, and one end for each row).
 
-    No bin holds two pieces of one source, nor two of one duplicate cluster (equal sequences of
-    lower-cased words). Returns the id, source, piece, start and n_tokens (of the piece, in tokens of
+    No bin holds two pieces of one source, nor two of one duplicate cluster: equal sequences of
+    lower-cased words, or equal values of cluster_col, such as the component_id of a near-duplicate operator (null:
+    no cluster). Returns the id, source, piece, start and n_tokens (of the piece, in tokens of
     the document) and bin_id (long): every token of every row is in exactly one piece.
     A null text is one token, the end. Null sources never conflict. Null ids, repeated ids and
     repeated rows are packed as rows of their own. Other columns are ignored. An empty table gives an
@@ -103,7 +111,7 @@ def pack(
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    rows = written(measured(docs, id_col, text_col, source_col))
+    rows = written(measured(docs, id_col, text_col, source_col, cluster_col))
     shards = max(1, -(-rows.count() // shard_rows))
     kind = T.StructType(
         [rows.schema["_id"], rows.schema["_source"], T.StructField("piece", T.IntegerType())]
@@ -111,7 +119,7 @@ def pack(
     )
 
     def fill(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("_id", "ascending"), ("_cluster", "ascending"), ("_source", "ascending")])
+        table = table.sort_by([(c, "ascending") for c in ("_id", "_cluster", "_source", "_row")])
         shard = table.column("_shard")[0].as_py()
         got = best_fit(list(zip(*(table.column(c).to_pylist() for c in ("_size", "_source", "_cluster")), strict=True)), capacity)
         index, piece, start, length, bins = zip(*got, strict=True)
@@ -127,6 +135,6 @@ def pack(
             }
         )
 
-    dealt = rows.withColumn("_shard", F.pmod(F.xxhash64("_id", "_cluster", "_source"), F.lit(shards)))
+    dealt = rows.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards)))
     out = dealt.groupBy("_shard").applyInArrow(fill, kind)
     return out.withColumnsRenamed({"_id": id_col, "_source": source_col})

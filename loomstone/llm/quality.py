@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstone.llm.common import arrow_map, texts, written
+from loomstone.llm import bloom
+from loomstone.llm.common import ROWS_AT_ONCE, arrow_map, texts, written
 
 STATISTICS = (
     "log_words", "word_length", "upper", "symbols", "bangs", "bars", "digits", "adjacent_repeats", "distinct", "line_repeats",
@@ -76,18 +77,18 @@ def statistics(text: bytes) -> list[float]:
 
 @dataclass(frozen=True)
 class Model:
-    """Means, Cholesky factors and log determinants of the two classes, and the log prior odds."""
+    """Means, inverse Cholesky factors and log determinants of the two classes, and the log prior odds."""
 
     means: np.ndarray
-    factors: np.ndarray
+    inverses: np.ndarray
     log_dets: np.ndarray
     prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
         logs = []
-        for mean, factor, log_det in zip(self.means, self.factors, self.log_dets, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
-            logs.append(-0.5 * ((z * z).sum(axis=0) + log_det))
+        for mean, inverse, log_det in zip(self.means, self.inverses, self.log_dets, strict=True):
+            z = (x - mean) @ inverse.T
+            logs.append(-0.5 * ((z * z).sum(axis=1) + log_det))
         return 1 / (1 + np.exp(-np.clip(logs[1] - logs[0] + self.prior, -500, 500)))
 
 
@@ -107,21 +108,29 @@ def fit(n: np.ndarray, sums: np.ndarray, products: np.ndarray, pool: float, diag
         means.append(mean)
         covs.append(products[k] / n[k] - np.outer(mean, mean) if n[k] else every_cov)
     within = (n[0] * covs[0] + n[1] * covs[1]) / total if total else np.eye(d)
-    factors, log_dets = [], []
+    inverses, log_dets = [], []
     for c in covs:
         c = (1 - pool) * c + pool * within
         c = (1 - diagonal) * c + diagonal * np.diag(np.diag(c)) + floor
         factor = np.linalg.cholesky(c)
-        factors.append(factor)
+        inverses.append(np.linalg.inv(factor))
         log_dets.append(2 * np.log(np.diag(factor)).sum())
-    return Model(np.array(means), np.array(factors), np.array(log_dets), float(np.log((n[1] + 1) / (n[0] + 1))))
+    return Model(np.array(means), np.array(inverses), np.array(log_dets), float(np.log((n[1] + 1) / (n[0] + 1))))
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, _x: the statistics of each row's text."""
-    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
+def measured(docs: DataFrame, id_col: str, text_col: str, only: DataFrame | None = None) -> DataFrame:
+    """_id, _x: the statistics of each row's text. only: one column of ids; then other rows are left out but for a few
+    that a Bloom filter of 32 MB at most takes for them."""
+    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.xxhash64(id_col).alias("_h"))
+    sent = None
+    if only is not None:
+        hashes = written(only.select(F.xxhash64(only.columns[0]).alias("_h")))
+        sent = bloom.filter_of(hashes, hashes.count())
 
     def each(b: pa.RecordBatch) -> dict:
+        if sent is not None:
+            hit = bloom.has(np.frombuffer(sent.value, np.uint8), b.column(2).to_numpy().view(np.uint64))
+            b = b.filter(pa.array(hit))
         return {"_id": b.column(0), "_x": [statistics(t) for t in texts(b, "_t")]}
 
     return arrow_map(src, each, T.StructType([src.schema["_id"], T.StructField("_x", T.ArrayType(T.DoubleType()))]))
@@ -155,24 +164,27 @@ def scored(stats: DataFrame, model: Model) -> DataFrame:
     return arrow_map(stats, each, T.StructType([stats.schema["_id"], T.StructField("score", T.DoubleType())]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_on=None) -> tuple[Model, DataFrame]:
-    """The model of all labelled rows that meet train_on, and the statistics of all rows of docs."""
-    stats = written(measured(docs, id_col, text_col))
+def learn(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_on=None, every: bool = True
+) -> tuple[Model, DataFrame]:
+    """The model of all labelled rows that meet train_on, and the statistics of all rows of docs; with every=False of
+    those that are labelled, and maybe some more."""
     known = labels.select(F.col(id_col).alias("_of"), F.col(label_col).alias("_y")).filter("_y IN (0, 1)")
     if train_on is not None:
         known = known.filter(train_on("_of"))
+    stats = written(measured(docs, id_col, text_col, None if every else known.select("_of")))
     return train(stats.join(known, stats["_id"] == known["_of"]).select("_x", "_y")), stats
 
 
 def keep_good(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows of docs, all columns unchanged, whose text scores at least the threshold. Texts are
-    scored where they are read, so nothing is shuffled. Null texts are scored as empty ones."""
+    scored where they are read, so nothing is shuffled. Null texts are scored as empty ones; repeated rows stay or go
+    together; an empty table gives an empty table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                good = model.score(np.array([statistics(t) for t in texts(b, text_col)])) >= threshold
-                yield b.filter(pa.array(good))
+        for b in (x.slice(i, ROWS_AT_ONCE) for x in batches for i in range(0, x.num_rows, ROWS_AT_ONCE)):
+            good = model.score(np.array([statistics(t) for t in texts(b, text_col)])) >= threshold
+            yield b.filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)
 

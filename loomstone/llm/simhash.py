@@ -11,8 +11,9 @@ rows of 16 bytes, whatever the corpus, and buckets of some 32 equal bits, which
 10^10 fingerprints. Within a bucket the pivot distance table decides: each fingerprint has its
 Hamming distances to ``PIVOTS`` reference fingerprints, and a pair whose largest coordinate
 difference is over ``max_bits`` is discarded (triangle inequality); survivors are verified. A
-bucket over ``HEAVY`` rows is dealt again by slabs of the distance to the first pivots, each with
-its neighbour slab, which loses no pair within ``max_bits``. A bucket yields a spanning
+bucket over ``HEAVY`` rows is dealt again by four parts of the other three blocks, of which a pair within 3 bits
+has one alike: four rows for each, and buckets some 256 times as small. (Distances to pivots would deal it badly: those
+of unrelated fingerprints are all close to 32.) A bucket yields a spanning
 forest of its links, never all pairs of a group.
 """
 
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 from loomstone.llm.common import LOWER, arrow_map, opaque, texts, written
 from loomstone.llm.components import components
 
-PIVOTS, BLOCKS, HEAVY, SLAB_PIVOTS = 16, 6, 4096, 2
+PIVOTS, BLOCKS, HEAVY = 16, 6, 4096
 #: Nodes whose links a task holds before it sends them on.
 MOST_NODES = 1_000_000
 
@@ -85,31 +86,32 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words_each: int =
     return arrow_map(src, each, T.StructType([src.schema["_id"], T.StructField("_fp", T.LongType())]))
 
 
-def _buckets() -> list[Column]:
-    """The key of each block triple: the bits of the three blocks and the triple's number."""
+def _joined_bits(blocks: tuple[int, ...]) -> Column:
+    """The bits of some blocks, side by side."""
     edges = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
-    keys = []
-    for n, blocks in enumerate(combinations(range(BLOCKS), 3)):
-        key = F.lit(n).cast("long")
-        for i in blocks:
-            width = edges[i + 1] - edges[i]
-            bits = F.shiftrightunsigned(F.col("_fp"), edges[i]).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-            key = F.shiftleft(key, width).bitwiseOR(bits)
-        keys.append(key)
-    return keys
-
-
-def _slab_keys(max_bits: int) -> Column:
-    """For a heavy bucket: the slab of the distance to each of the first pivots, and the slab
-    below; a pair within max_bits shares at least one combination."""
-    width = max_bits + 1
-    out = F.array(F.lit(0).cast("long"))
-    for p in pivots(SLAB_PIVOTS).view(np.int64).tolist():
-        slab = F.floor(F.bit_count(F.col("_fp").bitwiseXOR(F.lit(p))) / width).cast("long")
-        out = F.flatten(F.transform(out, lambda x, s=slab: F.array(x * 100 + s + 1, x * 100 + s)))
+    out = F.lit(0).cast("long")
+    for i in blocks:
+        width = edges[i + 1] - edges[i]
+        bits = F.shiftrightunsigned(F.col("_fp"), edges[i]).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+        out = F.shiftleft(out, width).bitwiseOR(bits)
     return out
 
 
+def _buckets() -> list[Column]:
+    """The key of each block triple: the triple's number above the bits of the three blocks."""
+    triples = enumerate(combinations(range(BLOCKS), 3))
+    return [F.lit(n << 40).cast("long").bitwiseOR(_joined_bits(blocks)) for n, blocks in triples]
+
+
+def _slab_keys() -> Column:
+    """For a heavy bucket: two fingerprints that agree on three blocks and differ in 3 bits at most agree on one of
+    four parts of the rest (33 bits at most), so they share one of four keys."""
+    rests = [_joined_bits(tuple(i for i in range(BLOCKS) if i not in blocks)) for blocks in combinations(range(BLOCKS), 3)]
+    rest = F.element_at(F.array(*rests), (F.shiftrightunsigned(F.col("_key"), 40) + 1).cast("int"))
+    part = lambda k: F.shiftrightunsigned(rest, 8 * k).bitwiseAND(F.lit(255 if k < 3 else 1023).cast("long"))
+    return F.array(*(part(k).bitwiseOR(F.lit(k << 10).cast("long")) for k in range(4)))
+
+
 class Forest:
     """Union-find over the links of a task; what goes out is one edge for each node at most."""
 
@@ -179,45 +181,18 @@ def _forest(max_bits: int):
                     queue.extend(left[hit].tolist())
                     left = np.delete(left, hit)
 
-    def links(key: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """key: numbers of buckets, ascending."""
-        table = distances(fps)
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[start, len(key)])
-        for s, n in zip(start[size > 64].tolist(), size[size > 64].tolist(), strict=True):
-            for i, j in large(fps[s : s + n], table[s : s + n]):
-                yield i + s, j + s
-        small = np.repeat((size > 1) & (size <= 64), size)
-        for off in range(1, int(size[(size > 1) & (size <= 64)].max(initial=1))):
-            i = np.flatnonzero(small[:-off] & (key[:-off] == key[off:]))
-            if len(i):
-                hit = near(fps, table, i, i + off)
-                yield i[hit], i[hit] + off
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest()
-        for k, slab, f in whole_runs(batches, 2):
-            number = np.cumsum(np.r_[0, (k[1:] != k[:-1]) | (slab[1:] != slab[:-1])])
-            for i, j in links(number, f.view(np.uint64)):
-                forest.add(f[i].tolist(), f[j].tolist())
-            if len(forest.parent) > MOST_NODES:
-                yield forest.out(target)
-        if forest.parent:
-            yield forest.out(target)
-
-    return run
-
-
-def links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
+    def links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
     """distinct: _fp. Returns edges a, b between fingerprints; their components are those of all links."""
     if not 0 <= max_bits <= 3:
         raise ValueError("three of six equal blocks are certain up to 3 differing bits only")
     rows = distinct.select("_fp", F.explode(F.array(*_buckets())).alias("_key"))
     heavy = rows.groupBy("_key").count().filter(F.col("count") > HEAVY).select(opaque("_key").alias("_heavy"))
     dealt = rows.join(heavy, F.col("_key") == F.col("_heavy"), "left")
-    dealt = dealt.select("_key", F.explode(F.when(F.col("_heavy").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(_slab_keys(max_bits))).alias("_slab"), "_fp")
+    slabs = F.when(F.col("_heavy").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(_slab_keys())
+    dealt = dealt.select("_key", F.explode(slabs).alias("_slab"), "_fp")
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "_key", "_slab").sortWithinPartitions("_key", "_slab", "_fp").mapInArrow(_forest(max_bits), "a long, b long")
+    ordered = dealt.repartition(n, "_key", "_slab").sortWithinPartitions("_key", "_slab", "_fp")
+    return ordered.mapInArrow(_forest(max_bits), "a long, b long")
 
 
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, max_bits: int = 3) -> DataFrame:

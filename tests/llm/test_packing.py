@@ -69,3 +69,22 @@ def test_hot_source_and_copies(spark):
     for b in check(out, rows, 64).values():
         same = [r for r in b if text[r.doc_id] == "same words here"]
         assert len(same) <= 1
+
+
+def test_repeated_rows_are_spread_and_never_share_a_bin(spark):
+    rows = [(None, "", None, "one", 0)] * 300
+    out = pack(docs(spark, rows), shard_rows=50).collect()
+    assert len(out) == len({r.bin_id for r in out}) == 300
+    assert max(len([1 for r in out if r.bin_id >> 32 == k]) for k in range(6)) < 100
+
+
+def test_given_clusters(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"text number {i}", "en", None, 1) for i in range(40)]
+    df = docs(spark, rows).withColumn("component_id", F.when(F.col("doc_id") < 10, F.lit(3)).when(F.col("doc_id") < 20, F.col("doc_id")))
+    out = pack(df, capacity=100, cluster_col="component_id").collect()
+    assert sum(r.n_tokens for r in out) == 160
+    alike = [r.bin_id for r in out if r.doc_id < 10]
+    assert len(set(alike)) == 10
+    assert len({r.bin_id for r in out}) == 10

@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -47,9 +49,12 @@ def test_density_ratio_by_hand():
     m = fit(np.array([300.0, 500.0]), np.array([v.sum(0) for v in x]), np.array([v.T @ v for v in x]), 0.2, 0.1)
     q = rng.normal(size=(5, d))
     logs = []
+    covs = [np.cov(v.T, bias=True) for v in x]
+    pooled, floor = (300 * covs[0] + 500 * covs[1]) / 800, 1e-3 * np.cov(np.concatenate(x).T, bias=True).diagonal() + 1e-6
     for k in (0, 1):
-        cov = m.factors[k] @ m.factors[k].T
-        diff = q - m.means[k]
+        cov = 0.8 * covs[k] + 0.2 * pooled
+        cov = 0.9 * cov + 0.1 * np.diag(cov.diagonal()) + np.diag(floor)
+        diff = q - x[k].mean(axis=0)
         logs.append(-0.5 * (np.einsum("ij,jk,ik->i", diff, np.linalg.inv(cov), diff) + np.linalg.slogdet(cov)[1]))
     want = 1 / (1 + np.exp(-(logs[1] - logs[0] + np.log(501 / 301))))
     assert np.allclose(m.score(q), want)
@@ -76,3 +81,46 @@ def test_statistics_are_finite():
 def test_ids_are_text(spark):
     got = spark.range(50).select("id", crc_mod("id", 4).alias("r"), F.lit(1)).collect()
     assert all(r.r == zlib.crc32(str(r.id).encode()) % 4 for r in got)
+
+
+def plain_statistics(text):
+    """The same from the definitions, character by character."""
+    size, words, lines = len(text), text.split(), [x for x in text.split(b"\n") if x]
+    n = len(words)
+    count = lambda chars: sum(c in chars for c in text)
+    share = lambda x, of, more, prior=0.0: math.sqrt((x + prior * more) / (of + more))
+    letters = sum(65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in text)
+    entropy = -sum(c / size * math.log2(c / size) for c in Counter(text).values()) if size else 0.0
+    return [
+        math.log(1 + n),
+        math.log(1 + (sum(map(len, words)) + 100) / (n + 20)),
+        share(sum(65 <= c <= 90 for c in text), letters, 100, 0.03),
+        share(count(b"#$%&*+=@\\^_~`"), size, 20),
+        share(count(b"!"), size, 20),
+        share(count(b"|"), size, 20),
+        share(count(b"0123456789"), size, 100),
+        share(sum(words[i] == words[i - 1] for i in range(1, n)), n, 5),
+        math.log(21 + len(set(words))) / math.log(21 + n),
+        share(len(lines) - len(set(lines)), len(lines), 20),
+        share(count(b".,;:"), size, 100, 0.02),
+        (size * entropy + 2100) / (size + 500),
+        share(sum(len(w) < 4 for w in words), n, 20, 0.3),
+        share(sum(len(w) > 15 for w in words), n, 20, 0.02),
+        (math.log(1 + max((len(x) for x in lines), default=0)) - math.log(1 + size)) * size / (size + 500),
+        share(count(b"<>{}[]/"), size, 100),
+    ]
+
+
+def test_statistics_against_a_plain_version():
+    texts = [(t or "").encode() for _, t, *_ in EDGE] + [t.encode() for _, t, *_ in corpus(60)[0]] + [b"<a href='x'>#1 100% | b!</a>\n\nsame\nsame\n"]
+    for t in texts:
+        assert np.allclose(statistics(t[:20_000]), plain_statistics(t[:20_000]))
+
+
+def test_only_labelled_rows_are_measured(spark):
+    rows, labels = corpus(300)
+    some = spark.createDataFrame([x for x in labels if x[0] % 5 == 0], "doc_id long, quality int, toxic int")
+    a, every = learn(docs(spark, rows), some)
+    b, few = learn(docs(spark, rows), some, every=False)
+    assert np.allclose(a.means, b.means) and np.allclose(a.inverses, b.inverses)
+    assert every.count() == 300 and 60 <= few.count() < 80

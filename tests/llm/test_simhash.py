@@ -112,6 +112,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_rounds_leave_no_tables_behind(spark, tmp_path):
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        edges = [(i, i + 1) for i in range(100)]
+        got = components(spark.createDataFrame(edges, "a long, b long"))
+        assert got.count() == 100
+        assert len(list((tmp_path / "loomstone").iterdir())) == 1
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+
+
 def test_one_fingerprint():
     for t in ("a b c d", "A B", "", "x", "one two three one two three"):
         assert fingerprint(t.encode()) == plain_fingerprint(t)
