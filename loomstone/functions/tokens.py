@@ -6,6 +6,7 @@ the distance number ``value`` of the three last ones.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,13 +16,16 @@ from loomstone.functions.numeric import log2_fixed8
 LITERAL, MATCH, REP = 0, 1, 2
 #: The last three distances at the start of a chunk; longest match; most distance slots; DP window.
 FIRST_REPS, LONGEST, SLOTS, DP_WINDOW = (1, 4, 8), 258, 56, 16_384
+#: Bytes of values whose earlier places are searched together.
+AT_ONCE = 1 << 21
 
 Token = tuple[int, int, int]
 
 
 @dataclass(frozen=True)
 class Level:
-    """lazy: look one byte ahead below ``threshold``; depth: candidates tried; good: a match that long ends the search."""
+    """lazy: look one byte ahead below ``threshold``; good: a match that long is taken whole by the optimal parse; depth:
+    the surveyed number of candidates, of which the search by classes of sizes needs no limit."""
 
     lazy: bool
     depth: int
@@ -91,72 +95,98 @@ def _common(data: bytes, a: int, b: int, most: int) -> int:
     return most
 
 
-class Finder:
-    """Earlier places by the next three bytes, latest first."""
-
-    def __init__(self, data: bytes, level: Level) -> None:
-        self.data, self.level, self.upto = data, level, 0
-        self.head: dict[bytes, int] = {}
-        self.before: list[int] = [-1] * len(data)
-
-    def insert(self, upto: int) -> None:
-        head, before, data = self.head, self.before, self.data
-        for i in range(self.upto, min(upto, len(data) - 2)):
-            key = data[i : i + 3]
-            before[i] = head.get(key, -1)
-            head[key] = i
-        self.upto = max(self.upto, upto)
-
-    def longest(self, at: int, least: int) -> tuple[int, int]:
-        """(length, distance) of the longest match, of equal ones the nearest; (0, 0) if shorter than least."""
-        data, level = self.data, self.level
-        most = min(LONGEST, len(data) - at)
-        if most < 3:
-            return 0, 0
-        best, where, tries = least - 1, 0, level.depth
-        p = self.head.get(data[at : at + 3], -1)
-        before = self.before
-        while p >= 0 and tries and at - p <= level.window:
-            tries -= 1
-            if best >= most:
+class Search:
+    """Earlier places of what begins at each byte of several values, found for all bytes at once.
+
+    For each length of ``SIZES`` the places that begin with the same bytes are one class (a class of a longer size joins
+    those of two overlapping shorter ones), and the place before in its class is a candidate: the nearest that agrees
+    in so many bytes. Its exact length is that size and what still agrees after it. So a
+    candidate is never shorter than the longest match by more than a third or a half, and it is the nearest of its size."""
+
+    SIZES = (3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256)
+
+    def __init__(self, values: list[bytes], window: int, three: bool = False) -> None:
+        """three: also matches of three bytes."""
+        sizes = np.array([len(v) for v in values], np.int64)
+        self.ends = np.cumsum(sizes)
+        x = np.frombuffer(b"".join(values), np.uint8)
+        self.x, self.n, self.window = x, len(x), window
+        self.width = max(1, int(self.n).bit_length())
+        self.first = np.repeat(self.ends - sizes, sizes)  # where the value of each byte begins
+        self.last = np.repeat(self.ends, sizes)
+        self.found: list[tuple[int, np.ndarray, np.ndarray]] = []  # (size, places, candidates)
+        ranks: dict[int, np.ndarray] = {}
+        before, some = 0, np.arange(self.n)
+        for size in self.SIZES[0 if three else 1 :]:
+            some = some[some + size <= self.n]
+            if before:
+                rank = ranks[before]
+                left, right = rank[some], rank[some + size - before]
+                keep = right >= 0
+                some, left, right = some[keep], left[keep], right[keep]
+                key = left.astype(np.int64) << self.width | right
+            else:
+                key = np.zeros(len(some), np.int64)
+                for k in range(size):
+                    key = key << 8 | x[some + k]
+            key, at = self._sorted(key, some)
+            again = np.flatnonzero(key[1:] == key[:-1]) + 1
+            if not len(again):
                 break
-            if data[p + best] == data[at + best]:
-                n = _common(data, p, at, most)
-                if n > best:
-                    best, where = n, at - p
-                    if n >= level.good:
-                        break
-            p = before[p]
-        return (best, where) if where else (0, 0)
-
-    def all(self, at: int) -> list[tuple[int, int]]:
-        """(length, distance) of candidates that are longer than all nearer ones, shortest first."""
-        data, level, out, best = self.data, self.level, [], 2
-        most, tries = min(LONGEST, len(data) - at), level.depth
-        p = self.head.get(data[at : at + 3], -1) if most >= 3 else -1
-        while p >= 0 and tries and best < most and at - p <= level.window:
-            tries -= 1
-            if data[p + best] == data[at + best]:
-                n = _common(data, p, at, most)
-                if n > best:
-                    best = n
-                    out.append((n, at - p))
-            p = self.before[p]
+            number = np.cumsum(np.r_[0, key[1:] != key[:-1]])
+            ranks[size] = np.full(self.n, -1, np.int32)
+            several = np.r_[key[1:] == key[:-1], False]
+            several[again] = True
+            ranks[size][at[several]] = number[several]
+            places, earlier = at[again], at[again - 1]
+            mine = (earlier >= self.first[places]) & (places - earlier <= window) & (places + size <= self.last[places])
+            self.found.append((size, places[mine], earlier[mine]))
+            before, some = size, np.sort(at[several])
+        self.ranks = ranks
+
+    def _sorted(self, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and places, by key and then by place; places are ascending."""
+        if 3 * self.width <= 63:  # one number holds both, and numbers sort fast
+            both = np.sort(key << self.width | at)
+            return both >> self.width, both & (1 << self.width) - 1
+        order = np.argsort(key, kind="stable")
+        return key[order], at[order]
+
+    def _length(self, size: int, at: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+        """The exact lengths of candidates that agree in ``size`` bytes."""
+        most = np.minimum(self.last[at] - at, LONGEST)
+        n = np.full(len(at), size, np.int64)
+        for step in [s for s in self.SIZES[::-1] if s < size and s in self.ranks]:
+            rank = self.ranks[step]
+            a, b = at + n, earlier + n
+            inside = a + step <= self.n
+            ra, rb = rank[np.where(inside, a, 0)], rank[np.where(inside, b, 0)]
+            n += step * (inside & (ra >= 0) & (ra == rb))
+        for _ in range(4):
+            a, b = np.minimum(at + n, self.n - 1), earlier + n
+            n += (at + n < self.n) & (self.x[a] == self.x[np.minimum(b, self.n - 1)])
+        return np.minimum(n, most)
+
+    def longest(self) -> tuple[np.ndarray, np.ndarray]:
+        """Length and distance of the longest candidate at each byte; 0 and 0 without any."""
+        length, distance = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
+        for size, at, earlier in self.found[::-1]:  # a candidate of a larger size is longer
+            new = length[at] == 0
+            at, earlier = at[new], earlier[new]
+            length[at], distance[at] = self._length(size, at, earlier), at - earlier
+        return length, distance
+
+    def all(self) -> list[list[tuple[int, int]]]:
+        """(length, distance) of the candidates at each byte, each longer than all nearer ones, shortest first."""
+        out: list[list[tuple[int, int]]] = [[] for _ in range(self.n)]
+        for size, at, earlier in self.found:
+            for i, n, d in zip(at.tolist(), self._length(size, at, earlier).tolist(), (at - earlier).tolist(), strict=True):
+                seen = out[i]
+                if not seen or n > seen[-1][0]:
+                    seen.append((n, d))
         return out
 
 
-def _best_rep(data: bytes, at: int, reps: tuple[int, ...], least: int) -> tuple[int, int]:
-    """(length, number) of the longest match at a last distance, of equal ones the first."""
-    best, which = 0, -1
-    most = min(LONGEST, len(data) - at)
-    for i, d in enumerate(reps):
-        if d <= at and data[at - d] == data[at]:
-            n = _common(data, at - d, at, most)
-            if n > best:
-                best, which = n, i
-    return (best, which) if best >= least else (0, -1)
-
-
 def promote(reps: tuple[int, ...], token: Token) -> tuple[int, ...]:
     kind, value, _ = token
     if kind == MATCH:
@@ -166,40 +196,125 @@ def promote(reps: tuple[int, ...], token: Token) -> tuple[int, ...]:
     return reps
 
 
-def parse(data: bytes, level: Level, least: np.ndarray | None = None) -> list[Token]:
-    """Greedy parse, or lazy with one byte of look-ahead; a last distance wins over an equally long match."""
-    finder, reps, out, at, n = Finder(data, level), FIRST_REPS, [], 0, len(data)
+@dataclass(eq=False)
+class Tokens:
+    """Tokens as arrays, in order."""
+
+    kind: np.ndarray
+    value: np.ndarray
+    length: np.ndarray
+
+    @staticmethod
+    def of(rows: list[Token]) -> Tokens:
+        cols = np.array(rows, np.int64).reshape(-1, 3).T
+        return Tokens(cols[0].astype(np.uint8), cols[1], cols[2])
+
+    @staticmethod
+    def filled(data: bytes, matches: list[tuple[int, int, int, int]]) -> Tokens:
+        """matches: (place, kind, value, length), ascending; all other bytes are literals."""
+        x = np.frombuffer(data, np.uint8)
+        m = np.array(matches, np.int64).reshape(-1, 4)
+        change = np.zeros(len(x) + 1, np.int64)
+        np.add.at(change, m[:, 0], 1)
+        np.add.at(change, m[:, 0] + m[:, 3], -1)
+        alone = np.flatnonzero(np.cumsum(change[:-1]) == 0)
+        order = np.argsort(np.r_[alone, m[:, 0]], kind="stable")
+        put = lambda literal, match: np.r_[literal, match][order]
+        return Tokens(put(np.zeros(len(alone)), m[:, 1]).astype(np.uint8), put(x[alone].astype(np.int64), m[:, 2]), put(np.ones(len(alone), np.int64), m[:, 3]))
+
+    def __len__(self) -> int:
+        return len(self.kind)
+
+    def __iter__(self) -> Iterator[Token]:
+        return zip(self.kind.tolist(), self.value.tolist(), self.length.tolist(), strict=True)
+
+    def __eq__(self, other) -> bool:
+        return list(self) == list(other)
+
+    def places(self) -> np.ndarray:
+        return np.cumsum(self.length) - self.length
+
+    def symbols(self, least: np.ndarray | None) -> np.ndarray:
+        """The length symbols of all that are not literals."""
+        some = self.kind > 0
+        short = 4 if least is None else least[self.places()[some]].astype(np.int64)
+        return np.minimum(self.length[some] - short, 255)
+
 
-    def choose(i: int) -> Token | None:
-        short = int(least[i]) if least is not None else 4
-        rep, which = _best_rep(data, i, reps, short)
-        length, distance = (0, 0) if rep >= level.good else finder.longest(i, short)
-        if rep and rep >= length:
-            return REP, which, rep
-        return (MATCH, distance, length) if length else None
+def _steps(data: bytes, level: Level, least: np.ndarray | None, length: list[int], distance: list[int]) -> Tokens:
+    """Greedy parse, or lazy with one byte of look-ahead; a last distance wins over an equally long match."""
+    out, at, n = [], 0, len(data)
+    first, second, third = FIRST_REPS
+    short = np.full(n, 4, np.uint8) if least is None else least
+    # where a last distance fits there is a candidate as well, so nothing begins at any other byte
+    starts = np.flatnonzero(np.array(length, np.int64) >= short).tolist()
+    starts.append(n)
+    lazy_below = level.threshold if level.lazy else 0
+
+    def choose(i: int) -> Token:
+        best, which, byte = 0, -1, data[i]
+        if i >= first and data[i - first] == byte:
+            best, which = _common(data, i - first, i, min(LONGEST, n - i)), 0
+        if i >= second and data[i - second] == byte and (m := _common(data, i - second, i, min(LONGEST, n - i))) > best:
+            best, which = m, 1
+        if i >= third and data[i - third] == byte and (m := _common(data, i - third, i, min(LONGEST, n - i))) > best:
+            best, which = m, 2
+        if best >= length[i] and best >= (4 if least is None else least[i]):
+            return REP, which, best
+        return MATCH, distance[i], length[i]
 
     waiting: Token | None = None
-    while at < n:
-        token = waiting or choose(at)
+    k = 0
+    while True:
+        while starts[k] < at:
+            k += 1
+        if starts[k] > at:
+            at, waiting = starts[k], None
+        if at >= n:
+            break
+        kind, value, size = token = waiting or choose(at)
         waiting = None
-        finder.insert(at + 1)
-        if token and level.lazy and token[2] < level.threshold and at + 1 < n:
+        if size < lazy_below and starts[k + 1] == at + 1 < n:
             waiting = choose(at + 1)
-            if waiting and waiting[2] > token[2]:
-                token = None  # a literal, then the longer one
-            else:
-                waiting = None
-        if token is None:
-            out.append((LITERAL, data[at], 1))
-            at += 1
-            continue
-        out.append(token)
-        reps = promote(reps, token)
-        at += token[2]
-        finder.insert(at)
+            if waiting[2] > size:
+                at += 1  # a literal, then the longer one
+                continue
+            waiting = None
+        out.append((at, *token))
+        d = value if kind == MATCH else (first, second, third)[value]
+        if d != first:
+            if d != second:
+                third = second
+            first, second = d, first
+        at += size
+    return Tokens.filled(data, out)
+
+
+def parse_many(values: list[bytes], level: Level, leasts: list[np.ndarray | None]) -> list[Tokens]:
+    """Greedy or lazy parses of several values; places are searched for some megabytes of them at a time."""
+    out: list[Tokens] = []
+    begin = 0
+    while begin < len(values):
+        end, size = begin, 0
+        while end < len(values) and (end == begin or size + len(values[end]) <= AT_ONCE):
+            size += len(values[end])
+            end += 1
+        part = values[begin:end]
+        search = Search(part, level.window, any(m is not None for m in leasts[begin:end]))
+        length, distance = search.longest()
+        at = 0
+        for v, least in zip(part, leasts[begin:end], strict=True):
+            mine = slice(at, at + len(v))
+            out.append(_steps(v, level, least, length[mine].tolist(), distance[mine].tolist()))
+            at += len(v)
+        begin = end
     return out
 
 
+def parse(data: bytes, level: Level, least: np.ndarray | None = None) -> Tokens:
+    return parse_many([data], level, [least])[0]
+
+
 @dataclass(frozen=True)
 class Prices:
     """Bits of each symbol in 24.8 fixed point, from Laplace-smoothed counts of a first parse."""
@@ -216,151 +331,143 @@ def _prices(counts: list[int]) -> list[int]:
     return [max(0, total - log2_fixed8(c)) for c in counts]
 
 
-def price_model(tokens: list[Token], least: np.ndarray | None = None) -> Prices:
-    flags, literals, lengths, slots, reps = ([1] * k for k in (3, 256, 256, SLOTS, 3))
-    at = 0
-    for kind, value, length in tokens:
-        flags[kind] += 1
-        if kind == LITERAL:
-            literals[value] += 1
-        else:
-            short = int(least[at]) if least is not None else 4
-            lengths[min(length - short, 255)] += 1
-            if kind == MATCH:
-                slots[distance_slot(value)[0]] += 1
-            else:
-                reps[value] += 1
-        at += length
-    return Prices(*map(_prices, (flags, literals, lengths, slots, reps)))
+def _slots(distances: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """distance_slot of each."""
+    d = distances - 1
+    top = np.frexp(np.maximum(d, 1).astype(np.float64))[1].astype(np.int64) - 1
+    slot = np.where(d < 4, d, np.minimum(2 * top + (d >> np.maximum(top - 1, 0) & 1), SLOTS - 1))
+    base = np.array([slot_base(k) for k in range(SLOTS)], np.int64)
+    return slot, np.where(d < 4, 0, distances - base[slot]), np.where(slot < 4, 0, (slot - 2) // 2)
+
 
+def price_model(tokens: Tokens, least: np.ndarray | None = None) -> Prices:
+    kind, value = tokens.kind, tokens.value
+    count = lambda x, n: (np.bincount(x, minlength=n) + 1).tolist()
+    slots = _slots(value[kind == MATCH])[0]
+    symbols = tokens.symbols(least)
+    parts = (kind, 3), (value[kind == LITERAL], 256), (symbols, 256), (slots, SLOTS), (value[kind == REP], 3)
+    return Prices(*(_prices(count(x, n)) for x, n in parts))
 
-def parse_optimal(data: bytes, level: Level, least: np.ndarray | None = None) -> list[Token]:
+
+def parse_optimal(data: bytes, level: Level, least: np.ndarray | None = None) -> Tokens:
     """Cheapest path under the prices of a first parse, window by window of 16,384 bytes.
 
-    Every length of every candidate is priced; extra bits cost 256 each. Of equal costs the first found stays."""
-    prices = price_model(parse(data, level, least), least)
-    finder, reps, out, n = Finder(data, level), FIRST_REPS, [], len(data)
+    Each length is priced with the nearest candidate that has it, and with the last distances; extra bits cost 256 each. Of
+    equal costs the first found stays."""
+    search = Search([data], level.window, least is not None)
+    length, distance = search.longest()
+    prices = price_model(_steps(data, level, least, length.tolist(), distance.tolist()), least)
+    every, reps, out, n = search.all(), FIRST_REPS, [], len(data)
+    short_of = [4] * n if least is None else least.tolist()
+    flags, literals, lengths, slots, rep_prices = prices.flags, prices.literals, prices.lengths, prices.slots, prices.reps
     for begin in range(0, n, DP_WINDOW):
         end = min(n, begin + DP_WINDOW)
-        cost = [1 << 60] * (end - begin + 1)
-        how: list[Token | None] = [None] * (end - begin + 1)
-        state: list[tuple[int, ...]] = [reps] * (end - begin + 1)
-        cost[0], at = 0, begin
-        while at < end:
-            i = at - begin
-            now, here = cost[i], state[i]
-            short = int(least[at]) if least is not None else 4
-
-            def reach(length: int, price: int, token: Token, i: int = i, here: tuple[int, ...] = here) -> None:
-                if price < cost[i + length]:
-                    cost[i + length], how[i + length] = price, token
-                    state[i + length] = promote(here, token)
-
-            reach(1, now + prices.flags[0] + prices.literals[data[at]], (LITERAL, data[at], 1))
+        size = end - begin
+        cost, how = [1 << 60] * (size + 1), [(LITERAL, 0, 1)] * (size + 1)
+        state: list[tuple[int, ...]] = [reps] * (size + 1)
+        cost[0], i = 0, 0
+        while i < size:
+            at, now, short = begin + i, cost[i], short_of[begin + i]
+            here = state[i] = promote(state[i - how[i][2]], how[i]) if i else reps
+            if (price := now + flags[0] + literals[data[at]]) < cost[i + 1]:
+                cost[i + 1], how[i + 1] = price, (LITERAL, data[at], 1)
             most, jump = min(LONGEST, end - at), 0
             for which, d in enumerate(here):
                 if d <= at and data[at - d] == data[at]:
                     full = _common(data, at - d, at, most)
-                    base = now + prices.flags[2] + prices.reps[which]
-                    for length in range(short, full + 1):
-                        reach(length, base + prices.lengths[min(length - short, 255)], (REP, which, length))
+                    base = now + flags[2] + rep_prices[which]
+                    for k in range(short, full + 1):
+                        if (price := base + lengths[min(k - short, 255)]) < cost[i + k]:
+                            cost[i + k], how[i + k] = price, (REP, which, k)
                     jump = max(jump, full)
-            for length, d in finder.all(at):
-                slot, _, extra = distance_slot(d)
-                base = now + prices.flags[1] + prices.slots[slot] + 256 * extra
-                for k in range(short, min(length, most) + 1):
-                    reach(k, base + prices.lengths[min(k - short, 255)], (MATCH, d, k))
-                jump = max(jump, min(length, most))
-            step = jump if jump >= level.good else 1
-            finder.insert(at + step)
-            at += step
-        path, i = [], end - begin
+            tried = short - 1
+            for full, d in every[at]:
+                full = min(full, most)
+                if full > tried:
+                    slot, _, extra = distance_slot(d)
+                    base = now + flags[1] + slots[slot] + 256 * extra
+                    for k in range(tried + 1, full + 1):
+                        if (price := base + lengths[min(k - short, 255)]) < cost[i + k]:
+                            cost[i + k], how[i + k] = price, (MATCH, d, k)
+                    tried = full
+            jump = max(jump, tried)
+            i += jump if jump >= level.good else 1
+        path, i = [], size
         while i > 0:
             path.append(how[i])
             i -= how[i][2]
-        reps = state[end - begin]
+        for token in path[::-1]:
+            reps = promote(reps, token)
         out += path[::-1]
-    return out
+    return Tokens.of(out)
 
 
-def expand(tokens: list[Token]) -> bytes:
+def expand(tokens: Tokens | list[Token]) -> bytes:
     """The bytes that tokens stand for; copies may overlap their source. Bad distances raise ValueError."""
-    out, reps = bytearray(), FIRST_REPS
-    for token in tokens:
-        kind, value, length = token
-        if kind == LITERAL:
-            out.append(value)
-            continue
-        d = value if kind == MATCH else reps[value]
-        if not 0 < d <= len(out):
+    if not isinstance(tokens, Tokens):
+        tokens = Tokens.of(tokens)
+    at = np.flatnonzero(tokens.kind)
+    literals = tokens.value[tokens.kind == LITERAL].astype(np.uint8).tobytes()
+    upto = (at - np.arange(len(at))).tolist()  # literals before each match
+    out, used = bytearray(), 0
+    first, second, third = FIRST_REPS
+    for k, kind, value, length in zip(upto, tokens.kind[at].tolist(), tokens.value[at].tolist(), tokens.length[at].tolist(), strict=True):
+        if k > used:
+            out += literals[used:k]
+            used = k
+        d = value if kind == MATCH else (first, second, third)[value]
+        if d != first:
+            if d != second:
+                third = second
+            first, second = d, first
+        begin = len(out) - d
+        if begin < 0 or d < 1:
             raise ValueError("a distance leads before the start")
-        at = len(out) - d
         if d >= length:
-            out += out[at : at + length]
+            out += out[begin : begin + length]
         else:
-            unit = bytes(out[at:])
-            out += (unit * (length // d + 1))[:length]
-        reps = promote(reps, token)
+            out += (out[begin:] * (length // d + 1))[:length]
+    out += literals[used:]
     return bytes(out)
 
 
 STREAMS = ("flags", "literals", "lengths", "slots", "reps")
 
 
-def separate(tokens: list[Token], least: np.ndarray | None = None) -> tuple[dict[str, bytes], bytes]:
+def separate(tokens: Tokens, least: np.ndarray | None = None) -> tuple[dict[str, bytes], bytes]:
     """Five symbol streams (flags four to a byte) and the extra bits of distances, lowest first."""
-    flags, literals, lengths, slots, reps = [], bytearray(), bytearray(), bytearray(), bytearray()
-    extra, filled, at = 0, 0, 0
-    packed = bytearray()
-    for kind, value, length in tokens:
-        flags.append(kind)
-        if kind == LITERAL:
-            literals.append(value)
-        else:
-            short = int(least[at]) if least is not None else 4
-            lengths.append(min(length - short, 255))
-            if kind == MATCH:
-                slot, rest, bits = distance_slot(value)
-                slots.append(slot)
-                extra |= rest << filled
-                filled += bits
-                while filled >= 8:
-                    packed.append(extra & 255)
-                    extra >>= 8
-                    filled -= 8
-            else:
-                reps.append(value)
-        at += length
-    if filled:
-        packed.append(extra & 255)
-    f = np.zeros(-(-len(flags) // 4) * 4, np.uint8)
-    f[: len(flags)] = flags
-    f = f.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)
-    return {"flags": np.bitwise_or.reduce(f, axis=1).astype(np.uint8).tobytes() if len(flags) else b"", "literals": bytes(literals), "lengths": bytes(lengths), "slots": bytes(slots), "reps": bytes(reps)}, bytes(packed)
-
-
-def rejoin(streams: dict[str, bytes], extra: bytes, n_tokens: int, least: np.ndarray | None = None) -> list[Token]:
-    literals, lengths, slots, reps = (iter(streams[k]) for k in STREAMS[1:])
-    bits, used, at, out = int.from_bytes(extra, "little"), 0, 0, []
-    if len(extra) > 4096:
-        bits = None
-    for i in range(n_tokens):
-        kind = streams["flags"][i // 4] >> 2 * (i % 4) & 3
-        if kind == LITERAL:
-            out.append((LITERAL, next(literals), 1))
-            at += 1
-            continue
-        short = int(least[at]) if least is not None else 4
-        length = next(lengths) + short
-        if kind == MATCH:
-            slot = next(slots)
-            n = max(0, (slot - 2) // 2) if slot >= 4 else 0
-            rest = bits if bits is not None else int.from_bytes(extra[used // 8 : used // 8 + 8], "little") << used // 8 * 8
-            out.append((MATCH, slot_base(slot) + ((rest >> used) & (1 << n) - 1), length))
-            used += n
-        elif kind == REP:
-            out.append((REP, next(reps), length))
-        else:
-            raise ValueError("an unknown flag")
-        at += length
-    return out
+    kind, value = tokens.kind, tokens.value
+    slots, rest, bits = _slots(value[kind == MATCH])
+    start = np.cumsum(bits) - bits
+    of = np.repeat(np.arange(len(bits)), bits)
+    extra = np.packbits(rest[of] >> (np.arange(len(of)) - start[of]) & 1, bitorder="little")
+    flags = np.zeros(-(-len(kind) // 4) * 4, np.uint8)
+    flags[: len(kind)] = kind
+    flags = np.bitwise_or.reduce(flags.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8), axis=1) if len(kind) else flags
+    streams = flags, value[kind == LITERAL], tokens.symbols(least), slots, value[kind == REP]
+    return {k: x.astype(np.uint8).tobytes() for k, x in zip(STREAMS, streams, strict=True)}, extra.tobytes()
+
+
+def rejoin(streams: dict[str, bytes], extra: bytes, n_tokens: int, least: np.ndarray | None = None) -> Tokens:
+    flags, literals, symbols, slots, reps = (np.frombuffer(streams[k], np.uint8).astype(np.int64) for k in STREAMS)
+    kind = (flags[:, None] >> np.array([0, 2, 4, 6]) & 3).ravel()[:n_tokens]
+    if (kind > REP).any():
+        raise ValueError("an unknown flag")
+    bits = np.where(slots < 4, 0, (slots - 2) // 2)
+    start = np.cumsum(bits) - bits
+    of = np.repeat(np.arange(len(bits)), bits)
+    ones = np.unpackbits(np.frombuffer(extra, np.uint8), count=len(of), bitorder="little").astype(np.int64) if len(of) else of
+    rest = np.bincount(of, (ones << np.arange(len(of)) - start[of]).astype(np.float64), len(bits)).astype(np.int64)
+    value, length = np.zeros(n_tokens, np.int64), np.ones(n_tokens, np.int64)
+    value[kind == LITERAL], value[kind == REP] = literals, reps
+    value[kind == MATCH] = np.array([slot_base(k) for k in range(SLOTS)], np.int64)[slots] + rest
+    some = np.flatnonzero(kind)
+    if least is None:
+        length[some] = symbols + 4
+    else:
+        copied, out = 0, []
+        for place, symbol in zip((some - np.arange(len(some))).tolist(), symbols.tolist(), strict=True):
+            out.append(symbol + int(least[place + copied]))
+            copied += out[-1]
+        length[some] = out
+    return Tokens(kind.astype(np.uint8), value, length)

@@ -39,7 +39,7 @@ def _read_table(data: bytes, at: int) -> tuple[np.ndarray, int]:
     return freq, at + 3 * n
 
 
-def code_tokens(parsed: list[list[K.Token]], leasts: list[np.ndarray | None]) -> list[bytes]:
+def code_tokens(parsed: list[K.Tokens], leasts: list[np.ndarray | None]) -> list[bytes]:
     """The payload of each list of tokens."""
     parts = [K.separate(t, m) for t, m in zip(parsed, leasts, strict=True)]
     streams = [s[k] for s, _ in parts for k in K.STREAMS]
@@ -53,7 +53,7 @@ def code_tokens(parsed: list[list[K.Token]], leasts: list[np.ndarray | None]) ->
     return out
 
 
-def decode_tokens(payloads: list[bytes], leasts: list[np.ndarray | None]) -> list[list[K.Token]]:
+def decode_tokens(payloads: list[bytes], leasts: list[np.ndarray | None]) -> list[K.Tokens]:
     coded, tables, sizes, rest = [], [], [], []
     none = np.full(256, 16, np.int64)
     for p in payloads:
@@ -89,18 +89,21 @@ def _candidates(data: bytes, kind: str, level: str) -> list[X.Stack]:
 def encode_batch(chunks: list[bytes], kinds: list[str], level: str) -> list[tuple[str, int, X.Stack, bytes]]:
     """(codec, raw size, stack, payload) of each chunk. Raw blocks, entropies over 7.95 and empty chunks are stored."""
     settings = K.LEVELS[level]
-    parse = K.parse_optimal if settings.optimal else K.parse
     out: list[tuple[str, int, X.Stack, bytes]] = [("raw", len(c), X.Stack(), c) for c in chunks]
-    tried: list[tuple[int, X.Stack, list[K.Token], np.ndarray | None]] = []
+    tried: list[tuple[int, X.Stack, bytes, np.ndarray | None]] = []
     for i, (data, kind) in enumerate(zip(chunks, kinds, strict=True)):
         if not data or kind == "raw" or N.entropy(data) > 7.95:
             continue
         for stack in _candidates(data, kind, level):
             changed, done = X.apply_stack(data, stack)
-            least = K.min_match_map(len(changed), done.masks)
-            tried.append((i, done, parse(changed, settings, least), least))
+            tried.append((i, done, changed, K.min_match_map(len(changed), done.masks)))
+    leasts = [t[3] for t in tried]
+    if settings.optimal:
+        parsed = [K.parse_optimal(t[2], settings, t[3]) for t in tried]
+    else:
+        parsed = K.parse_many([t[2] for t in tried], settings, leasts)
     best: dict[int, int] = {}
-    for (i, stack, _, _), payload in zip(tried, code_tokens([t[2] for t in tried], [t[3] for t in tried]), strict=True):
+    for (i, stack, _, _), payload in zip(tried, code_tokens(parsed, leasts), strict=True):
         if i not in best or len(payload) < best[i]:
             best[i] = len(payload)
             out[i] = ("lz77", len(chunks[i]), stack, payload)
@@ -177,12 +180,11 @@ def token_summary(df: DataFrame, value_col: str, level: str = "balanced") -> Dat
 
     def f(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {n: [] for n in ("n_literals", "n_matches", "n_reps", "covered", "literal_price")}
-        for v in cols[value_col]:
-            t = K.parse(v or b"", K.LEVELS[level])
-            kinds = [x[0] for x in t]
+        values = [v or b"" for v in cols[value_col]]
+        for t in K.parse_many(values, K.LEVELS[level], [None] * len(values)):
             for k, n in enumerate(("n_literals", "n_matches", "n_reps")):
-                out[n].append(kinds.count(k))
-            out["covered"].append(sum(x[2] for x in t if x[0]))
+                out[n].append(int((t.kind == k).sum()))
+            out["covered"].append(int(t.length[t.kind > 0].sum()))
             out["literal_price"].append(K.price_model(t).flags[0])
         return out
 
@@ -193,7 +195,8 @@ def stream_diagnostics(df: DataFrame, value_col: str, level: str = "balanced") -
     """stream, n_symbols, raw_bytes, coded_bytes, h0 over all values: how the separate streams code."""
 
     def f(cols: dict[str, list]) -> dict[str, list]:
-        parts = [K.separate(K.parse(v or b"", K.LEVELS[level]))[0] for v in cols[value_col]]
+        values = [v or b"" for v in cols[value_col]]
+        parts = [K.separate(t)[0] for t in K.parse_many(values, K.LEVELS[level], [None] * len(values))]
         streams = [p[k] for p in parts for k in K.STREAMS]
         coded = rans.encode_many(streams, [rans.normalise(N.histogram(s)) for s in streams])
         rows = [{"stream": K.STREAMS[i % 5], "raw": len(s), "coded": len(c), "bits": N.entropy(s) * len(s)} for i, (s, c) in enumerate(zip(streams, coded, strict=True))]

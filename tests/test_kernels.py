@@ -131,15 +131,35 @@ def test_shorter_matches_in_quiet_planes():
 
 
 def test_longest_match_against_every_place():
-    data = SAMPLES[7] + RNG.integers(0, 3, 400, dtype=np.uint8).tobytes()
-    finder = tokens.Finder(data, tokens.Level(False, 10**6, 0, 258, 1 << 20))
-    for at in range(3, len(data) - 3, 37):
-        finder.insert(at)
-        most = min(tokens.LONGEST, len(data) - at)
-        want = max((next((k for k in range(most) if data[p + k] != data[at + k]), most) for p in range(at)), default=0)
-        got, distance = finder.longest(at, 3)
-        assert got == (want if want >= 3 else 0)
-        assert not got or data[at - distance : at - distance + 3] == data[at : at + 3]
+    """Two values side by side: no candidate is of the other one, and none is much shorter than the longest match."""
+    values = [SAMPLES[7][:900] + RNG.integers(0, 3, 400, dtype=np.uint8).tobytes(), SAMPLES[7][7:500] + b"xyz" * 40]
+    for three in (True, False):
+        search = tokens.Search(values, 1 << 20, three)
+        length, distance = search.longest()
+        every = search.all()
+        begin = 0
+        for data in values:
+            for at in range(0, len(data), 13):
+                most = min(tokens.LONGEST, len(data) - at)
+                want = max((next((k for k in range(most) if data[p + k] != data[at + k]), most) for p in range(at)), default=0)
+                got, d = int(length[begin + at]), int(distance[begin + at])
+                least = 3 if three else 4
+                assert got <= want and (got > want / 2 or want < least) and (got == 0 or got >= least)
+                for n, e in [(got, d)] if got else []:
+                    assert e <= at and all(data[at - e + k] == data[at + k] for k in range(n))
+                found = every[begin + at]
+                assert all(data[at - e + k] == data[at + k] for n, e in found for k in range(n))
+                assert [n for n, _ in found] == sorted({n for n, _ in found}) and (not got or found[-1][0] == got)
+            begin += len(data)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(max_size=80) | st.text("abc", max_size=200).map(str.encode), max_size=6))
+def test_values_parsed_together_are_parsed_alone(values):
+    level = tokens.LEVELS["balanced"]
+    together = tokens.parse_many(values, level, [None] * len(values))
+    assert [list(t) for t in together] == [list(tokens.parse(v, level)) for v in values]
+    assert [tokens.expand(t) for t in together] == values
 
 
 def test_bad_tokens():
