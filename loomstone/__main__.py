@@ -13,10 +13,11 @@ def main(args: list[str]) -> int:
     c = sub.add_parser("compress")
     c.add_argument("source")
     c.add_argument("archive")
-    c.add_argument("--level", default="balanced")
+    c.add_argument("--level", help="spark.loomstone.level, or balanced, if not given")
     c.add_argument("--volume-size", type=int, default=0)
     c.add_argument("--force", action="store_true", help="replace an archive that exists")
     c.add_argument("--verify", action="store_true")
+    c.add_argument("--timings", action="store_true", help="tell where the time went")
     e = sub.add_parser("extract")
     e.add_argument("archive")
     e.add_argument("folder")
@@ -29,6 +30,7 @@ def main(args: list[str]) -> int:
     from pyspark.sql import SparkSession
 
     from loomstone.api import Archive
+    from loomstone.sources.archive import existing
 
     builder = SparkSession.builder.appName("loomstone")
     if a.shared:
@@ -36,9 +38,15 @@ def main(args: list[str]) -> int:
     spark = builder.getOrCreate()
     password = getpass.getpass() if a.password else None
     if a.command == "compress":
-        out = Archive.write(spark, a.source).output(a.archive).level(a.level).volume_size(a.volume_size).password(password).overwrite(a.force).verify(a.verify).run()
-        row = out.first()
+        if a.force:
+            for name in existing(spark, a.archive):
+                print(f"replacing {a.archive.rstrip('/')}/{name}")
+        job = Archive.write(spark, a.source).output(a.archive).volume_size(a.volume_size).password(password).overwrite(a.force).verify(a.verify)
+        row = (job.level(a.level) if a.level else job).run().first()
         print(f"{row.n_files} files, {row.original_size} bytes, stored in {row.compressed_size}, {row.ratio_x or 0:.3f} times smaller")
+        if a.timings:
+            for r in job.timings().collect():
+                print(f"{r.phase}: {r.seconds:.2f} s, {r.share:.0%}")
     elif a.command == "extract":
         for r in Archive.read(spark, a.archive).password(password).output(a.folder).run().groupBy("status").count().collect():
             print(r["status"], r["count"])

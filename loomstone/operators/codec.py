@@ -86,7 +86,7 @@ def _candidates(data: bytes, kind: str, level: str) -> list[X.Stack]:
     return [plain]
 
 
-def encode_batch(chunks: list[bytes], kinds: list[str], level: str) -> list[tuple[str, int, X.Stack, bytes]]:
+def encode_batch(chunks: list[bytes], kinds: list[str], level: str, transpose: bool = True) -> list[tuple[str, int, X.Stack, bytes]]:
     """(codec, raw size, stack, payload) of each chunk. Raw blocks, entropies over 7.95 and empty chunks are stored."""
     settings = K.LEVELS[level]
     out: list[tuple[str, int, X.Stack, bytes]] = [("raw", len(c), X.Stack(), c) for c in chunks]
@@ -94,7 +94,7 @@ def encode_batch(chunks: list[bytes], kinds: list[str], level: str) -> list[tupl
     for i, (data, kind) in enumerate(zip(chunks, kinds, strict=True)):
         if not data or kind == "raw" or N.entropy(data) > 7.95:
             continue
-        for stack in _candidates(data, kind, level):
+        for stack in _candidates(data, kind, level) if transpose else [X.Stack()]:
             changed, done = X.apply_stack(data, stack)
             tried.append((i, done, changed, K.min_match_map(len(changed), done.masks)))
     leasts = [t[3] for t in tried]
@@ -123,10 +123,11 @@ def decode_batch(codecs: list[str], raw_sizes: list[int], stacks: list[X.Stack],
     return out
 
 
-def encode(df: DataFrame, value_col: str, level: str = "balanced", kind_col: str | None = None) -> DataFrame:
+def encode(df: DataFrame, value_col: str, level: str = "balanced", kind_col: str | None = None, transpose: bool = True) -> DataFrame:
     """df with codec, raw_size, transform and payload instead of the value; a null value has a null codec.
 
-    kind_col: "text", "multimedia", "executable", "binary" or "raw"; without it every value counts as binary."""
+    kind_col: "text", "multimedia", "executable", "binary" or "raw"; without it every value counts as binary.
+    transpose=False: no transform is tried."""
     if level not in K.LEVELS:
         raise ValueError(f"level: {level}")
     df = as_binary(spread(df), value_col)
@@ -136,7 +137,7 @@ def encode(df: DataFrame, value_col: str, level: str = "balanced", kind_col: str
         kinds = cols[kind_col] if kind_col else ["binary"] * len(values)
         at = [i for i, v in enumerate(values) if v is not None]
         rows: list = [(None, None, None, None)] * len(values)
-        for i, (codec, n, stack, payload) in zip(at, encode_batch([values[i] for i in at], [kinds[i] or "binary" for i in at], level), strict=True):
+        for i, (codec, n, stack, payload) in zip(at, encode_batch([values[i] for i in at], [kinds[i] or "binary" for i in at], level, transpose), strict=True):
             rows[i] = (codec, n, stack.as_row(), payload)
         return {n: [r[k] for r in rows] for k, n in enumerate(("codec", "raw_size", "transform", "payload"))}
 
@@ -192,17 +193,26 @@ def token_summary(df: DataFrame, value_col: str, level: str = "balanced") -> Dat
 
 
 def stream_diagnostics(df: DataFrame, value_col: str, level: str = "balanced") -> DataFrame:
-    """stream, n_symbols, raw_bytes, coded_bytes, h0 over all values: how the separate streams code."""
+    """stream, raw_bytes, coded_bytes, mean_h0 and mean_h1 (bits for a symbol, of order 0 and 1), efficiency (the bits of
+    order 0 by those of the coded bytes) and savings (what coding the stream saves, of its raw bytes), over all values: how
+    the separate streams code. Without symbols efficiency and savings are 0."""
 
     def f(cols: dict[str, list]) -> dict[str, list]:
         values = [v or b"" for v in cols[value_col]]
         parts = [K.separate(t)[0] for t in K.parse_many(values, K.LEVELS[level], [None] * len(values))]
         streams = [p[k] for p in parts for k in K.STREAMS]
         coded = rans.encode_many(streams, [rans.normalise(N.histogram(s)) for s in streams])
-        rows = [{"stream": K.STREAMS[i % 5], "raw": len(s), "coded": len(c), "bits": N.entropy(s) * len(s)} for i, (s, c) in enumerate(zip(streams, coded, strict=True))]
+        rows = [
+            {"stream": K.STREAMS[i % 5], "raw": len(s), "coded": len(c), "bits": N.entropy(s) * len(s), "bits1": N.order1_entropy(s) * len(s)}
+            for i, (s, c) in enumerate(zip(streams, coded, strict=True))
+        ]
         return {"_s": [rows[5 * i : 5 * i + 5] for i in range(len(parts))]}
 
-    each = add_columns(as_binary(spread(df.select(value_col)), value_col), "_s array<struct<stream:string,raw:long,coded:long,bits:double>>", f, [value_col], drop=(value_col,))
-    flat = each.select(F.inline("_s"))
-    total = F.sum("raw")
-    return flat.groupBy("stream").agg(total.alias("raw_bytes"), F.sum("coded").alias("coded_bytes"), F.round(F.sum("bits") / F.greatest(total, F.lit(1)), 6).alias("mean_h0"))
+    kind = "_s array<struct<stream:string,raw:long,coded:long,bits:double,bits1:double>>"
+    each = add_columns(as_binary(spread(df.select(value_col)), value_col), kind, f, [value_col], drop=(value_col,))
+    raw, coded = F.sum("raw"), F.sum("coded")
+    share = lambda x, of: F.round(F.coalesce(x / F.nullif(of, F.lit(0)), F.lit(0.0)), 6)
+    return each.select(F.inline("_s")).groupBy("stream").agg(
+        raw.alias("raw_bytes"), coded.alias("coded_bytes"), share(F.sum("bits"), raw).alias("mean_h0"), share(F.sum("bits1"), raw).alias("mean_h1"),
+        share(F.sum("bits") / 8, coded).alias("efficiency"), share(raw - coded, raw).alias("savings"),
+    )

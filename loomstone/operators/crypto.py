@@ -50,23 +50,30 @@ def _iv(salt: str, *place: Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.concat(F.lit(bytes.fromhex(salt)), *map(little_endian, place)), 256), 1, 24))
 
 
+def _with_key(df: DataFrame, key: bytes) -> DataFrame:
+    """df with the key as _key, from a table of one row: a literal would be told in plans, the UI and event logs."""
+    one = df.sparkSession.createDataFrame([(bytearray(key),)], "_key binary")
+    return df.crossJoin(F.broadcast(one))
+
+
 def encrypt(df: DataFrame, value_col: str, key: bytes, salt: str, place: list[str]) -> DataFrame:
     """df with the value as IV, ciphertext and tag; ``place``: long columns that say which chunk it is."""
     where = [F.col(c) for c in place]
     aad = F.concat(*map(little_endian, where))
-    return df.withColumn(value_col, F.aes_encrypt(F.col(value_col), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), _iv(salt, *where), aad))
+    sealed = F.aes_encrypt(F.col(value_col), F.col("_key"), F.lit("GCM"), F.lit("DEFAULT"), _iv(salt, *where), aad)
+    return _with_key(df, key).withColumn(value_col, sealed).drop("_key")
 
 
 def decrypt(df: DataFrame, value_col: str, key: bytes, place: list[str]) -> DataFrame:
     """df with the value decrypted; a wrong key, changed bytes or another place fail the query."""
     aad = F.concat(*(little_endian(F.col(c)) for c in place))
-    return df.withColumn(value_col, F.aes_decrypt(F.col(value_col), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), aad))
+    return _with_key(df, key).withColumn(value_col, F.aes_decrypt(F.col(value_col), F.col("_key"), F.lit("GCM"), F.lit("DEFAULT"), aad)).drop("_key")
 
 
 def try_decrypt(df: DataFrame, value_col: str, key: bytes, place: list[str]) -> DataFrame:
     """As decrypt, but null where it fails."""
     aad = F.concat(*(little_endian(F.col(c)) for c in place))
-    return df.withColumn(value_col, F.try_aes_decrypt(F.col(value_col), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), aad))
+    return _with_key(df, key).withColumn(value_col, F.try_aes_decrypt(F.col(value_col), F.col("_key"), F.lit("GCM"), F.lit("DEFAULT"), aad)).drop("_key")
 
 
 def sentinel(spark, key: bytes, salt: str) -> bytes:

@@ -1,8 +1,10 @@
 """Archives as Parquet tables: manifest, file_index, blocks, chunks and volumes.
 
 Written: files are classified, packed into blocks, cut into chunks across file boundaries, coded and, with a
-password, encrypted. The manifest is written last and is the commit mark; a copy of it beside the chunks
-serves if it is lost. Listing reads the index alone. Every payload has checksums, from the file to the set.
+password, encrypted. Tables go to a folder of their own inside the archive's; the manifest names it, is written last and is the
+commit mark; a copy of it is written just before and serves if it is lost. So an archive that is replaced stays valid until the
+new one is whole, and a job that is lost leaves the old one. Listing reads the index alone. Every payload has
+checksums, from the file to the set.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ from pyspark.sql import functions as F
 
 from loomstone.functions.tokens import LEVELS
 from loomstone.operators import codec, crypto, grouping, integrity, profile
+from loomstone.sources import store
 from loomstone.sources.store import written
+from loomstone.timing import Phases
 
 FORMAT, VERSION = "loomstone", 1
 MANIFEST = (
     "format string, version int, archive_id string, level string, encrypted boolean, salt string, kdf_n int, kdf_r int, kdf_p int, sentinel binary, "
-    "n_files long, original_size long, compressed_size long, n_blocks long, chunk_size long, volume_size long, set_digest string"
+    "n_files long, original_size long, compressed_size long, n_blocks long, chunk_size long, volume_size long, set_digest string, folder string"
 )
 
 
@@ -33,6 +37,10 @@ class NotAnArchive(ArchiveError):
     pass
 
 
+class ArchiveExists(ArchiveError):
+    pass
+
+
 class Corrupt(ArchiveError):
     pass
 
@@ -53,6 +61,16 @@ class Options:
     block_size: int = grouping.BLOCK_BYTES
     volume_size: int = 0
     overwrite: bool = False
+    transpose: bool = True
+    analysis: bool = False
+
+    @staticmethod
+    def of_session(spark: SparkSession, **given) -> Options:
+        """Options from the session's settings: spark.loomstone.level, .transpose (false: no byte planes or channel
+        splits are tried) and .analysis (true: the archive keeps a table of how its streams code)."""
+        conf = lambda name, default: spark.conf.get(f"spark.loomstone.{name}", default)
+        yes = lambda name, default: conf(name, default).lower() == "true"
+        return Options(**{"level": conf("level", "balanced"), "transpose": yes("transpose", "true"), "analysis": yes("analysis", "false")} | given)
 
     def check(self) -> None:
         if self.level not in LEVELS:
@@ -86,33 +104,45 @@ def _chunks(files: DataFrame, chunk: int) -> DataFrame:
     return pieces.repartition(n, "block_id", "chunk_no").groupBy("block_id", "chunk_no").applyInArrow(join, "block_id long, block_type string, chunk_no long, chunk binary")
 
 
-def write_archive(files: DataFrame, path: str, options: Options | None = None) -> DataFrame:
+def existing(spark: SparkSession, path: str) -> list[str]:
+    """What lies in an archive's folder, so what replacing it deletes. Empty if there is no such folder."""
+    folder, system = store.folder_of(spark, path.rstrip("/"))
+    return sorted(x.getPath().getName() for x in system.listStatus(folder)) if system.exists(folder) else []
+
+
+def write_archive(files: DataFrame, path: str, options: Options | None = None, phases: Phases | None = None) -> DataFrame:
     """files: what read_files or table_as_files gives (path, entry_type, content and metadata).
 
     Returns the statistics, one row. Paths must be unique and safe. An archive that exists is only replaced
-    with ``overwrite``."""
+    with ``overwrite``; it is whole until the new manifest is there, and then its tables are deleted."""
     from loomstone.sources.tree import is_safe
 
-    options = options or Options()
-    options.check()
     spark = files.sparkSession
-    mode = "overwrite" if options.overwrite else "errorifexists"
-    here = lambda name: f"{path.rstrip('/')}/{name}"
+    options = options or Options.of_session(spark)
+    options.check()
+    phases = phases or Phases()
+    path, archive = path.rstrip("/"), uuid.uuid4().hex
+    old = existing(spark, path)
+    if old and not options.overwrite:
+        raise ArchiveExists(f"{path} already exists: {', '.join(old)}")
+    here = lambda name: f"{path}/{archive}/{name}"
     entries = files.withColumn("content", F.when(F.col("entry_type") == "file", F.coalesce("content", F.lit(b""))))
     bad = entries.agg(F.count_if(~is_safe(F.col("path"))).alias("unsafe"), (F.count("path") - F.countDistinct("path")).alias("twice")).first()
     if bad.unsafe or bad.twice:
         raise ValueError(f"{bad.unsafe} unsafe paths, {bad.twice} repeated ones")
     plain = entries.filter("entry_type = 'file'").withColumn("size", F.length("content").cast("long"))
-    summed = integrity.checksums(plain, "content")
-    kinds = profile.classify(plain.select("path", "content"), "content").select("path", "content_type", "pipeline", "block_type")
-    placed = summed.drop("content").join(kinds.withColumnRenamed("path", "_k"), F.col("path") == F.col("_k")).drop("_k")
-    placed = written(placed)  # metadata only: texts are read and profiled once
-    placed = grouping.block_offsets(grouping.block_ids(grouping.pack_blocks(placed, options.block_size)))
-    rest = entries.filter("entry_type <> 'file'").drop("content")
-    index = written(placed.unionByName(rest, allowMissingColumns=True))
+    with phases("profile"):
+        summed = integrity.checksums(plain, "content")
+        kinds = profile.classify(plain.select("path", "content"), "content").select("path", "content_type", "pipeline", "block_type")
+        placed = summed.drop("content").join(kinds.withColumnRenamed("path", "_k"), F.col("path") == F.col("_k")).drop("_k")
+        placed = written(placed)  # metadata only: texts are read and profiled once
+    with phases("pack"):
+        placed = grouping.block_offsets(grouping.block_ids(grouping.pack_blocks(placed, options.block_size)))
+        rest = entries.filter("entry_type <> 'file'").drop("content")
+        index = written(placed.unionByName(rest, allowMissingColumns=True))
     whole = index.filter("entry_type = 'file'").select("path", "block_id", "block_type", "block_offset", "size")
     data = plain.select(F.col("path").alias("_p"), "content").join(whole, F.col("_p") == F.col("path")).drop("_p")
-    coded = codec.encode(_chunks(data, options.chunk_size), "chunk", options.level, "block_type")
+    coded = codec.encode(_chunks(data, options.chunk_size), "chunk", options.level, "block_type", options.transpose)
     kdf, key, check = None, None, None
     if options.password is not None:
         kdf = crypto.new_kdf()
@@ -120,31 +150,39 @@ def write_archive(files: DataFrame, path: str, options: Options | None = None) -
         check = crypto.sentinel(spark, key, kdf.salt)
         coded = crypto.encrypt(coded, "payload", key, kdf.salt, ["block_id", "chunk_no"])
     coded = integrity.checksums(coded, "payload").withColumnsRenamed({"crc32": "payload_crc32", "sha256": "payload_sha256"})
-    archive = uuid.uuid4().hex
     coded = coded.withColumn("coded_size", F.length("payload").cast("long"))
-    if options.volume_size:
-        coded = written(coded)
-        sizes = coded.groupBy("block_id").agg(F.sum("coded_size").alias("size"))
-        volumes = written(grouping.volumes(sizes, options.volume_size))
-        out = coded.join(volumes.select(F.col("block_id").alias("_b"), "volume_id"), F.col("block_id") == F.col("_b")).drop("_b")
-        volumes.withColumn("archive_id", F.lit(archive)).write.mode(mode).parquet(here("volume_index"))
-        out.write.mode(mode).partitionBy("volume_id").parquet(here("chunks"))
-    else:
-        coded.write.mode(mode).parquet(here("chunks"))
-    chunks = spark.read.parquet(here("chunks"))
-    blocks = chunks.groupBy("block_id", "block_type").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("raw_size").alias("raw_size"), F.sum("coded_size").alias("coded_size"))
-    blocks.write.mode(mode).parquet(here("blocks"))
-    index.write.mode(mode).parquet(here("file_index"))
-    totals = index.agg(F.count_if(F.col("entry_type") == "file").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()
-    coded_total = blocks.agg(F.coalesce(F.sum("coded_size"), F.lit(0)).alias("s"), F.count(F.lit(1)).alias("n")).first()
-    digest = integrity.table_digest(chunks, F.concat_ws(":", "block_id", "chunk_no"), F.col("payload_sha256")).first().digest
-    row = (
-        FORMAT, VERSION, archive, options.level, key is not None, kdf and kdf.salt, kdf and kdf.n, kdf and kdf.r, kdf and kdf.p, check,
-        totals.n, totals.s, coded_total.s, coded_total.n, options.chunk_size, options.volume_size, digest,
-    )
-    manifest = spark.createDataFrame([row], MANIFEST)
-    manifest.coalesce(1).write.mode(mode).parquet(here("manifest_copy"))
-    manifest.coalesce(1).write.mode(mode).parquet(here("manifest"))
+    with phases("code"):
+        if options.volume_size:
+            coded = written(coded)
+            sizes = coded.groupBy("block_id").agg(F.sum("coded_size").alias("size"))
+            volumes = written(grouping.volumes(sizes, options.volume_size))
+            out = coded.join(volumes.select(F.col("block_id").alias("_b"), "volume_id"), F.col("block_id") == F.col("_b")).drop("_b")
+            volumes.withColumn("archive_id", F.lit(archive)).write.parquet(here("volume_index"))
+            out.write.partitionBy("volume_id").parquet(here("chunks"))
+        else:
+            coded.write.parquet(here("chunks"))
+    with phases("index"):
+        chunks = spark.read.parquet(here("chunks"))
+        sums = [F.count(F.lit(1)).alias("n_chunks"), F.sum("raw_size").alias("raw_size"), F.sum("coded_size").alias("coded_size")]
+        blocks = chunks.groupBy("block_id", "block_type").agg(*sums)
+        blocks.write.parquet(here("blocks"))
+        index.write.parquet(here("file_index"))
+        if options.analysis:
+            codec.stream_diagnostics(plain.select("content"), "content", options.level).write.parquet(here("analysis"))
+    with phases("commit"):
+        totals = index.agg(F.count_if(F.col("entry_type") == "file").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()
+        coded_total = blocks.agg(F.coalesce(F.sum("coded_size"), F.lit(0)).alias("s"), F.count(F.lit(1)).alias("n")).first()
+        digest = integrity.table_digest(chunks, F.concat_ws(":", "block_id", "chunk_no"), F.col("payload_sha256")).first().digest
+        row = (
+            FORMAT, VERSION, archive, options.level, key is not None, kdf and kdf.salt, kdf and kdf.n, kdf and kdf.r, kdf and kdf.p, check,
+            totals.n, totals.s, coded_total.s, coded_total.n, options.chunk_size, options.volume_size, digest, archive,
+        )
+        manifest = spark.createDataFrame([row], MANIFEST)
+        for name in ("manifest_copy", "manifest"):  # one of them is whole at any time
+            manifest.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+        for name in old:
+            if name not in ("manifest", "manifest_copy"):
+                store.delete(spark, f"{path}/{name}")
     return stats(manifest)
 
 
@@ -166,7 +204,7 @@ class Reader:
             except Exception as e:  # the copy serves if the manifest is lost
                 if "PATH_NOT_FOUND" not in str(e):
                     raise
-            if rows:
+            if len(rows) == 1:
                 break
         if len(rows) != 1 or rows[0].format != FORMAT:
             raise NotAnArchive(path)
@@ -181,7 +219,7 @@ class Reader:
                 raise crypto.WrongPassword("the password does not open this archive")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.parquet(f"{self.path}/{self.manifest.folder}/{name}")
 
     def info(self) -> DataFrame:
         return stats(self.spark.createDataFrame([self.manifest], MANIFEST))

@@ -21,7 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/checkpoints"
 
 
-def _folder(spark: SparkSession, path: str):
+def folder_of(spark: SparkSession, path: str):
+    """A path of Hadoop's, and the file system it is on."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -32,15 +33,19 @@ def written(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
     df = df.select(*cols) if cols else df
     path = f"{shared_dir(spark).rstrip('/')}/loomstone/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    folder, system = _folder(spark, path)
+    folder, system = folder_of(spark, path)
     system.deleteOnExit(folder)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    folder, system = folder_of(spark, path)
+    system.delete(folder, True)
+
+
 def erase(df: DataFrame) -> None:
     """Delete the table of a DataFrame that written() gave, when nothing is to read it any more."""
     if path := getattr(df, "_written_at", None):
-        folder, system = _folder(df.sparkSession, path)
-        system.delete(folder, True)
+        delete(df.sparkSession, path)

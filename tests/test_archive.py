@@ -10,6 +10,12 @@ from loomstone.sources import archive as A
 from loomstone.sources import tree
 
 
+def inside(out):
+    """The folder of the tables of an archive."""
+    (found,) = [d for d in os.listdir(out) if not d.startswith("manifest")]
+    return f"{out}/{found}"
+
+
 def make_tree(root):
     rng = np.random.default_rng(42)
     os.makedirs(root / "sub/deep")
@@ -57,7 +63,12 @@ def test_directory_round_trip(spark, tmp_path, options):
         w = getattr(w, k)(v)
     seen = []
     stats = w.on_progress(lambda *a: seen.append(a)).run().first()
-    assert stats.n_files == 5 and stats.original_size == sum(len(v[1]) for v in contents(root).values() if v[0] == "file") and len(seen) == 3
+    size = sum(len(v[1]) for v in contents(root).values() if v[0] == "file")
+    assert stats.n_files == 5 and stats.original_size == size
+    assert [x[2] for x in seen[:3]] == ["scanned", "written", "verified"] and len(seen) == 8
+    assert seen[-1][:2] == (size, size) and {x[2] for x in seen[3:]} == {"a.txt", "ramp.bin", "sub/deep/zero", "sub/noise", "sub/wave.dat"}
+    timings = {r.phase: r.seconds for r in w.timings().collect()}
+    assert list(timings) == ["scan", "profile", "pack", "code", "index", "commit", "verify"] and min(timings.values()) > 0
     r = Archive.read(spark, out).password(options.get("password"))
     assert sorted(x.path for x in r.list_files().collect()) == ["a.txt", "ramp.bin", "sub/deep/zero", "sub/noise", "sub/wave.dat"]
     status = r.output(str(tmp_path / "back")).run().collect()
@@ -88,7 +99,7 @@ def test_existing_and_options(spark, tmp_path):
     out = str(tmp_path / "x")
     Archive.write(spark, b"a buffer").output(out).run()
     assert bytes(Archive.read(spark, out).run().first().content) == b"a buffer"
-    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+    with pytest.raises(A.ArchiveExists, match="already exists"):
         Archive.write(spark, b"another").output(out).run()
     Archive.write(spark, b"another").output(out).overwrite().run()
     assert bytes(Archive.read(spark, out).run().first().content) == b"another"
@@ -104,11 +115,12 @@ def test_existing_and_options(spark, tmp_path):
 def test_tampering(spark, tmp_path):
     out = str(tmp_path / "x")
     Archive.write(spark, files(spark)).output(out).chunk_size(500).run()
-    chunks = spark.read.parquet(f"{out}/chunks")
+    out_tables = inside(out)
+    chunks = spark.read.parquet(f"{out_tables}/chunks")
     flipped = chunks.withColumn("payload", F.when((F.col("block_id") == 0) & (F.col("chunk_no") == 1), F.concat(F.col("payload"), F.lit(b"!"))).otherwise(F.col("payload")))
     flipped.write.parquet(str(tmp_path / "bad"))
-    os.rename(f"{out}/chunks", f"{out}/old")
-    os.rename(tmp_path / "bad", f"{out}/chunks")
+    os.rename(f"{out_tables}/chunks", tmp_path / "old")
+    os.rename(tmp_path / "bad", f"{out_tables}/chunks")
     with pytest.raises(A.Corrupt):
         Archive.read(spark, out).verify()
     with pytest.raises(Exception, match="corrupt chunk 0:1"):
@@ -123,10 +135,10 @@ def test_lost_manifest_and_volume(spark, tmp_path):
     shutil.rmtree(f"{out}/manifest")
     r = A.Reader(spark, out)
     assert {x.status for x in r.read().collect()} == {"ok"}
-    volumes = [d for d in os.listdir(f"{out}/chunks") if d.startswith("volume_id=")]
+    volumes = [d for d in os.listdir(f"{inside(out)}/chunks") if d.startswith("volume_id=")]
     assert len(volumes) > 2
     assert {x.healthy for x in r.volumes().collect()} == {True}
-    shutil.rmtree(f"{out}/chunks/volume_id=2")
+    shutil.rmtree(f"{inside(out)}/chunks/volume_id=2")
     assert {x.volume_id for x in r.volumes().filter("not healthy").collect()} == {2}
     lost = {x.block_id for x in r.missing().collect()}
     got = r.read().filter("entry_type = 'file'").collect()
@@ -134,6 +146,92 @@ def test_lost_manifest_and_volume(spark, tmp_path):
     assert all((x.status == "missing_volume") == (x.block_id in lost and x.size > 0) for x in got)
 
 
+def test_a_lost_job_leaves_the_old_archive(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "x")
+    Archive.write(spark, files(spark, 10)).output(out).chunk_size(500).volume_size(2000).run()
+    want = sorted((r.path, bytes(r.content)) for r in Archive.read(spark, out).run().collect())
+
+    def lost(*a, **k):
+        raise OSError("the job is lost")
+
+    for what, name in ((A.grouping, "volumes"), (A.integrity, "table_digest"), (A.codec, "stream_diagnostics"), (A.store, "delete")):
+        with monkeypatch.context() as m:
+            m.setattr(what, name, lost)
+            with pytest.raises(OSError):
+                Archive.write(spark, files(spark, 12)).output(out).chunk_size(500).volume_size(2000).analysis().overwrite().run()
+        if name != "delete":  # the old archive is there until the new manifest is
+            assert sorted((r.path, bytes(r.content)) for r in Archive.read(spark, out).run().collect()) == want
+    assert Archive.read(spark, out).run().count() == 12
+    Archive.write(spark, files(spark, 5)).output(out).overwrite().run()
+    assert Archive.read(spark, out).run().count() == 5 and sorted(os.listdir(out))[-2:] == ["manifest", "manifest_copy"] and len(os.listdir(out)) == 3
+    assert {r.status for r in Archive.read(spark, out).verify().collect()} == {"ok"}
+    assert not os.path.exists(f"{inside(out)}/volume_index")
+
+
+def test_extraction_tells_what_failed(spark, tmp_path):
+    import shutil
+
+    out = str(tmp_path / "x")
+    Archive.write(spark, files(spark)).output(out).chunk_size(300).block_size(2000).volume_size(900).run()
+    shutil.rmtree(f"{inside(out)}/chunks/volume_id=2")
+    index = f"{inside(out)}/file_index"
+    rows = spark.read.parquet(index)
+    wrong = rows.withColumn("sha256", F.when(F.col("path") == "d1/f1", F.lit("0" * 64)).otherwise(F.col("sha256"))).collect()
+    shutil.rmtree(index)
+    spark.createDataFrame(wrong, rows.schema).write.parquet(index)
+    got = {r.path: r.status for r in Archive.read(spark, out).output(str(tmp_path / "back")).run().collect()}
+    assert len(got) == 40 and set(got.values()) >= {"ok", "missing_volume"} and got["d1/f1"] not in (None, "ok")
+    assert {p for p in got if (tmp_path / "back" / p).exists()} == {p for p, s in got.items() if s == "ok"}
+
+
+def test_the_key_is_in_no_plan(spark):
+    from loomstone.operators import crypto
+
+    key = bytes(range(65, 97))
+    df = spark.createDataFrame([(1, bytearray(b"some text"))], "id long, v binary")
+    sealed = crypto.encrypt(df, "v", key, "00" * 16, ["id"])
+    for x in (sealed, crypto.decrypt(sealed, "v", key, ["id"]), crypto.try_decrypt(sealed, "v", key, ["id"])):
+        plan = x._jdf.queryExecution().toString()
+        assert "AES" in plan.upper() and key.decode() not in plan and key.hex().upper() not in plan.upper() and "65, 66, 67" not in plan
+    assert bytes(crypto.decrypt(sealed, "v", key, ["id"]).first().v) == b"some text"
+
+
+def test_session_settings(spark, tmp_path):
+    wave = tree.buffer_as_file(spark, np.sin(np.arange(20_000) / 50).astype("<f4").tobytes(), "wave.dat")
+    spark.conf.set("spark.loomstone.transpose", "false")
+    spark.conf.set("spark.loomstone.level", "fast")
+    spark.conf.set("spark.loomstone.analysis", "true")
+    try:
+        Archive.write(spark, wave).output(str(tmp_path / "x")).run()
+        Archive.write(spark, wave).output(str(tmp_path / "y")).transpose(True).run()
+    finally:
+        for name in ("transpose", "level", "analysis"):
+            spark.conf.unset(f"spark.loomstone.{name}")
+    plain, split = (A.Reader(spark, str(tmp_path / n)) for n in "xy")
+    assert plain.manifest.level == "fast" and plain.manifest.compressed_size > split.manifest.compressed_size
+    streams = {r.stream: r for r in Archive.read(spark, str(tmp_path / "x")).analysis().collect()}
+    assert set(streams) == {"flags", "literals", "lengths", "slots", "reps"}
+    r = streams["literals"]
+    assert 0 < r.mean_h1 <= r.mean_h0 <= 8 and 0.5 < r.efficiency <= 1.01 and r.savings < 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from loomstone.__main__ import main
+
+    root, out = make_tree(tmp_path / "in"), str(tmp_path / "x")
+    assert main(["compress", str(root), out, "--verify", "--timings"]) == 0
+    told = capsys.readouterr().out
+    assert "5 files" in told and "verify: " in told
+    with pytest.raises(A.ArchiveExists):
+        main(["compress", str(root), out])
+    assert main(["compress", str(root), out, "--force", "--level", "fast"]) == 0
+    assert f"replacing {out}/manifest" in capsys.readouterr().out
+    assert main(["list", out]) == 0 and capsys.readouterr().out.split() == ["a.txt", "ramp.bin", "sub/deep/zero", "sub/noise", "sub/wave.dat"]
+    assert main(["verify", out]) == 0 and capsys.readouterr().out.split() == ["ok", "5"]
+    assert main(["extract", out, str(tmp_path / "back")]) == 0 and "ok" in capsys.readouterr().out
+    assert contents(tmp_path / "back") == contents(root)
+
+
 def test_unsafe_paths(spark, tmp_path):
     for bad in ("../x", "/abs", "a/../../x", "a//b", "", "a\\..\\b", "."):
         assert not tree.safe_path(bad)
