@@ -1,7 +1,7 @@
 """Grouping files into blocks, blocks into volumes, and blocks into chunks.
 
-Only metadata is sorted and packed. Packing is a fold over a sorted sequence; it runs in parallel on
-ranges of that sequence once there are more than ``RANGE_ROWS`` files of a type, and as one fold below that.
+Only metadata is sorted and packed. Packing is a fold over a sorted sequence, range by range of that
+sequence: a range has about ``RANGE_ROWS`` files, and blocks of its own.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import columns as C
 from loomstone.sources.store import written
 
-BLOCK_BYTES, CHUNK_BYTES, RANGE_ROWS = 256 << 20, 1 << 20, 1_000_000
+BLOCK_BYTES, CHUNK_BYTES, RANGE_ROWS = 256 << 20, 1 << 20, 100_000
 
 
 def similarity_order(path: Column) -> list[Column]:
@@ -83,42 +83,27 @@ def first_fit(sizes: list[int], capacity: int) -> list[int]:
 
 
 def pack_blocks(files: DataFrame, capacity: int = BLOCK_BYTES, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """files (path, size, block_type, ...) with block_no (from 0 within type and range) and ``shard``.
+    """files (path, size, block_type, ...) with block_no (from 0 within type and range) and ``shard``, the range:
+    one of about ``range_rows`` files in the order of types, extensions and paths.
 
     Every row gets a block; a file larger than the capacity is admitted into an empty one."""
     files = files.select("*", C.extension(F.col("path")).alias("_ext"))
-    counts = {r.block_type: r.n for r in files.groupBy("block_type").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most five types
-    ranges = max([1, *(-(-n // range_rows) for n in counts.values())])
+    ranges = max(1, -(-files.count() // range_rows))
     fields = "block_type string, path string, shard int, block_no int"
 
-    def fold(rows: list[dict], shard: int) -> pa.Table:
-        # empty files fit anywhere
-        bins = first_fit([r["size"] or 0 for r in rows], capacity)
-        return pa.table({"block_type": [r["block_type"] for r in rows], "path": [r["path"] for r in rows], "shard": pa.array([shard] * len(rows), pa.int32()), "block_no": pa.array(bins, pa.int32())})
-
-    slim = files.select("block_type", "path", "size", "_ext")
-    order = [F.col("_ext").asc_nulls_first(), F.col("path")]
-    if ranges == 1:
-
-        def whole(table: pa.Table) -> pa.Table:
-            rows = sorted(table.to_pylist(), key=lambda r: (r["_ext"] is not None, (r["_ext"] or "").encode(), r["path"].encode()))
-            return fold(rows, 0)
-
-        packed = slim.groupBy("block_type").applyInArrow(whole, fields)
-    else:
-        # ranges of the similarity order; a range never mixes types in one block
-        def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            shard, bins = TaskContext.get().partitionId(), {}
-            for b in batches:
-                types, paths, sizes, _ = (c.to_pylist() for c in b.columns)
-                if types:
-                    at = [bins.setdefault(t, FirstFit(capacity)).put(s or 0) for t, s in zip(types, sizes, strict=True)]
-                    yield pa.RecordBatch.from_pydict({"block_type": types, "path": paths, "shard": pa.array([shard] * len(at), pa.int32()), "block_no": pa.array(at, pa.int32())})
-
-        packed = slim.repartitionByRange(ranges, "block_type", *order).sortWithinPartitions("block_type", *order).mapInArrow(stretch, fields)
-    packed = packed.withColumnsRenamed({"block_type": "_t", "path": "_p"})
+    def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        shard, bins = TaskContext.get().partitionId(), {}  # a block never mixes types
+        for b in batches:
+            types, paths, sizes, _ = (c.to_pylist() for c in b.columns)
+            if types:  # empty files fit anywhere
+                at = [bins.setdefault(t, FirstFit(capacity)).put(s or 0) for t, s in zip(types, sizes, strict=True)]
+                yield pa.RecordBatch.from_pydict({"block_type": types, "path": paths, "shard": pa.array([shard] * len(at), pa.int32()), "block_no": pa.array(at, pa.int32())})
+
+    order = [F.col("block_type").asc_nulls_first(), F.col("_ext").asc_nulls_first(), F.col("path").asc()]
+    slim = files.select("block_type", "path", "size", "_ext").repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    packed = slim.mapInArrow(stretch, fields).withColumnsRenamed({"block_type": "_t", "path": "_p"})
     out = files.drop("_ext").join(packed, (F.col("block_type") == F.col("_t")) & (F.col("path") == F.col("_p")))
     return out.drop("_t", "_p")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import columns as C
 from loomstone.functions import numeric as N
 from loomstone.functions.arrow import add_columns, as_binary, spread
+from loomstone.operators.grouping import ranked
 
 
 def byte_histogram(df: DataFrame, value_col: str) -> DataFrame:
@@ -120,10 +121,19 @@ def best_stride(candidates: DataFrame, keys: list[str], least: float, first: int
     return fine.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.stride", "_b.r")
 
 
-def lagged_correlation(df: DataFrame, value: str, order: str, lags: list[int], keys: list[str]) -> DataFrame:
-    """keys, lag, r: Pearson's r of a numeric column and itself some rows earlier, within each key."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    wide = df.select(*keys, F.col(value).alias("_v"), *(F.lag(value, k).over(w).alias(f"_l{k}") for k in lags))
+def lagged_correlation(df: DataFrame, value: str, order: str, lags: list[int], keys: list[str], run_rows: int = 4096) -> DataFrame:
+    """keys, lag, r: Pearson's r of a numeric column and itself some rows earlier, within each key.
+
+    A key's rows are ranked by a sort over ranges and cut into runs of ``run_rows``; the last rows of a run, as many as the largest
+    lag, go to the next one too. So a key with most of the rows is spread over all tasks. ``order`` should not have ties."""
+    run_rows = max(run_rows, *lags)
+    slim = df.select(*keys, F.struct(*keys).alias("_key"), F.col(order).alias("_o"), F.col(value).alias("_v"))
+    row = ranked(slim, "_key", [F.col("_o").asc()], "_rank").withColumn("_at", F.col("_rank") - 1)
+    run = F.floor(F.col("_at") / run_rows)
+    late = F.col("_at") % run_rows >= run_rows - max(lags)
+    row = row.withColumn("_run", F.explode(F.when(late, F.array(run, run + 1)).otherwise(F.array(run)))).withColumn("_own", F.col("_run") == run)
+    w = Window.partitionBy("_key", "_run").orderBy("_at")
+    wide = row.select(*keys, "_own", "_v", *(F.lag("_v", k).over(w).alias(f"_l{k}") for k in lags)).filter("_own")
     agg = wide.groupBy(*keys).agg(*(F.corr("_v", f"_l{k}").alias(f"_r{k}") for k in lags))
     return agg.select(*keys, F.inline(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"_r{k}").alias("r")) for k in lags))))
 

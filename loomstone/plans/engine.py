@@ -25,6 +25,56 @@ doc_bytes AS (
 """
 
 
+# Values made from the rows of ``part``, one kind for each last digit of the key, so that every routing rule is met: programs,
+# another machine's program, archives, images, sound, text, all bytes alike, noise, video, and letters beyond ASCII
+_RANDOM = [f"md5(p_name || '{i}')" for i in range(8)]
+_ALL = bytes(range(256)).hex().upper()
+_KINDS = (
+    "'7F454C46020101' || repeat('00', 9) || '02003E00' || hex_name",
+    "'7F454C46020101' || repeat('00', 9) || '0200B700' || hex_name",
+    "'504B0304' || hex_name",
+    f"'FFD8FF' || '{_ALL}'",
+    "'5249464600000000' || '57415645' || hex_name",
+    "hex_name",
+    f"'00' || '{_ALL}'",
+    "'00' || " + " || ".join(_RANDOM[:4]),
+    "'0000001866747970' || " + " || ".join(_RANDOM),
+    "'C3A9' || hex_name",
+)
+_MADE = f"""
+made AS (SELECT p_partkey, p_partkey % 10 AS k, upper(CASE p_partkey % 10 {' '.join(f"WHEN {i} THEN {x}" for i, x in enumerate(_KINDS))} END) AS h
+         FROM (SELECT *, hex(encode(p_name)) AS hex_name FROM part))
+"""
+
+
+def _made(spark: SparkSession, d: str) -> DataFrame:
+    """p_partkey, value: the values of _MADE."""
+    rows = table(spark, d, "part").select("p_partkey", "p_name", F.hex(F.col("p_name").cast("binary")).alias("hex_name"))
+    kind = F.expr("CASE p_partkey % 10 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_KINDS)) + " END")
+    return rows.select("p_partkey", F.unhex(kind).alias("value"))
+
+
+# Records of four bytes, the quantity plus 100 in the lowest, of all line items of a supplier in order
+_RECORDS = """
+records AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_quantity::INT + 100 AS q,
+                   row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity) - 1 AS k FROM lineitem),
+record_bytes AS (SELECT l_suppkey, 4 * k + j AS pos, CASE WHEN j = 0 THEN q ELSE 0 END AS b FROM records, range(4) t(j))
+"""
+
+
+def _record_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """stream_id, offset, data: one record of a supplier's sequence in each row."""
+    data = F.unhex(F.concat(F.lpad(F.hex(F.col("l_quantity").cast("int") + 100), 2, "0"), F.lit("000000")))
+    place = (F.col("l_orderkey") * 64 + F.col("l_linenumber")).cast("long").alias("offset")
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("stream_id"), place, data.alias("data"))
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """l_suppkey, value: the records of each supplier, joined."""
+    rows = _record_fragments(spark, d).groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("offset", F.hex("data").alias("h")))).alias("all"))
+    return rows.select(F.col("stream_id").cast("long").alias("l_suppkey"), F.unhex(F.array_join("all.h", "")).alias("value"))
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text")
 
@@ -92,7 +142,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return profile.entropies(_docs(spark, d), "text").select("doc_id", "dominant_byte")
 
 
-@add("integer_entropy")
+def _log8(n: str) -> str:
+    """log2 of a number from 1 in 24.8 fixed point: eight bits after the leading one pick the rounded fraction."""
+    top = f"floor(log2({n}) + 1e-12)::BIGINT"
+    return f"(256 * {top} + round(256 * log2(1 + ((({n}) * 256) // (1::BIGINT << ({top})::INT) % 256) / 256.0))::BIGINT)"
+
+
+@add(
+    "integer_entropy",
+    f"""WITH {_BYTES}, counts AS (SELECT doc_id, b, count(*) AS c FROM doc_bytes GROUP BY doc_id, b),
+sums AS (SELECT doc_id, sum(c)::BIGINT AS n, sum(c * {_log8("c")})::BIGINT AS s FROM counts GROUP BY doc_id)
+SELECT d.doc_id, coalesce(greatest({_log8("n")} - s // n, 0), 0)::BIGINT AS integer_entropy FROM documents d LEFT JOIN sums ON sums.doc_id = d.doc_id""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     return profile.entropies(_docs(spark, d), "text").select("doc_id", "integer_entropy")
 
@@ -113,9 +174,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", C.is_ascii(F.col("text").cast("binary")).alias("is_ascii"))
 
 
-@add("x86_programs", "SELECT page_id, FALSE AS program FROM pages")
+@add("made_signature", f"WITH {_MADE} SELECT p_partkey, {_SIGNATURE} AS signature FROM (SELECT p_partkey, substr(h, 1, 512) AS head FROM made)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _made(spark, d).select("p_partkey", C.signature(F.col("value")).alias("signature"))
+
+
+_PROGRAM = "substr(h, 1, 8) = '7F454C46' AND substr(h, 9, 2) IN ('01', '02') AND substr(h, 11, 2) = '01' AND substr(h, 37, 4) IN ('0300', '3E00')"
+
+
+@add("x86_programs", f"WITH {_MADE} SELECT p_partkey, {_PROGRAM} AS program FROM made")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", C.is_x86_program(F.col("html").cast("binary")).alias("program"))
+    return _made(spark, d).select("p_partkey", C.is_x86_program(F.col("value")).alias("program"))
 
 
 # Texts of any length that begin with a signature are all "ascii" or "utf8" here, so the text rule decides unless entropy is extreme
@@ -142,8 +211,35 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _classified(spark, d).select("doc_id", "signature", "content_type", "pipeline")
 
 
+_MADE_CLASSES = f"""
+made_counts AS (SELECT p_partkey, x, count(*) AS c FROM (SELECT p_partkey, unnest(regexp_extract_all(h, '..')) AS x FROM made) GROUP BY ALL),
+made_entropy AS (SELECT p_partkey, sum(c)::BIGINT AS n_bytes, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS entropy FROM made_counts GROUP BY p_partkey),
+made_signature AS (SELECT p_partkey, {_PROGRAM} AS program, {_SIGNATURE} AS signature FROM (SELECT *, substr(h, 1, 512) AS head FROM made)),
+ruled AS (
+  SELECT e.p_partkey, n_bytes, entropy,
+    CASE WHEN program THEN 1 WHEN signature IN ('jpeg', 'png', 'gif', 'bmp', 'webp') AND entropy > 7 THEN 2
+         WHEN signature IN ('mp4', 'mkv', 'avi') AND entropy > 6.5 THEN 3 WHEN signature IN ('zip', 'gz', 'bz2', 'xz', 'zstd', 'rar') THEN 4
+         WHEN entropy > 7.95 THEN 5 WHEN signature IN ('wav', 'flac') THEN 6
+         WHEN signature IN ('ascii', 'utf8') OR entropy < 4.5 AND signature <> 'unknown' THEN 7 ELSE 8 END AS rule
+  FROM made_entropy e JOIN made_signature s ON s.p_partkey = e.p_partkey),
+made_classes AS (
+  SELECT *, CASE WHEN rule = 1 THEN 'executable' WHEN rule <= 5 THEN 'incompressible' WHEN rule = 6 THEN 'multimedia' WHEN rule = 7 THEN 'text' ELSE 'binary' END AS content_type,
+    CASE WHEN rule IN (1, 8) THEN 'binary' WHEN rule <= 5 THEN 'store_raw' WHEN rule = 6 THEN 'multimedia' ELSE 'text' END AS pipeline FROM ruled)
+"""
+
+
 @add(
     "routing_summary",
+    f"""WITH {_MADE}, {_MADE_CLASSES}
+SELECT content_type, pipeline, count(*) AS n_values, sum(n_bytes)::BIGINT AS n_bytes, round(avg(entropy), 6) AS mean_entropy FROM made_classes GROUP BY ALL""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Values of all kinds: five classes by eight rules."""
+    return profile.routing_summary(profile.classify(_made(spark, d), "value"))
+
+
+@add(
+    "routing_of_docs",
     f"""WITH {_BYTES}, {_ENTROPY}, {_CLASSES}
 SELECT content_type, pipeline, count(*) AS n_values, sum(n_bytes)::BIGINT AS n_bytes, round(avg(entropy), 6) AS mean_entropy FROM classes GROUP BY ALL""",
 )
@@ -167,19 +263,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @add(
     "best_stride",
-    """WITH bytes AS (
-  SELECT doc_id, i AS pos, (strpos('0123456789ABCDEF', h[1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2]) - 1 AS b
-  FROM (SELECT doc_id, unnest(regexp_extract_all(substr(hex(encode(text)), 1, 512), '..')) AS h,
-               unnest(range(1, least(octet_length(encode(text)), 256) + 1)) AS i FROM documents)),
-pairs AS (SELECT x.doc_id, s AS stride, count(*) AS n, corr(x.b, y.b) AS r
-          FROM range(2, 17) t(s) JOIN bytes x ON TRUE JOIN bytes y ON y.doc_id = x.doc_id AND y.pos = x.pos + s GROUP BY ALL)
-SELECT doc_id, arg_max(stride, round(greatest(r, 0), 5) * 1000000 - stride)::INT AS stride, round(max(r), 5) AS r
-FROM pairs WHERE n > stride AND r IS NOT NULL AND NOT isnan(r) GROUP BY doc_id HAVING max(r) >= 0.2""",
+    f"""WITH {_RECORDS}, sample AS (SELECT * FROM record_bytes WHERE pos < 4096),
+pairs AS (SELECT x.l_suppkey, s AS stride, count(*) AS n, corr(x.b, y.b) AS r
+          FROM range(2, 17) t(s) JOIN sample x ON TRUE JOIN sample y ON y.l_suppkey = x.l_suppkey AND y.pos = x.pos + s GROUP BY ALL)
+SELECT l_suppkey, arg_max(stride, round(greatest(r, 0), 5) * 1000000 - stride)::INT AS stride, round(max(r), 5) AS r
+FROM pairs WHERE n > stride AND r IS NOT NULL AND NOT isnan(r) GROUP BY l_suppkey HAVING max(r) >= 0.5""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Strides 2 to 16 of the first 256 bytes, r from 0.2 on, to five places."""
-    every = profile.strides(_docs(spark, d), "text", prefix=256).withColumn("r", F.round("r", 5))
-    return profile.best_stride(every, ["doc_id"], 0.2)
+    """The rule for chunks: strides 2 to 16 of a sample of 4,096 bytes, r from 0.5 on; r to five places."""
+    every = profile.strides(_records(spark, d), "value").withColumn("r", F.round("r", 5))
+    return profile.best_stride(every, ["l_suppkey"], 0.5)
 
 
 @add(
@@ -374,7 +467,25 @@ def _packed(spark: SparkSession, d: str, capacity: int) -> DataFrame:
     return grouping.block_ids(grouping.pack_blocks(written(c), capacity))
 
 
-@add("first_fit_blocks")
+_TYPED = "SELECT path, size, block_type, row_number() OVER (PARTITION BY block_type ORDER BY path) AS k FROM typed"
+_FIRST_FIT = f"""
+typed AS (SELECT d.source || '/' || d.doc_id AS path, octet_length(encode(d.text)) AS size,
+            CASE WHEN pipeline = 'store_raw' THEN 'raw' WHEN content_type IN ('text', 'multimedia') THEN content_type ELSE 'binary' END AS block_type
+          FROM documents d JOIN classes c ON c.doc_id = d.doc_id),
+ordered AS ({_TYPED}),
+folded AS (
+  SELECT block_type, path, size, k, 1 AS bin, [greatest({64 << 10} - size, -1)] AS rooms FROM ordered WHERE k = 1
+  UNION ALL
+  SELECT block_type, path, size, k, bin, CASE WHEN bin > len(rooms) THEN list_append(rooms, greatest({64 << 10} - size, -1))
+      ELSE list_transform(rooms, lambda r, i: CASE WHEN i = bin THEN r - size ELSE r END) END
+  FROM (SELECT o.block_type, o.path, o.size, o.k, f.rooms,
+               coalesce(nullif(list_position(list_transform(f.rooms, lambda r: r >= o.size), TRUE), 0), len(f.rooms) + 1) AS bin
+        FROM folded f JOIN ordered o ON o.block_type = f.block_type AND o.k = f.k + 1)),
+first_fit AS (SELECT path, size, block_type, (dense_rank() OVER (ORDER BY list_position(['text', 'multimedia', 'binary', 'raw', 'mixed'], block_type), bin) - 1)::BIGINT AS block_id FROM folded)
+"""
+
+
+@add("first_fit_blocks", f"WITH RECURSIVE {_BYTES}, {_ENTROPY}, {_CLASSES}, {_FIRST_FIT} SELECT path, size, block_type, block_id FROM first_fit")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d, 64 << 10).select("path", "size", "block_type", "block_id")
 
@@ -386,16 +497,40 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return totals.agg(F.sum("n_files").alias("n_files"), F.sum("n_bytes").alias("n_bytes"), F.count_if((F.col("n_bytes") > 64 << 10) & (F.col("n_files") > 1)).alias("n_over"))
 
 
-@add("group_union", "SELECT block_type, rank::INT AS rank FROM (VALUES ('text', 1), ('multimedia', 2), ('binary', 3), ('raw', 4), ('mixed', 5)) t(block_type, rank)")
+_KIND_OF = "['text', 'multimedia', 'binary', 'raw', 'mixed'][1 + (key % 5)::INT]"
+
+
+def _typed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """path, block_type: documents and pages, of a type by their number."""
+    parts = (table(spark, d, "documents").select(F.lit("d").alias("_p"), F.col("doc_id").alias("key")), table(spark, d, "pages").select(F.lit("p"), "page_id"))
+    kind = F.element_at(F.array(*map(F.lit, C.BLOCK_ORDER)), (F.col("key") % 5 + 1).cast("int"))
+    return parts[0].union(parts[1]).select(F.concat("_p", F.col("key").cast("string")).alias("path"), "key", kind.alias("block_type"))
+
+
+_TYPED_ROWS = f"SELECT p || key AS path, key, {_KIND_OF} AS block_type FROM (SELECT 'd' AS p, doc_id AS key FROM documents UNION ALL SELECT 'p', page_id FROM pages)"
+
+
+@add(
+    "group_union",
+    f"SELECT path, block_type, row_number() OVER (ORDER BY list_position(['text', 'multimedia', 'binary', 'raw', 'mixed'], block_type), path)::BIGINT AS place FROM ({_TYPED_ROWS})",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    kinds = spark.createDataFrame([(k,) for k in C.BLOCK_ORDER], "block_type string")
-    return kinds.select("block_type", C.block_rank(F.col("block_type")).cast("int").alias("rank"))
+    """Rows of all types in one sequence: text, multimedia, binary, raw, mixed."""
+    rows = _typed_rows(spark, d).select("path", "block_type", C.block_rank(F.col("block_type")).alias("_rank"), F.lit(0).alias("_all"))
+    return grouping.ranked(rows, "_all", [F.col("_rank").asc(), F.col("path").asc()], "place").select("path", "block_type", "place")
+
+
+_FILTER_NAMES = "['audio_delta', 'bcj_x86', 'float_channel_split', 'float_split', 'none', 'rgb_split', 'rgba_delta']"
 
 
-@add("context_allowed", "SELECT b AS block_type, f AS media_filter, b IN ('text', 'binary', 'mixed') AND f IN ('none', 'bcj_x86') AS allowed FROM (VALUES ('text'), ('multimedia'), ('binary'), ('raw'), ('mixed')) x(b), (VALUES ('none'), ('audio_delta'), ('float_split'), ('float_channel_split'), ('rgb_split'), ('rgba_delta'), ('bcj_x86')) y(f)")
+@add(
+    "context_allowed",
+    f"""SELECT path, block_type IN ('text', 'binary', 'mixed') AND media_filter IN ('none', 'bcj_x86') AS allowed
+FROM (SELECT *, {_FILTER_NAMES}[1 + (key % 7)::INT] AS media_filter FROM ({_TYPED_ROWS}))""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    pairs = spark.createDataFrame([(k, f) for k in C.BLOCK_ORDER for f in sorted(X.FILTERS)], "block_type string, media_filter string")
-    return pairs.withColumn("allowed", C.context_allowed(F.col("block_type"), F.col("media_filter")))
+    media = F.element_at(F.array(*map(F.lit, sorted(X.FILTERS))), (F.col("key") % 7 + 1).cast("int"))
+    return _typed_rows(spark, d).select("path", C.context_allowed(F.col("block_type"), media).alias("allowed"))
 
 
 @add(
@@ -424,7 +559,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return grouping.chunk_files(grouping.chunk_ranges(sizes, "n", 4096), placed).select("block_id", "chunk_no", "path")
 
 
-@add("volume_packing")
+@add(
+    "volume_packing",
+    f"""WITH RECURSIVE {_BYTES}, {_ENTROPY}, {_CLASSES}, {_FIRST_FIT},
+sizes AS (SELECT block_id, sum(size)::BIGINT AS size FROM first_fit GROUP BY block_id),
+placed AS (
+  SELECT block_id, size, 1 AS volume_id, 50::BIGINT AS volume_offset FROM sizes WHERE block_id = 0
+  UNION ALL
+  SELECT s.block_id, s.size, CASE WHEN p.volume_offset + p.size + s.size > {256 << 10} THEN p.volume_id + 1 ELSE p.volume_id END,
+         CASE WHEN p.volume_offset + p.size + s.size > {256 << 10} THEN 50 ELSE p.volume_offset + p.size END
+  FROM placed p JOIN sizes s ON s.block_id = p.block_id + 1)
+SELECT block_id, size, volume_id::INT AS volume_id, volume_offset, 50 + size > {256 << 10} AS oversize FROM placed""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     sizes = _packed(spark, d, 64 << 10).groupBy("block_id").agg(F.sum("size").alias("size"))
     return grouping.volumes(sizes, 256 << 10).select("block_id", "size", "volume_id", "volume_offset", "oversize")
@@ -455,10 +601,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return grouping.missing_volumes(index, present).select("block_id", "volume_id")
 
 
-@add("block_volume_join", f"SELECT v.volume_id, count(*) AS n_blocks FROM ({_ORDER_VOLUMES}) v JOIN orders o ON o.o_orderkey = v.block_id GROUP BY v.volume_id")
+@add(
+    "block_volume_join",
+    """SELECT volume_id, count(*) AS n_blocks, sum(o_custkey)::BIGINT AS n_bytes
+FROM (SELECT l_orderkey AS block_id, (min(l_suppkey) % 9 + 1)::INT AS volume_id FROM lineitem GROUP BY l_orderkey) v JOIN orders o ON o.o_orderkey = v.block_id GROUP BY volume_id""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    index = table(spark, d, "orders").select(F.col("o_orderkey").alias("block_id"), (F.col("o_custkey") % 9 + 1).cast("int").alias("volume_id"))
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("block_id")).join(index, "block_id").groupBy("volume_id").agg(F.count(F.lit(1)).alias("n_blocks"))
+    """Blocks are orders (their size is the customer's number), the volume index is made from line items."""
+    index = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("block_id")).agg((F.min("l_suppkey") % 9 + 1).cast("int").alias("volume_id"))
+    blocks = table(spark, d, "orders").select(F.col("o_orderkey").alias("block_id"), F.col("o_custkey").alias("size"))
+    return blocks.join(index, "block_id").groupBy("volume_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("size").alias("n_bytes"))
 
 
 @add("metadata_volume", "SELECT s_nationkey::VARCHAR AS archive_id, CASE WHEN bool_or(v = 1) THEN 1 ELSE max(v) END::INT AS volume_id FROM (SELECT s_nationkey, (s_suppkey % 4 + 1)::INT AS v FROM supplier) GROUP BY s_nationkey")
@@ -475,14 +627,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return integrity.checksums(_docs(spark, d), "text").select("doc_id", "sha256")
 
 
-@add("crc32_docs")
+@add(
+    "crc32_docs",
+    f"""WITH RECURSIVE steps AS (
+  SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+rows AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ({_BYTE})::BIGINT) AS bytes FROM documents)
+SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS crc32 FROM rows, crc_table""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     return integrity.checksums(_docs(spark, d), "text").select("doc_id", "crc32")
 
 
-@add("hex_docs", "SELECT doc_id, lower(hex(encode(lang))) AS code FROM documents")
+@add("hex_docs", "SELECT doc_id, lower(hex(encode(text))) AS code FROM documents")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.lower(F.hex(F.col("lang").cast("binary"))).alias("code"))
+    return table(spark, d, "documents").select("doc_id", F.lower(F.hex(F.col("text").cast("binary"))).alias("code"))
 
 
 @add("verify_status", "SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'crc_mismatch' WHEN doc_id % 10 = 4 THEN 'not_found' ELSE 'ok' END AS status FROM documents")
@@ -525,11 +685,18 @@ for _level in ("fast", "balanced"):
         return _digest(codec.decode(codec.encode(_docs(spark, d), "text", level)))
 
 
-@add("rt_lz77_optimal", "SELECT item_id, sha256(text) AS sha256 FROM benchmark")
+@add("rt_lz77_optimal", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """The optimal parse and the choice of BWT."""
-    rows = table(spark, d, "benchmark").select("item_id", "text", F.lit("text").alias("kind"))
-    return _digest(codec.decode(codec.encode(rows, "text", "maximum", "kind")), "item_id")
+    rows = _docs(spark, d).withColumn("kind", F.lit("text"))
+    return _digest(codec.decode(codec.encode(rows, "text", "maximum", "kind")))
+
+
+for _level in ("tiny", "extreme"):
+
+    @add(f"rt_lz77_{_level}", "SELECT page_id, sha256(html) AS sha256 FROM pages")
+    def _(spark: SparkSession, d: str, level: str = _level) -> DataFrame:
+        return _digest(codec.decode(codec.encode(table(spark, d, "pages").select("page_id", "html"), "html", level)), "page_id")
 
 
 @add("rt_rans", "SELECT conv_id, turn, sha256(text) AS sha256 FROM conversations")
@@ -604,16 +771,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @add("codec_choice")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    coded = codec.encode(_classified_values(spark, d), "text", "fast", "block_type")
+    """Values of all kinds, records and texts: raw, plain, by planes, by channels, with the program filter."""
+    made = profile.classify(_made(spark, d), "value").select("p_partkey", F.coalesce(F.nullif("content_type", F.lit("incompressible")), F.lit("raw")).alias("kind"))
+    made = _made(spark, d).join(made, "p_partkey").select("value", "kind")
+    records = _records(spark, d).select("value", F.lit("multimedia").alias("kind"))
+    docs = _docs(spark, d).select(F.col("text").cast("binary").alias("value"), F.lit("text").alias("kind"))
+    coded = codec.encode(made.union(records).union(docs), "value", "fast", "kind")
     return coded.groupBy("codec", F.col("transform.filter").alias("filter")).agg(F.count(F.lit(1)).alias("n"), F.sum("raw_size").alias("raw_size"), F.sum(F.length("payload")).alias("coded_size"))
 
 
-def _classified_values(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    kinds = profile.classify(docs, "text").select(F.col("doc_id").alias("_k"), "block_type")
-    return docs.join(kinds, F.col("doc_id") == F.col("_k")).drop("_k")
-
-
 @add("raw_bypass", "SELECT count(*) AS n, 0::BIGINT AS differing FROM documents")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Values of raw blocks are stored as they are."""
@@ -683,9 +849,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _page_archive(spark, d).decompressed_size()
 
 
-@add("archive_stats")
+@add("archive_stats", "SELECT count(*) AS n_files, sum(octet_length(encode(html)))::BIGINT AS original_size, FALSE AS encrypted, TRUE AS smaller, 1.0::DOUBLE AS product FROM pages")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _page_archive(spark, d).info().drop("archive_id")
+    """The two ratios are reciprocals, and pages get smaller."""
+    smaller = (F.col("compressed_size") < F.col("original_size")).alias("smaller")
+    product = F.round(F.col("ratio_x") * F.col("size_fraction"), 9).alias("product")
+    return _page_archive(spark, d).info().select("n_files", "original_size", "encrypted", smaller, product)
 
 
 @add("healthy_volumes", "SELECT TRUE AS healthy, count(*) AS n_files FROM pages")
@@ -715,19 +884,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 # Streams
 
-_DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-
 
 @add("stream_stride_history")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = streaming.fragments_of(spark, d, "documents", "source", "text", _DOCS, stream=False)
-    return streaming.stride_history_batch(rows)
+    """Line items of a supplier as a stream of records of four bytes, each a fragment of its own."""
+    return streaming.stride_history_batch(_record_fragments(spark, d))
+
+
+_TURNS = "conv_id long, turn long, role string, text string"
 
 
-@add("rt_stream_delta", "SELECT doc_id::VARCHAR AS stream_id, sha256(text) AS sha256 FROM documents")
+@add("rt_stream_delta", "SELECT conv_id::VARCHAR AS stream_id, turn, sha256(text) AS sha256 FROM conversations")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Deltas of a stream, stored, and a second stream that undoes them."""
-    first = streaming.run_to_table(streaming.stream_delta(streaming.fragments_of(spark, d, "documents", "doc_id", "text", _DOCS, stream=True), 4), spark)
+    """The turns of a conversation are fragments of one stream: deltas carried from turn to turn, stored, and a second
+    stream that undoes them."""
+    turns = streaming.fragments_of(spark, d, "conversations", "conv_id", "text", _TURNS, stream=True, offset="turn")
+    first = streaming.run_to_table(streaming.stream_delta(turns, 4), spark)
     again = spark.readStream.schema(first.schema).parquet(first.inputFiles()[0].rsplit("/", 1)[0])
     back = streaming.run_to_table(streaming.stream_delta(again, 4, back=True), spark)
-    return back.select("stream_id", F.sha2("data", 256).alias("sha256"))
+    return back.select("stream_id", F.col("offset").alias("turn"), F.sha2("data", 256).alias("sha256"))

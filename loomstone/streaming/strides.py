@@ -11,6 +11,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,15 +91,32 @@ def stride_history(fragments: DataFrame) -> DataFrame:
 
 
 def stride_history_batch(fragments: DataFrame) -> DataFrame:
-    """The same windows of a finished table of fragments."""
-
-    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        d = Detector()
-        rows = rows.sort_values("offset")
-        found = [x for v in rows["data"] for x in d.feed(bytes(v))] + d.feed(b"", last=True)
-        return pd.DataFrame([(key[0], *x) for x in found], columns=["stream_id", "pos", "stride", "mode", "drifted"])
-
-    return fragments.groupBy("stream_id").applyInPandas(whole, HISTORY)
+    """The same windows of a finished table of fragments, read in the order of their offsets, a batch at a time. Fragments
+    with one offset come in the order of their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["stream_id", "pos", "stride", "mode", "drifted"]
+        key, detector, found = None, Detector(), []
+
+        def out() -> pa.RecordBatch:
+            cols = [list(x) for x in zip(*found, strict=True)] if found else [[] for _ in names]
+            found.clear()
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+
+        for b in batches:
+            for stream, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if stream != key:
+                    found += [(key, *x) for x in detector.feed(b"", last=True)]
+                    key, detector = stream, Detector()
+                found += [(key, *x) for x in detector.feed(data)]
+            yield out()
+        found += [(key, *x) for x in detector.feed(b"", last=True)]
+        yield out()
+
+    n = int(fragments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = fragments.select("stream_id", "offset", "data").repartition(n, "stream_id").sortWithinPartitions("stream_id", "offset", "data")
+    return ordered.mapInArrow(run, HISTORY)
 
 
 def _carried(stride: int, back: bool):
@@ -120,13 +138,14 @@ def stream_delta(fragments: DataFrame, stride: int, back: bool = False) -> DataF
     return fragments.groupBy("stream_id").applyInPandasWithState(_carried(stride, back), "stream_id string, offset long, data binary", "state binary", "append", "NoTimeout")
 
 
-def fragments_of(spark: SparkSession, folder: str, name: str, key: str, value: str, schema: str, stream: bool) -> DataFrame:
-    """A table in a folder as fragments: one stream for each key, its bytes at offset 0."""
+def fragments_of(spark: SparkSession, folder: str, name: str, key: str, value: str, schema: str, stream: bool, offset: str | None = None) -> DataFrame:
+    """A table in a folder as fragments: one stream for each key, its fragments in the order of a column; without one
+    a row is a stream of its own, at offset 0."""
     if stream:
         df = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1).parquet(folder)
     else:
         df = spark.read.schema(schema).parquet(f"{folder}/{name}.parquet")
-    return df.select(F.col(key).cast("string").alias("stream_id"), F.lit(0).cast("long").alias("offset"), F.col(value).cast("binary").alias("data")).filter("data IS NOT NULL")
+    return df.select(F.col(key).cast("string").alias("stream_id"), (F.lit(0) if offset is None else F.col(offset)).cast("long").alias("offset"), F.col(value).cast("binary").alias("data")).filter("data IS NOT NULL")
 
 
 def run_to_table(stream: DataFrame, spark: SparkSession) -> DataFrame:

@@ -187,3 +187,33 @@ def test_encryption(spark):
     with pytest.raises(ValueError):
         crypto.check_sentinel(spark, mark[:-1], key)
     assert spark.range(1).select(F.hex(crypto.little_endian(F.lit(258)))).first()[0] == "0201000000000000"
+
+
+def test_lagged_correlation_in_runs(spark):
+    """A key with most of the rows, cut into runs: the same as over the whole sequence."""
+    import numpy as np
+
+    from loomstone.operators import profile
+
+    rng = np.random.default_rng(5)
+    rows = [("hot" if i % 9 else "cold", i, float(rng.normal() + np.sin(i / 3))) for i in range(700)]
+    df = spark.createDataFrame(rows, "k string, i long, v double").repartition(5)
+    got = {(r.k, r.lag): r.r for r in profile.lagged_correlation(df, "v", "i", [1, 3, 7], ["k"], run_rows=20).collect()}
+    for k in ("hot", "cold"):
+        v = np.array([x for key, _, x in rows if key == k])
+        for lag in (1, 3, 7):
+            assert abs(got[k, lag] - np.corrcoef(v[lag:], v[:-lag])[0, 1]) < 1e-9
+
+
+def test_blocks_by_ranges(spark):
+    """Several ranges: every file once, no block over its capacity, and no block of two types or ranges."""
+    rows = [(f"d/f{i:03d}.{'abc'[i % 3]}", 100 + 37 * i % 900, "text" if i % 4 else "binary") for i in range(300)]
+    df = spark.createDataFrame(rows, "path string, size long, block_type string")
+    for range_rows, shards in ((1000, 1), (60, 5)):
+        got = grouping.pack_blocks(df, 2000, range_rows).collect()
+        assert sorted(r.path for r in got) == sorted(r[0] for r in rows)
+        assert 1 <= len({r.shard for r in got}) <= shards and (shards == 1 or len({r.shard for r in got}) > 2)
+        blocks = {}
+        for r in got:
+            blocks.setdefault((r.block_type, r.shard, r.block_no), []).append(r.size)
+        assert max(map(sum, blocks.values())) <= 2000
