@@ -82,6 +82,38 @@ def test_stages(spark, tmp_path):
     assert sorted(map(str, corpus_pipeline.run(spark, path).collect())) == sorted(map(str, bins))
 
 
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Nulls everywhere, repeated rows, ties, very long texts and columns with names that operators use."""
+    from pyspark.sql import functions as F
+
+    from tests.llm.helpers import clashing
+
+    path, rows, _ = folder(spark, tmp_path)
+    long = " ".join(f"word{i % 997}x{i % 13}" for i in range(60_000))
+    odd = [(3000, long, "en", "s1", 1), (3001, long, "en", "s1", 1), (3002, long, None, None, None), (3002, long, None, None, None), (None, long, "en", "s1", 1), (None, None, None, None, None)]
+    odd += [(4000 + i, "one line that many have", "en", "s2", 1) for i in range(12)]
+    df = spark.createDataFrame([*rows, *odd], "doc_id long, text string, lang string, source string, n_chars long")
+    df = clashing(df).drop("n_lines", "n_dropped")
+    columns, before = df.columns, df.count()
+
+    good = corpus_pipeline.keep_quality(spark, df, path)
+    assert good.columns == columns and 0 < good.count() <= before
+    lines = corpus_pipeline.drop_repeated_lines(spark, df, path)
+    assert lines.columns == columns and lines.count() == before
+    texts = {}
+    for r in lines.collect():
+        texts.setdefault(r.doc_id, []).append(r.text)
+    assert texts[3000] == [long] and texts[3002] == [long, long] and texts[4000] == ["one line that many have"]
+    assert all(texts[4000 + i] == [""] for i in range(1, 12)) and sorted(texts[None]) == ["", long]
+    kept = corpus_pipeline.keep_one_of_similar(spark, lines, path)
+    assert kept.columns == columns
+    ids = [r.doc_id for r in kept.select("doc_id").collect()]
+    assert ids.count(3000) == 1 and 3001 not in ids and 3002 not in ids and ids.count(None) == 2 and ids.count(4000) == 1
+    assert sum(i in ids for i in [2000, 2001, *range(4001, 4012)]) == 1  # texts without words
+    bins = corpus_pipeline.pack_bins(spark, df, path)
+    assert bins.agg(F.sum("n_tokens")).first()[0] == sum(len((r.text or "").encode().split()) + 1 for r in df.select("text").collect())
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
