@@ -68,7 +68,8 @@ def decode_tokens(payloads: list[bytes], leasts: list[np.ndarray | None]) -> lis
             at += size
         rest.append((n_tokens, p[at:]))
     streams = rans.decode_many(coded, tables, sizes)
-    return [K.rejoin(dict(zip(K.STREAMS, streams[5 * i : 5 * i + 5], strict=True)), extra, n, m) for i, ((n, extra), m) in enumerate(zip(rest, leasts, strict=True))]
+    named = [dict(zip(K.STREAMS, streams[5 * i : 5 * i + 5], strict=True)) for i in range(len(rest))]
+    return [K.rejoin(s, extra, n, m) for s, (n, extra), m in zip(named, rest, leasts, strict=True)]
 
 
 def _candidates(data: bytes, kind: str, level: str) -> list[X.Stack]:
@@ -150,7 +151,9 @@ def decode(df: DataFrame, out_col: str = "value") -> DataFrame:
     def f(cols: dict[str, list]) -> dict[str, list]:
         at = [i for i, c in enumerate(cols["codec"]) if c is not None]
         out: list = [None] * len(cols["codec"])
-        got = decode_batch(*([cols[n][i] for i in at] for n in ("codec", "raw_size")), [X.Stack.of_row(cols["transform"][i]) for i in at], [cols["payload"][i] for i in at])
+        stacks = [X.Stack.of_row(cols["transform"][i]) for i in at]
+        codecs, sizes, payloads = ([cols[n][i] for i in at] for n in ("codec", "raw_size", "payload"))
+        got = decode_batch(codecs, sizes, stacks, payloads)
         for i, v in zip(at, got, strict=True):
             out[i] = v
         return {out_col: out}
@@ -189,7 +192,8 @@ def token_summary(df: DataFrame, value_col: str, level: str = "balanced") -> Dat
             out["literal_price"].append(K.price_model(t).flags[0])
         return out
 
-    return add_columns(as_binary(spread(df), value_col), "n_literals long, n_matches long, n_reps long, covered long, literal_price long", f, [value_col], drop=(value_col,))
+    kind = "n_literals long, n_matches long, n_reps long, covered long, literal_price long"
+    return add_columns(as_binary(spread(df), value_col), kind, f, [value_col], drop=(value_col,))
 
 
 def stream_diagnostics(df: DataFrame, value_col: str, level: str = "balanced") -> DataFrame:

@@ -26,7 +26,8 @@ def similarity_order(path: Column) -> list[Column]:
 def ranked(df: DataFrame, group: str, order: list[Column], out: str) -> DataFrame:
     """df with the place of each row in its group, from 1, by a sort over ranges of (group, order): a group may hold
     all rows. Rows that are equal in the order take places in any order."""
-    placed = written(df.repartitionByRange(F.col(group).asc_nulls_first(), *order).sortWithinPartitions(F.col(group).asc_nulls_first(), *order).withColumn("_m", F.monotonically_increasing_id()))
+    by = [F.col(group).asc_nulls_first(), *order]
+    placed = written(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_m", F.monotonically_increasing_id()))
     parts = placed.groupBy(F.col(group).alias("_g"), F.shiftright("_m", 33).alias("_p")).agg(F.min("_m").alias("_lo"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
@@ -99,7 +100,8 @@ def pack_blocks(files: DataFrame, capacity: int = BLOCK_BYTES, range_rows: int =
             types, paths, sizes, _ = (c.to_pylist() for c in b.columns)
             if types:  # empty files fit anywhere
                 at = [bins.setdefault(t, FirstFit(capacity)).put(s or 0) for t, s in zip(types, sizes, strict=True)]
-                yield pa.RecordBatch.from_pydict({"block_type": types, "path": paths, "shard": pa.array([shard] * len(at), pa.int32()), "block_no": pa.array(at, pa.int32())})
+                numbers = {"shard": pa.array([shard] * len(at), pa.int32()), "block_no": pa.array(at, pa.int32())}
+                yield pa.RecordBatch.from_pydict({"block_type": types, "path": paths, **numbers})
 
     order = [F.col("block_type").asc_nulls_first(), F.col("_ext").asc_nulls_first(), F.col("path").asc()]
     slim = files.select("block_type", "path", "size", "_ext").repartitionByRange(ranges, *order).sortWithinPartitions(*order)
@@ -113,7 +115,9 @@ def block_ids(packed: DataFrame) -> DataFrame:
     blocks = packed.select("block_type", "shard", "block_no").distinct()
     order = Window.orderBy(C.block_rank(F.col("block_type")), "shard", "block_no")  # one row for each block
     ids = blocks.withColumn("block_id", (F.row_number().over(order) - 1).cast("long"))
-    return packed.join(ids.withColumnsRenamed({"block_type": "_t", "shard": "_s", "block_no": "_n"}), (F.col("block_type") == F.col("_t")) & (F.col("shard") == F.col("_s")) & (F.col("block_no") == F.col("_n"))).drop("_t", "_s", "_n")
+    ids = ids.withColumnsRenamed({"block_type": "_t", "shard": "_s", "block_no": "_n"})
+    same = (F.col("block_type") == F.col("_t")) & (F.col("shard") == F.col("_s")) & (F.col("block_no") == F.col("_n"))
+    return packed.join(ids, same).drop("_t", "_s", "_n")
 
 
 def block_offsets(files: DataFrame, block: str = "block_id", path: str = "path") -> DataFrame:
@@ -153,8 +157,9 @@ def chunk_files(chunks: DataFrame, files: DataFrame, block: str = "block_id") ->
 
     Both sides are cut into cells of chunk size, so the join is on (block, cell) and only files of a cell meet."""
     cell = CHUNK_BYTES
-    spans = files.filter("size > 0").withColumn("_cell", F.explode(F.sequence(F.floor(F.col("block_offset") / cell), F.floor((F.col("block_offset") + F.col("size") - 1) / cell))))
-    spans = spans.select(F.col(block).alias("_b"), "_cell", F.col("path").alias("path"), F.col("block_offset").alias("_from"), (F.col("block_offset") + F.col("size")).alias("_to"))
+    begin, stop = F.col("block_offset"), F.col("block_offset") + F.col("size")
+    spans = files.filter("size > 0").withColumn("_cell", F.explode(F.sequence(F.floor(begin / cell), F.floor((stop - 1) / cell))))
+    spans = spans.select(F.col(block).alias("_b"), "_cell", F.col("path").alias("path"), begin.alias("_from"), stop.alias("_to"))
     left = chunks.withColumn("_at", F.floor(F.col("chunk_offset") / cell))
     hit = (F.col(block) == F.col("_b")) & (F.col("_at") == F.col("_cell")) & (F.col("chunk_offset") >= F.col("_from")) & (F.col("chunk_offset") < F.col("_to"))
     return left.join(spans, hit, "left").drop("_b", "_cell", "_at", "_from", "_to")
@@ -176,7 +181,8 @@ def volumes(blocks: DataFrame, volume_size: int, header: int = 50, reserve: int
             out.append((r["block_id"], number, header + used, header + r["size"] + reserve > volume_size))
             used += r["size"]
         ids, numbers, offsets, over = zip(*out, strict=True)
-        return pa.table({"_id": pa.array(ids, pa.int64()), "volume_id": pa.array(numbers, pa.int32()), "volume_offset": pa.array(offsets, pa.int64()), "oversize": pa.array(over)})
+        cols = pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(offsets, pa.int64()), pa.array(over)
+        return pa.table(dict(zip(("_id", "volume_id", "volume_offset", "oversize"), cols, strict=True)))
 
     slim = blocks.select(F.col("block_id").cast("long").alias("block_id"), F.col("size").cast("long").alias("size"))
     placed = slim.groupBy(F.lit(0).alias("_g")).applyInArrow(fold, "_id long, volume_id int, volume_offset long, oversize boolean")

@@ -48,7 +48,8 @@ def context_histogram(df: DataFrame, value_col: str, mode: str = "full") -> Data
                 x = np.frombuffer(v.as_buffer(), np.uint8).astype(np.int64) if v.is_valid else np.empty(0, np.int64)
                 total += np.bincount(of(x[:-1]) * 256 + x[1:], minlength=size * 256)
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"context": pa.array(seen >> 8, pa.int32()), "byte": pa.array(seen & 255, pa.int32()), "n": pa.array(total[seen], pa.int64())})
+        cols = pa.array(seen >> 8, pa.int32()), pa.array(seen & 255, pa.int32()), pa.array(total[seen], pa.int64())
+        yield pa.RecordBatch.from_arrays(list(cols), names=["context", "byte", "n"])
 
     rows = as_binary(spread(df.select(value_col)), value_col).mapInArrow(run, "context int, byte int, n long")
     return rows.groupBy("context", "byte").agg(F.sum("n").alias("n"))
@@ -67,7 +68,8 @@ def entropies(df: DataFrame, value_col: str) -> DataFrame:
     def f(cols: dict[str, list]) -> dict[str, list]:
         v = cols[value_col]
         each = lambda g: [None if x is None else g(x) for x in v]
-        return {"n_bytes": each(len), "entropy": each(N.entropy), "order1_entropy": each(N.order1_entropy), "integer_entropy": each(N.integer_entropy), "dominant_byte": each(N.dominant_byte)}
+        kernels = (("n_bytes", len), ("entropy", N.entropy), ("order1_entropy", N.order1_entropy))
+        return {n: each(g) for n, g in (*kernels, ("integer_entropy", N.integer_entropy), ("dominant_byte", N.dominant_byte))}
 
     fields = "n_bytes long, entropy double, order1_entropy double, integer_entropy long, dominant_byte int"
     out = add_columns(as_binary(spread(df), value_col), fields, f, [value_col], drop=(value_col,))
@@ -109,7 +111,8 @@ def routing_summary(classified: DataFrame) -> DataFrame:
 def strides(df: DataFrame, value_col: str, prefix: int = 4096, most: int = 16) -> DataFrame:
     """One row for each row of df and stride from 1: its columns without the value, stride, r."""
     cut = as_binary(spread(df), value_col).withColumn(value_col, F.substring(F.col(value_col).cast("binary"), 1, prefix))
-    rs = add_columns(cut, "_r array<double>", lambda c: {"_r": [None if v is None else N.autocorrelations(v, range(1, most + 1)) for v in c[value_col]]}, [value_col], drop=(value_col,))
+    each = lambda c: {"_r": [None if v is None else N.autocorrelations(v, range(1, most + 1)) for v in c[value_col]]}
+    rs = add_columns(cut, "_r array<double>", each, [value_col], drop=(value_col,))
     rest = [c for c in rs.columns if c != "_r"]
     return rs.select(*rest, F.posexplode("_r").alias("_p", "r")).select(*rest, (F.col("_p") + 1).alias("stride"), "r")
 

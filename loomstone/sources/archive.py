@@ -101,7 +101,8 @@ def _chunks(files: DataFrame, chunk: int) -> DataFrame:
 
     conf = files.sparkSession.conf.get("spark.sql.shuffle.partitions")
     n = max(int(conf), files.sparkSession.sparkContext.defaultParallelism)  # coding costs far more than small partitions
-    return pieces.repartition(n, "block_id", "chunk_no").groupBy("block_id", "chunk_no").applyInArrow(join, "block_id long, block_type string, chunk_no long, chunk binary")
+    dealt = pieces.repartition(n, "block_id", "chunk_no").groupBy("block_id", "chunk_no")
+    return dealt.applyInArrow(join, "block_id long, block_type string, chunk_no long, chunk binary")
 
 
 def existing(spark: SparkSession, path: str) -> list[str]:
@@ -189,7 +190,8 @@ def write_archive(files: DataFrame, path: str, options: Options | None = None, p
 def stats(manifest: DataFrame) -> DataFrame:
     """ratio_x: original by compressed, higher is better; size_fraction: compressed by original."""
     o, c = F.col("original_size"), F.col("compressed_size")
-    return manifest.select("archive_id", "n_files", "n_blocks", "original_size", "compressed_size", "encrypted", (o / F.nullif(c, F.lit(0))).alias("ratio_x"), (c / F.nullif(o, F.lit(0))).alias("size_fraction"))
+    ratios = (o / F.nullif(c, F.lit(0))).alias("ratio_x"), (c / F.nullif(o, F.lit(0))).alias("size_fraction")
+    return manifest.select("archive_id", "n_files", "n_blocks", "original_size", "compressed_size", "encrypted", *ratios)
 
 
 class Reader:
@@ -253,7 +255,8 @@ class Reader:
         want = self.table("blocks").select("block_id", "n_chunks")
         both = self.table("volume_index").select("archive_id", "volume_id", "block_id").join(want, "block_id").join(here, "block_id", "left")
         fine = F.coalesce((F.col("_n") == F.col("n_chunks")) & (F.col("_ok") == 1) & (F.col("archive_id") == self.manifest.archive_id), F.lit(False))
-        return both.groupBy("volume_id", "archive_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("n_chunks").alias("n_chunks"), F.min(fine).alias("healthy"))
+        sums = F.count(F.lit(1)).alias("n_blocks"), F.sum("n_chunks").alias("n_chunks"), F.min(fine).alias("healthy")
+        return both.groupBy("volume_id", "archive_id").agg(*sums)
 
     def _decoded(self, index: DataFrame) -> DataFrame:
         """block_id, chunk_no, value of the chunks that the index rows need."""
@@ -265,7 +268,8 @@ class Reader:
         chunks = self.table("chunks")
         wanted = chunks.join(need, (F.col("block_id") == F.col("_b")) & (F.col("chunk_no") == F.col("_n")), "left_semi")
         bad = ~F.col("payload_sha256").eqNullSafe(F.sha2("payload", 256)) | ~F.col("payload_crc32").eqNullSafe(F.crc32("payload"))
-        wanted = wanted.withColumn("payload", F.when(bad, F.raise_error(F.concat(F.lit("corrupt chunk "), F.concat_ws(":", "block_id", "chunk_no")))).otherwise(F.col("payload")))
+        error = F.raise_error(F.concat(F.lit("corrupt chunk "), F.concat_ws(":", "block_id", "chunk_no")))
+        wanted = wanted.withColumn("payload", F.when(bad, error).otherwise(F.col("payload")))
         slim = wanted.select("block_id", "chunk_no", "codec", "raw_size", "transform", "payload")
         if self.key is not None:
             slim = crypto.decrypt(slim, "payload", self.key, ["block_id", "chunk_no"])
@@ -277,7 +281,8 @@ class Reader:
         index = self.index() if where is None else self.index().filter(where)
         files = index.filter("entry_type = 'file'")
         chunk = self.manifest.chunk_size
-        spans = files.filter("size > 0").withColumn("_n", F.explode(F.sequence(F.floor(F.col("block_offset") / chunk), F.floor((F.col("block_offset") + F.col("size") - 1) / chunk))))
+        first, last = F.floor(F.col("block_offset") / chunk), F.floor((F.col("block_offset") + F.col("size") - 1) / chunk)
+        spans = files.filter("size > 0").withColumn("_n", F.explode(F.sequence(first, last)))
         spans = spans.select("path", F.col("block_id").alias("_b"), "_n", "block_offset", "size")
         got = self._decoded(files)
         hit = spans.join(got, (F.col("_b") == F.col("block_id")) & (F.col("_n") == F.col("chunk_no")))

@@ -40,7 +40,8 @@ class Detector:
         self.rest = bytes.fromhex(s.get("rest", ""))
 
     def dump(self) -> str:
-        return json.dumps({"mode": self.mode, "since": self.since, "streaks": self.streaks, "stride": self.stride, "stable": self.stable, "pos": self.pos, "rest": self.rest.hex()})
+        kept = {n: getattr(self, n) for n in ("mode", "since", "streaks", "stride", "stable", "pos")}
+        return json.dumps(kept | {"rest": self.rest.hex()})
 
     def _test(self, sample: bytes) -> None:
         best = (0.0, 0)
@@ -135,7 +136,8 @@ def _carried(stride: int, back: bool):
 
 def stream_delta(fragments: DataFrame, stride: int, back: bool = False) -> DataFrame:
     """Deltas (or with ``back`` the bytes again) of a stream of fragments; the last bytes carry over."""
-    return fragments.groupBy("stream_id").applyInPandasWithState(_carried(stride, back), "stream_id string, offset long, data binary", "state binary", "append", "NoTimeout")
+    kind = "stream_id string, offset long, data binary"
+    return fragments.groupBy("stream_id").applyInPandasWithState(_carried(stride, back), kind, "state binary", "append", "NoTimeout")
 
 
 def fragments_of(spark: SparkSession, folder: str, name: str, key: str, value: str, schema: str, stream: bool, offset: str | None = None) -> DataFrame:
@@ -145,7 +147,9 @@ def fragments_of(spark: SparkSession, folder: str, name: str, key: str, value: s
         df = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1).parquet(folder)
     else:
         df = spark.read.schema(schema).parquet(f"{folder}/{name}.parquet")
-    return df.select(F.col(key).cast("string").alias("stream_id"), (F.lit(0) if offset is None else F.col(offset)).cast("long").alias("offset"), F.col(value).cast("binary").alias("data")).filter("data IS NOT NULL")
+    place = (F.lit(0) if offset is None else F.col(offset)).cast("long").alias("offset")
+    out = df.select(F.col(key).cast("string").alias("stream_id"), place, F.col(value).cast("binary").alias("data"))
+    return out.filter("data IS NOT NULL")
 
 
 def run_to_table(stream: DataFrame, spark: SparkSession) -> DataFrame:
@@ -153,8 +157,8 @@ def run_to_table(stream: DataFrame, spark: SparkSession) -> DataFrame:
     import uuid
 
     at = f"{shared_dir(spark).rstrip('/')}/loomstone/{uuid.uuid4().hex}"
-    q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    sink = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     jpath = spark._jvm.org.apache.hadoop.fs.Path(at)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
