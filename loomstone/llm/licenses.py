@@ -205,15 +205,15 @@ def scan_licenses(
         got = [scanner.scan(t, p) for t, p in zip(texts(b), b.column(1).to_pylist(), strict=True)]
         return {"_id": b.column(0), "path": b.column(1)} | {n: [g[i] for g in got] for i, n in enumerate(("license", "score", "origin"))}
 
-    kind = T.StructType(
-        [src.schema["_id"], src.schema["path"], T.StructField("license", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("origin", T.StringType())]
-    )
+    kind = T.StructType([src.schema["_id"], src.schema["path"], T.StructField("license", T.StringType())])
+    kind = kind.add("score", T.DoubleType()).add("origin", T.StringType())
     own = written(arrow_map(src, each, kind)).withColumn("_dir", directory(F.col("path")))
     best = F.min_by(F.struct("license", F.col("path").alias("license_path")), F.struct(-F.round("score", 9), F.col("path")))
     with_file = own.filter("origin = 'file' AND path IS NOT NULL").groupBy(F.col("_dir").alias("_holder")).agg(best.alias("_given"))
     dirs = own.filter("path IS NOT NULL").select("_dir").distinct()
     parts = F.split("_dir", "/")
-    above = dirs.select("_dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("deep"), F.array_join(F.slice(parts, 1, n), "/").alias("above")))).alias("_a"))
+    ancestor = lambda n: F.struct(n.alias("deep"), F.array_join(F.slice(parts, 1, n), "/").alias("above"))
+    above = dirs.select("_dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), ancestor)).alias("_a"))
     above = above.select("_dir", "_a.deep", "_a.above")
     nearest = above.join(with_file, F.col("above") == F.col("_holder")).groupBy("_dir").agg(F.max_by("_given", "deep").alias("_given"))
     nearest = nearest.select(F.concat("_dir", F.lit("")).alias("_of"), "_given")  # hides how it is dealt: a directory may hold very many files

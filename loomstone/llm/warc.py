@@ -27,8 +27,8 @@ KEPT_AS_STORED = (
 TRACKING = "utm_[a-z]+|ref|fbclid|gclid|sessionid|sid"
 
 
-def canonical_url(url: Column) -> Column:
-    """Scheme, fragment, user, default port, leading "www.", tracking parameters and a trailing
+def canonical_url(url: Column, tracking: str = TRACKING) -> Column:
+    """Scheme, fragment, user, default port, leading "www.", tracking parameters (names that match ``tracking``) and a trailing
     slash go; the host is lower-cased and parameters are sorted. Null stays null."""
     bare = F.regexp_replace(F.trim(url), "#.*$", "")
     bare = F.regexp_replace(bare, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
@@ -37,7 +37,7 @@ def canonical_url(url: Column) -> Column:
     host = F.lower(F.regexp_extract(path, "^[^/]*", 0))
     host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":(80|443)$", ""), "^www[.]", "")
     rest = F.regexp_replace(F.regexp_extract(path, "^[^/]*(.*)$", 1), "/+$", "")
-    parts = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).rlike(f"^({TRACKING})(=|$)"))
+    parts = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).rlike(f"^({tracking})(=|$)"))
     args = F.array_join(F.array_sort(parts), "&")
     return F.concat(host, rest, F.when(args == "", F.lit("")).otherwise(F.concat(F.lit("?"), args)))
 
@@ -63,7 +63,7 @@ def _same_etag(a: Column, b: Column) -> Column:
     return bare(a) == bare(b)
 
 
-def resolve_revisits(records: DataFrame, spans: int = SPANS) -> DataFrame:
+def resolve_revisits(records: DataFrame, spans: int = SPANS, tracking: str = TRACKING) -> DataFrame:
     """records: record_id (long), url, ts (long), type ("response", a full one, or "revisit"), etag,
     last_modified, digest (string) and headers (map of strings).
 
@@ -78,7 +78,7 @@ def resolve_revisits(records: DataFrame, spans: int = SPANS) -> DataFrame:
     table gives an empty table.
     """
     fields = ("record_id", "ts", "etag", "last_modified", "digest", "headers")
-    rows = records.filter("type IN ('response', 'revisit')").select(canonical_url(F.col("url")).alias("canonical_url"), "type", *fields)
+    rows = records.filter("type IN ('response', 'revisit')").select(canonical_url(F.col("url"), tracking).alias("canonical_url"), "type", *fields)
     full = F.col("type") == "response"
     rows = rows.filter(~full | F.col("canonical_url").isNotNull() & F.col("ts").isNotNull() & F.col("record_id").isNotNull())
     cuts = rows.agg(F.percentile_approx("ts", [i / spans for i in range(1, spans)], 10_000)).first()[0] or []
@@ -93,7 +93,8 @@ def resolve_revisits(records: DataFrame, spans: int = SPANS) -> DataFrame:
     before = Window.partitionBy("canonical_url", "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     within = rows.withColumn("_last", F.last(payload, ignorenulls=True).over(before)).filter("type = 'revisit'")
     key = F.struct("ts", "record_id")
-    carry = rows.filter(full).groupBy(F.col("canonical_url").alias("_u"), F.col("_span").alias("_s")).agg(F.max_by(F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers"), key).alias("_c"))
+    latest = F.max_by(F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers"), key)
+    carry = rows.filter(full).groupBy(F.col("canonical_url").alias("_u"), F.col("_span").alias("_s")).agg(latest.alias("_c"))
     need = within.filter("_last IS NULL").select(F.col("canonical_url").alias("_u"), F.col("_span").alias("_s")).distinct()
     marks = carry.unionByName(need.withColumn("_c", F.lit(None).cast(carry.schema["_c"].dataType)))
     marks = marks.groupBy("_u", "_s").agg(F.first("_c", ignorenulls=True).alias("_c"))
@@ -118,18 +119,19 @@ def resolve_revisits(records: DataFrame, spans: int = SPANS) -> DataFrame:
 def two_crawls(pages: DataFrame) -> DataFrame:
     """A capture log of pages (page_id, url, html): a first crawl with a full response for each page in
     order of page_id, and a second one whose answers to conditional requests are all "not modified",
-    with the validators of the page as first seen. A null html counts as empty."""
+    with the validators of the page as first seen. A null html counts as empty; repeated page_ids are captures of their own,
+    with the same record_id and time."""
     body = F.coalesce("html", F.lit(""))
     digest = F.sha2(body, 256)
     base = pages.select(F.col("page_id").alias("record_id"), "url", digest.alias("digest"), F.length(F.encode(body, "UTF-8")).alias("_n"))
     strings = lambda *kv: F.create_map(*(F.lit(x) if isinstance(x, str) else x for x in kv))
     etag = F.concat(F.lit('"'), F.substring("digest", 1, 16), F.lit('"'))
-    first = base.select(
-        "record_id", "url", F.col("record_id").alias("ts"), F.lit("response").alias("type"), etag.alias("etag"), F.lit(None).cast("string").alias("last_modified"), "digest",
-        strings("Content-Type", "text/html", "Content-Length", F.col("_n").cast("string"), "ETag", etag, "Cache-Control", "max-age=60", "X-Crawl", "1").alias("headers"),
-    )
-    second = base.select(
-        "record_id", "url", (F.col("record_id") + (1 << 40)).alias("ts"), F.lit("revisit").alias("type"), F.concat(F.lit("W/"), etag).alias("etag"), F.lit(None).cast("string").alias("last_modified"), "digest",
-        strings("Content-Length", "0", "ETag", F.concat(F.lit("W/"), etag), "Cache-Control", "max-age=600", "Date", F.col("record_id").cast("string")).alias("headers"),
-    )
+    none, weak = F.lit(None).cast("string").alias("last_modified"), F.concat(F.lit("W/"), etag)
+    size, page = F.col("_n").cast("string"), F.col("record_id").cast("string")
+    kept = strings("Content-Type", "text/html", "Content-Length", size, "ETag", etag, "Cache-Control", "max-age=60", "X-Crawl", "1")
+    told = strings("Content-Length", "0", "ETag", weak, "Cache-Control", "max-age=600", "Date", page)
+    names = lambda kind: F.lit(kind).alias("type")
+    first = base.select("record_id", "url", F.col("record_id").alias("ts"), names("response"), etag.alias("etag"), none, "digest", kept.alias("headers"))
+    later = (F.col("record_id") + (1 << 40)).alias("ts")
+    second = base.select("record_id", "url", later, names("revisit"), weak.alias("etag"), none, "digest", told.alias("headers"))
     return first.unionByName(second)
