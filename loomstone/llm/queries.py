@@ -70,9 +70,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH RECURSIVE vectors AS (SELECT row_number() OVER () AS k, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-good AS (
-  SELECT k, vec_id, CASE WHEN len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-     AND len(list_filter(e, lambda x: x <> 0)) > 0 THEN e END AS e FROM vectors WHERE vec_id IS NOT NULL),
+good AS MATERIALIZED (
+  SELECT * FROM vectors WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+     AND len(list_filter(e, lambda x: x <> 0)) > 0),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.k <> b.k AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
 reached AS (SELECT vec_id, vec_id AS other FROM vectors UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.other),
