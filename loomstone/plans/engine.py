@@ -887,8 +887,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @add("stream_stride_history")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Line items of a supplier as a stream of records of four bytes, each a fragment of its own."""
-    return streaming.stride_history_batch(_record_fragments(spark, d))
+    """A stream for each return flag: eight records of 16 bytes, the quantity plus 100 and zeros, for each line item, and bytes
+    without a stride for the last quarter of the orders. So a stride is confirmed, windows cool down, and at last it drifts."""
+    items = table(spark, d, "lineitem")
+    late = F.col("l_orderkey") > items.agg(F.max("l_orderkey")).first()[0] * 3 // 4
+    record = F.repeat(F.concat(F.lpad(F.hex(F.col("l_quantity").cast("int") + 100), 2, "0"), F.repeat(F.lit("00"), 15)), 8)
+    noise = F.concat(*(F.md5(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", F.lit(i)).cast("binary")) for i in range(8)))
+    place = (F.col("l_orderkey") * 64 + F.col("l_linenumber")).cast("long").alias("offset")
+    rows = items.select(F.col("l_returnflag").alias("stream_id"), place, F.unhex(F.when(late, noise).otherwise(record)).alias("data"))
+    return streaming.stride_history_batch(rows)
 
 
 _TURNS = "conv_id long, turn long, role string, text string"

@@ -59,3 +59,19 @@ def test_streams(spark, tmp_path):
 def test_table_as_fragments(spark, tmp_path):
     spark.createDataFrame([(1, "x"), (2, None)], "k long, v string").coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
     assert fragments_of(spark, str(tmp_path), "t", "k", "v", "k long, v string", stream=False).count() == 1
+
+
+def test_the_history_query_confirms_cools_and_drifts(spark):
+    import pytest
+
+    from loomstone.plans.engine import CATALOGUE
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    rows = CATALOGUE.queries["stream_stride_history"](spark, sf).collect()
+    assert {r.stride for r in rows} == {0, 16} and {r.mode for r in rows} >= {"hot", "warm"}
+    for stream in {r.stream_id for r in rows}:
+        mine = sorted((r.pos, r.stride, r.drifted) for r in rows if r.stream_id == stream)
+        assert [p for p, *_ in mine] == [1024 * i for i in range(len(mine))]
+        assert sum(d for *_, d in mine) == 1 and mine[-1][1] == 0
