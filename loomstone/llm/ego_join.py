@@ -163,34 +163,30 @@ def _blocks(rows: DataFrame, axes: np.ndarray, d: int, n: int, eps: float) -> Da
     kind = T.StructType([T.StructField("_node", T.LongType()), T.StructField("_pos", T.DoubleType()), T.StructField("_c", T.BinaryType())])
     placed = arrow_map(rows.select("_node", "_v"), place, kind)
     ordered = placed.repartitionByRange(-(-n // BLOCK), "_pos", "_node").sortWithinPartitions("_pos", "_node")
+    ordered = written(ordered.select(F.monotonically_increasing_id().alias("_m"), "_node", "_c"))
+    sizes = ordered.groupBy(F.shiftright("_m", 33).alias("p")).agg(F.min("_m").alias("first"), F.count(F.lit(1)).alias("n"))
+    parts = sorted((r.p, r.first, r.n) for r in sizes.collect())  # a row for each partition
+    first = np.array([p[1] for p in parts], np.int64)
+    before = np.cumsum([0, *(p[2] for p in parts)])[:-1]
     width = axes.shape[1] + 1
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 32
-        nodes, held, size = [], [], 0
-
-        def out() -> pa.RecordBatch:
-            nonlocal number, size
-            node, c = np.concatenate(nodes), np.concatenate(held)
-            number += 1
-            row = [[number], [node.tobytes()], [c.tobytes()], [c.min(axis=0).astype(float).tolist()], [c.max(axis=0).astype(float).tolist()]]
-            nodes.clear()
-            held.clear()
-            size = 0
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in row], names=["number", "node", "c", "lo", "hi"])
-
-        for b in (x.slice(i, 1024) for x in batches for i in range(0, x.num_rows, 1024)):
-            if size + b.num_rows > BLOCK:
-                yield out()
-            nodes.append(b.column(0).to_numpy())
-            held.append(np.frombuffer(b"".join(b.column(2).to_pylist()), np.float16).reshape(-1, width))
-            size += b.num_rows
-        if size:
-            yield out()
-
-    return written(ordered.mapInArrow(cut, "number long, node binary, c binary, lo array<double>, hi array<double>"))
+    def number(b: pa.RecordBatch) -> dict:
+        """Blocks are alike in size however the rows were dealt: the place in the whole order says which."""
+        m = b.column(0).to_numpy()
+        at = np.searchsorted(first, m, side="right") - 1
+        return {"number": (before[at] + m - first[at]) // BLOCK, "_m": b.column(0), "_node": b.column(1), "_c": b.column(2)}
+
+    def build(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_m")
+        c = np.frombuffer(b"".join(table.column("_c").to_pylist()), np.float16).reshape(-1, width)
+        limits = {"lo": pa.array([c.min(axis=0).astype(float).tolist()]), "hi": pa.array([c.max(axis=0).astype(float).tolist()])}
+        node = pa.array([table.column("_node").to_numpy().tobytes()], pa.binary())
+        return pa.table({"number": table.column("number").slice(0, 1), "node": node, "c": pa.array([c.tobytes()], pa.binary()), **limits})
+
+    kind = T.StructType([T.StructField(n, T.LongType()) for n in ("number", "_m", "_node")]).add("_c", T.BinaryType())
+    numbered = arrow_map(ordered, number, kind)
+    kind = "number long, node binary, c binary, lo array<double>, hi array<double>"
+    return written(numbered.groupBy("number").applyInArrow(build, kind))
 
 
 def _candidates(blocks: DataFrame, width: int, eps: float) -> DataFrame:
