@@ -1,7 +1,7 @@
 """Encode and decode chunks: choose a transform by measured size, tokenise, separate, entropy-code.
 
-A payload: number of tokens, sizes of the five symbol streams raw and coded, their frequency tables (only
-symbols that occur), the coded streams, and the extra bits of distances. Streams of all rows of a batch are
+A payload: number of tokens, sizes of the five symbol streams, coded sizes of their segments, the streams' frequency
+tables (only symbols that occur), the coded segments, and the extra bits of distances. Segments of all rows of a batch are
 coded in lockstep.
 """
 
@@ -19,6 +19,8 @@ from loomstone.functions import tokens as K
 from loomstone.functions import transforms as X
 from loomstone.functions.arrow import add_columns, as_binary, spread
 
+#: Symbols of a stream that share a state of the entropy coder.
+SEGMENT = 8192
 FIELDS = f"codec string, raw_size long, transform {X.Stack.STRUCT}, payload binary"
 
 
@@ -39,37 +41,47 @@ def _read_table(data: bytes, at: int) -> tuple[np.ndarray, int]:
     return freq, at + 3 * n
 
 
+def _segments(size: int) -> list[slice]:
+    """A stream is coded in segments with states of their own, so that long streams go in lockstep too."""
+    return [slice(i, min(size, i + SEGMENT)) for i in range(0, size, SEGMENT)]
+
+
 def code_tokens(parsed: list[K.Tokens], leasts: list[np.ndarray | None]) -> list[bytes]:
     """The payload of each list of tokens."""
     parts = [K.separate(t, m) for t, m in zip(parsed, leasts, strict=True)]
     streams = [s[k] for s, _ in parts for k in K.STREAMS]
     tables = [rans.normalise(N.histogram(s)) for s in streams]
-    coded = rans.encode_many(streams, tables)
+    pieces = [(s[part], t) for s, t in zip(streams, tables, strict=True) for part in _segments(len(s))]
+    coded = iter(rans.encode_many([p[0] for p in pieces], [p[1] for p in pieces]))
     out = []
     for i, (tokens, (_, extra)) in enumerate(zip(parsed, parts, strict=True)):
         mine = range(5 * i, 5 * i + 5)
-        head = struct.pack("<11I", len(tokens), *(x for j in mine for x in (len(streams[j]), len(coded[j]))))
-        out.append(head + b"".join(_table_bytes(tables[j]) for j in mine if streams[j]) + b"".join(coded[j] for j in mine) + extra)
+        done = [next(coded) for j in mine for _ in _segments(len(streams[j]))]
+        head = struct.pack(f"<{6 + len(done)}I", len(tokens), *(len(streams[j]) for j in mine), *map(len, done))
+        out.append(head + b"".join(_table_bytes(tables[j]) for j in mine if streams[j]) + b"".join(done) + extra)
     return out
 
 
 def decode_tokens(payloads: list[bytes], leasts: list[np.ndarray | None]) -> list[K.Tokens]:
     coded, tables, sizes, rest = [], [], [], []
-    none = np.full(256, 16, np.int64)
     for p in payloads:
-        n_tokens, *pairs = struct.unpack_from("<11I", p, 0)
-        at = 44
-        for raw in pairs[0::2]:
-            table, at = _read_table(p, at) if raw else (none, at)
-            tables.append(table)
-            sizes.append(raw)
-        for size in pairs[1::2]:
-            coded.append(p[at : at + size])
-            at += size
-        rest.append((n_tokens, p[at:]))
-    streams = rans.decode_many(coded, tables, sizes)
-    named = [dict(zip(K.STREAMS, streams[5 * i : 5 * i + 5], strict=True)) for i in range(len(rest))]
-    return [K.rejoin(s, extra, n, m) for s, (n, extra), m in zip(named, rest, leasts, strict=True)]
+        n_tokens, *raw = struct.unpack_from("<6I", p, 0)
+        parts = [[x.stop - x.start for x in _segments(n)] for n in raw]
+        count = sum(map(len, parts))
+        lengths = struct.unpack_from(f"<{count}I", p, 24)
+        at = 24 + 4 * count
+        for mine in parts:
+            if mine:
+                table, at = _read_table(p, at)
+                tables += [table] * len(mine)
+                sizes += mine
+        for n in lengths:
+            coded.append(p[at : at + n])
+            at += n
+        rest.append((n_tokens, [len(mine) for mine in parts], p[at:]))
+    pieces = iter(rans.decode_many(coded, tables, sizes))
+    named = [{k: b"".join(next(pieces) for _ in range(n)) for k, n in zip(K.STREAMS, counts, strict=True)} for _, counts, _ in rest]
+    return [K.rejoin(s, extra, n, m) for s, (n, _, extra), m in zip(named, rest, leasts, strict=True)]
 
 
 def _candidates(data: bytes, kind: str, level: str) -> list[X.Stack]:
@@ -77,7 +89,11 @@ def _candidates(data: bytes, kind: str, level: str) -> list[X.Stack]:
     plain = X.Stack()
     if K.LEVELS[level].optimal and kind == "text":
         return [plain, X.Stack(bwt=True)]
-    records = lambda k: [X.Stack(stride=k), *([X.Stack(filter="float_channel_split", channels=k // 4)] if k % 4 == 0 else [])]
+
+    def records(k: int) -> list[X.Stack]:
+        words = [X.Stack(filter="word_delta", channels=8 * k // bits, bit_depth=bits) for bits in (16, 32, 64) if 8 * k % bits == 0]
+        return [X.Stack(stride=k), *([X.Stack(filter="float_channel_split", channels=k // 4)] if k % 4 == 0 else []), *words]
+
     if kind == "multimedia" and (stride := N.chunk_stride(data)):
         return records(stride)
     if kind in ("executable", "binary") and N.bcj_helps(data) and (kind == "executable" or data[:2] == b"MZ" or data[:4] == b"\x7fELF"):

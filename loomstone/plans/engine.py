@@ -520,16 +520,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return grouping.ranked(rows, "_all", [F.col("_rank").asc(), F.col("path").asc()], "place").select("path", "block_type", "place")
 
 
-_FILTER_NAMES = "['audio_delta', 'bcj_x86', 'float_channel_split', 'float_split', 'none', 'rgb_split', 'rgba_delta']"
+_FILTER_NAMES = "['audio_delta', 'bcj_x86', 'float_channel_split', 'float_split', 'none', 'rgb_split', 'rgba_delta', 'word_delta']"
 
 
 @add(
     "context_allowed",
     f"""SELECT path, block_type IN ('text', 'binary', 'mixed') AND media_filter IN ('none', 'bcj_x86') AS allowed
-FROM (SELECT *, {_FILTER_NAMES}[1 + (key % 7)::INT] AS media_filter FROM ({_TYPED_ROWS}))""",
+FROM (SELECT *, {_FILTER_NAMES}[1 + (key % 8)::INT] AS media_filter FROM ({_TYPED_ROWS}))""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    media = F.element_at(F.array(*map(F.lit, sorted(X.FILTERS))), (F.col("key") % 7 + 1).cast("int"))
+    media = F.element_at(F.array(*map(F.lit, sorted(X.FILTERS))), (F.col("key") % 8 + 1).cast("int"))
     return _typed_rows(spark, d).select("path", C.context_allowed(F.col("block_type"), media).alias("allowed"))
 
 
@@ -673,6 +673,7 @@ _round_trip("rt_bwt", X.Stack(bwt=True))
 _round_trip("rt_float_split", X.Stack(filter="float_split"))
 _round_trip("rt_float_channels", X.Stack(filter="float_channel_split", channels=3))
 _round_trip("rt_audio", X.Stack(filter="audio_delta", channels=2, bit_depth=16))
+_round_trip("rt_word_delta", X.Stack(filter="word_delta", channels=3, bit_depth=32))
 _round_trip("rt_rgb", X.Stack(filter="rgb_split"))
 _round_trip("rt_rgba", X.Stack(filter="rgba_delta"))
 _round_trip("rt_bcj", X.Stack(filter="bcj_x86"), "pages", "page_id", "html")

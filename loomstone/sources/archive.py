@@ -22,7 +22,7 @@ from loomstone.sources import store
 from loomstone.sources.store import written
 from loomstone.timing import Phases
 
-FORMAT, VERSION = "loomstone", 1
+FORMAT, VERSION = "loomstone", 2
 MANIFEST = (
     "format string, version int, archive_id string, level string, encrypted boolean, salt string, kdf_n int, kdf_r int, kdf_p int, sentinel binary, "
     "n_files long, original_size long, compressed_size long, n_blocks long, chunk_size long, volume_size long, set_digest string, folder string"
@@ -211,7 +211,7 @@ class Reader:
         if len(rows) != 1 or rows[0].format != FORMAT:
             raise NotAnArchive(path)
         self.manifest = rows[0]
-        if self.manifest.version > VERSION:
+        if self.manifest.version != VERSION:
             raise ArchiveError(f"version {self.manifest.version} is not known here")
         self.key = None
         if self.manifest.encrypted and password is not None:

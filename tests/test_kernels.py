@@ -32,6 +32,10 @@ def test_transforms_come_back(data):
     for s in (0, 1, 2, 3, 4, 8, 12, 16):
         assert transforms.undelta(transforms.delta(data, s)[0], s)[0] == data
         assert transforms.untranspose(transforms.transpose(data, s), s) == data
+    for channels in (1, 2, 3):
+        for bits in (16, 32, 64):
+            coded, order = transforms.word_delta(data, channels, bits)
+            assert transforms.word_undelta(coded, channels, bits, order) == data and len(coded) == len(data)
     coded, rows = transforms.bwt(data)
     assert transforms.unbwt(coded, rows) == data
     for channels in (1, 2, 3):
@@ -282,3 +286,24 @@ def test_a_mix_follows_the_better_model():
         mixer.learn(symbol)
     assert mixer.weights[0] > 0.7 and bits < 400 * 1.8
     assert mixer.mix(flat, flat).argmax() in range(256) and (mixer.weights >= 0).all()
+
+
+def test_payloads_of_several_segments(monkeypatch):
+    from loomstone.operators import codec
+
+    monkeypatch.setattr(codec, "SEGMENT", 100)
+    values = [*SAMPLES, SAMPLES[7] * 20]
+    parsed = tokens.parse_many(values, tokens.LEVELS["fast"], [None] * len(values))
+    payloads = codec.code_tokens(parsed, [None] * len(values))
+    assert [tokens.expand(t) for t in codec.decode_tokens(payloads, [None] * len(values))] == values
+    assert codec.decode_tokens(payloads[::-1], [None] * len(values))[0] == parsed[-1]
+
+
+def test_differences_of_words_are_small_on_smooth_series():
+    i = np.arange(4000)
+    smooth = (5000 + 50 * np.sin(i / 1e4)).astype("<f8").tobytes()
+    coded, order = transforms.word_delta(smooth, 1, 64)
+    assert order >= 2 and numeric.entropy(coded) < 0.5 * numeric.entropy(transforms.transpose(transforms.delta(smooth, 8)[0], 8))
+    quadratic = (i * i).astype("<u4").tobytes()
+    coded, order = transforms.word_delta(quadratic, 1, 32)
+    assert order == 3 and len(set(coded[8:4000])) == 1
