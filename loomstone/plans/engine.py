@@ -739,7 +739,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 # Codec reports
 
 
-@add("freq_norm")
+@add(
+    "freq_norm",
+    f"""WITH {_BYTES}, counts AS (SELECT doc_id, b, count(*) AS c FROM doc_bytes GROUP BY doc_id, b),
+shares AS (SELECT doc_id, b, c, sum(c) OVER (PARTITION BY doc_id) AS n FROM counts),
+rounded AS (SELECT doc_id, b, greatest(floor((c::DOUBLE / n)::FLOAT * 4096::FLOAT + 0.5::FLOAT), 1)::BIGINT AS f FROM shares),
+placed AS (SELECT doc_id, f, row_number() OVER (PARTITION BY doc_id ORDER BY f DESC, b DESC) AS k, sum(f) OVER (PARTITION BY doc_id) AS s FROM rounded),
+fitted AS (SELECT doc_id, CASE WHEN k = 1 THEN greatest(1, f + 4096 - s) ELSE f END AS f FROM placed)
+SELECT d.doc_id, coalesce(sum(f), 4096)::INT AS total, CASE WHEN count(f) = 0 THEN 256 ELSE count(f) END::INT AS symbols, coalesce(max(f), 16)::INT AS largest
+FROM documents d LEFT JOIN fitted t ON t.doc_id = d.doc_id GROUP BY d.doc_id""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     from loomstone.plans.kernels import frequency_report
 
