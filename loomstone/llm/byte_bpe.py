@@ -138,7 +138,8 @@ def _sent(df: DataFrame, path: str, pattern: str):
 def encode(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with the whole text of each row as token ids (array<int>), without special tokens.
 
-    A null or empty text has no ids. A column called like ids_col is replaced; other columns stay.
+    A null or empty text has no ids. A column called like ids_col is replaced; other columns stay. Null and repeated ids and
+    repeated rows are encoded like others, so repeated rows stay repeated; an empty table gives an empty table.
     """
     sent = _sent(docs, path, pattern)
     base = docs.drop(ids_col)
@@ -158,7 +159,8 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text",
 
 def decode(rows: DataFrame, path: str, pattern: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """rows with the bytes (binary) that the ids stand for; null ids give no bytes. A token may end
-    within a character, so bytes of a part of a text need not be UTF-8."""
+    within a character, so bytes of a part of a text need not be UTF-8. A column called like out_col is replaced; repeated rows
+    stay repeated; an empty table gives an empty table."""
     sent = _sent(rows, path, pattern)
     base = rows.drop(out_col)
     kind = T.StructType([*base.schema.fields, T.StructField(out_col, T.BinaryType())])

@@ -58,3 +58,10 @@ def test_vocabulary_must_be_whole():
         byte_bpe.model_bytes({b"a": 0})
     with pytest.raises(ValueError):
         byte_bpe.model_bytes({bytes([b]): b + 1 for b in range(256)})
+
+
+def test_repeated_rows_and_empty_tables(spark):
+    rows = [(1, "the same text", "en", "s", 1)] * 3
+    out = byte_bpe.decode(byte_bpe.encode(docs(spark, rows), PATH, PATTERN), PATH, PATTERN).collect()
+    assert len(out) == 3 and {bytes(r.decoded) for r in out} == {b"the same text"}
+    assert byte_bpe.decode(byte_bpe.encode(docs(spark, []), PATH, PATTERN), PATH, PATTERN).count() == 0
