@@ -23,68 +23,50 @@ from pyspark.sql import types as T
 from loomstone.llm.common import arrow_map, arrow_schema, texts
 from loomstone.llm.ordered import with_next
 
-#: Hashes of a signature, and phrases that a task's parses share at most before they start anew.
-SIZE, MOST_PHRASES = 128, 1 << 20
-
-
-class Trie:
-    """Phrases that parses of many texts share, each with its hash: a phrase is hashed when it is first met."""
-
-    def __init__(self) -> None:
-        self.child: dict[int, int] = {}  # node * 256 + byte -> node; 0 is the empty phrase
-        self.phrases: list[bytes] = [b""]
-        self.hashes = np.zeros(1024, np.uint32)
-
-    def new(self, key: int) -> int:
-        node = len(self.phrases)
-        phrase = self.phrases[key >> 8] + bytes([key & 255])
-        self.child[key] = node
-        self.phrases.append(phrase)
-        if node == len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-        self.hashes[node] = xxhash.xxh32_intdigest(phrase)
-        return node
+SIZE = 128
 
 
 class Parse:
     """A parse that can be continued, and copied to be continued in two ways."""
 
-    __slots__ = ("node", "seen", "trie")
-    shared = Trie()
+    __slots__ = ("hashes", "node", "open", "trie")
 
     def __init__(self) -> None:
-        if len(Parse.shared.phrases) > MOST_PHRASES:
-            Parse.shared = Trie()
-        self.trie = Parse.shared
-        self.node = 0  # the phrase that is not complete yet
-        self.seen: set[int] = set()  # this text's own phrases
+        self.trie: dict[int, int] = {}  # node * 256 + byte -> node
+        self.node = 0
+        self.open = b""  # bytes of the phrase that is not complete yet
+        self.hashes: list[int] = []
 
     def copy(self) -> Parse:
-        new = Parse.__new__(Parse)
-        new.trie, new.node, new.seen = self.trie, self.node, self.seen.copy()
+        new = Parse()
+        new.trie, new.node, new.open, new.hashes = self.trie.copy(), self.node, self.open, self.hashes.copy()
         return new
 
     def feed(self, data: bytes) -> Parse:
-        get, new, seen, node = self.trie.child.get, self.trie.new, self.seen, self.node
-        add = seen.add
+        trie, node, at, cuts = self.trie, self.node, 0, []
+        get, cut = trie.get, cuts.append
         for byte in data:
+            at += 1
             key = node << 8 | byte
-            node = get(key) or new(key)
-            if node not in seen:
-                add(node)
+            node = get(key)
+            if node is None:
+                trie[key] = len(trie) + 1
+                cut(at)
                 node = 0
         self.node = node
+        h, start = xxhash.xxh32_intdigest, 0
+        if cuts:
+            data = self.open + data
+            more = len(self.open)
+            ends = [c + more for c in cuts]
+            self.hashes += [h(data[a:b]) for a, b in zip([start, *ends], ends, strict=False)]
+            self.open = data[ends[-1] :]
+        else:
+            self.open += data
         return self
 
-    @property
-    def hashes(self) -> list[int]:
-        return self._found().tolist()
-
-    def _found(self) -> np.ndarray:
-        return self.trie.hashes[np.fromiter(self.seen, np.int64, len(self.seen))]
-
     def signature(self) -> np.ndarray:
-        return np.unique(self._found())[:SIZE]
+        return np.unique(np.array(self.hashes, np.uint32))[:SIZE]
 
 
 def as_text(signature: np.ndarray) -> str:
