@@ -271,8 +271,7 @@ FROM pairs WHERE n > stride AND r IS NOT NULL AND NOT isnan(r) GROUP BY l_suppke
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     """The rule for chunks: strides 2 to 16 of a sample of 4,096 bytes, r from 0.5 on; r to five places."""
-    every = profile.strides(_records(spark, d), "value").withColumn("r", F.round("r", 5))
-    return profile.best_stride(every, ["l_suppkey"], 0.5)
+    return profile.best_stride(profile.strides(_records(spark, d), "value", exact=True), ["l_suppkey"], 0.5)
 
 
 @add(

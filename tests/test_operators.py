@@ -217,3 +217,26 @@ def test_blocks_by_ranges(spark):
         for r in got:
             blocks.setdefault((r.block_type, r.shard, r.block_no), []).append(r.size)
         assert max(map(sum, blocks.values())) <= 2000
+
+
+def test_best_stride_is_that_of_its_sql(spark, tmp_path):
+    import duckdb
+
+    from loomstone.plans.engine import CATALOGUE
+
+    rng = np.random.default_rng(5)
+    rows = [(s, o, n, float(q)) for s in range(400) for o, q in enumerate(rng.integers(1, 51, 40).tolist()) for n in (1, 2)]
+    rows += [(1000, o, 1, -100.0) for o in range(40)]  # all bytes zero: no correlation
+    rows += [(1001, o, 1, 7.0) for o in range(5)]  # short: fewer strides
+    rows += [(None, o, 1, float(q)) for o, q in enumerate(rng.integers(1, 51, 40).tolist())]
+    kind = "l_suppkey long, l_orderkey long, l_linenumber long, l_quantity double"
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = sorted(map(tuple, CATALOGUE.queries["best_stride"](spark, str(tmp_path)).collect()))
+    assert len(got) > 400 and got == sorted(duckdb.sql(CATALOGUE.sql["best_stride"]).fetchall())
+
+
+def test_best_stride_weighs_places_and_strides(spark):
+    rows = [("a", 4, 0.9), ("a", 16, 0.90001), ("b", 4, 0.9), ("b", 8, 0.90001), ("c", 4, 0.499999), ("d", 4, 0.7), ("d", 8, 0.7000049)]
+    got = profile.best_stride(spark.createDataFrame(rows, "k string, stride int, r double"), ["k"], 0.5).collect()
+    assert sorted(map(tuple, got)) == [("a", 4, 0.90001), ("b", 8, 0.90001), ("d", 4, 0.7)]
