@@ -41,7 +41,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents with similar shingles of five words (a Jaccard similarity of 0.8 or more, over any number of
-    steps), the smallest doc_id stays.
+    steps), the smallest doc_id stays. Pairs come by SimHash fingerprints with pivot distance tables, the alike ones whose fingerprints
+    are further apart by their rare shingles, and all are verified on the whole sets.
 
     Texts without words are one group. Of repeated rows of the smallest id all stay; rows with a null id stay always."""
     groups = similar.similar_groups(docs.select("doc_id", "text"), words_each=5, similarity=0.8)

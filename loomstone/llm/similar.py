@@ -1,17 +1,19 @@
-"""Groups of texts whose shingles are alike, by pivot distance tables over parity bitmaps.
+"""Groups of texts whose shingles are alike, by SimHash fingerprints with pivot distance tables and an exact check.
 
 Two texts link if the Jaccard similarity of their distinct shingles (of five words, as a rule) is at least
-the threshold (0.8); SimHash bits cannot tell such pairs from others near the threshold, so fingerprints here are parity
-bitmaps: a bit is the parity of the shingles that fall on it, so two sets differ in at least as many shingles
-as their bitmaps differ in bits, and no pair is lost by looking at bitmaps first.
+the threshold (0.8).
 
-1. Pairs come together by shingles. In an order that is the same for all sets, two sets that alike share one
+1. Each set has a SimHash fingerprint: a bit is 1 if it is set in over half of the shingles' hashes. All pairs of
+   fingerprints within ``MAX_BITS`` come from ``simhash.links``, by pivot distance tables; none is lost.
+2. SimHash bits cannot tell pairs near the threshold from others, so some alike pairs are further apart than that. These, and only
+   these, come together by shingles. In an order that is the same for all sets, two sets that alike share one
    of their first shingles (the prefix: a fifth of the set and one). The order is by hash, but shingles that many
    texts have come last, so prefixes hold rare ones.
-2. Among the sets with one shingle, sizes, then the table of Hamming distances to the pivots (a pair whose largest
-   coordinate difference is over what the two may differ in is discarded), then the bitmaps themselves, and larger ones of larger
-   sets, leave pairs that may be alike.
-   Only a spanning forest of them goes out; its components are clusters that no link leaves.
+   Among the sets with one shingle, sizes, then a table of Hamming distances to pivots (a pair whose largest
+   coordinate difference is over what the two may differ in is discarded), then the bitmaps it is made of, and larger ones of larger
+   sets, leave pairs that may be alike. These are parity bitmaps: a bit is the parity of the shingles that fall on it, so two
+   sets differ in at least as many shingles as their bitmaps differ in bits, and no pair is lost.
+   Only a spanning forest of both kinds of pairs goes on; its components are clusters that no link leaves.
 3. The sets of each cluster, once each, come together and links are verified on them, after the same
    tests; again a forest goes out, and its components are the groups.
 
@@ -33,12 +35,14 @@ from pyspark.sql import types as T
 from loomstone.llm.bloom import filter_of, has
 from loomstone.llm.common import arrow_map, opaque, texts, written
 from loomstone.llm.components import components
-from loomstone.llm.simhash import MOST_NODES, PIVOTS, Forest, shingles, whole_runs
+from loomstone.llm.simhash import MOST_NODES, PIVOTS, Forest, links, majority, shingles, whole_runs
 
 #: Bits of a bitmap; sets of a block; runs up to SMALL are compared by whole arrays.
 PARITY, TILE, SMALL = 1024, 512, 16
 #: Shingles in more prefixes than CROWDED come last in the order, of these the MOST_LATE most frequent.
 CROWDED, MOST_LATE = 64, 1 << 16
+#: Differing bits up to which pairs come by their fingerprints.
+MAX_BITS = 3
 #: Prefix shingles that a task counts before it sends on those it has seen again.
 HELD = 1 << 22
 EDGES = "a long, b long"
@@ -81,6 +85,11 @@ def wide_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set, 64 bits as a signed long; zero of an empty one."""
+    return int(majority(hashes.view(np.uint8).reshape(-1, 8)).view("<i8")[0])
+
+
 def node_of(hashes: np.ndarray) -> int:
     """A set's node, XXH3 of it as a signed long: equal sets have one node."""
     x = xxhash.xxh3_64_intdigest(hashes.tobytes())
@@ -122,13 +131,14 @@ def crowded_shingles(src: DataFrame, words_each: int, similarity: float) -> np.n
 
 
 def _measured(src: DataFrame, words_each: int, similarity: float, late: np.ndarray) -> DataFrame:
-    """_id, _node, _size, _bits, _wide and _prefix of each row."""
+    """_id, _node, _fp, _size, _bits, _wide and _prefix of each row."""
 
     def each(b: pa.RecordBatch) -> dict:
         found = _node_sets(b, words_each)
         return {
             "_id": b.column(0),
             "_node": [n for n, _ in found],
+            "_fp": [set_fingerprint(s) for _, s in found],
             "_size": [len(s) for _, s in found],
             "_bits": [parity_bits(s) for _, s in found],
             "_wide": [wide_bits(s) for _, s in found],
@@ -136,7 +146,8 @@ def _measured(src: DataFrame, words_each: int, similarity: float, late: np.ndarr
         }
 
     kind = T.StructType(
-        [src.schema["_id"], T.StructField("_node", T.LongType()), T.StructField("_size", T.LongType())]
+        [src.schema["_id"]]
+        + [T.StructField(n, T.LongType()) for n in ("_node", "_fp", "_size")]
         + [T.StructField(n, T.BinaryType()) for n in ("_bits", "_wide", "_prefix")]
     )
     return arrow_map(src, each, kind)
@@ -162,6 +173,17 @@ def _keys(measured: DataFrame) -> DataFrame:
     return measured.select("_node", "_prefix").mapInArrow(run, "_key long, _node long")
 
 
+def near_fingerprints(nodes: DataFrame) -> DataFrame:
+    """Edges a, b that connect all nodes whose fingerprints differ in up to MAX_BITS: a node with the least one of its
+    fingerprint, and these along the links of fingerprints."""
+    first = written(nodes.groupBy("_fp").agg(F.min("_node").alias("_first")))
+    of = lambda x: first.select(opaque("_fp").alias(f"_f{x}"), F.col("_first").alias(x))
+    near = links(first.select("_fp"), MAX_BITS).select(F.col("a").alias("_x"), F.col("b").alias("_y"))
+    near = near.join(of("a"), F.col("_x") == F.col("_fa")).join(of("b"), F.col("_y") == F.col("_fb")).select("a", "b")
+    equal = nodes.select(F.col("_node").alias("a"), "_fp").join(of("b"), F.col("_fp") == F.col("_fb")).filter("a <> b").select("a", "b")
+    return near.unionByName(equal)
+
+
 def _tiles(count: Column, node: Column) -> Column:
     """The tiles of a node among ``count`` ones: its block with every block, its own included. 0 where one block holds all."""
     blocks = F.ceil(count / TILE)
@@ -175,11 +197,16 @@ class Run:
 
     refs = np.random.default_rng(2).integers(0, 256, (PIVOTS, PARITY // 8), np.uint8).view(np.uint64)
 
-    def __init__(self, similarity: float, size: np.ndarray, bits: np.ndarray, wide: np.ndarray, sets: np.ndarray | None) -> None:
-        """bits: one row of 64-bit words for each node; wide: larger bitmaps or None."""
-        self.similarity, self.size, self.bits, self.wide, self.sets = similarity, size, bits, wide, sets
+    def __init__(self, similarity: float, size: np.ndarray, bits: np.ndarray, wide: np.ndarray, sets: np.ndarray | None, fps: np.ndarray | None = None) -> None:
+        """bits: one row of 64-bit words for each node; wide: larger bitmaps or None; fps: fingerprints, where the pairs
+        that are near by them are known already."""
+        self.similarity, self.size, self.bits, self.wide, self.sets, self.fps = similarity, size, bits, wide, sets, fps
         self.table = np.stack([np.bitwise_count(bits ^ r).sum(axis=1, dtype=np.int16) for r in self.refs], axis=1)
 
+    def known(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs (i, j) have come by their fingerprints."""
+        return np.zeros(len(i), bool) if self.fps is None else np.bitwise_count(self.fps[i] ^ self.fps[j]) <= MAX_BITS
+
     def alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """The numbers of those pairs (i, j) that are alike, or may be where there are no sets."""
         s, a, b = self.similarity, self.size[i], self.size[j]
@@ -202,12 +229,16 @@ class Run:
         return both >= self.similarity * (len(x) + len(y) - both) - 1e-9
 
     def links(self, first: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Enough links among the n nodes from ``first`` on: breadth first, each meets only those not reached yet."""
+        """Enough links among the n nodes from ``first`` on, beside those that are known: breadth first, each meets only those not
+        reached yet."""
         left = np.arange(first, first + n)
         while len(left) > 1:
             queue, left = [left[0]], left[1:]
             while queue and len(left):
                 x = queue.pop()
+                known = self.known(np.full(len(left), x), left)
+                queue.extend(left[known].tolist())
+                left = left[~known]
                 hit = self.alike(np.full(len(left), x), left)
                 if len(hit):
                     yield np.full(len(hit), x), left[hit]
@@ -216,14 +247,15 @@ class Run:
 
 
 def _forest(similarity: float, with_sets: bool):
-    """Rows (_key, _tile, _node, _size, _bits, _wide and maybe _set) by _key and _tile: edges of a forest of what is alike."""
+    """Rows (_key, _tile, _node, _size, _bits, _wide and _set or _fp) by _key and _tile: edges of a forest of what is alike, with
+    _fp beside what is near by fingerprints."""
     target = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
-        for key, tile, node, size, bits, wide, *sets in whole_runs(batches, 2):
+        for key, tile, node, size, bits, wide, last in whole_runs(batches, 2):
             words = np.frombuffer(b"".join(bits.tolist()), np.uint64).reshape(len(key), -1)
-            found = Run(similarity, size, words, wide, sets[0] if with_sets else None)
+            found = Run(similarity, size, words, wide, *((last,) if with_sets else (None, last.view(np.uint64))))
             number = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])
             start = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
             count = np.diff(np.r_[start, len(key)])
@@ -233,6 +265,7 @@ def _forest(similarity: float, with_sets: bool):
             few = np.repeat((count > 1) & (count <= SMALL), count)
             for off in range(1, int(count[(count > 1) & (count <= SMALL)].max(initial=1))):
                 i = np.flatnonzero(few[:-off] & (number[:-off] == number[off:]))
+                i = i[~found.known(i, i + off)]
                 i = i[found.alike(i, i + off)]
                 forest.add(node[i].tolist(), node[i + off].tolist())
             if len(forest.parent) > MOST_NODES:
@@ -243,11 +276,11 @@ def _forest(similarity: float, with_sets: bool):
     return run
 
 
-def _compared(rows: DataFrame, similarity: float, *sets: str) -> DataFrame:
-    """rows: _key, _count, _node, _size, _bits, _wide and maybe _set. Edges a, b."""
+def _compared(rows: DataFrame, similarity: float, last: str) -> DataFrame:
+    """rows: _key, _count, _node, _size, _bits, _wide and last, which is _set or _fp. Edges a, b."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("_key", F.explode(_tiles(F.col("_count"), F.col("_node"))).alias("_tile"), "_node", "_size", "_bits", "_wide", *sets)
-    return dealt.repartition(n, "_key", "_tile").sortWithinPartitions("_key", "_tile").mapInArrow(_forest(similarity, bool(sets)), EDGES)
+    dealt = rows.select("_key", F.explode(_tiles(F.col("_count"), F.col("_node"))).alias("_tile"), "_node", "_size", "_bits", "_wide", last)
+    return dealt.repartition(n, "_key", "_tile").sortWithinPartitions("_key", "_tile").mapInArrow(_forest(similarity, last == "_set"), EDGES)
 
 
 def _clusters(measured: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -256,8 +289,9 @@ def _clusters(measured: DataFrame, nodes: DataFrame, similarity: float) -> DataF
     counts = keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_count")).filter("_count > 1")
     counts = written(counts.select(opaque("_key").alias("_k"), "_count"))
     rows = written(keys.join(counts, F.col("_key") == F.col("_k")).select("_key", "_count", "_node").distinct())
-    of = nodes.select(opaque("_node").alias("_n"), "_size", "_bits", "_wide")
-    return components(_compared(rows.join(of, F.col("_node") == F.col("_n")), similarity))
+    of = nodes.select(opaque("_node").alias("_n"), "_size", "_bits", "_wide", "_fp")
+    far = _compared(rows.join(of, F.col("_node") == F.col("_n")), similarity, "_fp")
+    return components(near_fingerprints(nodes).unionByName(far))
 
 
 def _links(src: DataFrame, clusters: DataFrame, nodes: DataFrame, words_each: int, similarity: float) -> DataFrame:
@@ -299,7 +333,7 @@ def similar_groups(
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     late = crowded_shingles(src, words_each, similarity)
     measured = written(_measured(src, words_each, similarity, late))
-    nodes = measured.groupBy("_node").agg(F.min("_id").alias("_least"), *(F.min(c).alias(c) for c in ("_size", "_bits", "_wide")))
+    nodes = measured.groupBy("_node").agg(F.min("_id").alias("_least"), *(F.min(c).alias(c) for c in ("_fp", "_size", "_bits", "_wide")))
     nodes = written(nodes)
     label = _clusters(measured, nodes, similarity)
     size = label.groupBy("component").agg((F.count(F.lit(1)) + 1).alias("_count"))

@@ -247,3 +247,24 @@ def test_wide_bitmaps_of_long_texts(spark):
         rows.append((i, " ".join(text), "en", "s", 1))
     want, _ = exact_groups(rows)
     assert {x.doc_id: x.component_id for x in similar_groups(docs(spark, rows)).collect()} == want
+
+
+def test_near_fingerprints_bring_similar_texts_together(spark, monkeypatch):
+    """All pairs of sets within three bits come by SimHash and pivot tables and only so; the other alike ones by shingles."""
+    from loomstone.llm import similar
+
+    rng = random.Random(21)
+    rows = edited_copies(5, 40)
+    for i in range(40):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+        rows += [(1000 + 2 * i, " ".join(text), "en", "s", 1), (1001 + 2 * i, " ".join([*text[:-1], "changed"]), "en", "s", 1)]
+    want, alike = exact_groups(rows)
+    fps = [similar.set_fingerprint(similar.shingle_set(t.encode(), 5)) & (1 << 64) - 1 for _, t, *_ in rows]
+    near = {p for p in alike if (fps[p[0]] ^ fps[p[1]]).bit_count() <= 3}
+    linked = {p for p, s in alike.items() if s >= 0.8}
+    assert len(near & linked) >= 20 and len(linked - near) >= 20
+    run = lambda: {r.doc_id: r.component_id for r in similar_groups(docs(spark, rows)).collect()}
+    ids = [r[0] for r in rows]
+    assert run() == want
+    monkeypatch.setattr(similar, "near_fingerprints", lambda nodes: spark.createDataFrame([], similar.EDGES))
+    assert run() == dict(zip(ids, grouped(ids, list(linked - near)), strict=True))
