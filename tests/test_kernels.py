@@ -307,3 +307,11 @@ def test_differences_of_words_are_small_on_smooth_series():
     quadratic = (i * i).astype("<u4").tobytes()
     coded, order = transforms.word_delta(quadratic, 1, 32)
     assert order == 3 and len(set(coded[8:4000])) == 1
+
+
+def test_the_optimal_parse_prices_a_distance_once(monkeypatch):
+    data = b"".join(b"%d green bottles and %d more, " % (i % 17, i % 23) for i in range(400))
+    asked, slot = [], tokens.distance_slot
+    monkeypatch.setattr(tokens, "distance_slot", lambda d: asked.append(d) or slot(d))
+    assert tokens.expand(tokens.parse_optimal(data, tokens.LEVELS["maximum"])) == data
+    assert asked and len(asked) == len(set(asked))
