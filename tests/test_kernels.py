@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomstone.functions import contexts, numeric, ppm, rans, tokens, transforms
+from loomstone.functions import contexts, jvm, numeric, ppm, rans, tokens, transforms
 
 RNG = np.random.default_rng(42)
 SAMPLES = [
@@ -315,3 +315,50 @@ def test_the_optimal_parse_prices_a_distance_once(monkeypatch):
     monkeypatch.setattr(tokens, "distance_slot", lambda d: asked.append(d) or slot(d))
     assert tokens.expand(tokens.parse_optimal(data, tokens.LEVELS["maximum"])) == data
     assert asked and len(asked) == len(set(asked))
+
+
+def _texts():
+    words = [b"%d green bottles " % (i * i % 97) for i in range(900)]
+    return [b"", b"abc", b"a" * 700, b"".join(words), transforms.bwt(b"".join(words))[0], bytes(RNG.integers(0, 4, 20_000, dtype=np.uint8))]
+
+
+def test_the_optimal_parse_leaves_the_byte_loop_to_its_helper(monkeypatch):
+    texts, level = _texts(), tokens.LEVELS["maximum"]
+    leasts = [RNG.integers(3, 5, len(t)).astype(np.uint8) for t in texts]
+    for some in ([None] * len(texts), leasts):
+        want = [tokens._cheapest_path(t, level, m) for t, m in zip(texts, some, strict=True)]
+        with monkeypatch.context() as m:
+            m.setattr(tokens, "_cheapest_path", None)
+            assert tokens.parse_optimal_many(texts, level, some) == want
+            m.setattr(jvm, "MOST", 100)  # values over it are parsed in Python, also beside others
+            m.setattr(tokens, "_cheapest_path", lambda t, level, least: ("Python", t))
+            assert [t[1] if isinstance(t, tuple) else tokens.expand(t) for t in tokens.parse_optimal_many(texts, level, some)] == texts
+
+
+def test_without_its_helper_python_gives_the_same(monkeypatch):
+    texts, level = _texts(), tokens.LEVELS["maximum"]
+    tables = [rans.normalise(numeric.histogram(t)) for t in texts]
+    do = lambda: (tokens.parse_optimal_many(texts, level, [None] * len(texts)), coded := rans.encode_many(texts, tables), rans.decode_many(coded, tables, [*map(len, texts)]))
+    want = do()
+    assert jvm.ready() and want[2] == texts
+    held = jvm._held()
+    process = held.process
+    process.kill()  # it dies between two calls
+    process.wait()
+    try:
+        with pytest.warns(UserWarning, match="no helper"):
+            assert do() == want
+        assert not jvm.ready()
+    finally:
+        held.process, held.broken = None, False
+    monkeypatch.setattr(jvm, "_command", lambda: ["/nowhere/java"])
+    try:
+        with pytest.warns(UserWarning, match="no helper"):
+            assert do() == want
+    finally:
+        held.process, held.broken = None, False
+    with pytest.raises(ValueError):
+        rans.encode_many([b"ab"], [rans.normalise(numeric.histogram(b"a"))])
+    monkeypatch.undo()
+    with pytest.raises(ValueError):
+        rans.encode_many([b"ab"], [rans.normalise(numeric.histogram(b"a"))])
