@@ -356,10 +356,24 @@ def test_without_its_helper_python_gives_the_same(monkeypatch):
     try:
         with pytest.warns(UserWarning, match="no helper"):
             assert do() == want
+        with pytest.raises(ValueError):
+            rans.encode_many([b"ab"], [rans.normalise(numeric.histogram(b"a"))])
     finally:
         held.process, held.broken = None, False
+        monkeypatch.undo()
     with pytest.raises(ValueError):
         rans.encode_many([b"ab"], [rans.normalise(numeric.histogram(b"a"))])
-    monkeypatch.undo()
-    with pytest.raises(ValueError):
-        rans.encode_many([b"ab"], [rans.normalise(numeric.histogram(b"a"))])
+
+
+def test_tokens_expand_alike_in_the_helper_and_in_python(monkeypatch):
+    parts = [tokens.parse(t, tokens.LEVELS["balanced"]) for t in _texts()]
+    parts.append(tokens.Tokens.of([(0, 97, 1), (1, 1, 300), (0, 98, 1), (2, 0, 4), (2, 1, 9), (1, 7, 258)]))
+    want = [tokens._expanded(t) for t in parts]
+    with monkeypatch.context() as m:
+        m.setattr(tokens, "_expanded", lambda t: b"Python" if len(t) else b"")
+        assert tokens.expand_many(parts) == want
+    for bad in ([(1, 1, 4)], [(0, 97, 1), (1, 2, 4)], [(0, 97, 1), (1, 0, 4)]):
+        with pytest.raises(ValueError):
+            tokens.expand(bad)
+    with pytest.raises(IndexError):
+        tokens.expand([(0, 97, 1), (2, 3, 4)])
